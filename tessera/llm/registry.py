@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, quality, url_filter, warc
+from tessera.llm import bpe, exact_dedup, html_extract, langid, mixing, quality, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1,
+    "op2_bpe": bpe.op2,
     "op3_warc": warc.op3,
+    "op5_language_id": langid.op5,
     "op6_exact_dedup": exact_dedup.op6,
+    "op7_html_extraction": html_extract.op7,
     "op9_quality_rules": quality.op9,
     "op10_mixing": mixing.op10,
 }
