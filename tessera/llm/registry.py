@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, html_extract, langid, mixing, quality, url_filter, warc
+from tessera.llm import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, quality, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": langid.op5,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_html_extraction": html_extract.op7,
+    "op8_ngram_join": ngram_join.op8,
     "op9_quality_rules": quality.op9,
     "op10_mixing": mixing.op10,
 }
