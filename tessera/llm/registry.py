@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, quality, url_filter, warc
+from tessera.llm import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, quality, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1,
     "op2_bpe": bpe.op2,
     "op3_warc": warc.op3,
+    "op4_substring_dedup": substring_dedup.op4,
     "op5_language_id": langid.op5,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_html_extraction": html_extract.op7,
