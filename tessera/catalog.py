@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.plans import registry, routing_queries, search_queries  # noqa: F401
+
 FLAGSHIP = "q01_topk_cosine"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES = registry.QUERIES
+SQL = registry.SQL
