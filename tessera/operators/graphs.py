@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint
+
 GRAPH_TYPES = ("LINEAR", "FORK", "MERGE", "FORK_MERGE", "INDEPENDENT", "POLICY_ISOLATED")
 REASONING = {"GoT": None, "CoT": "LINEAR", "ToT": "FORK"}
 S1_ABOVE, S2_ABOVE = 0.6, 0.4
@@ -52,19 +54,21 @@ def templates(spark: SparkSession, kinds=GRAPH_TYPES, hops=(2, 3, 4, 5)) -> tupl
     return spark.createDataFrame(n, "graph_type string, hops int, node string, node_type string, hop int, node_ord int"), spark.createDataFrame(e, "graph_type string, hops int, src string, dst string, edge_type string")
 
 
-def ancestors(edges: DataFrame, key: list[str], depth: int = 64) -> DataFrame:
-    """key, node, ancestor, distance (least): the transitive closure without the node itself. Paths are doubled each round
-    (of 1, then 2, then 4 edges, ...), up to depth edges; on graphs of a few levels that is two or three joins."""
-    base = edges.select(*key, F.col("dst").alias("node"), F.col("src").alias("ancestor"), F.lit(1).alias("distance")).distinct()
-    reach, step, size = base, 1, -1
+def ancestors(edges: DataFrame, key: list[str], longest: bool = False, depth: int = 64) -> DataFrame:
+    """key, node, ancestor, distance (least, or longest): the transitive closure without the node itself. Paths are doubled each
+    round (up to 1, then 2, then 4 edges, ...), up to depth edges; graphs of a few levels need two or three rounds. Each
+    round is a stored table."""
+    pick = F.max if longest else F.min
+    reach = checkpoint(edges.select(*key, F.col("dst").alias("node"), F.col("src").alias("ancestor"), F.lit(1).alias("distance")).distinct())
+    step, size = 1, None
     while step < depth:
         a, b = reach.alias("a"), reach.alias("b")
         on = F.col("a.ancestor") == F.col("b.node")
         for k in key:
             on &= F.col(f"a.{k}") == F.col(f"b.{k}")
         longer = a.join(b, on).select(*(F.col(f"a.{k}") for k in key), F.col("a.node"), F.col("b.ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        reach = reach.unionByName(longer).groupBy(*key, "node", "ancestor").agg(F.min("distance").alias("distance")).persist()
-        found = reach.count()
+        reach = checkpoint(reach.unionByName(longer).groupBy(*key, "node", "ancestor").agg(pick("distance").alias("distance")))
+        found = tuple(reach.agg(F.count(F.lit(1)), F.sum("distance")).first())
         if found == size:
             break
         size, step = found, step * 2
@@ -92,16 +96,9 @@ def check(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """key, node, level: the longest path from a root, by relaxing edges until nothing moves."""
-    lev = nodes.select(*key, "node", F.lit(0).alias("level"))
-    while True:
-        up = edges.join(lev.withColumnRenamed("node", "src"), [*key, "src"]).groupBy(*key, F.col("dst").alias("node")).agg((F.max("level") + 1).alias("need"))
-        new = lev.join(up, [*key, "node"], "left").select(*key, "node", F.greatest("level", F.coalesce("need", F.lit(0))).alias("new"), "level").persist()
-        if new.where("new > level").isEmpty():
-            return new.select(*key, "node", "level")
-        lev = new.select(*key, "node", F.col("new").alias("level"))
-        if new.agg(F.max("new")).first()[0] > 64:
-            raise ValueError("the graph has a cycle")
+    """key, node, level: the longest path from a root, on graphs without cycles."""
+    up = ancestors(edges, key, longest=True).groupBy(*key, "node").agg(F.max("distance").alias("far"))
+    return nodes.join(up, [*key, "node"], "left").select(*key, "node", F.coalesce("far", F.lit(0)).alias("level"))
 
 
 def rho_v3(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:

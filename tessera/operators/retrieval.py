@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import features
 from tessera.operators import fusion, routing, search
+from tessera.session import checkpoint
 
 VARIANTS = {"a1": "a1", "independent": "a1", "a3": "a3", "a4": "a4", "a5": "a5", "full": "a5"}
 
@@ -104,11 +105,12 @@ def retrieve(requests: DataFrame, memory: DataFrame, as_of: Column, variant: str
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant!r}")
     variant = VARIANTS[variant]
-    routed = route(requests, variant)
+    # a batch's routing and lists are small and read several times
+    routed = checkpoint(route(requests, variant))
     solo = requests.join(routed.where("mode = 'independent'").select("request_id"), "request_id", "left_semi")
     shared = personalise(first_stage(routed, requests, memory, as_of, variant, config), requests, memory, as_of, config, config.enable_rerank and variant != "a3") if variant != "a1" else None
     own = personalise(alone(solo, memory, config.shared_top_k), requests, memory, as_of, config, config.enable_rerank)
-    lists = own if shared is None else shared.unionByName(own)
+    lists = checkpoint(own if shared is None else shared.unionByName(own))
     modes = routed.select("request_id", "mode", "bucket", "member_ord")
     if variant in ("a1", "a3") or not config.enable_fallback:
         fired = requests.select("request_id", F.lit(False).alias("fallback"))
