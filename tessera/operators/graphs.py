@@ -39,7 +39,10 @@ def template(kind: str, hops: int) -> tuple[list[tuple], list[tuple]]:
         at = 1 if hops == 2 else 2
         root = "planner" if hops == 2 else solver("1", 1, "planner")
         sides = [solver(f"{at}{x}", at, root) for x in "ab"]
-        grow(sides[0] if kind == "FORK" else solver(str(at + 1), at + 1, *sides), at + (1 if kind == "FORK" else 2))
+        if kind == "FORK":
+            grow(sides[0], 3)
+        else:
+            grow(solver(str(at + 1), at + 1, *sides), at + 2)
     else:
         raise ValueError(f"unknown graph type {kind!r}")
     if kind == "POLICY_ISOLATED":
