@@ -34,7 +34,7 @@ def order_key(doc_id: Column, seed: str = SEED) -> Column:
 
 def targets(sizes: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> DataFrame:
     """sizes: source, source_size. Adds weight and target. With r = passes * size / weight, the sources of smallest r are
-    capped; the level that shares the rest by weight is the one that lies between the last capped r and the next."""
+    capped; the level that shares the rest by weight is the first, in that order, that the next r reaches."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> DataFram
     t = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("double"))
     t = t.withColumn("cap", (F.col("source_size") * passes).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
     t = t.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    t = t.withColumn("at", F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every))
+    t = t.withColumn("nth", F.row_number().over(by_ratio)).withColumn("at", F.min_by("level", F.when(F.col("ratio") >= F.col("level"), F.col("nth"))).over(every))
     return t.withColumn("target", F.when(F.col("ratio") < F.col("at"), F.col("cap")).otherwise(F.least(F.col("at") * F.col("weight"), F.col("cap")))).select("source", "source_size", "weight", "target")
 
 
@@ -140,7 +140,8 @@ def op10_sql() -> str:
     l AS (SELECT *, cap / weight AS ratio,
                  (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                  / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
-    a AS (SELECT *, min(CASE WHEN ratio >= level THEN level END) OVER () AS lv FROM l),
+    o AS (SELECT *, row_number() OVER (ORDER BY ratio, source NULLS LAST) AS nth FROM l),
+    a AS (SELECT *, arg_min(level, CASE WHEN ratio >= level THEN nth END) OVER () AS lv FROM o),
     t AS (SELECT source, source_size, CASE WHEN ratio < lv THEN cap ELSE least(lv * weight, cap) END AS target FROM a),
     p AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS place
           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
