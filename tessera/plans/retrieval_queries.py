@@ -54,7 +54,7 @@ RERANKED = f"""{V}, c AS (SELECT r.request_id, r.role, m.*, round({cos('r.qvec',
 
 def pooled(spark, sf):
     r, m = views.requests(spark, sf), views.memory(spark, sf)
-    u = search.units(routing.keyed(r).where("size(private) > 0 AND ord < 24"), F.array("primary"), F.col("policy.visibility"))
+    u = search.units(routing.keyed(r).where("size(shared) + size(workspace) > 0"), F.array("primary"), F.col("policy.visibility"))
     return r, m, search.search(u, m, 50).select(F.col("unit").alias("request_id"), "memory_id", "score", F.col("rank").alias("pool_rank"))
 
 
@@ -90,13 +90,15 @@ def q30(spark, sf):
     return retrieval.private_search(views.requests(spark, sf), views.memory(spark, sf)).select("request_id", "memory_id", "rank", F.round("score", 6).alias("score"))
 
 
-TWO_SQL = f"{RERANKED}, sh AS (SELECT request_id, memory_id, score, pool_rank AS rank FROM p WHERE pool_rank <= 20 AND vec_id % 2 = 0), pv AS (SELECT request_id, memory_id, score, pool_rank AS rank FROM p WHERE pool_rank <= 30 AND vec_id % 3 = 0), j AS (SELECT request_id, memory_id, s.rank AS sr, v.rank AS vr, s.score AS ss, v.score AS vs, CASE WHEN s.memory_id IS NULL THEN 'private' WHEN v.memory_id IS NULL THEN 'shared' ELSE 'both' END AS origin FROM sh s FULL JOIN pv v USING (request_id, memory_id))"
+TWO_SQL = f"""{RERANKED}, sh AS (SELECT request_id, memory_id, score, pool_rank AS rank FROM p WHERE pool_rank <= 20), pc AS (SELECT request_id, memory_id, confidence AS score, row_number() OVER (PARTITION BY request_id ORDER BY confidence DESC, memory_id) AS rank FROM p),
+    pv AS (SELECT * FROM pc WHERE rank <= 20), j AS (SELECT request_id, memory_id, s.rank AS sr, v.rank AS vr, s.score AS ss, v.score AS vs, CASE WHEN s.memory_id IS NULL THEN 'private' WHEN v.memory_id IS NULL THEN 'shared' ELSE 'both' END AS origin FROM sh s FULL JOIN pv v USING (request_id, memory_id))"""
 
 
 def two(spark, sf):
-    r, m, pool = pooled(spark, sf)
-    rows = pool.withColumn("v", F.col("memory_id").cast("long")).withColumnRenamed("pool_rank", "rank")
-    return rows.where("rank <= 20 AND v % 2 = 0").drop("v"), rows.where("rank <= 30 AND v % 3 = 0").drop("v")
+    """The pool by similarity and by confidence."""
+    _, m, pool = pooled(spark, sf)
+    sure = pool.join(m.select("memory_id", "confidence"), "memory_id").select("request_id", "memory_id", F.col("confidence").alias("score"))
+    return pool.where("pool_rank <= 20").withColumnRenamed("pool_rank", "rank"), search.ranked(sure, ["request_id"], 20)
 
 
 @query("q31_rrf_fuse", f"{TWO_SQL}, f AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + sr), 0) + coalesce(1.0::DOUBLE / (60 + vr), 0), 12) AS s FROM j) SELECT request_id, memory_id, origin, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, sr NULLS LAST, vr NULLS LAST, memory_id) AS rank, round(s, 6) AS score FROM f")

@@ -12,7 +12,7 @@ from tessera.plans.registry import query
 from tessera.session import table
 
 AS_OF_SQL = f"TIMESTAMP '{views.AS_OF}'"
-NQ, K = 8, 10
+EVERY, K = views.EVERY, 10
 DOT = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
 
 
@@ -21,18 +21,18 @@ def as_of():
 
 
 def flat(spark, sf, kind):
-    """Top K of NQ query vectors, a stated set, over all rows outside label class 4."""
+    """Top K of the stated query set, each vector whose id is divisible by EVERY, over all rows."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    q = e.where(F.col("vec_id") < NQ).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    rows = e.where(F.col("label") % 5 != 4).join(F.broadcast(q)).select("qid", "vec_id", F.round(vectors.SIMILARITIES[kind](F.col("q"), F.col("embedding")), search.PLACES).alias("score"))
+    q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    rows = e.join(q).select("qid", "vec_id", F.round(vectors.SIMILARITIES[kind](F.col("q"), F.col("embedding")), search.PLACES).alias("score"))
     top = search.top_k(rows, ["qid"], K, [F.col("score").desc(), F.col("vec_id")])
     return top.select("qid", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 def flat_sql(score):
     return f"""
-    WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < {NQ}),
-    s AS (SELECT qid, vec_id, round({score}, 9) AS score FROM embeddings e, q WHERE label % 5 <> 4),
+    WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % {EVERY} = 0),
+    s AS (SELECT qid, vec_id, round({score}, 9) AS score FROM embeddings e, q),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)
     SELECT qid, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= {K}"""
 
@@ -110,19 +110,17 @@ def q08(spark, sf):
 
 
 @query("q09_access_control", f"""{views.with_views(views.MEMORY_SQL, views.CHAIN_SQL)},
-    up AS (SELECT a.episode, a.node, b.node AS anc FROM v_chain a JOIN v_chain b ON a.episode = b.episode AND b.node <= a.node),
-    ag AS (SELECT DISTINCT episode, node, role FROM v_chain WHERE episode % 4 = 0),
+    ag AS (SELECT DISTINCT node, role FROM v_chain),
     en AS (SELECT *, CASE WHEN scope_id = 'task/alpha/shared' THEN 'task_shared_episodic' ELSE 'agent_private' END AS layer, vec_id % 8 AS source_node, CASE WHEN list_contains(visibility, 'restricted') THEN 2 ELSE 1 END AS need FROM v_memory)
-    SELECT a.episode, a.node, e.memory_id FROM ag a JOIN en e ON e.scope_id IN ('task/alpha/shared', 'session/current')
-    WHERE (a.role <> 'solver' OR e.layer <> 'task_shared_episodic' OR EXISTS (SELECT 1 FROM up WHERE up.episode = a.episode AND up.node = a.node AND up.anc = e.source_node))
+    SELECT a.node, a.role, e.memory_id FROM ag a JOIN en e ON e.scope_id IN ('task/alpha/shared', 'session/current')
+    WHERE (a.role <> 'solver' OR e.layer <> 'task_shared_episodic' OR e.source_node <= a.node)
       AND e.need <= CASE a.role WHEN 'verifier' THEN 2 ELSE 1 END AND NOT list_contains(e.tags, 'quarantine')""")
 def q09(spark, sf):
-    c = views.chain(spark, sf)
-    up = c.select("episode", "node").join(c.select("episode", F.col("node").alias("anc")), "episode").where("anc <= node").groupBy("episode", "node").agg(F.collect_set("anc").alias("ancestors"))
-    a = c.where("episode % 4 = 0").select("episode", "node", "role").distinct().join(up, ["episode", "node"])
-    a = a.select(F.struct("episode", "node").alias("agent_id"), "role", F.array(F.lit("task/alpha/shared"), F.lit("session/current")).alias("scopes"), "ancestors", F.when(F.col("role") == "verifier", 2).otherwise(1).alias("clearance"), F.array(F.lit("quarantine")).alias("zones"))
+    """What an agent may read depends on its place and role alone, so each pair of these over all conversations is one agent."""
+    a = views.chain(spark, sf).select("node", "role").distinct()
+    a = a.select(F.struct("node", "role").alias("agent_id"), "role", F.array(F.lit("task/alpha/shared"), F.lit("session/current")).alias("scopes"), F.sequence(F.lit(0).cast("long"), "node").alias("ancestors"), F.when(F.col("role") == "verifier", 2).otherwise(1).alias("clearance"), F.array(F.lit("quarantine")).alias("zones"))
     e = views.memory(spark, sf).select("memory_id", "scope_id", F.when(F.col("scope_id") == "task/alpha/shared", "task_shared_episodic").otherwise("agent_private").alias("layer"), (F.col("vec_id") % 8).alias("source_node"), F.when(F.array_contains("visibility", "restricted"), 2).otherwise(1).alias("required_clearance"), "tags", F.lit(False).alias("quarantined"))
-    return M.accessible(a, e).select("agent_id.episode", "agent_id.node", "memory_id")
+    return M.accessible(a, e).select("agent_id.node", "agent_id.role", "memory_id")
 
 
 PAGE = (50, 20)

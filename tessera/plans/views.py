@@ -11,7 +11,8 @@ AS_OF, AS_OF_SECONDS = "2024-01-15 00:00:00", 1705276800
 SOURCES = ("verified tool_output", "tool_output", "agent_generated", "user_input", "external feed", "manual")
 TYPES = ("semantic", "episodic", "artifact", "shared", "working")
 ROLES = ("planner", "solver", "verifier", "critic", "custom")
-N_REQUESTS = 26
+#: Every vector whose id this divides is a request; every request of this turn has private scopes only.
+EVERY, SOLO = 50, 9
 
 
 def _list(xs: tuple[str, ...]) -> str:
@@ -34,15 +35,14 @@ v_memory AS (
 
 REQUESTS_SQL = f"""
 v_requests AS (
-  SELECT vec_id::INT AS ord, 'r' || lpad(vec_id::VARCHAR, 2, '0') AS request_id, label, embedding AS qvec,
-    ([{_list(ROLES)}])[vec_id % 5 + 1] AS role, (vec_id % 3)::INT AS priority,
-    'src' || (vec_id % 20)::VARCHAR || ' the of and label' AS query,
-    CASE WHEN vec_id >= 24 THEN 'agent/a0/private' ELSE 'agent/a' || (vec_id % 4)::VARCHAR || '/private' END AS private_scope,
-    CASE WHEN vec_id >= 24 THEN NULL ELSE (['task/alpha/shared', 'session/current', 'workspace/default'])[vec_id % 3 + 1] END AS main_scope,
-    CASE WHEN vec_id < 24 AND vec_id % 8 = 7 THEN ['shared', 'working'] ELSE ['semantic', 'episodic', 'artifact'] END AS types,
-    CASE WHEN vec_id % 6 = 5 THEN ['restricted', 'team'] ELSE ['team'] END AS visibility, CASE WHEN vec_id % 6 = 5 THEN 5 ELSE 3 END AS clearance,
-    ['quarantine', 'audit_hold'] AS zones, vec_id % 6 = 5 AS audit
-  FROM embeddings WHERE vec_id < {N_REQUESTS})"""
+  SELECT o AS ord, 'r' || lpad(o::VARCHAR, 8, '0') AS request_id, label, embedding AS qvec,
+    ([{_list(ROLES)}])[o % 5 + 1] AS role, (o % 3)::INT AS priority, 'src' || (o % 20)::VARCHAR || ' the of and label' AS query,
+    CASE WHEN o % {SOLO} = {SOLO - 1} THEN 'agent/a0/private' ELSE 'agent/a' || (o % 4)::VARCHAR || '/private' END AS private_scope,
+    CASE WHEN o % {SOLO} = {SOLO - 1} THEN NULL ELSE (['task/alpha/shared', 'session/current', 'workspace/default'])[o % 3 + 1] END AS main_scope,
+    CASE WHEN o % {SOLO} <> {SOLO - 1} AND o % 8 = 7 THEN ['shared', 'working'] ELSE ['semantic', 'episodic', 'artifact'] END AS types,
+    CASE WHEN o % 6 = 5 THEN ['restricted', 'team'] ELSE ['team'] END AS visibility, CASE WHEN o % 6 = 5 THEN 5 ELSE 3 END AS clearance,
+    ['quarantine', 'audit_hold'] AS zones, o % 6 = 5 AS audit
+  FROM (SELECT *, (vec_id // {EVERY})::INT AS o FROM embeddings WHERE vec_id % {EVERY} = 0))"""
 EVENT_SQL = """
 v_event AS (
   SELECT lpad(event_id::VARCHAR, 10, '0') AS memory_id, event_id, 'user/' || user_id::VARCHAR AS scope_id,
@@ -75,16 +75,17 @@ def memory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """A batch of 26 requests; scopes as arrays, policy as a struct."""
-    i = F.col("vec_id")
+    """A batch of requests, one for each vector whose id is divisible by EVERY; scopes as arrays, policy as a struct."""
+    i = F.col("o")
     strings = lambda *xs: F.array(*map(F.lit, xs))
     none = F.array().cast("array<string>")
-    solo = i >= 24
+    solo = i % SOLO == SOLO - 1
     main = F.element_at(strings("task/alpha/shared", "session/current", "workspace/default"), (i % 3 + 1).cast("int"))
     private = F.when(solo, "agent/a0/private").otherwise(F.concat(F.lit("agent/a"), (i % 4).cast("string"), F.lit("/private")))
     strict = i % 6 == 5
-    return table(spark, sf, "embeddings").where(i < N_REQUESTS).select(
-        i.cast("int").alias("ord"), F.concat(F.lit("r"), F.lpad(i.cast("string"), 2, "0")).alias("request_id"), "label", F.col("embedding").alias("qvec"),
+    rows = table(spark, sf, "embeddings").where(F.col("vec_id") % EVERY == 0).withColumn("o", (F.col("vec_id") / EVERY).cast("int"))
+    return rows.select(
+        i.alias("ord"), F.concat(F.lit("r"), F.lpad(i.cast("string"), 8, "0")).alias("request_id"), "label", F.col("embedding").alias("qvec"),
         F.element_at(strings(*ROLES), (i % 5 + 1).cast("int")).alias("role"), (i % 3).cast("int").alias("priority"),
         F.concat(F.lit("src"), (i % 20).cast("string"), F.lit(" the of and label")).alias("query"), F.array(private).alias("private"),
         F.when(solo | (i % 3 == 2), none).otherwise(F.array(main)).alias("shared"), F.when(~solo & (i % 3 == 2), F.array(main)).otherwise(none).alias("workspace"), none.alias("governed"),
