@@ -5,7 +5,8 @@ its words).
 
 Prefixes. Shingles are ordered rare first: by the number of documents that have them, counted over all documents, then
 by hash. Only the FREQUENT most frequent are told apart by count; the rest count as equally rare. Two sets that link
-share one of the first n - ceil(0.75 n) + 1 shingles of each in that order. Documents that share a prefix shingle are
+share one of the first n - ceil(0.75 n) + 1 shingles of the larger and one of the first n - ceil(6/7 n) + 1 of the smaller
+(of equal sizes, the one of smaller id), its index prefix, in that order. Documents that share a prefix shingle are
 candidates if their sizes are within 75 % (length filter) and what lies before and behind both positions can hold the
 overlap (positional filter).
 
@@ -15,6 +16,11 @@ Connected components follow. From there on, pairs of documents in different comp
 and all of them that pass the filters are, until a round finds no more links: a pair within one component can add nothing
 to the result. No link between components is lost.
 
+Lone shingles. Of two documents, let the first be the one whose prefix ends earlier in the order. What both have of its
+prefix is in the other's prefix too. So their overlap is at most the size of the first without those shingles of its
+prefix that no other prefix has. That bound is compared with the overlap that the sizes ask for before a pair is
+looked at further.
+
 Verification. Histograms of the hashes over CELLS ranges bound the overlap of two sets (suffix filter); pairs that pass
 are verified once, by the exact intersection of their sets, made from the texts. Equal sets link by their 128-bit hashes.
 
@@ -30,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import _words as W
@@ -42,6 +48,8 @@ SHARE = 75
 COMMON, FREQUENT = 8, 1 << 18
 CELLS = 128
 MISSING = -(2**63)
+#: Ids, of 8 bytes, that are broadcast to pick texts at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_sets(b: W.Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +62,10 @@ def shingle_sets(b: W.Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray
     if len(short):
         docs = np.concatenate([docs, short])
         keys = np.concatenate([keys, W.span_hash(hashes, b.first[short], b.first[short + 1], W.Q, W.Q_INV)])
-    order = np.lexsort((keys, docs))
+    bits = len(b).bit_length()
+    order = np.argsort((docs.astype(W.U) << W.U(64 - bits)) | (keys >> W.U(bits)))
+    if np.any((keys[order[1:]] < keys[order[:-1]]) & (docs[order[1:]] == docs[order[:-1]])):  # hashes alike but for their last bits
+        order = np.lexsort((keys, docs))
     docs, keys = docs[order], keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
@@ -141,7 +152,7 @@ def frequencies(docs: DataFrame, words: int = WORDS, common: int = COMMON, most:
 
 
 def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """id, text -> g, id, n, pos: the prefix shingles of each set."""
+    """id, text -> g, id, n, pos, count: the prefix shingles of each set, count 0 if not among the frequent."""
     shared = docs.sparkSession.sparkContext.broadcast((np.append(known[0], np.uint32(0xFFFFFFFF)), np.append(known[1], 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,23 +172,33 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], words: int =
                 order[again] = again[np.lexsort((keys[again], count[again], doc[again]))]
                 pos = np.arange(len(keys)) - at[doc]
                 keep = pos < (n - -(-share * n // 100) + 1)[doc]
-                doc, pos = doc[keep], pos[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[order][keep].view(np.int64)), pa.array(ids[b.row + doc]), pa.array(n[doc].astype(np.int32)), pa.array(pos.astype(np.int32))], ["g", "id", "n", "pos"])
+                doc, pos, order = doc[keep], pos[keep], order[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[order].view(np.int64)), pa.array(ids[b.row + doc]), pa.array(n[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(count[order].astype(np.int32))], ["g", "id", "n", "pos", "count"])
+
+    return docs.select("id", "text").mapInArrow(run, "g long, id long, n int, pos int, count int")
+
+
+def passes(x: str, xpos: str, y: str, ypos: str, share: int = SHARE) -> Column:
+    """Length and positional filter on sizes and positions of a common shingle."""
+    n, m = F.col(x).cast("long"), F.col(y).cast("long")
+    rest = F.least(n - F.col(xpos), m - F.col(ypos)) + F.least(F.col(xpos), F.col(ypos))
+    return (100 * F.least(n, m) >= share * F.greatest(n, m)) & (rest >= F.ceil(share * (n + m) / (100 + share)))
+
 
-    return docs.select("id", "text").mapInArrow(run, "g long, id long, n int, pos int")
+def indexed(n: str, pos: str, share: int = SHARE) -> Column:
+    """Whether a position is in a set's index prefix."""
+    return F.col(pos) <= F.col(n) - F.ceil(F.lit(2 * share) * F.col(n) / (100 + share))
 
 
-def passes(a: str, b: str, share: int = SHARE):
-    """Length and positional filter on columns {a}n, {a}pos and {b}n, {b}pos."""
-    x, y = F.col(f"{a}n").cast("long"), F.col(f"{b}n").cast("long")
-    overlap = F.ceil(share * (x + y) / (100 + share))
-    rest = 1 + F.least(x - F.col(f"{a}pos") - 1, y - F.col(f"{b}pos") - 1)
-    return (100 * F.least(x, y) >= share * F.greatest(x, y)) & (rest + F.least(F.col(f"{a}pos"), F.col(f"{b}pos")) >= overlap)
+def room(a: str, b: str, share: int = SHARE) -> Column:
+    """Whether sets of n{a} and n{b} shingles can link, by what the set whose prefix ends first may share, k."""
+    first = F.when(F.col(f"last{a}") <= F.col(f"last{b}"), F.col(f"k{a}")).otherwise(F.col(f"k{b}"))
+    return first >= F.ceil(share * (F.col(f"n{a}").cast("long") + F.col(f"n{b}")) / (100 + share))
 
 
 def suffix_filter(pairs: DataFrame, signed: DataFrame, share: int = SHARE) -> DataFrame:
     """a, b -> a, b, same: pairs of equal sets, and those whose histograms leave room for the overlap."""
-    sized = pairs.join(signed.toDF("a", "na", "sa"), "a").join(signed.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    sized = pairs.join(signed.toDF("a", "na", "sa", "ka", "lasta"), "a").join(signed.toDF("b", "nb", "sb", "kb", "lastb"), "b").where(room("a", "b", share)).select("a", "b", "na", "nb", "sa", "sb")
 
     def wide(x: bytes) -> np.ndarray:
         return np.frombuffer(x, "<u1" if len(x) == 16 + CELLS else "<u4", offset=16).astype(np.int64)
@@ -240,7 +261,9 @@ def links(pairs: DataFrame, signed: DataFrame, rows: DataFrame, words: int = WOR
     """a, b -> those that link, stored."""
     maybe = checkpoint(suffix_filter(checkpoint(pairs), signed, share))
     open_ = maybe.where("NOT same").select("a", "b")
-    ids = open_.select(F.col("a").alias("w")).union(open_.select("b")).distinct()
+    ids = checkpoint(open_.select(F.col("a").alias("w")).union(open_.select("b")).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     texts = checkpoint(rows.join(ids, F.col("id") == F.col("w"), "left_semi").distinct())
     return checkpoint(maybe.where("same").select("a", "b").union(verify(open_, texts, words, share)).distinct())
 
@@ -248,31 +271,41 @@ def links(pairs: DataFrame, signed: DataFrame, rows: DataFrame, words: int = WOR
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     rows = docs.select(F.coalesce(F.col(doc_id), F.lit(MISSING)).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = checkpoint(signatures(rows, words))
+    signed = every = checkpoint(signatures(rows, words))
     entries = prefixes(rows, frequencies(rows, words), words, share).withColumn("band", F.floor(F.log("n") / math.log(100 / share)).cast("int"))
-    row = F.struct("id", "n", "pos")
+    row = F.when(indexed("n", "pos", share), F.struct("id", "n", "pos"))
     near = Window.partitionBy("g").orderBy("band", "n", "id")
+    before = near.rowsBetween(Window.unboundedPreceding, -1)
     # one exchange and one sort serve both windows
-    entries = entries.withColumns({"prior": F.lag(row).over(near), "next": F.lead("id").over(near)}).withColumn("first", F.first(row).over(Window.partitionBy("g", "band").orderBy("n", "id")))
-    entries = checkpoint(entries.where("prior IS NOT NULL OR next IS NOT NULL").drop("next"))
+    entries = entries.withColumns({"prior": F.last(row, ignorenulls=True).over(before), "last_id": F.lag("id").over(near), "next": F.lead("id").over(near)})
+    entries = entries.withColumn("first", F.first(row, ignorenulls=True).over(Window.partitionBy("g", "band").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)))
+    ends = F.col("pos") == F.col("n") - F.ceil(F.lit(share) * F.col("n") / 100)
+    lone = F.col("last_id").isNull() & F.col("next").isNull()
+    entries = checkpoint(entries.withColumns({"lone": lone, "ends": ends}).where("ends OR NOT lone").drop("next", "last_id"))
+    # of each set: how much of it others may have, and where its prefix ends
+    held = entries.groupBy("id", "n").agg(F.count_if(~F.col("lone")).alias("held"), F.count_if("ends").alias("texts"), F.max(F.when(F.col("ends"), F.struct("count", F.col("g").bitwiseXOR(F.lit(MISSING)).alias("g")))).alias("last"))
+    most = F.when(F.col("texts") > 1, F.col("n")).otherwise(F.ceil(F.lit(share) * F.col("n") / 100) - 1 + F.col("held"))
+    signed = checkpoint(signed.join(held.toDF("hid", "hn", "held", "texts", "last"), (F.col("id") == F.col("hid")) & (F.col("n") == F.col("hn"))).select("id", "n", "sig", most.alias("k"), "last"))
+    entries = entries.where("NOT lone")
     star = entries.select("id", "n", "pos", F.explode(F.array("prior", "first")).alias("o")).where("o IS NOT NULL AND o.id <> id")
-    star = star.select("id", "n", "pos", F.col("o.id").alias("oid"), F.col("o.n").alias("on"), F.col("o.pos").alias("opos")).where(passes("", "o", share))
+    star = star.select("id", "n", "pos", F.col("o.id").alias("oid"), F.col("o.n").alias("no"), F.col("o.pos").alias("opos")).where(passes("n", "pos", "no", "opos", share))
     sides = [F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")]
     found = links(star.select(*sides).distinct(), signed, rows, words, share)
     parts = components(found)
     entries = entries.select("g", "id", "n", "pos")
     while True:
-        left = entries.join(parts.toDF("lid", "c"), F.col("id") == F.col("lid"), "left").select("g", "id", "n", "pos", F.coalesce("c", "id").alias("c"))
+        labels = signed.select("id", "n", "k", "last").join(parts.toDF("lid", "c"), F.col("id") == F.col("lid"), "left").select(F.col("id").alias("lid"), F.col("n").alias("ln"), "k", "last", F.coalesce("c", "id").alias("c")).distinct()
+        left = entries.join(labels, (F.col("id") == F.col("lid")) & (F.col("n") == F.col("ln"))).select("g", "id", "n", "pos", "k", "last", "c")
         mixed = left.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select(F.col("g").alias("mg"))
-        left = checkpoint(left.join(mixed, F.col("g") == F.col("mg")).select("g", "id", "n", "pos", "c"))
-        other = left.toDF("g", "oid", "on", "opos", "oc")
-        pairs = left.join(other, "g").where((F.col("id") < F.col("oid")) & (F.col("c") != F.col("oc")) & passes("", "o", share))
+        left = checkpoint(left.join(mixed, F.col("g") == F.col("mg")).select("g", "id", "n", "pos", "k", "last", "c"))
+        other = left.toDF("g", "oid", "no", "opos", "ko", "lasto", "oc")
+        pairs = left.join(other, "g").where(indexed("n", "pos", share) & (F.struct("n", "id") < F.struct("no", "oid")) & (F.col("c") != F.col("oc")) & passes("n", "pos", "no", "opos", share) & room("", "o", share))
         more = links(pairs.select(*sides).distinct(), signed, rows, words, share)
         if more.isEmpty():
             break
         found = found.union(more)
         parts = components(found)
-    out = signed.join(parts.toDF("r", "component"), F.col("id") == F.col("r"), "left")
+    out = every.join(parts.toDF("r", "component"), F.col("id") == F.col("r"), "left")
     back = lambda c: F.nullif(c, F.lit(MISSING))
     return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))).alias("component_id"))
 
