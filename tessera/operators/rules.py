@@ -77,3 +77,38 @@ def stratified(rows: DataFrame, by: str, ident: str, ratio: float, seed: str) ->
     n = F.count(F.lit(1)).over(Window.partitionBy(by))
     at = F.row_number().over(Window.partitionBy(by).orderBy(order, ident))
     return rows.withColumn("_n", n).withColumn("_at", at).where(F.col("_at") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))).drop("_n", "_at")
+
+
+def policy_rules(episodes: DataFrame, agents: DataFrame, memory: DataFrame, key: list[str]) -> DataFrame:
+    """Rules of episodes before they are written. episodes: key, graph_type, s4, hops, rho, answer; agents: key, agent, role, scopes,
+    clearance, restricted_scope; memory: key, memory_id, layer, required_clearance, content, embedding."""
+    k = F.concat_ws(":", *(F.col(x).cast("string") for x in key))
+    sealed = F.array_contains("scopes", F.col("restricted_scope"))
+    verifier = F.col("role") == "verifier"
+    per = agents.groupBy(*key).agg(F.bool_or(verifier).alias("has_verifier"), F.count(F.lit(1)).alias("agents"))
+    layers = memory.groupBy(*key).agg(F.bool_or(F.startswith("layer", F.lit("workspace_semantic"))).alias("workspace"))
+    ep = episodes.join(per, key, "left").join(layers, key, "left").withColumn("has_verifier", F.coalesce("has_verifier", F.lit(False)))
+    isolated = F.col("graph_type") == "POLICY_ISOLATED"
+    open_layers = F.startswith("layer", F.lit("workspace_semantic")) | (F.col("layer") == "task_shared_episodic")
+    leaks = memory.join(episodes.select(*key, "answer"), key).where(open_layers & (F.char_length(F.trim("answer")) >= 2) & F.contains("content", F.trim("answer")))
+    return union(
+        issues(ep.where(~F.coalesce("workspace", F.lit(False))), "workspace_empty", "error", k),
+        issues(agents.where(F.size("scopes") == 0), "agent_scopes", "error", F.col("agent")),
+        issues(agents.where(verifier & ~sealed), "verifier_scope", "error", F.col("agent")), issues(agents.where(~verifier & sealed), "other_scope", "error", F.col("agent")),
+        issues(agents.where(F.col("clearance") != F.when(verifier, 2).otherwise(1)), "agent_clearance", "error", F.col("agent")),
+        issues(ep.where((F.col("s4") | isolated) & ~F.col("has_verifier")), "verifier_missing", "error", k), issues(ep.where(F.col("has_verifier") & ~isolated), "verifier_unexpected", "error", k),
+        issues(memory.where("layer = 'restricted' AND required_clearance <> 2"), "restricted_clearance", "error", F.col("memory_id")),
+        issues(memory.groupBy(*key, "memory_id").count().where("count > 1"), "unique_id", "error", F.col("memory_id")),
+        issues(ep.where("NOT rho BETWEEN 0 AND 1"), "rho_range", "error", k), issues(ep.where("coalesce(agents, 0) < hops + 1"), "agent_count", "error", k),
+        issues(memory.where("embedding IS NOT NULL"), "embedding_null", "error", F.col("memory_id")), issues(leaks, "answer_leak", "warning", F.col("memory_id")),
+    )
+
+
+def quality_gate(episodes: DataFrame, s1: float = 0.6, s2: float = 0.4) -> DataFrame:
+    """episodes: label, rho, n_gold. rule, severity, key: episodes without ground truth; a small S3 share; label means out of band."""
+    a = episodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("rho").alias("mean"), F.count_if(F.coalesce("n_gold", F.lit(0)) == 0).alias("bare"))
+    total = F.sum("n").over(Window.partitionBy())
+    a = a.withColumn("share", F.col("n") / total)
+    inside = F.when(F.col("label") == "S1", F.col("mean") > s1).when(F.col("label") == "S2", (F.col("mean") > s2) & (F.col("mean") <= s1)).when(F.col("label") == "S3", F.col("mean") <= s2).otherwise(True)
+    few = a.agg(F.coalesce(F.max(F.when(F.col("label") == "S3", F.col("share"))), F.lit(0.0)).alias("share"), F.count(F.lit(1)).alias("labels")).where("labels > 0 AND share <= 0.05")
+    return union(issues(a.where("bare > 0"), "ground_truth", "error", F.col("label")), issues(few, "s3_share", "warning", F.lit("S3")), issues(a.where(~inside), "rho_band", "warning", F.col("label")))

@@ -222,3 +222,41 @@ def q65(spark, sf):
     """O-102."""
     nodes, _ = chain_graph(spark, sf)
     return episodes.agents(nodes, ["episode"], F.lit("chat")).select("episode", "agent", F.array_join(F.sort_array("visibility"), ",").alias("visibility"), "clearance", "audit")
+
+
+POLICY_SQL = f"""{C}, ag AS (SELECT episode, role, role || '_' || node AS agent, CASE WHEN node % 4 = 3 THEN 3 WHEN role = 'verifier' THEN 2 ELSE 1 END AS clearance, role = 'verifier' AS v FROM v_chain),
+    ep AS (SELECT episode, CASE WHEN episode % 6 = 5 THEN 'POLICY_ISOLATED' ELSE 'LINEAR' END AS g, bool_or(v) AS hv, count(*) AS n FROM ag GROUP BY 1),
+    ws AS (SELECT episode, bool_or(role = 'planner') AS w FROM v_chain GROUP BY 1)
+    SELECT 'agent_clearance' AS rule, 'error' AS severity, agent AS key FROM ag WHERE clearance <> CASE WHEN v THEN 2 ELSE 1 END UNION ALL SELECT 'verifier_missing', 'error', episode::VARCHAR FROM ep WHERE g = 'POLICY_ISOLATED' AND NOT hv
+    UNION ALL SELECT 'verifier_unexpected', 'error', episode::VARCHAR FROM ep WHERE g <> 'POLICY_ISOLATED' AND hv UNION ALL SELECT 'workspace_empty', 'error', episode::VARCHAR FROM ws WHERE NOT w UNION ALL SELECT 'agent_count', 'error', episode::VARCHAR FROM ep WHERE n < 4"""
+
+
+@query("q70_policy_rules", POLICY_SQL)
+def q70(spark, sf):
+    """O-106 over conversations as episodes of three hops; clearances are broken on purpose."""
+    nodes, _ = chain_graph(spark, sf)
+    a = episodes.agents(nodes, ["episode"], F.lit("chat")).join(nodes.select("episode", F.concat_ws("_", F.lower("node_type"), "node").alias("agent"), "turn"), ["episode", "agent"])
+    a = a.withColumn("clearance", F.when(F.col("turn") % 4 == 3, 3).otherwise(F.col("clearance"))).withColumn("restricted_scope", episodes.scope_id(F.lit("governed_restricted"), F.lit("chat"), F.col("episode").cast("string"), F.lit("")))
+    m = q49(spark, sf).select("episode", F.concat_ws(":", "episode", "node", "layer").alias("memory_id"), "layer", F.lit(0).alias("required_clearance"), F.lit("").alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
+    e = nodes.select("episode").distinct().select("episode", F.when(F.col("episode") % 6 == 5, "POLICY_ISOLATED").otherwise("LINEAR").alias("graph_type"), F.lit(False).alias("s4"), F.lit(3).alias("hops"), F.lit(0.5).alias("rho"), F.lit("").alias("answer"))
+    return rules.policy_rules(e, a, m, ["episode"])
+
+
+@query("q71_quality_gate", f"""{RHO_SQL}, g AS (SELECT label, count(*) AS n, avg(rho) AS mean, count(*) FILTER (episode % 31 = 0) AS bare FROM er GROUP BY 1), t AS (SELECT sum(n) AS total, coalesce(max(n) FILTER (label = 'S3'), 0) AS s3 FROM g)
+    SELECT 'ground_truth' AS rule, 'error' AS severity, label AS key FROM g WHERE bare > 0 UNION ALL SELECT 's3_share', 'warning', 'S3' FROM t WHERE s3::DOUBLE / total <= 0.05
+    UNION ALL SELECT 'rho_band', 'warning', label FROM g WHERE NOT CASE label WHEN 'S1' THEN mean > 0.6 WHEN 'S2' THEN mean > 0.4 AND mean <= 0.6 ELSE mean <= 0.4 END""")
+def q71(spark, sf):
+    """O-86; every 31st episode lacks ground truth on purpose."""
+    return rules.quality_gate(q46(spark, sf).select(graphs.label(F.col("rho")).alias("label"), "rho", F.when(F.col("episode") % 31 == 0, 0).otherwise(1).alias("n_gold")))
+
+
+@query("q72_template_texts", """SELECT conv_id, turn, md5(CASE role WHEN 'user' THEN '[query_intent] node=' || turn || ' hop=' || turn || chr(10) || 'I must answer: ' || trim(text) || chr(10) || 'I need to retrieve: facts that resolve this sub-question, plus any upstream conclusions from my ancestors.'
+    WHEN 'assistant' THEN '[query_intent] node=verifier' || chr(10) || 'I must check provenance and cross-conclusion consistency.' || chr(10) || 'I need to retrieve: restricted audit traces and all task_shared conclusions.'
+    ELSE '[query_intent] node=planner' || chr(10) || 'I must decompose: ' || trim(text) || chr(10) || 'I need to retrieve: high-level topical context to decide the hop structure.' END) AS text_md5 FROM conversations""")
+def q72(spark, sf):
+    """O-110 for every turn."""
+    from tessera.functions import templates
+
+    kind = F.when(F.col("role") == "user", "SOLVER").when(F.col("role") == "assistant", "VERIFIER").otherwise("PLANNER")
+    t = table(spark, sf, "conversations")
+    return t.select("conv_id", "turn", F.md5(templates.artifact(kind, F.lit("query_intent"), F.col("text"), F.col("turn"), F.col("turn"), F.trim("text"))).alias("text_md5"))
