@@ -178,10 +178,11 @@ def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], words: int =
     return docs.select("id", "text").mapInArrow(run, "g long, id long, n int, pos int, count int")
 
 
-def passes(x: str, xpos: str, y: str, ypos: str, share: int = SHARE) -> Column:
-    """Length and positional filter on sizes and positions of a common shingle."""
-    n, m = F.col(x).cast("long"), F.col(y).cast("long")
-    rest = F.least(n - F.col(xpos), m - F.col(ypos)) + F.least(F.col(xpos), F.col(ypos))
+def passes(a: str, b: str, share: int = SHARE, before: str = "pos") -> Column:
+    """Length and positional filter on sizes n and positions pos of a common shingle. `before` counts the shingles in front
+    of it that both may have: its position, or the shared ones of the prefix."""
+    n, m = F.col(f"n{a}").cast("long"), F.col(f"n{b}").cast("long")
+    rest = F.least(n - F.col(f"pos{a}"), m - F.col(f"pos{b}")) + F.least(F.col(f"{before}{a}"), F.col(f"{before}{b}"))
     return (100 * F.least(n, m) >= share * F.greatest(n, m)) & (rest >= F.ceil(share * (n + m) / (100 + share)))
 
 
@@ -288,18 +289,20 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     signed = checkpoint(signed.join(held.toDF("hid", "hn", "held", "texts", "last"), (F.col("id") == F.col("hid")) & (F.col("n") == F.col("hn"))).select("id", "n", "sig", most.alias("k"), "last"))
     entries = entries.where("NOT lone")
     star = entries.select("id", "n", "pos", F.explode(F.array("prior", "first")).alias("o")).where("o IS NOT NULL AND o.id <> id")
-    star = star.select("id", "n", "pos", F.col("o.id").alias("oid"), F.col("o.n").alias("no"), F.col("o.pos").alias("opos")).where(passes("n", "pos", "no", "opos", share))
+    star = star.select("id", "n", "pos", F.col("o.id").alias("oid"), F.col("o.n").alias("no"), F.col("o.pos").alias("poso")).where(passes("", "o", share))
     sides = [F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")]
     found = links(star.select(*sides).distinct(), signed, rows, words, share)
     parts = components(found)
-    entries = entries.select("g", "id", "n", "pos")
+    # how many shared shingles stand before each in its prefix: what both may have before a common one
+    held_before = F.row_number().over(Window.partitionBy("id", "n").orderBy("pos")) - 1
+    entries = checkpoint(entries.select("g", "id", "n", "pos", held_before.alias("held")))
     while True:
         labels = signed.select("id", "n", "k", "last").join(parts.toDF("lid", "c"), F.col("id") == F.col("lid"), "left").select(F.col("id").alias("lid"), F.col("n").alias("ln"), "k", "last", F.coalesce("c", "id").alias("c")).distinct()
-        left = entries.join(labels, (F.col("id") == F.col("lid")) & (F.col("n") == F.col("ln"))).select("g", "id", "n", "pos", "k", "last", "c")
+        left = entries.join(labels, (F.col("id") == F.col("lid")) & (F.col("n") == F.col("ln"))).select("g", "id", "n", "pos", "held", "k", "last", "c")
         mixed = left.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select(F.col("g").alias("mg"))
-        left = checkpoint(left.join(mixed, F.col("g") == F.col("mg")).select("g", "id", "n", "pos", "k", "last", "c"))
-        other = left.toDF("g", "oid", "no", "opos", "ko", "lasto", "oc")
-        pairs = left.join(other, "g").where(indexed("n", "pos", share) & (F.struct("n", "id") < F.struct("no", "oid")) & (F.col("c") != F.col("oc")) & passes("n", "pos", "no", "opos", share) & room("", "o", share))
+        left = checkpoint(left.join(mixed, F.col("g") == F.col("mg")).select("g", "id", "n", "pos", "held", "k", "last", "c"))
+        other = left.toDF("g", "oid", "no", "poso", "heldo", "ko", "lasto", "oc")
+        pairs = left.join(other, "g").where(indexed("n", "pos", share) & (F.struct("n", "id") < F.struct("no", "oid")) & (F.col("c") != F.col("oc")) & passes("", "o", share, "held") & room("", "o", share))
         more = links(pairs.select(*sides).distinct(), signed, rows, words, share)
         if more.isEmpty():
             break
