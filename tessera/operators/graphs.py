@@ -57,27 +57,34 @@ def templates(spark: SparkSession, kinds=GRAPH_TYPES, hops=(2, 3, 4, 5)) -> tupl
     return spark.createDataFrame(n, "graph_type string, hops int, node string, node_type string, hop int, node_ord int"), spark.createDataFrame(e, "graph_type string, hops int, src string, dst string, edge_type string")
 
 
-def ancestors(edges: DataFrame, key: list[str], longest: bool = False, depth: int = 64) -> DataFrame:
-    """key, node, ancestor, distance (least, or longest): the transitive closure without the node itself. Paths are doubled each
-    round (up to 1, then 2, then 4 edges, ...), up to depth edges; graphs of a few levels need two or three rounds. Each
-    round is a stored table."""
-    pick = F.max if longest else F.min
+def ancestors(edges: DataFrame, key: list[str]) -> DataFrame:
+    """key, node, ancestor, distance (least): the transitive closure; a node is its own ancestor on a cycle only. A round
+    appends all paths to those of exactly `step` edges, so it finds up to twice as many; it ends where no path is that
+    long, on cycles too. Each round is a stored table."""
     reach = checkpoint(edges.select(*key, F.col("dst").alias("node"), F.col("src").alias("ancestor"), F.lit(1).alias("distance")).distinct())
-    step, size = 1, None
-    while step < depth:
-        a, b = reach.alias("a"), reach.alias("b")
-        on = F.col("a.ancestor") == F.col("b.node")
-        for k in key:
-            on &= F.col(f"a.{k}") == F.col(f"b.{k}")
-        longer = a.join(b, on).select(*(F.col(f"a.{k}") for k in key), F.col("a.node"), F.col("b.ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        reach = checkpoint(reach.unionByName(longer).groupBy(*key, "node", "ancestor").agg(pick("distance").alias("distance")))
-        found = tuple(reach.agg(F.count(F.lit(1)), F.sum("distance")).first())
-        if found == size:
-            break
-        size, step = found, step * 2
+    step = 1
+    while not (far := reach.where(F.col("distance") == step)).isEmpty():
+        longer = far.drop("distance").withColumnRenamed("ancestor", "via").join(reach.withColumnRenamed("node", "via"), [*key, "via"]).select(*key, "node", "ancestor", (F.col("distance") + step).alias("distance"))
+        reach = checkpoint(reach.unionByName(longer).groupBy(*key, "node", "ancestor").agg(F.min("distance").alias("distance")))
+        step *= 2
     return reach
 
 
+def walks(edges: DataFrame, key: list[str]) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
+    """[(step, pairs)] and cyclic. pairs: key, node, ancestor joined by a walk of exactly 1, 2, 4, ... edges, as long as
+    there are any; cyclic: keys of graphs with a cycle, which are those with a walk of as many edges as they have nodes."""
+    ends = edges.select(*key, F.col("dst").alias("node")).union(edges.select(*key, F.col("src").alias("node"))).distinct()
+    size = ends.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
+    pairs = checkpoint(edges.select(*key, F.col("dst").alias("node"), F.col("src").alias("ancestor")).distinct().join(size, key))
+    found, cyclic, step = [], pairs.where(F.col("size") <= 1).select(*key), 1
+    while not (pairs := pairs.where(F.col("size") > step)).isEmpty():
+        found.append((step, pairs.drop("size")))
+        on = pairs.drop("size").toDF(*key, "via", "ancestor")
+        pairs, step = checkpoint(pairs.withColumnRenamed("ancestor", "via").join(on, [*key, "via"]).select(*key, "node", "ancestor", "size").distinct()), step * 2
+        cyclic = cyclic.union(pairs.where(F.col("size") <= step).select(*key))
+    return found, cyclic.distinct()
+
+
 def closure_sql(table: str) -> str:
     """The same by a recursive query over (episode, node, parent): one text for Spark and the oracle."""
     return f"""WITH RECURSIVE up(episode, node, ancestor, distance) AS (
@@ -89,8 +96,7 @@ def closure_sql(table: str) -> str:
 
 def check(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """key, is_dag, orphan_solvers, bound_verifiers of each graph."""
-    up = ancestors(edges, key)
-    cyclic = up.where("node = ancestor").select(*key, F.lit(True).alias("cyclic")).distinct()
+    cyclic = walks(edges, key)[1].withColumn("cyclic", F.lit(True))
     parents = edges.groupBy(*key, F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("parents"))
     touched = edges.select(*key, F.col("dst").alias("node")).union(edges.select(*key, F.col("src").alias("node"))).distinct().withColumn("touched", F.lit(True))
     per = nodes.join(parents, [*key, "node"], "left").join(touched, [*key, "node"], "left")
@@ -99,9 +105,15 @@ def check(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
-    """key, node, level: the longest path from a root, on graphs without cycles."""
-    up = ancestors(edges, key, longest=True).groupBy(*key, "node").agg(F.max("distance").alias("far"))
-    return nodes.join(up, [*key, "node"], "left").select(*key, "node", F.coalesce("far", F.lit(0)).alias("level"))
+    """key, node, level: the longest path from a root; null in graphs with cycles, which have none."""
+    found, cyclic = walks(edges, key)
+    ends = edges.select(*key, F.col("dst").alias("node")).union(edges.select(*key, F.col("src").alias("node"))).distinct()
+    far = ends.join(cyclic, key, "left_anti").withColumn("far", F.lit(0))
+    for step, pairs in found:  # far: the longest path of less than step edges
+        up = pairs.join(far.withColumnRenamed("node", "ancestor"), [*key, "ancestor"]).groupBy(*key, "node").agg((F.max("far") + step).alias("far"))
+        far = checkpoint(far.unionByName(up).groupBy(*key, "node").agg(F.max("far").alias("far")))
+    rows = nodes.join(far, [*key, "node"], "left").join(cyclic.withColumn("cyclic", F.lit(True)), key, "left")
+    return rows.select(*key, "node", F.when(F.col("cyclic").isNull(), F.coalesce("far", F.lit(0))).alias("level"))
 
 
 def rho_v3(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:

@@ -32,6 +32,19 @@ def test_graph_checks(spark):
     assert got == {1: (False, 0, 0), 2: (True, 1, 1)}
 
 
+def test_long_graphs(spark):
+    """A chain of 200 nodes, a cycle of 100, a diamond with a long side, a loop, two nodes without edges."""
+    links = [(1, k, k + 1) for k in range(199)] + [(2, k, (k + 1) % 100) for k in range(100)] + [(3, 0, 80), (3, 80, 81)] + [(3, k, k + 1) for k in range(80)] + [(4, 0, 0)]
+    nodes = spark.createDataFrame([(g, k, "SOLVER") for g, n in ((1, 200), (2, 100), (3, 82), (4, 1), (5, 2)) for k in range(n)], "g int, node int, node_type string")
+    edges = spark.createDataFrame(links, "g int, src int, dst int")
+    want = {(1, b, a): b - a for b in range(200) for a in range(b)} | {(2, b, a): (b - a - 1) % 100 + 1 for b in range(100) for a in range(100)} | {(4, 0, 0): 1}
+    want |= {(3, b, a): b - a for b in range(82) for a in range(b)} | {(3, 80, 0): 1, (3, 81, 0): 2}
+    assert {tuple(r)[:3]: r["distance"] for r in graphs.ancestors(edges, ["g"]).collect()} == want
+    assert {r["g"]: r["is_dag"] for r in graphs.check(nodes, edges, ["g"]).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
+    got = {(r["g"], r["node"]): r["level"] for r in graphs.levels(nodes, edges, ["g"]).collect()}
+    assert got == {(g, k): v for g, n, f in ((1, 200, int), (2, 100, lambda k: None), (3, 82, int), (4, 1, lambda k: None), (5, 2, lambda k: 0)) for k in range(n) for v in [f(k)]}
+
+
 def test_rrf_fixture(spark):
     mk = lambda ids: spark.createDataFrame([("r", m, k + 1, 0.0) for k, m in enumerate(ids)], "request_id string, memory_id string, rank int, score double")
     got = fusion.reciprocal_rank(mk(["m1", "m2", "m3"]), mk(["m3", "m4"])).orderBy("rank").collect()
