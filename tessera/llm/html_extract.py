@@ -9,7 +9,8 @@ parents that are accepted themselves are the text.
 No page has labels, so the trees are trained on layouts drawn from a small grammar of article and chrome blocks, whose
 labels are known (LAYOUTS of them, a fixed seed). Null or empty html gives an empty text. Broken markup is read as
 browsers do in the plain cases: `<p>` ends an open paragraph, stray end tags are skipped, unclosed elements end with their
-parent. Texts of any length are read whole. Repeated rows are read one by one, columns that exist already keep their
+parent. Text of buttons, selects, objects, templates and drawings is left out; without an end tag, only up to the next block
+or, in a drawing, the next element of HTML (a template then holds the rest of the page, as in browsers). Texts of any length are read whole. Repeated rows are read one by one, columns that exist already keep their
 meaning, as only html is read. An empty table gives an empty result.
 """
 
@@ -33,7 +34,8 @@ ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 # Elements by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label img picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe select button svg object".split())
+RAW = frozenset("script style textarea title noscript iframe".split())
+HIDDEN = frozenset("template select button svg object".split())
 CHROME = frozenset("nav header footer aside form menu dialog fieldset".split())
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -41,6 +43,8 @@ PROSE = frozenset("p blockquote pre figcaption dd td".split())
 CLOSES_P = frozenset("p div ul ol dl table section article main nav header footer aside form h1 h2 h3 h4 h5 h6 blockquote pre hr fieldset figure address menu".split())
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "body": "head"}
 SCOPE = frozenset("ul ol dl table article section div body html td".split())
+BREAKOUT = CLOSES_P | frozenset("b big body br center code dd dt em embed head i img li meta nobr ruby s small span strong strike sub sup tt u var".split())
+POINTS = frozenset("foreignobject desc title".split())
 # Attribute tokens that name chrome, and main text.
 BAD_TOKENS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation "
@@ -62,6 +66,93 @@ class Page:
     good: list[bool]
 
 
+def raw_end(source: str, at: int, tag: str) -> int:
+    found = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+    return found.end() if found else len(source)
+
+
+def hidden_ends(source: str) -> dict[int, int]:
+    """Where to read on after each start tag of HIDDEN, by the tag's end: behind its own end tag; without one, at the next
+    block (a drawing: at the next element of HTML, or its parent's end)."""
+    ends: dict[int, int] = {}
+    names: list[str] = []
+    starts: list[int] = []
+    labels: list[int] = []
+
+    def last(tag: str) -> int | None:
+        if tag not in names:
+            return None
+        k = len(names) - 1 - names[::-1].index(tag)
+        return None if "template" in names[k + 1 :] else k
+
+    def drop(k: int, stop: int) -> None:
+        ends.update((a, stop) for a, name in zip(starts[k:], names[k:], strict=True) if name == "svg")
+        del starts[k:], names[k:]
+
+    def label(stop: int) -> None:
+        for a in labels:
+            ends.setdefault(a, stop)
+        labels.clear()
+
+    def drawing() -> int | None:
+        k = last("svg") if "svg" in names else None
+        return None if k is None or not POINTS.isdisjoint(names[k + 1 :]) else k
+
+    at, n = 0, len(source)
+    while m := TAG.search(source, at):
+        at = m.end()
+        if ended := m[1]:
+            ended = ended.lower()
+            if ended in INLINE or ended in VOID:
+                continue
+            if drawing() is None and ended not in ("option", "optgroup"):
+                label(m.start())
+            k = last(ended)
+            if k is not None:
+                own = starts[k]
+                drop(k, m.start())
+                if ended in HIDDEN:
+                    ends[own] = at
+            continue
+        tag = (m[2] or m[4] or "").lower()
+        if not tag:
+            continue
+        closed = (m[3] or m[5] or "").endswith("/")
+        while (k := drawing()) is not None and tag in BREAKOUT:
+            drop(k, m.start())
+        if k is not None:
+            if closed:
+                if tag == "svg":
+                    ends[at] = at
+            elif tag in ("script", "style"):
+                at = raw_end(source, at, tag)
+            elif tag == "svg" or tag in POINTS:
+                names.append(tag)
+                starts.append(at)
+            continue
+        if tag == "svg" and closed:
+            ends[at] = at
+            continue
+        over = last("select" if tag in ("input", "textarea") else tag) if tag in ("button", "select", "input", "textarea") else None
+        if over is not None:
+            label(m.start())
+            drop(over, m.start())
+        if tag in RAW:
+            at = raw_end(source, at, tag)
+            continue
+        if tag in INLINE or tag in VOID:
+            continue
+        if tag not in ("option", "optgroup", "svg", "object", "template"):
+            label(m.start())
+        names.append(tag)
+        starts.append(at)
+        if tag in ("button", "select", "object"):
+            labels.append(at)
+    label(n)
+    ends.update((a, n) for a, name in zip(starts, names, strict=True) if name in ("svg", "template"))
+    return ends
+
+
 def parse(source: str) -> Page:
     p = Page([], [], [], [], [], [], [])
     stack: list[int] = []
@@ -69,6 +160,7 @@ def parse(source: str) -> Page:
     piece: list[str] = []
     linked = 0
     in_link = 0
+    skips: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -134,8 +226,11 @@ def parse(source: str) -> Page:
         if tag in INLINE:
             continue
         if tag in RAW:
-            found = re.compile(f"</{tag}[^>]*>", re.I).search(source, at)
-            at = found.end() if found else n
+            at = raw_end(source, at, tag)
+            continue
+        if tag in HIDDEN:
+            skips = hidden_ends(source) if skips is None else skips
+            at = skips.get(at, at)
             continue
         if tag in VOID:
             if tag == "br":

@@ -274,6 +274,24 @@ def test_html(spark):
     assert html_extract.extract_all([page], trees) == ["T & x One twothree four five"]
 
 
+def test_html_hidden():
+    """Drawings, buttons, selects and objects without an end tag don't take the text behind them."""
+    trees = html_extract.model()
+    text = " ".join(f"Sentence {k} of the article, which is long enough." for k in range(12))
+    article = f"<article><h1>Title of it</h1><p>{text}</p></article>"
+    heads = (
+        '<svg class="i"/>', "<svg><path d='M0'/></svg>", "<div><svg><path d=M0></div>", "<svg><text>Icon</text>", "<svg><title/><g><svg/></g></svg>", "<svg><foreignObject><div>In it</div></foreignObject></svg>", "<div><button>Menu</div>", "<button>Menu",
+        "<button><svg/><b>Me</b>nu", "<button>One<button>Two</button>", "<button><div>Menu</div></button>", "<div><select><option>A<option>B</div>", "<select><option>A</option><option>B", "<select><option>A</select>", "<object data=x>", "<div><object data=x>No player</div>",
+        "<object><object>In</object>Out</object>", "<template><template>In</template><p>Out</p></template>", "<script>'<svg>'</script>", "<style>a</styles>b</style>",
+    )
+    for head in heads:
+        for tail in ("", "<footer><button>Up</button><svg></svg><select></select><object></object></footer>"):
+            page = f"<html><body>{head}{article}{tail}</body></html>"
+            assert html_extract.extract_all([page], trees) == [f"Title of it {text}"], page
+    assert html_extract.extract_all([f"<article><h1>Title of it</h1><p>a<svg/>b <button>x</button>{text}</p></article>"], trees) == [f"Title of it ab {text}"]
+    assert html_extract.extract_all(["<svg>", "<button>x", "<select><option>x", "<template>x", "<object>" * 300, "<svg><p>"], trees) == [""] * 6
+
+
 def test_mixing(spark, docs):
     got = mixing.mix(docs).collect()
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
