@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from tessera.session import checkpoint
 
 GRAPH_TYPES = ("LINEAR", "FORK", "MERGE", "FORK_MERGE", "INDEPENDENT", "POLICY_ISOLATED")
 REASONING = {"GoT": None, "CoT": "LINEAR", "ToT": "FORK"}
+NODE, EDGE = ["node", "node_type", "hop"], ["src", "dst", "edge_type"]
 S1_ABOVE, S2_ABOVE = 0.6, 0.4
 
 
@@ -57,6 +61,22 @@ def templates(spark: SparkSession, kinds=GRAPH_TYPES, hops=(2, 3, 4, 5)) -> tupl
     return spark.createDataFrame(n, "graph_type string, hops int, node string, node_type string, hop int, node_ord int"), spark.createDataFrame(e, "graph_type string, hops int, src string, dst string, edge_type string")
 
 
+def templates_of(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for the distinct (graph_type, hops) of a table, without a limit to hops; executors draw them."""
+
+    def draw(part: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for k, h in zip(batch["graph_type"], batch["hops"], strict=True):
+                    rows = pd.DataFrame(template(k, h)[part], columns=NODE if part == 0 else EDGE).assign(graph_type=k, hops=h)
+                    yield rows.astype({"hop": "Int32"}).assign(node_ord=range(len(rows))) if part == 0 else rows
+
+        return run
+
+    keys = checkpoint(keys.select("graph_type", "hops").distinct())
+    return keys.mapInPandas(draw(0), "graph_type string, hops int, node string, node_type string, hop int, node_ord int"), keys.mapInPandas(draw(1), "graph_type string, hops int, src string, dst string, edge_type string")
+
+
 def ancestors(edges: DataFrame, key: list[str]) -> DataFrame:
     """key, node, ancestor, distance (least): the transitive closure; a node is its own ancestor on a cycle only. A round
     appends all paths to those of exactly `step` edges, so it finds up to twice as many; it ends where no path is that
@@ -125,7 +145,8 @@ def rho_v3(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     own = held.unionByName(solvers.withColumn("item", F.col("node"))).unionByName(solvers.withColumn("item", F.lit("#plan"))).distinct()
     sets = own.groupBy(*key, "node").agg(F.collect_set("item").alias("items"))
     a, b = sets.toDF(*key, "n1", "i1"), sets.toDF(*key, "n2", "i2")
-    pairs = a.join(b, key).where("n1 < n2").select(*key, (F.size(F.array_intersect("i1", "i2")) / F.size(F.array_union("i1", "i2"))).alias("iou"))
+    pairs = a.join(b, key).where("n1 < n2").select(*key, F.size("i1").alias("k1"), F.size("i2").alias("k2"), F.size(F.array_intersect("i1", "i2")).alias("both"))
+    pairs = pairs.select(*key, (F.col("both") / (F.col("k1") + F.col("k2") - F.col("both"))).alias("iou"))
     mean = pairs.groupBy(*key).agg(F.bround(F.avg("iou"), 4).alias("mean"))
     n = nodes.groupBy(*key).agg(F.count_if(F.col("node_type") == "SOLVER").alias("solvers"))
     return n.join(mean, key, "left").select(*key, F.when(F.col("solvers") == 0, 0.0).when(F.col("solvers") == 1, 1.0).otherwise(F.col("mean")).alias("rho"))

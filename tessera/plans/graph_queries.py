@@ -39,12 +39,16 @@ EPISODES_SQL = """ep AS (SELECT conv_id AS episode, (['LINEAR', 'FORK', 'MERGE',
 
 
 def episode_graphs(spark, sf):
+    """Episodes with their graph_type and hops, and nodes and edges of each such template. Hops are the turns, two at least;
+    EPISODES_SQL still cuts them at five."""
     kinds = F.element_at(F.array(*map(F.lit, graphs.GRAPH_TYPES)), (F.col("conv_id") % 6 + 1).cast("int"))
     r = F.col("conv_id") % 10
-    ep = table(spark, sf, "conversations").groupBy("conv_id").agg(F.greatest(F.lit(2), F.least(F.lit(5), F.count(F.lit(1)))).cast("int").alias("hops"))
+    ep = table(spark, sf, "conversations").groupBy("conv_id").agg(F.greatest(F.lit(2), F.count(F.lit(1))).cast("int").alias("hops"))
     ep = ep.select(F.col("conv_id").alias("episode"), kinds.alias("graph_type"), "hops", F.when(r < 7, "train").when(r < 8, "dev").otherwise("test").alias("split"))
-    n, e = graphs.templates(spark, hops=HOPS)  # 24 graphs of at most 12 nodes
-    return ep, ep.join(F.broadcast(n), ["graph_type", "hops"]), ep.join(F.broadcast(e), ["graph_type", "hops"])
+    return ep, *graphs.templates_of(ep)
+
+
+TEMPLATE = ["graph_type", "hops"]
 
 
 @query("q43_ancestors_closure", f"{CR}, up AS (SELECT episode, node, parent AS ancestor, 1 AS distance FROM v_chain WHERE parent IS NOT NULL UNION ALL SELECT u.episode, u.node, c.parent, u.distance + 1 FROM up u JOIN v_chain c ON c.episode = u.episode AND c.node = u.ancestor WHERE c.parent IS NOT NULL) SELECT episode, node, ancestor, min(distance)::INT AS distance FROM up GROUP BY ALL")
@@ -75,7 +79,7 @@ RHO_SQL = f"""WITH RECURSIVE {TEMPLATES_SQL}, {EPISODES_SQL}, cl AS (SELECT grap
 @query("q46_rho_v3", f"{RHO_SQL} SELECT episode, graph_type, hops, rho FROM er")
 def q46(spark, sf):
     ep, n, e = episode_graphs(spark, sf)
-    return ep.join(graphs.rho_v3(n, e, ["episode"]), "episode").select("episode", "graph_type", "hops", "rho")
+    return ep.join(graphs.rho_v3(n, e, TEMPLATE), TEMPLATE).select("episode", "graph_type", "hops", "rho")
 
 
 @query("q47_rho_static", f"""{RHO_SQL}, sl AS (SELECT c.graph_type, c.hops, c.node, c.anc AS m FROM cl c JOIN so USING (graph_type, hops, node) JOIN so s2 ON s2.graph_type = c.graph_type AND s2.hops = c.hops AND s2.node = c.anc),
@@ -84,9 +88,9 @@ def q46(spark, sf):
 def q47(spark, sf):
     """What a solver sees: the shared rows of the solvers above it."""
     ep, n, e = episode_graphs(spark, sf)
-    solvers = n.where("node_type = 'SOLVER'").select("episode", "node")
-    up = graphs.ancestors(e, ["episode"]).join(solvers, ["episode", "node"]).join(solvers.withColumnRenamed("node", "ancestor"), ["episode", "ancestor"], "left_semi")
-    return ep.join(graphs.rho_static(up.select("episode", "node", F.col("ancestor").alias("memory_id")), n, ["episode"]), "episode").select("episode", "graph_type", "hops", "rho")
+    solvers = n.where("node_type = 'SOLVER'").select(*TEMPLATE, "node")
+    up = graphs.ancestors(e, TEMPLATE).join(solvers, [*TEMPLATE, "node"]).join(solvers.withColumnRenamed("node", "ancestor"), [*TEMPLATE, "ancestor"], "left_semi")
+    return ep.join(graphs.rho_static(up.select(*TEMPLATE, "node", F.col("ancestor").alias("memory_id")), n, TEMPLATE), TEMPLATE).select("episode", "graph_type", "hops", "rho")
 
 
 @query("q48_subset_label_stats", f"{RHO_SQL} SELECT label, count(*) AS n, round_even(avg(rho), 4) AS mean, round_even(stddev_pop(rho), 4) AS std, min(rho) AS low, max(rho) AS high FROM er GROUP BY 1")
@@ -162,7 +166,7 @@ BATCH_SQL = f"{RHO_SQL}, ba AS (SELECT episode % 40 AS original_id, split, rho,
     UNION ALL SELECT 's4_only_test', 'error', original_id::VARCHAR FROM ba WHERE s4 AND split <> 'test' UNION ALL SELECT 'label_matches_rho', 'error', original_id::VARCHAR FROM ba WHERE label = 'S9'""")
 def q54(spark, sf):
     ep, n, e = episode_graphs(spark, sf)
-    r = ep.join(graphs.rho_v3(n, e, ["episode"]), "episode")
+    r = ep.join(graphs.rho_v3(n, e, TEMPLATE), TEMPLATE)
     b = r.select((F.col("episode") % 40).alias("original_id"), "split", "rho", F.when(F.col("episode") % 9 == 0, "S9").otherwise(graphs.label(F.col("rho"))).alias("label"), (F.col("graph_type") == "POLICY_ISOLATED").alias("s4"), "graph_type")
     return rules.batch_rules(b)
 

@@ -45,6 +45,32 @@ def test_long_graphs(spark):
     assert got == {(g, k): v for g, n, f in ((1, 200, int), (2, 100, lambda k: None), (3, 82, int), (4, 1, lambda k: None), (5, 2, lambda k: 0)) for k in range(n) for v in [f(k)]}
 
 
+def test_rho_of_all_turns(spark, tmp_path):
+    """Conversations of up to 70 turns, against brute force over their templates."""
+    from tessera.plans import graph_queries
+
+    turns = {k: n for k, n in enumerate((1, 2, 3, 5, 6, 8, 9, 9, 7, 12, 6, 20, 70))}
+    spark.createDataFrame([(k, t, "user", "x") for k, n in turns.items() for t in range(n)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    v3, static = {}, {}
+    for k, n in turns.items():
+        kind, hops = graphs.GRAPH_TYPES[k % 6], max(2, n)
+        nodes, edges = graphs.template(kind, hops)
+        solvers = [x[0] for x in nodes if x[1] == "SOLVER"]
+        above = {}
+        for x in nodes:
+            above[x[0]] = {a for s, d, _ in edges if d == x[0] for a in {s} | above[s]}
+        seen = {x: above[x] & set(solvers) for x in solvers}
+        held = {x: seen[x] | {x, "#plan"} for x in solvers}
+        v3[k] = (hops, np.mean([len(held[x] & held[y]) / len(held[x] | held[y]) for x in solvers for y in solvers if x < y]))
+        any_ = set().union(*seen.values())
+        static[k] = (hops, len(set.intersection(*seen.values())) / len(any_) if any_ else 0)
+    for query, want in ((graph_queries.q46, v3), (graph_queries.q47, static)):
+        got = {r["episode"]: (r["hops"], r["rho"]) for r in query(spark, str(tmp_path)).collect()}
+        assert {k: h for k, (h, _) in got.items()} == {k: h for k, (h, _) in want.items()}
+        assert all(float(got[k][1]) == pytest.approx(want[k][1], abs=1e-4) for k in want)
+    assert sum(r["n"] for r in graph_queries.q48(spark, str(tmp_path)).collect()) == len(turns)
+
+
 def test_rrf_fixture(spark):
     mk = lambda ids: spark.createDataFrame([("r", m, k + 1, 0.0) for k, m in enumerate(ids)], "request_id string, memory_id string, rank int, score double")
     got = fusion.reciprocal_rank(mk(["m1", "m2", "m3"]), mk(["m3", "m4"])).orderBy("rank").collect()
