@@ -23,6 +23,8 @@ SEP = np.zeros(256, bool)
 SEP[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of text that are hashed at once, and powers of a base that a worker keeps; a longer text makes its own.
+PIECE, KEPT = 1 << 19, 1 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -30,11 +32,10 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """1, base, base**2, ... (n of them) modulo 2**64."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        full = np.full(size, base, U)
+        full = np.full(max(n, KEPT), base, U)
         full[0] = 1
         have = np.multiply.accumulate(full)
-        if size <= 1 << 23:
+        if n <= KEPT:
             _powers[int(base)] = have
     return have[:n]
 
@@ -91,7 +92,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs.astype(np.int64)
 
 
-def blocks(texts: pa.Array, lower: bool = False, most: int = 2 << 20) -> Iterator[Block]:
+def blocks(texts: pa.Array, lower: bool = False, most: int = PIECE) -> Iterator[Block]:
     """Cuts texts into runs of whole texts of about `most` bytes; a longer text is a run of its own."""
     data, offs = raw(texts)
     row, n = 0, len(offs) - 1

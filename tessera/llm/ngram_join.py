@@ -1,28 +1,28 @@
 """Near duplicates: an n-gram Jaccard self-join with rare-first prefix filtering.
 
 A document's set holds the hashes of its distinct shingles of five words (A-Z folded; of a shorter text, one of all
-its words).
+its words). Equal sets, by 128 bits of hash, are one set from the start; the rest compares distinct sets.
 
-Prefixes. Shingles are ordered rare first: by the number of documents that have them, counted over all documents, then
-by hash. Only the FREQUENT most frequent are told apart by count; the rest count as equally rare. Two sets that link
-share one of the first n - ceil(0.75 n) + 1 shingles of the larger and one of the first n - ceil(6/7 n) + 1 of the smaller
-(of equal sizes, the one of smaller id), its index prefix, in that order. Documents that share a prefix shingle are
-candidates if their sizes are within 75 % (length filter) and what lies before and behind both positions can hold the
-overlap (positional filter).
+Lone shingles. In a set of n, at least ceil(0.75 n) must be in the other one too. So a set with more than
+n - ceil(0.75 n) shingles that no other document has is linked with nothing. Such shingles are looked for among the
+LOOK lowest part of all hashes first, which settles most sets; those left are compared among each other only.
 
-Links. A prefix shingle of k documents has k (k - 1) / 2 pairs, which nothing may enumerate when k is large. So each
-document is first compared with leaders only: the one before it in order of size, and the first of its size band.
-Connected components follow. From there on, pairs of documents in different components are all that is left to compare,
-and all of them that pass the filters are, until a round finds no more links: a pair within one component can add nothing
-to the result. No link between components is lost.
+Prefixes. Shingles are ordered rare first: by the number of sets left that have them, then by hash. Two sets that link
+share one of the first n - ceil(0.75 n) + 1 shingles of the larger and one of the first n - ceil(6/7 n) + 1 of the smaller
+(of equal sizes, the one of smaller key), its index prefix, in that order. Sets that share a prefix shingle are candidates
+if their sizes are within 75 % (length filter) and what lies before and behind both positions can hold the overlap
+(positional filter); lone shingles count for nothing.
 
-Lone shingles. Of two documents, let the first be the one whose prefix ends earlier in the order. What both have of its
-prefix is in the other's prefix too. So their overlap is at most the size of the first without those shingles of its
-prefix that no other prefix has. That bound is compared with the overlap that the sizes ask for before a pair is
-looked at further.
+Links. A prefix shingle of k sets has k (k - 1) / 2 pairs, which nothing may enumerate when k is large. So each set is
+first compared with leaders only: of each shingle and size band the smallest set and two that a hash picks. Connected
+components follow. A pair within one component can add nothing to the result, so what is left to compare is every pair
+of different components that passes the filters, size band by size band; all of these are. No link between components is
+lost, and components over the links of both rounds are the result.
 
-Verification. Histograms of the hashes over CELLS ranges bound the overlap of two sets (suffix filter); pairs that pass
-are verified once, by the exact intersection of their sets, made from the texts. Equal sets link by their 128-bit hashes.
+Verification. A set's sketch has a bit for each of CELLS ranges of hashes, set if the set has a shingle there. Every bit that
+one of two sets has alone stands for a shingle that the other lacks, which bounds their overlap (suffix filter, over the
+whole sets). So do a pair's common prefix shingles and what stands behind the last of them. Pairs that pass are verified
+once, by exact intersection.
 
 Null or empty text has an empty set, n_shingles 0, and is linked with nothing. Rows that repeat a doc_id are one document
 with several texts: it is linked with whatever one of them is. A null doc_id is smaller than all others. Other columns
@@ -36,20 +36,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import _ranges as R
 from tessera.llm import _words as W
-from tessera.session import checkpoint
+from tessera.session import checkpoint, free_names
 
 WORDS = 5
 SHARE = 75
-#: Shingles of at least COMMON documents are ordered by count, the FREQUENT most frequent of them at most.
-COMMON, FREQUENT = 8, 1 << 18
-CELLS = 128
+#: The part of all hashes in which lone shingles are looked for first; bits of a sketch; keys of a block.
+LOOK = 0.35
+CELLS = 1024
+SKETCH = [f"w{k}" for k in range(CELLS // 64)]
+BLOCK = 1 << 20
 MISSING = -(2**63)
-#: Ids, of 8 bytes, that are broadcast to pick texts at most; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Keys, of 40 bytes, that are broadcast to pick texts at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+NONE = np.uint32(0xFFFFFFFF)
 
 
 def shingle_sets(b: W.Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -73,176 +77,226 @@ def shingle_sets(b: W.Block, words: int = WORDS) -> tuple[np.ndarray, np.ndarray
     return keys, np.searchsorted(docs, np.arange(len(b) + 1))
 
 
+def set_hashes(keys: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """128 bits of hash of each set."""
+    both = np.stack([W.span_hash(keys, at[:-1], at[1:], W.Q, W.Q_INV), W.span_hash(W.mix(keys ^ W.P), at[:-1], at[1:])], 1)
+    return [x.tobytes() for x in both]
+
+
 def need(x: np.ndarray, y: np.ndarray, share: int = SHARE) -> np.ndarray:
     """The least overlap of sets of sizes x and y that links them: 100 i >= share (x + y - i)."""
     return -((-share * (x + y)) // (100 + share))
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """id, text -> id, n, sig: size of each document's set, and 128 bits of hash followed by its histogram."""
+def prefix(n: np.ndarray, share: int = SHARE) -> np.ndarray:
+    """Length of the prefix of sets of size n."""
+    return n + (-share * n) // 100 + 1
+
+
+def measured(docs: DataFrame, words: int = WORDS, look: float = LOOK) -> tuple[DataFrame, DataFrame]:
+    """id, text -> two stored tables: block, nth, id, n, hash of each row's set; and its keys in the part that is looked
+    at, by range and block (range, block, gaps, nth of the row that has the key, NONE if several in the block do)."""
+    ranges, limit = R.RANGES * R.shuffles(docs), int(look * (1 << 64))
+    names = ["keys", "block", "nth", "id", "n", "x", "y"]
+    types = [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, held, nth, size = R.Numbers(), [], 0, 0
+        block = numbers.next()
+
+        def table(n: int, *cols) -> pa.RecordBatch:
+            full = [pa.array(c, t) if c is not None else pa.nulls(n, t) for c, t in zip(cols, types, strict=True)]
+            return pa.RecordBatch.from_arrays(full, names)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys = np.concatenate([k for k, _ in held])
+            doc = np.concatenate([d for _, d in held])
+            order = np.argsort(keys)
+            keys, doc = keys[order], doc[order]
+            new = np.append(True, keys[1:] != keys[:-1])
+            at = np.flatnonzero(new)
+            once = np.diff(np.append(at, len(keys))) == 1
+            keys, doc = keys[at], np.where(once, doc[at], NONE)
+            rows = [(r, x, R.pack(doc[lo:hi])) for r, lo, hi, x in R.cut(keys, ranges, limit)]
+            if rows:
+                r, x, y = zip(*rows, strict=True)
+                yield table(len(rows), [True] * len(rows), [block] * len(rows), r, None, None, x, y)
+
         for batch in batches:
-            n, sig = [], []
+            ids = batch.column(0).to_numpy()
             for b in W.blocks(batch.column(1), lower=True):
                 keys, at = shingle_sets(b, words)
-                own = np.diff(at)
-                doc = np.repeat(np.arange(len(b)), own)
-                h = np.bincount(doc * CELLS + (keys >> W.U(64 - int(math.log2(CELLS)))).astype(np.int64), minlength=len(b) * CELLS)
-                h = h.astype("<u1" if h.max(initial=0) < 256 else "<u4").reshape(-1, CELLS)
-                both = np.stack([W.span_hash(keys, at[:-1], at[1:], W.Q, W.Q_INV), W.span_hash(W.mix(keys ^ W.P), at[:-1], at[1:])], 1)
-                n.append(own)
-                sig += [x.tobytes() + y.tobytes() for x, y in zip(both, h, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "sig"])
+                rows = len(b)
+                yield table(rows, [False] * rows, [block] * rows, np.arange(nth, nth + rows), ids[b.row : b.row + rows], np.diff(at), set_hashes(keys, at), None)
+                low = keys <= np.uint64(limit - 1)
+                held.append((keys[low], (np.repeat(np.arange(nth, nth + rows, dtype=np.uint32), np.diff(at)))[low]))
+                nth += rows
+                size += int(low.sum())
+                if size > BLOCK:
+                    yield from flush()
+                    held, nth, size, block = [], 0, 0, numbers.next()
+        if size:
+            yield from flush()
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, sig binary")
+    out = checkpoint(docs.select("id", "text").mapInArrow(run, "keys boolean, block long, nth int, id long, n long, x binary, y binary"), by="keys")
+    return out.where("NOT keys").select("block", "nth", "id", "n", F.col("x").alias("hash")), out.where("keys").select(F.col("nth").alias("range"), "block", F.col("x").alias("gaps"), F.col("y").alias("rows"))
 
 
-def frequencies(docs: DataFrame, words: int = WORDS, common: int = COMMON, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, by the upper 32 bits of their hashes in order, and their document counts.
+def lone(keys: DataFrame) -> DataFrame:
+    """block, nth, lone: of each row, how many of the keys that were looked at no other row has."""
 
-    Each batch sends its counts as sorted blocks, one for each range of hashes, so that Spark shuffles few rows; a task
-    merges the blocks of a range."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def merge(held: list[tuple]) -> Iterator[tuple]:
+        rows = [R.unpack(y).astype(np.uint32) for *_, y in held]
+        alone = R.singles([R.keys_of(x) for _, _, x, _ in held], [y == NONE for y in rows])
+        for (_, block, *_), y, one in zip(held, rows, alone, strict=True):
+            nth, n = np.unique(y[one], return_counts=True)
+            if len(nth):
+                yield block, R.pack(nth), R.pack(n)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(keys: list[np.ndarray]) -> pa.RecordBatch:
-            x, n = np.unique(np.concatenate(keys), return_counts=True)
-            at = np.searchsorted(x, (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
-            rows = [(k, np.diff(x[a:b], prepend=x[a]).astype("<u4").tobytes(), int(x[a]), n[a:b].astype("<u4").tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["part", "gaps", "first", "n"])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in R.grouped(batches):
+            nth = np.concatenate([R.unpack(x) for _, x, _ in held]).astype(np.int64)
+            total = np.bincount(nth, np.concatenate([R.unpack(x) for *_, x in held]).astype(float))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), held[0][0])), pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["block", "nth", "lone"])
 
-        held, size = [], 0
-        for batch in batches:
-            for b in W.blocks(batch.column(0), lower=True):
-                keys = shingle_sets(b, words)[0]
-                held.append((keys >> W.U(32)).astype(np.uint32))
-                size += len(keys)
-                if size > 8_000_000:
-                    yield block(held)
-                    held, size = [], 0
-        if size:
-            yield block(held)
+    found = R.meet(keys, merge, "block long, nth binary, n binary", pa.schema([("block", pa.int64()), ("nth", pa.binary()), ("n", pa.binary())]))
+    return found.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, nth int, lone long")
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for k, gaps, first, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                held.setdefault(k, []).append((np.cumsum(np.frombuffer(gaps, "<u4"), dtype=np.int64) + first, np.frombuffer(n, "<u4")))
-        for got in held.values():
-            x = np.concatenate([g[0] for g in got])
-            n = np.concatenate([g[1] for g in got]).astype(np.int64)
-            order = np.argsort(x, kind="stable")
-            x, n = x[order], n[order]
-            at = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
-            x, n = x[at], np.add.reduceat(n, at)
-            yield pa.RecordBatch.from_arrays([pa.array(x[n >= common]), pa.array(n[n >= common])], ["h", "n"])
-
-    found = docs.select("text").mapInArrow(count, "part int, gaps binary, first long, n binary").repartition(parts, "part").mapInArrow(merge, "h long, n long")
-    found = checkpoint(found)
-    size = F.floor(F.log2("n") * 4).cast("int")
-    least, total = 1 << 30, 0
-    for r in sorted(found.groupBy(size.alias("s")).count().collect(), key=lambda r: -r["s"]):
-        total += r["count"]
-        if total > most:
-            break
-        least = r["s"]
-    rows = found.where(size >= least).toPandas().sort_values("h")
-    return rows["h"].to_numpy(np.uint32), rows["n"].to_numpy(np.int64)
-
-
-def prefixes(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """id, text -> g, id, n, pos, count: the prefix shingles of each set, count 0 if not among the frequent."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.append(known[0], np.uint32(0xFFFFFFFF)), np.append(known[1], 0)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
+def blocks_of(docs: DataFrame, left: DataFrame, total: int, words: int = WORDS) -> DataFrame:
+    """id, text and the sets left (rep, s, hash) -> stored blocks of sets: block, s, n, keys of many sets each."""
+    picked = docs.select("id", "text").join(F.broadcast(left) if left.count() <= BROADCAST_IDS else left, F.col("id") == F.col("rep")).select("s", "hash", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for b in W.blocks(batch.column(1), lower=True):
+            s, wanted = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for b in W.blocks(batch.column(2), lower=True):
                 keys, at = shingle_sets(b, words)
-                n = np.diff(at)
-                doc = np.repeat(np.arange(len(n)), n)
-                top = (keys >> W.U(32)).astype(np.uint32)
-                k = np.minimum(np.searchsorted(common, top), len(common) - 1)
-                count = np.where(common[k] == top, counts[k], 0)
-                some = np.flatnonzero(np.bincount(doc, count, minlength=len(n)) > 0)
-                order = np.arange(len(keys))
-                again = np.flatnonzero(np.isin(doc, some))  # a set without frequent shingles is in order as it is
-                order[again] = again[np.lexsort((keys[again], count[again], doc[again]))]
-                pos = np.arange(len(keys)) - at[doc]
-                keep = pos < (n - -(-share * n // 100) + 1)[doc]
-                doc, pos, order = doc[keep], pos[keep], order[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[order].view(np.int64)), pa.array(ids[b.row + doc]), pa.array(n[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(count[order].astype(np.int32))], ["g", "id", "n", "pos", "count"])
-
-    return docs.select("id", "text").mapInArrow(run, "g long, id long, n int, pos int, count int")
-
-
-def passes(a: str, b: str, share: int = SHARE, before: str = "pos") -> Column:
-    """Length and positional filter on sizes n and positions pos of a common shingle. `before` counts the shingles in front
-    of it that both may have: its position, or the shared ones of the prefix."""
-    n, m = F.col(f"n{a}").cast("long"), F.col(f"n{b}").cast("long")
-    rest = F.least(n - F.col(f"pos{a}"), m - F.col(f"pos{b}")) + F.least(F.col(f"{before}{a}"), F.col(f"{before}{b}"))
-    return (100 * F.least(n, m) >= share * F.greatest(n, m)) & (rest >= F.ceil(share * (n + m) / (100 + share)))
+                own = [k for k, x in enumerate(set_hashes(keys, at)) if x == wanted[b.row + k]]  # an id may have other texts
+                yield pa.RecordBatch.from_arrays([pa.array(s[b.row + np.array(own, np.int64)]), pa.array([keys[at[k] : at[k + 1]].tobytes() for k in own], pa.binary())], ["s", "keys"])
 
+    count = max(1, total // BLOCK)
+    dealt = picked.mapInArrow(sets, "s long, keys binary").select(F.pmod(F.xxhash64("s"), F.lit(count)).alias("block"), "s", "keys")
+    dealt = dealt.repartition(R.shuffles(docs), "block").dropDuplicates(["block", "s"]).sortWithinPartitions("block", "s")
 
-def indexed(n: str, pos: str, share: int = SHARE) -> Column:
-    """Whether a position is in a set's index prefix."""
-    return F.col(pos) <= F.col(n) - F.ceil(F.lit(2 * share) * F.col(n) / (100 + share))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in R.grouped(batches):
+            s = np.array([x for _, x, _ in held], np.int64)
+            n = np.array([len(x) // 8 for *_, x in held], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), pa.array([s.tobytes()]), pa.array([n.tobytes()]), pa.array([b"".join(x for *_, x in held)])], ["block", "s", "n", "keys"])
 
+    return checkpoint(dealt.mapInArrow(gather, "block long, s binary, n binary, keys binary"))
 
-def room(a: str, b: str, share: int = SHARE) -> Column:
-    """Whether sets of n{a} and n{b} shingles can link, by what the set whose prefix ends first may share, k."""
-    first = F.when(F.col(f"last{a}") <= F.col(f"last{b}"), F.col(f"k{a}")).otherwise(F.col(f"k{b}"))
-    return first >= F.ceil(share * (F.col(f"n{a}").cast("long") + F.col(f"n{b}")) / (100 + share))
 
+def _unpacked(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    s, n, keys = row
+    return np.frombuffer(s, np.int64), np.frombuffer(n, np.int64), np.frombuffer(keys, np.uint64)
 
-def suffix_filter(pairs: DataFrame, signed: DataFrame, share: int = SHARE) -> DataFrame:
-    """a, b -> a, b, same: pairs of equal sets, and those whose histograms leave room for the overlap."""
-    sized = pairs.join(signed.toDF("a", "na", "sa", "ka", "lasta"), "a").join(signed.toDF("b", "nb", "sb", "kb", "lastb"), "b").where(room("a", "b", share)).select("a", "b", "na", "nb", "sa", "sb")
 
-    def wide(x: bytes) -> np.ndarray:
-        return np.frombuffer(x, "<u1" if len(x) == 16 + CELLS else "<u4", offset=16).astype(np.int64)
+def set_rows(blocks: DataFrame) -> DataFrame:
+    """s, keys of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sa, sb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            same = np.array([x == y for x, y in zip(sa, sb, strict=True)], bool)
-            room = np.array([np.minimum(wide(x), wide(y)).sum() for x, y in zip(sa, sb, strict=True)], np.int64)
-            ok = pa.array(same | (room >= need(batch.column(2).to_numpy(), batch.column(3).to_numpy(), share)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(same).filter(ok)], ["a", "b", "same"])
+            for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                s, n, keys = _unpacked(row)
+                at = np.append(0, np.cumsum(n)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64)))], ["s", "keys"])
 
-    return sized.mapInArrow(run, "a long, b long, same boolean").distinct()
+    return blocks.select("s", "n", "keys").mapInArrow(run, "s long, keys array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """a, b -> a, b of the pairs that link, by exact intersection."""
-    t = texts.select("id", "text")
-    both = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+def sketches(blocks: DataFrame) -> DataFrame:
+    """s, n and the sketch of each set, as longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                sets = []
-                for k in (2, 3):
-                    coded = part.column(k).dictionary_encode()  # a leader's text is there many times
-                    one = [keys[at[i] : at[i + 1]] for b in W.blocks(coded.dictionary, lower=True) for keys, at in [shingle_sets(b, words)] for i in range(len(b))]
-                    sets.append([one[i] for i in coded.indices.to_pylist()])
-                ok = []
-                for x, y in zip(*sets, strict=True):
-                    i = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * i >= share * (len(x) + len(y) - i))
-                ok = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """a, b -> id, component: smallest id reachable. Labels spread by hooking and pointer jumping, in about log(n)
-    rounds, each a checkpoint."""
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
+            for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                s, n, keys = _unpacked(row)
+                bits = np.zeros(len(s) * CELLS, bool)
+                bits[np.repeat(np.arange(len(s)), n) * CELLS + (keys >> W.U(65 - CELLS.bit_length())).astype(np.int64)] = True
+                words = np.packbits(bits, bitorder="little").view(np.int64).reshape(-1, len(SKETCH))
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n.astype(np.int32)), *(pa.array(np.ascontiguousarray(w)) for w in words.T)], ["s", "n", *SKETCH])
+
+    return blocks.select("s", "n", "keys").mapInArrow(run, f"s long, n int, {', '.join(f'{w} long' for w in SKETCH)}")
+
+
+def entries(blocks: DataFrame, share: int = SHARE) -> DataFrame:
+    """Prefix entries g, s, n, pos, held: shingle, set, its size, the shingle's place in the set's order, and how many
+    shared ones stand before it. Lone shingles come first in every set and make no entries."""
+    ranges = R.RANGES * R.shuffles(blocks)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own, n = np.unique(np.frombuffer(keys, np.uint64), return_counts=True)
+                rows = [(r, block, x, R.pack(n[lo:hi])) for r, lo, hi, x in R.cut(own, ranges)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["range", "block", "gaps", "n"])
+
+    def merge(held: list[tuple]) -> Iterator[tuple]:
+        keys = np.concatenate([R.keys_of(x) for _, _, x, _ in held])
+        n = [R.unpack(y).astype(np.int64) for *_, y in held]
+        _, to = np.unique(keys, return_inverse=True)
+        total = np.bincount(to, np.concatenate(n)).astype(np.int64)[to]
+        for (r, block, *_), part in zip(held, np.split(total, np.cumsum([len(x) for x in n])[:-1]), strict=True):
+            yield block, r, R.pack(part)
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in R.grouped(batches):
+            s, n, keys = _unpacked(held[0][2:5])
+            count = np.concatenate([R.unpack(x[5]) for x in held[1:]]).astype(np.int64)
+            count = count[np.unique(keys, return_inverse=True)[1]]
+            own = np.repeat(np.arange(len(s)), n)
+            shared = np.flatnonzero(count > 1)
+            alone = n - np.bincount(own[shared], minlength=len(s))
+            at = shared[np.lexsort((keys[shared], count[shared], own[shared]))]
+            doc = own[at]
+            rank = np.arange(len(at)) - np.searchsorted(doc, np.arange(len(s)))[doc]
+            pos = alone[doc] + rank
+            keep = pos < prefix(n, share)[doc]
+            at, doc, rank, pos = at[keep], doc[keep], rank[keep], pos[keep]
+            for lo in range(0, len(at), 100_000):
+                k = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at[k]].view(np.int64)), pa.array(s[doc[k]]), pa.array(n[doc[k]].astype(np.int32)), pa.array(pos[k].astype(np.int32)), pa.array(rank[k].astype(np.int32))], ["g", "s", "n", "pos", "held"])
+
+    sent = blocks.select("block", "keys").mapInArrow(send, "range int, block long, gaps binary, n binary")
+    told = R.meet(sent, merge, "block long, range int, count binary", pa.schema([("block", pa.int64()), ("range", pa.int32()), ("count", pa.binary())]))
+    empty = F.lit(None).cast("binary")
+    both = blocks.select("block", F.lit(-1).alias("range"), "s", "n", "keys", empty.alias("count")).union(told.select("block", "range", empty, empty, empty, "count"))
+    return both.repartition(R.shuffles(blocks), "block").sortWithinPartitions("block", "range").mapInArrow(order, "g long, s long, n int, pos int, held int")
+
+
+def passes(a: str, b: str, share: int = SHARE) -> Column:
+    """Length and positional filter on sizes n and positions pos of a common shingle, `held` shared ones before it."""
+    n, m = F.col(f"n{a}").cast("long"), F.col(f"n{b}").cast("long")
+    rest = F.least(n - F.col(f"pos{a}"), m - F.col(f"pos{b}")) + F.least(F.col(f"held{a}"), F.col(f"held{b}"))
+    return (100 * F.least(n, m) >= share * F.greatest(n, m)) & (rest >= F.ceil(share * (n + m) / (100 + share)))
+
+
+def indexed(n: str, pos: str, share: int = SHARE) -> Column:
+    """Whether a position is in a set's index prefix."""
+    return F.col(pos) <= F.col(n) - F.ceil(F.lit(2 * share) * F.col(n) / (100 + share))
+
+
+def suffix_filter(a: str, b: str, share: int = SHARE) -> Column:
+    """Whether the sketches of sets of sizes n{a} and n{b} leave room for the overlap that links them."""
+    n, m = F.col(f"n{a}").cast("long"), F.col(f"n{b}").cast("long")
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{w}{x}").bitwiseAND(F.bitwise_not(F.col(f"{w}{y}")))) for w in SKETCH), F.lit(0))
+    return F.least(n - alone(a, b), m - alone(b, a)) >= F.ceil(share * (n + m) / (100 + share))
+
+
+def verify(pairs: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """a, b -> a, b of the pairs that link, by exact intersection, in the JVM: pairs of long texts are wide rows."""
+    both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+    common = F.size(F.array_intersect("xa", "xb"))
+    return both.where(100 * common >= share * (F.size("xa") + F.size("xb") - common)).select("a", "b")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """a, b -> node, root: the smallest node reachable, for nodes that have an edge. Labels spread by hooking and pointer
+    jumping, in about log(n) rounds, each a checkpoint."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     edges = checkpoint(both)
     labels = checkpoint(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("c")))
     while True:
@@ -253,64 +307,69 @@ def components(links: DataFrame) -> DataFrame:
         new = new.join(told, F.col("id") == F.col("id2"), "left").select("id", "c", F.least("m", F.coalesce("t", "m")).alias("m"))
         jump = new.select(F.col("id").alias("r"), F.col("m").alias("up"))
         new = checkpoint(new.join(jump, F.col("m") == F.col("r"), "left").select("id", "c", F.least("m", F.coalesce("up", "m")).alias("m")))
-        if new.where("m < c").limit(1).count() == 0:
-            return new.select("id", F.col("c").alias("component"))
+        if new.where("m < c").isEmpty():
+            return new.select(F.col("id").alias("node"), F.col("c").alias("root"))
         labels = new.select("id", F.col("m").alias("c"))
 
 
-def links(pairs: DataFrame, signed: DataFrame, rows: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """a, b -> those that link, stored."""
-    maybe = checkpoint(suffix_filter(checkpoint(pairs), signed, share))
-    open_ = maybe.where("NOT same").select("a", "b")
-    ids = checkpoint(open_.select(F.col("a").alias("w")).union(open_.select("b")).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = checkpoint(rows.join(ids, F.col("id") == F.col("w"), "left_semi").distinct())
-    return checkpoint(maybe.where("same").select("a", "b").union(verify(open_, texts, words, share)).distinct())
+def link_sets(blocks: DataFrame, share: int = SHARE) -> DataFrame:
+    """Blocks of sets -> node, root of the sets that are linked with others."""
+    found = checkpoint(entries(blocks, share).withColumn("band", F.floor(F.log("n") / math.log(100 / share)).cast("int")))
+    row = F.struct("n", "s", "pos", "held")
+    index = F.when(indexed("n", "pos", share), row)
+    by = lambda salt: F.min(F.when(indexed("n", "pos", share), F.struct(F.xxhash64("s", F.lit(salt)).alias("h"), *(F.col(c) for c in ("n", "s", "pos", "held")))))
+    leaders = found.groupBy("g", "band").agg(F.count(F.lit(1)).alias("k"), F.min(index).alias("o1"), by(1).alias("o2"), by(2).alias("o3")).where("k > 1")
+    leaders = leaders.select(F.col("g").alias("gl"), F.col("band").alias("bl"), F.explode(F.array_distinct(F.array("o1", F.struct("o2.n", "o2.s", "o2.pos", "o2.held"), F.struct("o3.n", "o3.s", "o3.pos", "o3.held")))).alias("o")).where("o.s IS NOT NULL")
+    near = leaders.withColumn("bl", F.explode(F.array(F.col("bl"), F.col("bl") + 1)))  # of a set's own band, and of the one below
+    star = found.join(near, (F.col("g") == F.col("gl")) & (F.col("band") == F.col("bl"))).select("s", "n", "pos", "held", F.col("o.s").alias("so"), F.col("o.n").alias("no"), F.col("o.pos").alias("poso"), F.col("o.held").alias("heldo"))
+    star = star.where((F.col("s") != F.col("so")) & passes("", "o", share)).select(F.least("s", "so").alias("a"), F.greatest("s", "so").alias("b")).distinct()
+    drawn = checkpoint(sketches(blocks))
+    of = lambda x: drawn.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), *(F.col(w).alias(f"{w}{x}") for w in SKETCH))
+    star = checkpoint(star.join(of("a"), "a").join(of("b"), "b").where(suffix_filter("a", "b", share)).select("a", "b"))
+    first = checkpoint(verify(star, set_rows(blocks), share))
+    parts = components(first)
+    # what is left: pairs of different components
+    labelled = found.join(parts, F.col("s") == F.col("node"), "left").select("g", "s", "n", "pos", "held", "band", F.coalesce("root", "s").alias("c"))
+    mixed = labelled.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select(F.col("g").alias("gm"))
+    left = labelled.join(mixed, F.col("g") == F.col("gm"), "left_semi")
+    left = checkpoint(left.join(drawn.drop("n").withColumnRenamed("s", "sd"), F.col("s") == F.col("sd")).drop("sd"))
+    small = left.where(indexed("n", "pos", share))
+    large = left.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).toDF("g", "so", "no", "poso", "heldo", "band", "co", *(f"{w}o" for w in SKETCH))
+    pairs = small.join(large, ["g", "band"]).where((F.struct("n", "s") < F.struct("no", "so")) & (F.col("c") != F.col("co")) & passes("", "o", share) & suffix_filter("", "o", share))
+    # the common shingles of the index prefix, and what is behind the last of them
+    pairs = pairs.groupBy("s", "so", "n", "no").agg(F.count(F.lit(1)).alias("common"), F.max("pos").alias("pos"), F.max("poso").alias("poso"))
+    room = F.col("common") + F.least(F.col("n") - F.col("pos"), F.col("no") - F.col("poso")) - 1
+    pairs = pairs.where(room >= F.ceil(share * (F.col("n").cast("long") + F.col("no")) / (100 + share)))
+    pairs = checkpoint(pairs.select(F.least("s", "so").alias("a"), F.greatest("s", "so").alias("b")))
+    more = verify(pairs, set_rows(blocks), share)
+    # components are nodes now, named by their roots
+    named = lambda x: F.coalesce(F.col(f"{x}r"), F.col(x))
+    joint = more.join(parts.toDF("an", "ar"), F.col("a") == F.col("an"), "left").join(parts.toDF("bn", "br"), F.col("b") == F.col("bn"), "left").select(named("a").alias("a"), named("b").alias("b")).where("a <> b")
+    return checkpoint(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(joint))
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     rows = docs.select(F.coalesce(F.col(doc_id), F.lit(MISSING)).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = every = checkpoint(signatures(rows, words))
-    entries = prefixes(rows, frequencies(rows, words), words, share).withColumn("band", F.floor(F.log("n") / math.log(100 / share)).cast("int"))
-    row = F.when(indexed("n", "pos", share), F.struct("id", "n", "pos"))
-    near = Window.partitionBy("g").orderBy("band", "n", "id")
-    before = near.rowsBetween(Window.unboundedPreceding, -1)
-    # one exchange and one sort serve both windows
-    entries = entries.withColumns({"prior": F.last(row, ignorenulls=True).over(before), "last_id": F.lag("id").over(near), "next": F.lead("id").over(near)})
-    entries = entries.withColumn("first", F.first(row, ignorenulls=True).over(Window.partitionBy("g", "band").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, -1)))
-    ends = F.col("pos") == F.col("n") - F.ceil(F.lit(share) * F.col("n") / 100)
-    lone = F.col("last_id").isNull() & F.col("next").isNull()
-    entries = checkpoint(entries.withColumns({"lone": lone, "ends": ends}).where("ends OR NOT lone").drop("next", "last_id"))
-    # of each set: how much of it others may have, and where its prefix ends
-    held = entries.groupBy("id", "n").agg(F.count_if(~F.col("lone")).alias("held"), F.count_if("ends").alias("texts"), F.max(F.when(F.col("ends"), F.struct("count", F.col("g").bitwiseXOR(F.lit(MISSING)).alias("g")))).alias("last"))
-    most = F.when(F.col("texts") > 1, F.col("n")).otherwise(F.ceil(F.lit(share) * F.col("n") / 100) - 1 + F.col("held"))
-    signed = checkpoint(signed.join(held.toDF("hid", "hn", "held", "texts", "last"), (F.col("id") == F.col("hid")) & (F.col("n") == F.col("hn"))).select("id", "n", "sig", most.alias("k"), "last"))
-    entries = entries.where("NOT lone")
-    star = entries.select("id", "n", "pos", F.explode(F.array("prior", "first")).alias("o")).where("o IS NOT NULL AND o.id <> id")
-    star = star.select("id", "n", "pos", F.col("o.id").alias("oid"), F.col("o.n").alias("no"), F.col("o.pos").alias("poso")).where(passes("", "o", share))
-    sides = [F.least("id", "oid").alias("a"), F.greatest("id", "oid").alias("b")]
-    found = links(star.select(*sides).distinct(), signed, rows, words, share)
-    parts = components(found)
-    # how many shared shingles stand before each in its prefix: what both may have before a common one
-    held_before = F.row_number().over(Window.partitionBy("id", "n").orderBy("pos")) - 1
-    entries = checkpoint(entries.select("g", "id", "n", "pos", held_before.alias("held")))
-    while True:
-        labels = signed.select("id", "n", "k", "last").join(parts.toDF("lid", "c"), F.col("id") == F.col("lid"), "left").select(F.col("id").alias("lid"), F.col("n").alias("ln"), "k", "last", F.coalesce("c", "id").alias("c")).distinct()
-        left = entries.join(labels, (F.col("id") == F.col("lid")) & (F.col("n") == F.col("ln"))).select("g", "id", "n", "pos", "held", "k", "last", "c")
-        mixed = left.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select(F.col("g").alias("mg"))
-        left = checkpoint(left.join(mixed, F.col("g") == F.col("mg")).select("g", "id", "n", "pos", "held", "k", "last", "c"))
-        other = left.toDF("g", "oid", "no", "poso", "heldo", "ko", "lasto", "oc")
-        pairs = left.join(other, "g").where(indexed("n", "pos", share) & (F.struct("n", "id") < F.struct("no", "oid")) & (F.col("c") != F.col("oc")) & passes("", "o", share, "held") & room("", "o", share))
-        more = links(pairs.select(*sides).distinct(), signed, rows, words, share)
-        if more.isEmpty():
-            break
-        found = found.union(more)
-        parts = components(found)
-    out = every.join(parts.toDF("r", "component"), F.col("id") == F.col("r"), "left")
+    every, keys = measured(rows, words)
+    reps = every.where("n > 0").groupBy("hash").agg(F.min(F.struct("id", "block", "nth")).alias("r"), F.min("n").alias("n"))
+    reps = checkpoint(reps.select("hash", F.col("r.id").alias("rep"), "n", "r.block", "r.nth", F.monotonically_increasing_id().alias("s")))
+    single = lone(keys)
+    left = reps.join(single, ["block", "nth"], "left").where(F.coalesce("lone", F.lit(0)) <= F.col("n") - F.ceil(F.lit(share) * F.col("n") / 100))
+    left = checkpoint(left.select("rep", "s", "hash", "n"))
+    total = left.agg(F.sum("n")).first()[0] or 0
+    edges = link_sets(blocks_of(rows, left.drop("n"), total, words), share)
+    # rows that repeat an id tie their sets together
+    members = checkpoint(every.join(reps.select(F.col("hash").alias("rh"), "rep", "s"), F.col("hash") == F.col("rh"), "left").select("id", "n", "s", "rep"))
+    tied = members.where("s IS NOT NULL").groupBy("id").agg(F.min("s").alias("b"), F.max("s").alias("z")).where("b < z")
+    tied = members.join(tied.select(F.col("id").alias("ti"), "b"), F.col("id") == F.col("ti")).select(F.col("s").alias("a"), "b").where("a <> b").distinct()
+    parts = components(edges.union(tied))
+    named = parts.join(reps.select("s", "rep"), F.col("node") == F.col("s")).select("node", "root", "rep")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    named = named.join(least, "root").select("node", "least")
+    out = members.join(named, F.col("s") == F.col("node"), "left")
     back = lambda c: F.nullif(c, F.lit(MISSING))
-    return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))).alias("component_id"))
+    return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("least", "rep", "id")).alias("component_id"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -318,7 +377,10 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id names it; documents without words stay all."""
+    """One document of each group stays: the one whose id names it; documents without words stay all. Rows that repeat the
+    id that stays stay too. Other columns are carried, whatever their names."""
     found = link(docs.select("doc_id", "text"))
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.coalesce("doc_id", F.lit(MISSING)).alias("_gone")).distinct()
-    return docs.join(gone, F.coalesce(docs["doc_id"], F.lit(MISSING)) == F.col("_gone"), "left_anti").select(*docs.columns)
+    gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.coalesce("doc_id", F.lit(MISSING)).alias("gone")).distinct()
+    (gone_id,) = free_names(docs, "gone")
+    gone = gone.withColumnRenamed("gone", gone_id)
+    return docs.join(gone, F.coalesce(docs["doc_id"], F.lit(MISSING)) == gone[gone_id], "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
