@@ -24,23 +24,24 @@ def chain_graph(spark, sf):
     return nodes, edges
 
 
-def _values(rows: list[tuple]) -> str:
-    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
-    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
-
-
-HOPS = (2, 3, 4, 5)
-T_NODES = [(k, h, *n) for k in graphs.GRAPH_TYPES for h in HOPS for n in graphs.template(k, h)[0]]
-T_EDGES = [(k, h, *e) for k in graphs.GRAPH_TYPES for h in HOPS for e in graphs.template(k, h)[1]]
-TEMPLATES_SQL = f"tn(graph_type, hops, node, node_type, hop) AS (VALUES {_values(T_NODES)}), te(graph_type, hops, src, dst, edge_type) AS (VALUES {_values(T_EDGES)})"
-#: An episode's graph: its type by conversation, its hops by its turns; both sides of the template join.
-EPISODES_SQL = """ep AS (SELECT conv_id AS episode, (['LINEAR', 'FORK', 'MERGE', 'FORK_MERGE', 'INDEPENDENT', 'POLICY_ISOLATED'])[conv_id % 6 + 1] AS graph_type, greatest(2, least(5, count(*)))::INT AS hops,
+#: An episode's graph: its type by conversation, its hops by its turns, two at least.
+EPISODES_SQL = """ep AS (SELECT conv_id AS episode, (['LINEAR', 'FORK', 'MERGE', 'FORK_MERGE', 'INDEPENDENT', 'POLICY_ISOLATED'])[conv_id % 6 + 1] AS graph_type, greatest(2, count(*))::INT AS hops,
     CASE WHEN conv_id % 10 < 7 THEN 'train' WHEN conv_id % 10 < 8 THEN 'dev' ELSE 'test' END AS split FROM conversations GROUP BY conv_id)"""
+#: Nodes and edges of the templates of ep's (graph_type, hops), by the templates' rules.
+TEMPLATES_SQL = """tk AS (SELECT DISTINCT graph_type, hops, greatest(hops, CASE graph_type WHEN 'MERGE' THEN 3 ELSE 2 END) AS g FROM ep), ks AS (SELECT *, unnest(range(1, g + 1)) AS k, CASE WHEN g = 2 THEN 1 ELSE 2 END AS fork FROM tk), ab AS (SELECT unnest(['a', 'b']) AS x),
+    te AS (SELECT graph_type, hops, CASE k WHEN 1 THEN 'planner' ELSE 'solver_' || (k - 1) END AS src, 'solver_' || k AS dst, 'DEPENDS_ON' AS edge_type FROM ks WHERE graph_type IN ('LINEAR', 'POLICY_ISOLATED')
+      UNION ALL SELECT graph_type, hops, CASE k WHEN 1 THEN 'planner' ELSE 'solver_' || (k - 1) || x END, 'solver_' || k || x, 'DEPENDS_ON' FROM ks, ab WHERE graph_type = 'INDEPENDENT'
+      UNION ALL SELECT graph_type, hops, CASE WHEN k <= 2 THEN 'planner' ELSE 'solver_' || (k - 1) END, 'solver_' || k, CASE k WHEN 3 THEN 'AGGREGATES' ELSE 'DEPENDS_ON' END FROM ks WHERE graph_type = 'MERGE'
+      UNION ALL SELECT graph_type, hops, 'solver_1', 'solver_3', 'AGGREGATES' FROM tk WHERE graph_type = 'MERGE'
+      UNION ALL SELECT graph_type, hops, 'planner', 'solver_1', 'DEPENDS_ON' FROM tk WHERE graph_type LIKE 'FORK%' AND g > 2
+      UNION ALL SELECT graph_type, hops, CASE fork WHEN 1 THEN 'planner' ELSE 'solver_1' END, 'solver_' || k || x, 'DEPENDS_ON' FROM ks, ab WHERE graph_type LIKE 'FORK%' AND k = fork
+      UNION ALL SELECT graph_type, hops, 'solver_' || fork || x, 'solver_' || k, 'AGGREGATES' FROM ks, ab WHERE graph_type = 'FORK_MERGE' AND k = fork + 1
+      UNION ALL SELECT graph_type, hops, 'solver_' || (k - 1) || CASE WHEN graph_type = 'FORK' AND k = 3 THEN 'a' ELSE '' END, 'solver_' || k, 'DEPENDS_ON' FROM ks WHERE graph_type = 'FORK' AND k > 2 OR graph_type = 'FORK_MERGE' AND k > fork + 1),
+    tn AS (SELECT graph_type, hops, 'planner' AS node, 'PLANNER' AS node_type, NULL::INT AS hop FROM tk UNION ALL SELECT DISTINCT graph_type, hops, dst, 'SOLVER', regexp_extract(dst, '[0-9]+')::INT FROM te UNION ALL SELECT graph_type, hops, 'verifier', 'VERIFIER', NULL FROM tk WHERE graph_type = 'POLICY_ISOLATED')"""
 
 
 def episode_graphs(spark, sf):
-    """Episodes with their graph_type and hops, and nodes and edges of each such template. Hops are the turns, two at least;
-    EPISODES_SQL still cuts them at five."""
+    """Episodes with their graph_type and hops, and nodes and edges of each such template."""
     kinds = F.element_at(F.array(*map(F.lit, graphs.GRAPH_TYPES)), (F.col("conv_id") % 6 + 1).cast("int"))
     r = F.col("conv_id") % 10
     ep = table(spark, sf, "conversations").groupBy("conv_id").agg(F.greatest(F.lit(2), F.count(F.lit(1))).cast("int").alias("hops"))
@@ -57,9 +58,13 @@ def q43(spark, sf):
     return graphs.ancestors(edges, ["episode"]).select("episode", F.col("node").cast("long").alias("node"), F.col("ancestor").cast("long").alias("ancestor"), "distance")
 
 
-@query("q44_dag_check", f"{C}, p AS (SELECT episode, node, role, parent, row_number() OVER (PARTITION BY episode ORDER BY node) AS n, count(*) OVER (PARTITION BY episode) AS k FROM v_chain) SELECT episode, true AS is_dag, count(*) FILTER (role = 'solver' AND parent IS NULL) AS orphan_solvers, count(*) FILTER (role = 'verifier' AND k > 1) AS bound_verifiers FROM p GROUP BY 1")
+@query("q44_dag_check", f"""{C}, p AS (SELECT episode, node, role, parent, count(*) OVER (PARTITION BY episode) AS k, episode % 7 = 3 AS bent FROM v_chain)
+    SELECT episode, NOT bool_or(bent) AS is_dag, count(*) FILTER (role = 'solver' AND parent IS NULL AND NOT bent) AS orphan_solvers, count(*) FILTER (role = 'verifier' AND (k > 1 OR bent)) AS bound_verifiers FROM p GROUP BY 1""")
 def q44(spark, sf):
-    return graphs.check(*chain_graph(spark, sf), ["episode"])
+    """Every seventh conversation is bent to a circle on purpose: its last turn leads to its first."""
+    nodes, edges = chain_graph(spark, sf)
+    bent = nodes.where("episode % 7 = 3").groupBy("episode").agg(F.max_by("node", "turn").alias("src"), F.min_by("node", "turn").alias("dst"))
+    return graphs.check(nodes, edges.unionByName(bent), ["episode"])
 
 
 @query("q45_topo_levels", f"{C} SELECT episode, node, (row_number() OVER (PARTITION BY episode ORDER BY node) - 1)::INT AS level FROM v_chain")
@@ -68,7 +73,7 @@ def q45(spark, sf):
     return graphs.levels(nodes, edges, ["episode"]).select("episode", F.col("node").cast("long").alias("node"), "level")
 
 
-RHO_SQL = f"""WITH RECURSIVE {TEMPLATES_SQL}, {EPISODES_SQL}, cl AS (SELECT graph_type, hops, dst AS node, src AS anc FROM te UNION SELECT c.graph_type, c.hops, c.node, e.src FROM cl c JOIN te e ON e.graph_type = c.graph_type AND e.hops = c.hops AND e.dst = c.anc),
+RHO_SQL = f"""WITH RECURSIVE {EPISODES_SQL}, {TEMPLATES_SQL}, cl AS (SELECT graph_type, hops, dst AS node, src AS anc FROM te UNION SELECT c.graph_type, c.hops, c.node, e.src FROM cl c JOIN te e ON e.graph_type = c.graph_type AND e.hops = c.hops AND e.dst = c.anc),
     so AS (SELECT graph_type, hops, node FROM tn WHERE node_type = 'SOLVER'), ac AS (SELECT c.graph_type, c.hops, c.node, c.anc AS item FROM cl c JOIN so USING (graph_type, hops, node) JOIN so s2 ON s2.graph_type = c.graph_type AND s2.hops = c.hops AND s2.node = c.anc
       UNION SELECT graph_type, hops, node, node FROM so UNION SELECT graph_type, hops, node, '#plan' FROM so),
     st AS (SELECT graph_type, hops, node, list(item) AS items FROM ac GROUP BY ALL),
@@ -134,16 +139,26 @@ def q51(spark, sf):
     return chain_artifacts(spark, sf)[2].select("episode", "node", "slot", "memory_id", "layer", "topo_index", F.array_join("parents", ",").alias("parents"))
 
 
-@query("q52_trace_rules", f"""{ARTIFACTS_SQL}, br AS (SELECT episode, node, slot, CASE WHEN topo_index % 11 = 3 THEN 'nowhere' ELSE parents END AS parents, memory_id, layer FROM ar WHERE NOT (slot = 'conclusion' AND episode % 5 = 0)),
+@query("q52_trace_rules", f"""{ARTIFACTS_SQL}, br AS (SELECT episode, node, CASE WHEN topo_index % 19 = 7 THEN 'draft' ELSE slot END AS slot, CASE WHEN topo_index % 11 = 3 THEN 'nowhere' ELSE parents END AS parents, CASE WHEN episode % 7 = 2 AND slot = 'scratch' THEN 'twice:' || episode ELSE memory_id END AS memory_id, layer,
+      CASE WHEN topo_index % 23 = 2 THEN 'owner' ELSE 'team' END AS visibility, topo_index, CASE WHEN episode % 8 = 1 THEN -topo_index ELSE topo_index END AS pos FROM ar WHERE NOT (slot = 'conclusion' AND episode % 5 = 0)),
     i AS (SELECT 'parent_exists' AS rule, 'error' AS severity, memory_id AS key FROM br b WHERE parents <> '' AND NOT EXISTS (SELECT 1 FROM br x WHERE x.episode = b.episode AND x.memory_id = b.parents)
-      UNION ALL SELECT 'solver_conclusion', 'error', episode || ':' || node FROM cn WHERE node_type = 'SOLVER' AND episode % 5 = 0
+      UNION ALL SELECT 'unique_id', 'error', memory_id FROM br GROUP BY episode, memory_id HAVING count(*) > 1
+      UNION ALL SELECT 'slot', 'error', memory_id FROM br WHERE slot = 'draft'
+      UNION ALL SELECT 'stream_order', 'error', memory_id FROM (SELECT *, lag(topo_index) OVER (PARTITION BY episode ORDER BY pos) AS was FROM br) WHERE topo_index < was
+      UNION ALL SELECT 'shared_not_owner', 'error', memory_id FROM br WHERE layer LIKE 'task_shared%' AND visibility = 'owner'
+      UNION ALL SELECT 'solver_conclusion', 'error', episode || ':' || node FROM cn WHERE node_type = 'SOLVER' AND NOT EXISTS (SELECT 1 FROM br WHERE br.episode = cn.episode AND br.node = cn.node AND br.slot = 'conclusion')
       UNION ALL SELECT 'audit_missing', 'error', episode::VARCHAR FROM (SELECT DISTINCT episode FROM v_chain) e WHERE episode % 6 = 5 AND NOT EXISTS (SELECT 1 FROM br WHERE br.episode = e.episode AND slot = 'audit_report')
       UNION ALL SELECT 'audit_unexpected', 'warning', episode::VARCHAR FROM (SELECT DISTINCT episode FROM v_chain) e WHERE episode % 6 <> 5 AND EXISTS (SELECT 1 FROM br WHERE br.episode = e.episode AND slot = 'audit_report'))
     SELECT * FROM i""")
 def q52(spark, sf):
-    """Rows are broken on purpose: conclusions of every fifth episode are dropped, some parents point nowhere."""
+    """Rows are broken on purpose, for each of the eight rules."""
     nodes, _, a = chain_artifacts(spark, sf)
-    a = a.where("NOT (slot = 'conclusion' AND episode % 5 = 0)").withColumn("parents", F.when(F.col("topo_index") % 11 == 3, F.array(F.lit("nowhere"))).otherwise(F.col("parents"))).withColumn("pos", F.col("topo_index"))
+    t = F.col("topo_index")
+    a = a.where("NOT (slot = 'conclusion' AND episode % 5 = 0)").withColumns({
+        "parents": F.when(t % 11 == 3, F.array(F.lit("nowhere"))).otherwise(F.col("parents")),
+        "memory_id": F.when((F.col("episode") % 7 == 2) & (F.col("slot") == "scratch"), F.concat(F.lit("twice:"), "episode")).otherwise(F.col("memory_id")),
+        "visibility": F.when(t % 23 == 2, "owner").otherwise("team"), "pos": F.when(F.col("episode") % 8 == 1, -t).otherwise(t), "slot": F.when(t % 19 == 7, "draft").otherwise(F.col("slot")),
+    })
     g = nodes.select("episode").distinct().withColumn("graph_type", F.when(F.col("episode") % 6 == 5, "POLICY_ISOLATED").otherwise("LINEAR"))
     return rules.trace_rules(a, nodes, g, ["episode"])
 
@@ -159,7 +174,7 @@ def q53(spark, sf):
     return rules.audit_rules(a, episodes.agents(nodes, ["episode"], F.lit("chat")), ["episode"], {"layer": F.col("layer")})
 
 
-BATCH_SQL = f"{RHO_SQL}, ba AS (SELECT episode % 40 AS original_id, split, rho, CASE WHEN episode % 9 = 0 THEN 'S9' ELSE label END AS label, graph_type = 'POLICY_ISOLATED' AS s4 FROM er), sp AS (SELECT original_id, list(DISTINCT split) AS s FROM ba GROUP BY 1)"
+BATCH_SQL = f"{RHO_SQL}, ba AS (SELECT episode // 3 AS original_id, split, rho, CASE WHEN episode % 9 = 0 THEN 'S9' ELSE label END AS label, graph_type = 'POLICY_ISOLATED' AS s4 FROM er), sp AS (SELECT original_id, list(DISTINCT split) AS s FROM ba GROUP BY 1)"
 
 
 @query("q54_batch_rules", f"""{BATCH_SQL} SELECT 'leak_' || a || '_' || b AS rule, 'error' AS severity, original_id::VARCHAR AS key FROM sp, (VALUES ('train', 'test'), ('dev', 'test'), ('train', 'dev')) v(a, b) WHERE list_contains(s, a) AND list_contains(s, b)
@@ -167,7 +182,7 @@ BATCH_SQL = f"{RHO_SQL}, ba AS (SELECT episode % 40 AS original_id, split, rho,
 def q54(spark, sf):
     ep, n, e = episode_graphs(spark, sf)
     r = ep.join(graphs.rho_v3(n, e, TEMPLATE), TEMPLATE)
-    b = r.select((F.col("episode") % 40).alias("original_id"), "split", "rho", F.when(F.col("episode") % 9 == 0, "S9").otherwise(graphs.label(F.col("rho"))).alias("label"), (F.col("graph_type") == "POLICY_ISOLATED").alias("s4"), "graph_type")
+    b = r.select(F.floor(F.col("episode") / 3).alias("original_id"), "split", "rho", F.when(F.col("episode") % 9 == 0, "S9").otherwise(graphs.label(F.col("rho"))).alias("label"), (F.col("graph_type") == "POLICY_ISOLATED").alias("s4"), "graph_type")
     return rules.batch_rules(b)
 
 
@@ -176,10 +191,10 @@ def q55(spark, sf):
     return rules.stratified(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 0.1, "42")
 
 
-@query("q56_leakage_check", "WITH s AS (SELECT d.doc_id, d.text, CASE WHEN l.quality = 1 THEN 'train' ELSE 'test' END AS split FROM documents d JOIN labels l USING (doc_id)) SELECT md5(text) AS key, count(*) AS rows, count(DISTINCT split) AS splits FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1")
+@query("q56_leakage_check", "WITH s AS (SELECT md5(coalesce(text, '')) AS key, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents) SELECT key, count(*) AS rows, count(DISTINCT split) AS splits FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1")
 def q56(spark, sf):
-    """Texts that labelled train and test rows share."""
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(F.md5("text").alias("key"), F.when(F.col("quality") == 1, "train").otherwise("test").alias("split"))
+    """Texts that train and test rows share, over all documents; copies leak."""
+    d = table(spark, sf, "documents").select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
     return d.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("split").alias("splits")).where("splits > 1")
 
 
