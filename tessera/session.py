@@ -45,6 +45,15 @@ def checkpoint(df: DataFrame, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of checkpoints that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {f.rsplit("/table-", 1)[0] + "/table-" + f.rsplit("/table-", 1)[1].split("/")[0] for f in t.inputFiles() if "/table-" in f}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like the wanted ones that no column of df has, in any case."""
     taken = {c.lower() for c in df.columns}
