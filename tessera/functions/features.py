@@ -50,11 +50,12 @@ def weight(role: Column, feature: str, fix_keyword: bool = False) -> Column:
     return out.otherwise(ROLE_WEIGHTS["default"].get(feature, 0.0))
 
 
-def with_features(rows, as_of: Column, query: str = "query"):
-    """rows have the memory's columns and the request's query."""
+def with_features(rows, as_of: Column, query: str | None = "query"):
+    """rows have the memory's columns and the request's query; without a query there is no keyword feature, and no content
+    is read."""
     return rows.withColumns({
         "summary": F.col("confidence"),
-        "keyword": keyword_overlap(F.col(query), F.col("content")),
+        "keyword": F.lit(0.0) if query is None else keyword_overlap(F.col(query), F.col("content")),
         "recency": recency(F.col("created_at"), as_of),
         "authority": authority(F.col("source")),
         "provenance": provenance(F.col("parent_event"), F.col("prov_agent"), F.col("prov_at"), F.col("version")),
@@ -62,4 +63,5 @@ def with_features(rows, as_of: Column, query: str = "query"):
 
 
 def rerank_score(role: Column, fix_keyword: bool = False) -> Column:
-    return sum((weight(role, f, fix_keyword) * F.col(f) for f in FEATURES), F.lit(0.0))
+    names = FEATURES if fix_keyword else [f for f in FEATURES if f != "keyword"]
+    return sum((weight(role, f, fix_keyword) * F.col(f) for f in names), F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import policies
+from tessera.operators import search
 from tessera.session import checkpoint
 
 
@@ -45,23 +46,23 @@ def hierarchical(requests: DataFrame) -> DataFrame:
     kinds = kinds.select("primary", "type_key", "pkey", "first", F.col("p.visibility").alias("vis"), F.col("p.clearance").alias("clearance"), F.col("p.zones").alias("zones"), F.col("p.audit").alias("audit"))
     seeds = kinds.groupBy("primary", "type_key").applyInPandas(_seeds, "primary string, type_key string, pkey string, seed string")
     rows = rows.join(seeds, ["primary", "type_key", "pkey"]).withColumn("bucket", F.concat_ws("|", "primary", "type_key", F.md5("seed")))
-    own = Window.partitionBy("bucket")
-    rows = rows.withColumn("at", F.row_number().over(own.orderBy(F.col("priority").desc(), "ord"))).withColumn("n", F.count(F.lit(1)).over(own))
+    rows = search.numbered(rows, ["bucket"], [F.col("priority").desc(), "ord"])
     rows = rows.withColumn("member_ord", F.when(F.col("at") == 1, 0).otherwise(F.col("n") - F.col("at") + 1).cast("int"))
-    groups = rows.groupBy("bucket").agg(policies.merged(F.transform(F.array_sort(F.collect_list(F.struct("member_ord", "policy"))), lambda s: s["policy"])).alias("merged"))
+    # merging is idempotent, so a bucket's distinct policies tell what all of its members would
+    groups = rows.groupBy("bucket").agg(F.collect_set("policy").alias("all"), F.first("policy").alias("one"), F.count(F.lit(1)).alias("k"))
+    groups = groups.withColumn("merged", F.when(F.col("k") == 1, F.col("one")).otherwise(policies.merged(F.concat("all", "all"))))
+    groups = groups.select("bucket", "merged", F.forall("all", lambda p: policies.compatible(p, F.col("merged"))).alias("fits"))
     rows = rows.join(groups, "bucket")
-    fits = F.min(policies.compatible(F.col("policy"), F.col("merged")).cast("int")).over(own) == 1
-    rows = rows.withColumn("mode", F.when((F.col("n") > 1) & fits, "shared").otherwise("independent"))
+    rows = rows.withColumn("mode", F.when((F.col("n") > 1) & F.col("fits"), "shared").otherwise("independent"))
     return rows.select("ord", "request_id", "bucket", "member_ord", "mode", F.col("primary").alias("scope"), "types", "merged", F.col("merged.visibility").alias("asked"), "policy", "n")
 
 
 def scope_only(requests: DataFrame) -> DataFrame:
     """As hierarchical, by primary scope alone; no policy, types united in order of appearance."""
-    rows = keyed(requests)
-    own = Window.partitionBy("primary")
-    rows = rows.withColumn("member_ord", F.row_number().over(own.orderBy(F.col("priority").desc(), "ord")) - 1).withColumn("n", F.count(F.lit(1)).over(own))
-    united = rows.groupBy("primary").agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("member_ord", "types"))), lambda s: s["types"]))).alias("all_types"))
-    rows = rows.join(united, "primary")
+    rows = search.numbered(keyed(requests), ["primary"], [F.col("priority").desc(), "ord"]).withColumn("member_ord", F.col("at") - 1)
+    seen = rows.select("primary", "member_ord", F.posexplode("types").alias("pos", "type")).groupBy("primary", "type").agg(F.min(F.struct("member_ord", "pos")).alias("first"))
+    united = seen.groupBy("primary").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "type"))), lambda s: s["type"]).alias("all_types"))
+    rows = rows.join(united, "primary", "left").withColumn("all_types", F.coalesce("all_types", F.array().cast("array<string>")))
     return rows.select("ord", "request_id", F.col("primary").alias("bucket"), "member_ord", F.when(F.col("n") > 1, "shared").otherwise("independent").alias("mode"), F.col("primary").alias("scope"), F.col("all_types").alias("types"), F.lit(None).cast("array<string>").alias("asked"), "policy", "n")
 
 
@@ -73,13 +74,21 @@ def stats(routed: DataFrame) -> DataFrame:
     return s.join(t).withColumn("shareable_ratio", F.when(F.col("requests") > 0, F.col("shared_requests") / F.col("requests")).otherwise(0.0))
 
 
+def classes(requests: DataFrame) -> DataFrame:
+    """ord, request_id, class: the least ord of those with the same scopes and policy, which overlap alike with all others."""
+    rows = keyed(requests).withColumn("ckey", F.md5(F.to_json(F.struct("all_scopes", "policy"))))
+    first = rows.groupBy("ckey").agg(F.min("ord").alias("class"))
+    return rows.join(first, "ckey").select("ord", "request_id", "class", "primary", "types", "all_scopes", "policy")
+
+
 def pairs(requests: DataFrame) -> DataFrame:
-    """a < b by ord that share a scope, with kind and score of their overlap and whether their policies agree."""
-    rows = keyed(requests).select("ord", "request_id", "all_scopes", "policy")
-    ex = rows.select("ord", F.explode(F.array_distinct("all_scopes")).alias("s"))
-    near = ex.toDF("a", "s").join(ex.toDF("b", "s"), "s").where("a < b").select("a", "b").distinct()
-    x, y = rows.select(F.col("ord").alias("a"), F.col("request_id").alias("ra"), F.col("all_scopes").alias("sa"), F.col("policy").alias("pa")), rows.select(F.col("ord").alias("b"), F.col("request_id").alias("rb"), F.col("all_scopes").alias("sb"), F.col("policy").alias("pb"))
-    return near.join(x, "a").join(y, "b").withColumn("o", policies.overlap(F.col("sa"), F.col("sb"))).select("a", "b", "ra", "rb", "o.kind", "o.score", "o.can_share", policies.compatible(F.col("pa"), F.col("pb")).alias("compatible"))
+    """a <= b, classes that share a scope, na and nb members, kind and score of their overlap, whether they may share, and
+    whether their policies agree. a = b tells of a class's members among each other, if it has several."""
+    rows = classes(requests).groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first("all_scopes").alias("s"), F.first("policy").alias("p"))
+    ex = rows.select("class", F.explode(F.array_distinct("s")).alias("scope"))
+    near = ex.toDF("a", "scope").join(ex.toDF("b", "scope"), "scope").where("a <= b").select("a", "b").distinct()
+    found = near.join(rows.toDF("a", "na", "sa", "pa"), "a").join(rows.toDF("b", "nb", "sb", "pb"), "b").where("a < b OR na > 1")
+    return found.withColumn("o", policies.overlap(F.col("sa"), F.col("sb"))).select("a", "b", "na", "nb", "o.kind", "o.score", "o.can_share", policies.compatible(F.col("pa"), F.col("pb")).alias("compatible"))
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,11 +107,21 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def by_overlap(requests: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """ord, request_id, component, scope (the component's most frequent primary scope, the first at ties), size."""
-    edges = pairs(requests).where((F.col("score") >= threshold) & F.col("compatible"))
-    rows = keyed(requests)
-    found = connected(rows.select(F.col("ord").alias("node")), edges)
-    rows = rows.join(found, rows["ord"] == found["node"])
+    """ord, request_id, component, scope (the component's most frequent primary scope, the first at ties), size, types (all
+    of its members', in order of name), merged (their policies as one). Components are found over classes of requests;
+    members of a class whose policy doesn't agree with itself stay alone."""
+    rows = checkpoint(classes(requests))
+    found = checkpoint(pairs(requests).where((F.col("score") >= threshold) & F.col("compatible")))
+    # a class that is alone and whose members don't agree with each other falls apart
+    bound = found.where("a = b").select(F.col("a").alias("bound"))
+    linked = connected(rows.select(F.col("class").alias("node")).distinct(), found.where("a < b"))
+    rows = rows.join(linked, rows["class"] == linked["node"]).join(bound, rows["class"] == bound["bound"], "left")
+    edged = found.where("a < b").select("a").union(found.where("a < b").select("b")).distinct().toDF("edged")
+    rows = rows.join(edged, rows["class"] == edged["edged"], "left")
+    rows = rows.withColumn("component", F.when(F.col("bound").isNull() & F.col("edged").isNull(), F.col("ord")).otherwise(F.col("component")))
     counts = rows.groupBy("component", "primary").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
     best = counts.groupBy("component").agg(F.max_by("primary", F.struct("n", -F.col("first"))).alias("scope"), F.sum("n").alias("size"))
-    return rows.join(best, "component").select("ord", "request_id", "component", "scope", "size")
+    types = rows.select("component", F.explode("types").alias("t")).groupBy("component").agg(F.sort_array(F.collect_set("t")).alias("types"))
+    merged = rows.groupBy("component").agg(F.collect_set("policy").alias("all"), F.count(F.lit(1)).alias("k"))
+    merged = merged.select("component", F.when(F.col("k") == 1, F.col("all")[0]).otherwise(policies.merged(F.concat("all", "all"))).alias("merged"))
+    return rows.join(best, "component").join(types, "component", "left").join(merged, "component").select("ord", "request_id", "component", "scope", "size", types["types"], "merged")

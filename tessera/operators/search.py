@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import policies, vectors
+from tessera.session import checkpoint
 
 #: Scores are compared and ranked at this many places, so that the order doesn't depend on the order of additions.
 PLACES = 9
@@ -56,26 +58,37 @@ def mean_vectors(members: DataFrame) -> DataFrame:
 
 
 def bucket_bases(members: DataFrame, rank: int = 64) -> DataFrame:
-    """bucket, member_ord, qvec (array) -> bucket, queries, lead, metric: what the pool's scores need.
-
-    With unit query columns Q, G = Q'Q = U L U', a memory's projection is known from its dots b = Q'e alone: its product with
-    the first query is lead . b and its squared norm b' metric b. Eigenvalues under 1e-6 of the largest are dropped.
-    A bucket is a group of one batch's requests, so it is small."""
-
-    def solve(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        f = frames.sort_values("member_ord")
-        q = np.array(f["qvec"].tolist(), float)
-        norms = np.linalg.norm(q, axis=1)
-        q /= np.where(norms == 0, 1, norms)[:, None]
-        values, u = np.linalg.eigh(q @ q.T)
+    """bucket, member_ord, qvec (array) -> bucket, basis, lead, size: the span of a bucket's unit query vectors.
+
+    The second moment M = sum of q q' has as many rows and columns as a vector has places, however many members a bucket
+    has: each partition adds up its own, one task per bucket adds those. Its eigenvectors span the queries; values
+    under 1e-6 of the largest are dropped, `rank` are kept at most. lead is the projection of the first member."""
+    shape = "bucket string, moment binary, lead array<double>"
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        moments: dict[str, np.ndarray] = {}
+        leads: dict[str, list[float]] = {}
+        for f in frames:
+            q = np.array(f["qvec"].tolist(), float)
+            norms = np.linalg.norm(q, axis=1) if len(f) else np.zeros(0)
+            q = q / np.where(norms == 0, 1, norms)[:, None] if len(f) else q
+            for name, at in f.groupby("bucket").indices.items():
+                moments[name] = moments.get(name, 0) + q[at].T @ q[at]
+                leads |= {name: q[k].tolist() for k in at if f["member_ord"].iloc[k] == 0}
+        if moments:
+            yield pd.DataFrame({"bucket": list(moments), "moment": [m.tobytes() for m in moments.values()], "lead": [leads.get(n) for n in moments]})
+
+    def solve(f: pd.DataFrame) -> pd.DataFrame:
+        lead = next(np.array(x) for x in f["lead"] if x is not None)
+        m = sum(np.frombuffer(x).reshape(len(lead), len(lead)) for x in f["moment"])
+        values, u = np.linalg.eigh(m)
         keep = values > 1e-6 * max(values.max(), 1e-300)
-        values, u = values[keep][::-1][:rank], u[:, keep][:, ::-1][:, :rank]
-        lead = u[0] @ u.T
-        metric = (u / values) @ u.T
-        size = float(np.sqrt((u[0] ** 2 * values).sum()))
-        return pd.DataFrame([(f["bucket"].iloc[0], q.tolist(), lead.tolist(), metric.tolist(), size)], columns=["bucket", "queries", "lead", "metric", "size"])
+        basis = u[:, keep][:, ::-1][:, :rank].T
+        z = basis @ lead
+        return pd.DataFrame([(f["bucket"].iloc[0], basis.tolist(), z.tolist(), float(np.linalg.norm(z)))], columns=["bucket", "basis", "lead", "size"])
 
-    return members.select("bucket", "member_ord", "qvec").groupBy("bucket").applyInPandas(solve, "bucket string, queries array<array<double>>, lead array<double>, metric array<array<double>>, size double")
+    parts = members.select("bucket", "member_ord", "qvec").mapInPandas(add, shape)
+    return parts.groupBy("bucket").applyInPandas(solve, "bucket string, basis array<array<double>>, lead array<double>, size double")
 
 
 def pool(buckets: DataFrame, members: DataFrame, memory: DataFrame, as_of: Column, k: int = 50, rank: int = 64, mode: str = "parity") -> DataFrame:
@@ -93,18 +106,82 @@ def pool(buckets: DataFrame, members: DataFrame, memory: DataFrame, as_of: Colum
     cut = lambda c: F.slice(c, 1, rank)
     small = small.select("unit", "memory_id", vectors.cosine_eps(vectors.normalise(cut(F.col("qvec"))), cut(F.col("embedding"))).alias("score"))
     bases = bucket_bases(members.join(n.where("n >= 3"), "bucket"), rank).withColumnRenamed("bucket", "unit")
-    large = rows.where("n >= 3").join(bases, "unit").withColumn("b", F.transform("queries", lambda q: vectors.dot(q, F.col("embedding"))))
-    length = F.sqrt(F.greatest(vectors.dot(F.col("b"), F.transform("metric", lambda m: vectors.dot(m, F.col("b")))), F.lit(0.0)))
+    onto = lambda v: F.transform("basis", lambda x: vectors.dot(x, v))
+    large = rows.where("n >= 3").join(bases, "unit").withColumn("z", onto(F.col("embedding")))
     if mode == "balanced":
-        top = F.array_max(F.transform("b", lambda x: x / ((1 + 1e-8) * (length + 1e-8))))
-    else:
-        top = vectors.dot(F.col("lead"), F.col("b")) / ((F.col("size") + 1e-8) * (length + 1e-8))
+        known = bases.join(members.select(F.col("bucket").alias("unit"), "qvec"), "unit").select("unit", onto(vectors.normalise(F.col("qvec"))).alias("own"))
+        large = large.drop("lead", "size").join(known.select("unit", F.col("own").alias("lead"), vectors.norm(F.col("own")).alias("size")), "unit")
+    top = vectors.dot(F.col("lead"), F.col("z")) / ((F.col("size") + 1e-8) * (vectors.norm(F.col("z")) + 1e-8))
     large = large.select("unit", "memory_id", top.alias("score"))
     clean = lambda s: F.when(F.isnan(s) | s.isNull() | (F.abs(s) == float("inf")), 0.0).otherwise(F.round(s, PLACES))
     scored = small.unionByName(large).groupBy("unit", "memory_id").agg(F.max("score").alias("score")).withColumn("score", clean(F.col("score")))
     return ranked(scored, ["unit"], k).withColumnRenamed("unit", "bucket")
 
 
+#: Vectors of a block of queries, and of rows.
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, similarity: str = "cosine") -> DataFrame:
+    """queries and rows: id long, vec array -> qid, id, score, rank: the first k rows of each query, all pairs scored.
+
+    Both sides are packed to matrices; each block of rows meets each block of queries by an equi-join on the block's
+    number, a matrix product scores the pairs, and only the first k of a query leave a block."""
+    def pack(size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, size):
+                    part = batch.slice(lo, size)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype("<i8").tobytes()]), pa.array([x.tobytes()])], ["ids", "x"])
+
+        return run
+
+    def scaled(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = np.frombuffer(ids, "<i8")
+        x = np.frombuffer(x, "<f8").reshape(len(ids), -1)
+        length = (x * x).sum(1)
+        if similarity == "cosine":
+            x = x / np.where(length == 0, 1, np.sqrt(length))[:, None]
+        return ids, x, length
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qi, qx, ri, rx in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                (qi, q, ql), (ri, r, rl) = scaled(qi, qx), scaled(ri, rx)
+                s = q @ r.T
+                if similarity == "euclid":
+                    s = -(ql[:, None] + rl[None, :] - 2 * s)
+                s = np.round(s, PLACES) + 0.0
+                least = np.partition(s, max(0, len(ri) - k), 1)[:, max(0, len(ri) - k)]
+                at, row = np.nonzero(s >= least[:, None])
+                order = np.lexsort((ri[row], -s[at, row], at))
+                at, row = at[order], row[order]
+                keep = np.arange(len(at)) - np.searchsorted(at, np.arange(len(qi)))[at] < k
+                at, row = at[keep], row[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(ri[row]), pa.array(s[at, row])], ["qid", "id", "score"])
+
+    q = checkpoint(queries.select("id", "vec").where("vec IS NOT NULL").mapInArrow(pack(QUERY_BLOCK), "ids binary, x binary").withColumn("n", F.monotonically_increasing_id()))
+    blocks = q.select(F.col("n").alias("block"))
+    r = rows.select("id", "vec").where("vec IS NOT NULL").mapInArrow(pack(ROW_BLOCK), "ids binary, x binary").withColumn("n", F.lit(1))
+    numbers = blocks.agg(F.sort_array(F.collect_list("block")).alias("blocks")).withColumn("n", F.lit(1))  # one number for QUERY_BLOCK queries
+    pairs = r.join(numbers, "n").select(F.explode("blocks").alias("n"), F.col("ids").alias("ri"), F.col("x").alias("rx")).join(q, "n").select(F.col("ids").alias("qi"), F.col("x").alias("qx"), "ri", "rx")
+    return top_k(pairs.mapInArrow(score, "qid long, id long, score double"), ["qid"], k, [F.col("score").desc(), F.col("id")])
+
+
+def numbered(rows: DataFrame, by: list[str], order: list, column: str = "at") -> DataFrame:
+    """Adds the place of each row in its group, from 1, and `n`, the group's size, without bringing a group into one task: rows
+    are sorted by ranges, and ranges are numbered behind those before them."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = [*by, *order]
+    dealt = checkpoint(rows.repartitionByRange(ranges, *line).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_k"))
+    group = Window.partitionBy(*by)
+    sizes = sizes.select(*by, "_part", F.coalesce(F.sum("_k").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_k").over(group).alias("n"))
+    at = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    return dealt.withColumn(column, at).join(sizes, [*by, "_part"]).withColumn(column, (F.col(column) + F.col("_before")).cast("int")).drop("_part", "_before")
+
+
 def random_projection(vectors_: np.ndarray, rank: int, width: int, keep: float = 1.0, init: str = "gauss", seed: int = 0) -> np.ndarray:
     """A fixed projection for `transform(embedding)`: a masked random map of a sample of query vectors, cut by SVD."""
     rng = np.random.default_rng(seed)

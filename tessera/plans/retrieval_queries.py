@@ -61,7 +61,8 @@ def pooled(spark, sf):
 @query("q27_rerank_role_weighted", f"{RERANKED} SELECT request_id, memory_id, rr AS rank, round(rerank, 6) AS score FROM k WHERE rr <= 20")
 def q27(spark, sf):
     r, m, pool = pooled(spark, sf)
-    rows = features.with_features(pool.join(m.select(*retrieval.PROFILE), "memory_id").join(r.select("request_id", "role", "query"), "request_id"), as_of())
+    wanted = [c for c in retrieval.PROFILE if c != "content"]
+    rows = features.with_features(pool.join(m.select(*wanted), "memory_id").join(r.select("request_id", "role"), "request_id"), as_of(), None)
     rows = rows.withColumn("rerank", F.round(features.rerank_score(F.col("role")), 9))
     top = search.top_k(rows, ["request_id"], 20, [F.col("rerank").desc(), F.col("pool_rank")])
     return top.select("request_id", "memory_id", "rank", F.round("rerank", 6).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tessera.functions import policies, vectors
@@ -21,12 +23,10 @@ def as_of():
 
 
 def flat(spark, sf, kind):
-    """Top K of the stated query set, each vector whose id is divisible by EVERY, over all rows."""
-    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    q = e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    rows = e.join(q).select("qid", "vec_id", F.round(vectors.SIMILARITIES[kind](F.col("q"), F.col("embedding")), search.PLACES).alias("score"))
-    top = search.top_k(rows, ["qid"], K, [F.col("score").desc(), F.col("vec_id")])
-    return top.select("qid", "vec_id", "rank", F.round("score", 6).alias("score"))
+    """Top K of the stated query set, each vector whose id is divisible by EVERY, over all rows, in blocks."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    top = search.nearest(e.where(F.col("id") % EVERY == 0), e, K, kind)
+    return top.select("qid", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("score"))
 
 
 def flat_sql(score):
@@ -109,6 +109,14 @@ def q08(spark, sf):
     return views.events(spark, sf).where(f.column(newest(spark, sf)) & (F.get_json_object("metadata", "$.k") != "7")).select("memory_id", "scope_id", "memory_type", "confidence")
 
 
+@query("q73_filter_scopes_metadata", f"""{views.with_views(views.EVENT_SQL)} SELECT memory_id, scope_id FROM v_event WHERE scope_id IN ('user/1', 'user/2', 'user/3', 'user/5', 'user/8', 'user/13') AND json_extract_string(metadata, '$.k')::INT BETWEEN 10 AND 19""")
+def q73(spark, sf):
+    """O-12: a filter for each of ten metadata values, over the same scopes."""
+    e, scopes = views.events(spark, sf), ("user/1", "user/2", "user/3", "user/5", "user/8", "user/13")
+    keep = [M.Filter(scopes=scopes, metadata={"k": str(k)}).column(newest(spark, sf)) for k in range(10, 20)]
+    return e.where(reduce(lambda x, y: x | y, keep)).select("memory_id", "scope_id")
+
+
 @query("q09_access_control", f"""{views.with_views(views.MEMORY_SQL, views.CHAIN_SQL)},
     ag AS (SELECT DISTINCT node, role FROM v_chain),
     en AS (SELECT *, CASE WHEN scope_id = 'task/alpha/shared' THEN 'task_shared_episodic' ELSE 'agent_private' END AS layer, vec_id % 8 AS source_node, CASE WHEN list_contains(visibility, 'restricted') THEN 2 ELSE 1 END AS need FROM v_memory)
