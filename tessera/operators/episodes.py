@@ -15,7 +15,8 @@ SLOTS = (
 )
 # What each node type writes, in order.
 NODE_SLOTS = {"PLANNER": ("query_intent", "scratch", "plan"), "SOLVER": ("query_intent", "scratch", "conclusion"), "VERIFIER": ("query_intent", "scratch", "audit_report")}
-META_KEYS = ("slot", "scope_layer", "source_node_id", "hop_index", "topo_index", "parent_artifact_ids", "is_gold_evidence", "required_clearance", "episode_id", "agent_role")
+# Keys that the metadata of every artifact must have.
+META_KEYS = ("slot", "scope_layer", "source_node_id", "hop_index", "topo_index", "parent_artifact_ids", "required_clearance", "is_gold_evidence", "dataset", "episode_id")
 EPOCH = 1735689600
 
 

@@ -35,6 +35,19 @@ def false_merges(results: DataFrame, conflicts: DataFrame) -> DataFrame:
     return a.withColumn("rate", F.when(F.col("conflicts") > 0, F.col("merged") / F.col("conflicts")).otherwise(0.0))
 
 
+def rates(results: DataFrame) -> DataFrame:
+    """requests, shown, duplicate_rate (rows whose entry was shown before), reuse_rate (entries of a bucket that several of its
+    members use), trigger_rate (requests that fell back)."""
+    per = results.groupBy("request_id").agg(F.bool_or("fallback").alias("fired"))
+    fired = per.agg(F.count(F.lit(1)).alias("requests"), F.count_if("fired").alias("fired"), F.lit(1).alias("one"))
+    each = results.where("memory_id IS NOT NULL").groupBy("memory_id").agg(F.count(F.lit(1)).alias("n"))
+    shown = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shown"), F.count(F.lit(1)).alias("kinds"), F.lit(1).alias("one"))
+    used = results.where("bucket IS NOT NULL AND memory_id IS NOT NULL").groupBy("bucket", "memory_id").agg(F.count(F.lit(1)).alias("n"))
+    used = used.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("n") > 1).alias("twice"), F.lit(1).alias("one"))
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return fired.join(shown, "one").join(used, "one").select("requests", "shown", F.when(F.col("shown") > 0, 1 - F.col("kinds") / F.col("shown")).otherwise(0.0).alias("duplicate_rate"), rate("twice", "pairs").alias("reuse_rate"), rate("fired", "requests").alias("trigger_rate"))
+
+
 def report(results: DataFrame, gold: DataFrame, conflicts: DataFrame, k: int = 10) -> DataFrame:
     """One row: recall, mrr, evaluated, requests, first_stage, savings, conflicts, merged, rate."""
     from tessera.operators.retrieval import counters

@@ -66,6 +66,13 @@ def scope_only(requests: DataFrame) -> DataFrame:
     return rows.select("ord", "request_id", F.col("primary").alias("bucket"), "member_ord", F.when(F.col("n") > 1, "shared").otherwise("independent").alias("mode"), F.col("primary").alias("scope"), F.col("all_types").alias("types"), F.lit(None).cast("array<string>").alias("asked"), "policy", "n")
 
 
+def forced(requests: DataFrame) -> DataFrame:
+    """The control: one bucket for all requests, whatever their scopes, types and policies."""
+    total = requests.agg(F.count(F.lit(1)).alias("n"))
+    rows = requests.select("ord", "request_id", "policy", F.lit(1).alias("one")).join(total.withColumn("one", F.lit(1)), "one")
+    return rows.select("ord", "request_id", F.lit("all").alias("bucket"), F.when(F.col("n") > 1, "shared").otherwise("independent").alias("mode"), "policy", "n")
+
+
 def stats(routed: DataFrame) -> DataFrame:
     """Totals and sizes of the shared buckets."""
     sizes = routed.where("mode = 'shared'").groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))

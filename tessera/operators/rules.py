@@ -50,6 +50,50 @@ def audit_rules(artifacts: DataFrame, agents: DataFrame, key: list[str], mandato
     return union(issues(twice, "unique_everywhere", "error", ident), issues(range_, "clearance_range", "error", ident), issues(sealed, "clearance_reachable", "warning", ident), *missing)
 
 
+VISIBILITY = ("owner", "team", "session", "public", "restricted")
+ROLES = ("planner", "solver", "verifier", "custom")
+
+
+def audit_episodes(rows: DataFrame, version: str = "1.0.0") -> DataFrame:
+    """Rules over episodes as they are written, nested. All but two look at one episode at a time, so they are columns; ids that
+    several episodes have and items with several questions or answers are aggregates. An empty result is a clean batch."""
+    from tessera.operators.episodes import NODE_SLOTS
+    from tessera.operators.graphs import GRAPH_TYPES
+
+    e, nodes, agents, requests = F.col("memory_entries"), F.col("nodes"), F.col("agents"), F.col("retrieval_requests")
+    known = F.transform(e, lambda x: x["memory_id"])
+    any_ = lambda xs, f: F.coalesce(F.exists(xs, lambda x: F.coalesce(f(x), F.lit(False))), F.lit(False))
+    isolated = F.col("graph_type") == "POLICY_ISOLATED"
+    lacks = lambda x: any_(x, lambda i: ~F.array_contains(known, i))
+    solver_hop = F.coalesce(F.array_max(F.transform(F.filter(nodes, lambda n: n["node_type"] == "SOLVER"), lambda n: F.coalesce(n["hop_index"], F.lit(0)))), F.lit(0))
+    want = F.create_map(*[x for t, ss in NODE_SLOTS.items() for x in (F.lit(t), F.sort_array(F.array(*map(F.lit, ss))))])
+    slots = lambda n: F.sort_array(F.array_distinct(F.transform(F.filter(e, lambda x: x["slot"].isNotNull() & (x["source_node_id"] == n["node_id"])), lambda x: x["slot"])))
+    has_audit = any_(e, lambda x: x["slot"] == "audit_report")
+    part = lambda n: F.sort_array(F.coalesce(n["produced_artifact_ids"], F.array().cast("array<string>")))
+    checks = [
+        ("enum", "error", ~(F.col("graph_type").isin(*GRAPH_TYPES) & F.col("reasoning_path_type").isin("GoT", "CoT", "ToT") & F.col("rho_subset").isin("S1", "S2", "S3", "S4"))),
+        ("hop_count", "warning", (F.col("graph_type") == "LINEAR") & (solver_hop != F.col("hop_count"))),
+        ("conflict", "error", isolated != F.coalesce("policy_conflict", F.lit(False))), ("s4_missing", "warning", isolated & ~F.coalesce("s4_eligible", F.lit(False))),
+        ("node_type", "error", any_(nodes, lambda n: ~n["node_type"].isin("PLANNER", "SOLVER", "VERIFIER"))),
+        ("unique_id", "error", F.size(F.array_distinct(known)) < F.size(known)), ("parent", "error", any_(e, lambda x: lacks(x["parent_artifact_ids"]))),
+        ("shared_owner", "error", any_(e, lambda x: F.startswith(x["scope_layer"], F.lit("task_shared_")) & (x["visibility"] == "owner"))),
+        ("agent_policy", "error", any_(agents, lambda a: a["policy"]["clearance"].isNull() | any_(a["policy"]["visibility"], lambda v: ~v.isin(*VISIBILITY)))), ("agent_role", "warning", any_(agents, lambda a: ~a["role"].isin(*ROLES))),
+        ("query_empty", "warning", any_(requests, lambda r: F.coalesce(r["query"], F.lit("")) == "")), ("scope_lists", "error", any_(requests, lambda r: r["private"].isNull() | r["shared"].isNull() | r["workspace"].isNull() | r["governed"].isNull())),
+        ("slots", "error", any_(nodes, lambda n: slots(n) != F.coalesce(F.element_at(want, n["node_type"]), F.array().cast("array<string>")))),
+        ("metadata", "error", any_(e, lambda x: x["slot"].isNotNull() & (x["scope_layer"].isNull() | x["source_node_id"].isNull() | x["topo_index"].isNull() | x["required_clearance"].isNull() | x["is_gold_evidence"].isNull()))),
+        ("version", "error", ~F.col("meta.schema_version").eqNullSafe(F.lit(version))),
+        ("produced", "error", any_(nodes, lambda n: (F.sort_array(F.coalesce(F.map_values(n["produced_by_slot"]), F.array().cast("array<string>"))) != part(n)) | lacks(n["produced_artifact_ids"]))),
+        ("clearance", "error", any_(e, lambda x: ~x["required_clearance"].between(0, 3))), ("audit", "error", has_audit != isolated),
+        ("gold", "error", any_(F.col("ground_truth"), lambda g: ~F.array_contains(known, g["memory_id"]))),
+        ("created_at", "error", (F.coalesce("meta.created_at", F.lit("")) != "") & ~F.contains("meta.created_at", F.lit("T"))), ("rollout", "error", F.coalesce("meta.rollout_llm", F.lit("")) == ""),
+    ]
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, s, c in checks]))
+    own = rows.select("episode_id", F.explode(found).alias("f")).select("f.rule", "f.severity", F.col("episode_id").alias("key"))
+    ids = rows.select("episode_id", F.explode(F.array_distinct(known)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    told = rows.groupBy("original_id").agg(F.count_distinct(F.struct(F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit("")))).alias("n")).where("n > 1")
+    return union(own, issues(ids, "unique_everywhere", "error", F.col("id")), issues(told, "divergent", "error", F.col("original_id")))
+
+
 def batch_rules(episodes: DataFrame) -> DataFrame:
     """episodes: original_id, split, rho, label, s4, graph_type. Leakage between splits, placement of S4, label against rho."""
     from tessera.operators.graphs import label
@@ -71,17 +115,44 @@ def statistics(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("rho"), 4).alias("mean"), F.bround(F.stddev_pop("rho"), 4).alias("std"), F.min("rho").alias("low"), F.max("rho").alias("high"))
 
 
-def stratified(rows: DataFrame, by: str, ident: str, ratio: float, seed: str) -> DataFrame:
-    """The first max(1, floor(n * ratio)) of each stratum in an order that only depends on seed and id."""
+def stratified(rows: DataFrame, by: str | None, ident: str, ratio: float, seed: str) -> DataFrame:
+    """The first max(1, floor(n * ratio)) of each stratum, or of all rows without one, in an order that only depends on seed and
+    id; no stratum is ever in one task."""
+    from tessera.operators.search import numbered
+
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col(ident).cast("string")))
-    n = F.count(F.lit(1)).over(Window.partitionBy(by))
-    at = F.row_number().over(Window.partitionBy(by).orderBy(order, ident))
-    return rows.withColumn("_n", n).withColumn("_at", at).where(F.col("_at") <= F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))).drop("_n", "_at")
+    at = numbered(rows.withColumn("_order", order), [by] if by else [], ["_order", ident], "_at")
+    return at.where(F.col("_at") <= F.greatest(F.lit(1), F.floor(F.col("n") * ratio))).drop("n", "_at", "_order")
+
+
+def registry(rows: DataFrame, dev: DataFrame, ident: str, rest: str = "train") -> DataFrame:
+    """ident, split: dev for those that were drawn, else `rest`."""
+    return rows.join(dev.select(F.col(ident).alias("_dev")).distinct(), F.col(ident) == F.col("_dev"), "left").select(ident, F.when(F.col("_dev").isNotNull(), "dev").otherwise(rest).alias("split"))
+
+
+def contract(rows: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """Artifacts whose metadata, a map, lacks keys that it must have: memory_id, missing."""
+    from tessera.operators.episodes import META_KEYS
+
+    missing = F.array_except(F.array(*map(F.lit, META_KEYS)), F.coalesce(F.map_keys(metadata), F.array().cast("array<string>")))
+    return rows.select("memory_id", F.sort_array(missing).alias("missing")).where(F.size("missing") > 0)
+
+
+def slot_sets(artifacts: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
+    """Nodes whose slots are not exactly those that their type writes: key, node, slots, expected."""
+    from tessera.operators.episodes import NODE_SLOTS
+
+    want = F.create_map(*[x for t, ss in NODE_SLOTS.items() for x in (F.lit(t), F.sort_array(F.array(*map(F.lit, ss))))])
+    have = artifacts.groupBy(*key, "node").agg(F.sort_array(F.collect_set("slot")).alias("slots"))
+    rows = nodes.join(have, [*key, "node"], "left").withColumn("slots", F.coalesce("slots", F.array().cast("array<string>"))).withColumn("expected", F.element_at(want, F.col("node_type")))
+    return rows.where("slots <> expected").select(*key, "node", "slots", "expected")
 
 
-def policy_rules(episodes: DataFrame, agents: DataFrame, memory: DataFrame, key: list[str]) -> DataFrame:
-    """Rules of episodes before they are written. episodes: key, graph_type, s4, hops, rho, answer; agents: key, agent, role, scopes,
+def policy_rules(episodes: DataFrame, agents: DataFrame, memory: DataFrame, key: list[str], keyed: bool = False) -> DataFrame:
+    """Rules of episodes before they are written; with keyed, each issue carries its episode's key too. episodes: key, graph_type, s4, hops, rho, answer; agents: key, agent, role, scopes,
     clearance, restricted_scope; memory: key, memory_id, layer, required_clearance, content, embedding."""
+    also = key if keyed else []
+    issue = lambda rows, rule, severity, ident: rows.select(*also, F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), ident.cast("string").alias("key"))
     k = F.concat_ws(":", *(F.col(x).cast("string") for x in key))
     sealed = F.array_contains("scopes", F.col("restricted_scope"))
     verifier = F.col("role") == "verifier"
@@ -92,15 +163,15 @@ def policy_rules(episodes: DataFrame, agents: DataFrame, memory: DataFrame, key:
     open_layers = F.startswith("layer", F.lit("workspace_semantic")) | (F.col("layer") == "task_shared_episodic")
     leaks = memory.join(episodes.select(*key, "answer"), key).where(open_layers & (F.char_length(F.trim("answer")) >= 2) & F.contains("content", F.trim("answer")))
     return union(
-        issues(ep.where(~F.coalesce("workspace", F.lit(False))), "workspace_empty", "error", k),
-        issues(agents.where(F.size("scopes") == 0), "agent_scopes", "error", F.col("agent")),
-        issues(agents.where(verifier & ~sealed), "verifier_scope", "error", F.col("agent")), issues(agents.where(~verifier & sealed), "other_scope", "error", F.col("agent")),
-        issues(agents.where(F.col("clearance") != F.when(verifier, 2).otherwise(1)), "agent_clearance", "error", F.col("agent")),
-        issues(ep.where((F.col("s4") | isolated) & ~F.col("has_verifier")), "verifier_missing", "error", k), issues(ep.where(F.col("has_verifier") & ~isolated), "verifier_unexpected", "error", k),
-        issues(memory.where("layer = 'restricted' AND required_clearance <> 2"), "restricted_clearance", "error", F.col("memory_id")),
-        issues(memory.groupBy(*key, "memory_id").count().where("count > 1"), "unique_id", "error", F.col("memory_id")),
-        issues(ep.where("NOT rho BETWEEN 0 AND 1"), "rho_range", "error", k), issues(ep.where("coalesce(agents, 0) < hops + 1"), "agent_count", "error", k),
-        issues(memory.where("embedding IS NOT NULL"), "embedding_null", "error", F.col("memory_id")), issues(leaks, "answer_leak", "warning", F.col("memory_id")),
+        issue(ep.where(~F.coalesce("workspace", F.lit(False))), "workspace_empty", "error", k),
+        issue(agents.where(F.size("scopes") == 0), "agent_scopes", "error", F.col("agent")),
+        issue(agents.where(verifier & ~sealed), "verifier_scope", "error", F.col("agent")), issue(agents.where(~verifier & sealed), "other_scope", "error", F.col("agent")),
+        issue(agents.where(F.col("clearance") != F.when(verifier, 2).otherwise(1)), "agent_clearance", "error", F.col("agent")),
+        issue(ep.where((F.col("s4") | isolated) & ~F.col("has_verifier")), "verifier_missing", "error", k), issue(ep.where(F.col("has_verifier") & ~isolated), "verifier_unexpected", "error", k),
+        issue(memory.where("layer = 'restricted' AND required_clearance <> 2"), "restricted_clearance", "error", F.col("memory_id")),
+        issue(memory.groupBy(*key, "memory_id").count().where("count > 1"), "unique_id", "error", F.col("memory_id")),
+        issue(ep.where("NOT rho BETWEEN 0 AND 1"), "rho_range", "error", k), issue(ep.where("coalesce(agents, 0) < hops + 1"), "agent_count", "error", k),
+        issue(memory.where("embedding IS NOT NULL"), "embedding_null", "error", F.col("memory_id")), issue(leaks, "answer_leak", "warning", F.col("memory_id")),
     )
 
 

@@ -73,12 +73,13 @@ def q45(spark, sf):
     return graphs.levels(nodes, edges, ["episode"]).select("episode", F.col("node").cast("long").alias("node"), "level")
 
 
-RHO_SQL = f"""WITH RECURSIVE {EPISODES_SQL}, {TEMPLATES_SQL}, cl AS (SELECT graph_type, hops, dst AS node, src AS anc FROM te UNION SELECT c.graph_type, c.hops, c.node, e.src FROM cl c JOIN te e ON e.graph_type = c.graph_type AND e.hops = c.hops AND e.dst = c.anc),
+RHO_CTES = f"""{TEMPLATES_SQL}, cl AS (SELECT graph_type, hops, dst AS node, src AS anc FROM te UNION SELECT c.graph_type, c.hops, c.node, e.src FROM cl c JOIN te e ON e.graph_type = c.graph_type AND e.hops = c.hops AND e.dst = c.anc),
     so AS (SELECT graph_type, hops, node FROM tn WHERE node_type = 'SOLVER'), ac AS (SELECT c.graph_type, c.hops, c.node, c.anc AS item FROM cl c JOIN so USING (graph_type, hops, node) JOIN so s2 ON s2.graph_type = c.graph_type AND s2.hops = c.hops AND s2.node = c.anc
       UNION SELECT graph_type, hops, node, node FROM so UNION SELECT graph_type, hops, node, '#plan' FROM so),
     st AS (SELECT graph_type, hops, node, list(item) AS items FROM ac GROUP BY ALL),
     pr AS (SELECT a.graph_type, a.hops, len(list_intersect(a.items, b.items))::DOUBLE / len(list_distinct(list_concat(a.items, b.items))) AS iou FROM st a JOIN st b ON a.graph_type = b.graph_type AND a.hops = b.hops AND a.node < b.node),
     rh AS (SELECT graph_type, hops, round_even(avg(iou), 4) AS rho FROM pr GROUP BY ALL), er AS (SELECT ep.*, rho, CASE WHEN rho > 0.6 THEN 'S1' WHEN rho > 0.4 THEN 'S2' ELSE 'S3' END AS label FROM ep JOIN rh USING (graph_type, hops))"""
+RHO_SQL = f"WITH RECURSIVE {EPISODES_SQL}, {RHO_CTES}"
 
 
 @query("q46_rho_v3", f"{RHO_SQL} SELECT episode, graph_type, hops, rho FROM er")
