@@ -1,7 +1,12 @@
 """The corpus pipeline: quality rules, exact dedup, near duplicates, mixing, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared folder
-and reads it again as the next stage's documents. All stages but the last return the columns of their documents.
+and reads it again as the next stage's documents. All stages but the last return the columns of their documents, in their
+order and whatever their names; extra columns are carried.
+
+Null and empty texts have no words, so the quality rules reject them; null ids, repeated rows and texts of any length are
+treated as each operator's docstring says: of equal texts the row with the largest id stays, and the mix may repeat
+a document up to three times. An empty table gives an empty result.
 """
 
 from __future__ import annotations
