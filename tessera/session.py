@@ -11,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -37,11 +38,20 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 def checkpoint(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cuts the lineage of df: a Parquet table in the shared folder, which survives executors, read again. With `by`, the
-    rows of each value of that column are files of their own, so that readers of one value skip the others."""
+    rows of each value of that column are files of their own, so that readers of one value skip the others. Unless the
+    session says how large batches for Python are, those of the plan that is run here have BATCH bytes at most."""
     spark = df.sparkSession
     path = scratch(spark, "table")
     out = df.write.option("compression", "zstd")
-    (out.partitionBy(by) if by else out).parquet(path)
+    out = out.partitionBy(by) if by else out
+    own = spark.conf.get(BATCH_KEY, None) is None
+    if own:
+        spark.conf.set(BATCH_KEY, BATCH)
+    try:
+        out.parquet(path)
+    finally:
+        if own:
+            spark.conf.unset(BATCH_KEY)
     return spark.read.schema(df.schema).parquet(path)
 
 
