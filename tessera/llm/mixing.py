@@ -1,16 +1,16 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source gets a target: the budget is shared by weight, no source above `passes` times its size, the excess reshared
-by weight. A source's documents stand in a shuffled order that depends on seed and content alone and is repeated for up to
+by weight. A source's documents stand in a shuffled order that depends on seed, id and text alone and is repeated for up to
 `passes` rounds. A copy's virtual finish time is the source's cumulative size up to its end, divided by the source's
-target. Copies sorted by finish time over all sources are taken until the budget is spent.
+target. Copies are sorted by finish time over all sources, by ranges, and taken until the budget is spent.
 
 No source is ever in one task: cumulative sizes come from totals of (source, hash bucket), whose number follows the rows,
-and a window within each bucket. The point in the global order where the budget ends is found by totals of ranges of
-finish times, refined until the range that holds it has few rows. Documents of size 0 are never taken and null sources
-are a source of their own, last in order. Repeated rows are copies of their own; their order among each other doesn't
-matter, as they are alike. Clashing column names are no matter: only id, text and source are read. An empty table gives
-an empty result.
+and a window within each bucket; the range in which the budget ends is found by the ranges' totals, and only that one is
+added up row by row. Documents of size 0 are never taken and null sources are a source of their own, last in order. Null ids
+count as an empty one; rows that share an id are told apart by their texts, and rows that share both are copies of their own,
+whose order among each other doesn't matter, as they are alike. Only id, text and source are read; other columns
+are carried by `carry`, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,18 +18,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint
+from tessera.session import checkpoint, free_names
 
 WEIGHTS = (1, 2, 3)
 PASSES = 3
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a hash bucket, and of the range that is sorted at last, on average.
+#: Rows of a hash bucket, on average.
 BUCKET_ROWS = 2000
 
 
-def order_key(doc_id: Column, seed: str = SEED) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), doc_id.cast("string")))
+def order_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    none = F.lit("")
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), none), F.coalesce(text, none)))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -47,11 +48,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> DataFram
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, passes: int = PASSES, seed: str = SEED, carry: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each row; carry keeps all columns of docs instead, with
-    `_taken`, and `_size` (these names must be free)."""
+    """doc_id, source, size, source_size, target, taken for each row; carry gives the rows
+    of docs instead, each as often as it is taken."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
-    rows = checkpoint(rows.withColumn("h", F.coalesce(order_key(F.col("doc_id"), seed), F.lit(""))))
+    rows = checkpoint(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), order_key(F.col(doc_id), F.col(text), seed).alias("h")))
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     goal = targets(per.select("source", "source_size"), weights, passes)
     n_rows, budget = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
@@ -73,28 +73,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         return F.when(F.col("target") > 0, (F.lit(k) * F.col("source_size") + F.col("place")) / F.col("target"))
 
     copies = rows.where("size > 0 AND target > 0").select("source", "h", "doc_id", "place", "size", F.posexplode(F.array(*[finish(k) for k in range(passes)])).alias("k", "finish"))
-    lo, hi, spent = 0.0, copies.agg(F.max("finish")).first()[0], 0
-    hi = (hi or 0.0) * 1.000001 + 1e-9
+    line = ["finish", F.col("source").asc_nulls_last(), "h", "doc_id", "place"]
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    queue = checkpoint(copies.repartitionByRange(ranges, *line).sortWithinPartitions(*line).withColumn("part", F.spark_partition_id()))
+    spent = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))  # a row a range
+    parts = queue.groupBy("part").agg(F.sum("size").alias("total")).withColumn("spent", spent)
+    over = parts.where(F.col("spent") > budget).orderBy("part").first()
     cut = None
-    while hi is not None and n_rows:
-        part = copies.where((F.col("finish") >= lo) & (F.col("finish") < hi))
-        bin_of = F.least(F.floor((F.col("finish") - lo) / (hi - lo) * 1024), F.lit(1023)).cast("int")
-        bins = part.groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min("finish").alias("first"), F.max("finish").alias("last")).orderBy("bin").collect()
-        found = None
-        for b in bins:
-            if spent + b["size"] > budget:
-                found = b
-                break
-            spent += b["size"]
-        if found is None:
-            break  # all copies fit
-        if found["n"] <= 4 * BUCKET_ROWS or found["first"] == found["last"]:
-            line = Window.orderBy("finish", F.col("source").asc_nulls_last(), "h", "doc_id", "place")
-            last = part.where((F.col("finish") >= found["first"]) & (F.col("finish") <= found["last"])).withColumn("sum", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-            over = last.where(F.col("sum") + spent > budget).orderBy("finish", F.col("source").asc_nulls_last(), "h", "doc_id", "place").first()
-            cut = over
-            break
-        lo, hi = found["first"], found["last"] * (1 + 1e-15) + 1e-300
+    if over is not None:  # the first copy that doesn't fit
+        upto = F.sum("size").over(Window.partitionBy("part").orderBy(*line).rowsBetween(Window.unboundedPreceding, 0))
+        last = queue.where(F.col("part") == over["part"]).withColumn("spent", upto + (over["spent"] - over["total"]))
+        cut = last.where(F.col("spent") > budget).orderBy(*line).first()
     if cut is None:
         wanted = [F.lit(True)] * passes
     else:
@@ -103,23 +92,21 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         before = F.when(F.col("source").eqNullSafe(c_source), key).when(F.col("source").isNull(), F.lit(False)).otherwise(missing | (F.col("source") < c_source))
         wanted = [(finish(k) < cut["finish"]) | ((finish(k) == cut["finish"]) & before) for k in range(passes)]
     took = sum((F.when(w, F.col("size")).otherwise(0) for w in wanted), F.lit(0))
-    out = rows.select("doc_id", "source", "size", "source_size", F.col("target"), F.coalesce(F.when((F.col("size") > 0) & (F.col("target") > 0), took), F.lit(0)).cast("long").alias("taken"))
-    return out if not carry else _carry(docs, out, doc_id, text, source)
+    out = rows.select("doc_id", "source", "size", "source_size", "target", "h", F.coalesce(F.when((F.col("size") > 0) & (F.col("target") > 0), took), F.lit(0)).cast("long").alias("taken"))
+    return out.drop("h") if not carry else _carry(docs, out, doc_id, text, source, seed)
 
 
-def _carry(docs: DataFrame, out: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """docs, each row as often as it is taken. Rows that repeat id, source and size share what was taken of them."""
+def _carry(docs: DataFrame, out: DataFrame, doc_id: str, text: str, source: str, seed: str) -> DataFrame:
+    """docs, each row as often as it is taken. Rows that repeat id, source and text share what was taken of them."""
     n = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    per = out.groupBy("doc_id", "source", "size").agg(F.sum(n).alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
-    per = per.select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies", "_rows")
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.withColumn("_size", size)
-    d = d.join(per, d[doc_id].eqNullSafe(F.col("_i")) & d[source].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    whole, rest = F.floor(F.col("_copies") / F.col("_rows")).cast("int"), (F.col("_copies") % F.col("_rows")).cast("int")
-    alike = Window.partitionBy("_i", "_s", "_z").orderBy(text)
-    d = d.withColumn("_nth", F.when(F.col("_rows") > 1, F.row_number().over(alike)).otherwise(1))
-    times = whole + F.when(F.col("_nth") <= rest, 1).otherwise(0)
-    return d.withColumn("_times", times).where("_times > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    h, copies, rows, src, key, nth, k = free_names(docs, "h", "copies", "rows", "src", "key", "nth", "k")
+    per = out.groupBy("source", "h").agg(F.sum(n).alias(copies), F.count(F.lit(1)).alias(rows)).where(F.col(copies) > 0).select(F.col("source").alias(src), F.col("h").alias(h), copies, rows)
+    d = docs.withColumn(key, order_key(F.col(doc_id), F.col(text), seed))
+    d = d.join(per, (F.col(key) == F.col(h)) & d[source].eqNullSafe(F.col(src)))
+    many = d.where(F.col(rows) > 1).withColumn(nth, F.row_number().over(Window.partitionBy(src, h).orderBy(src)))
+    d = d.where(F.col(rows) == 1).withColumn(nth, F.lit(1)).union(many)
+    times = F.floor(F.col(copies) / F.col(rows)).cast("int") + F.when(F.col(nth) <= F.col(copies) % F.col(rows), 1).otherwise(0)
+    return d.withColumn(k, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
@@ -134,7 +121,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def op10_sql() -> str:
     return f"""
     WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-                      md5('{SEED}:' || doc_id::VARCHAR) AS h FROM documents),
+                      md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS h FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
     w AS (SELECT *, ([1, 2, 3])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, ({PASSES} * source_size)::DOUBLE AS cap FROM s),
     l AS (SELECT *, cap / weight AS ratio,
