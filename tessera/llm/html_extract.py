@@ -1,17 +1,20 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded hierarchically.
 
 A page becomes a tree of block elements with runs of text as leaves. Each node has features of its tag, its attributes'
-tokens, its ancestors, its subtree (text, links, density), its depth and its siblings. Trees, boosted on logistic loss, give
-the log-odds that a node holds main text. Decoding maximises the sum over the tree under the rule that below a
+tokens, its ancestors, its subtree (text, links, density), its depth and its siblings. Tokens are hashed to SLOTS; what a
+slot tells for or against main text is learned with the trees, from how often blocks of either kind have it. Trees, boosted on
+logistic loss, give the log-odds that a node holds main text. Decoding maximises the sum over the tree under the rule that below a
 rejected node everything is rejected, so an ancestor and a descendant never contradict each other; runs of accepted
 parents that are accepted themselves are the text.
 
 No page has labels, so the trees are trained on layouts drawn from a small grammar of article and chrome blocks, whose
-labels are known (LAYOUTS of them, a fixed seed). Null or empty html gives an empty text. Broken markup is read as
+labels are known (LAYOUTS of them, a fixed seed), with class names from a vocabulary of usual ones and from made-up ones. Null or empty html gives an empty text. Broken markup is read as
 browsers do in the plain cases: `<p>` ends an open paragraph, stray end tags are skipped, unclosed elements end with their
 parent. Text of buttons, selects, objects, templates and drawings is left out; without an end tag, only up to the next block
-or, in a drawing, the next element of HTML (a template then holds the rest of the page, as in browsers). Texts of any length are read whole. Repeated rows are read one by one, columns that exist already keep their
-meaning, as only html is read. An empty table gives an empty result.
+or, in a drawing, the next element of HTML (a template then holds the rest of the page, as in browsers). A tag that the page's end cuts off is dropped. Nodes whose
+scores tie at 0 are rejected. Texts of any length are read whole, in time that grows with their length. Repeated rows are read one by
+one; only html is read, other columns stay, and the result takes the place of a column of its name. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 
 LAYOUTS, TREES, DEPTH, RATE, BINS = 400, 40, 3, 0.25, 32
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+CUT = re.compile("<[a-zA-Z/!?]")
 WORD = re.compile("[a-z]+")
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # Elements by their part in a page.
@@ -45,12 +50,20 @@ CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td
 SCOPE = frozenset("ul ol dl table article section div body html td".split())
 BREAKOUT = CLOSES_P | frozenset("b big body br center code dd dt em embed head i img li meta nobr ruby s small span strong strike sub sup tt u var".split())
 POINTS = frozenset("foreignobject desc title".split())
-# Attribute tokens that name chrome, and main text.
-BAD_TOKENS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation "
-    "newsletter notice notices overlay pager pagination popup promo promoted recommend related reply respond search share sharing side sidebar signup social sponsor sponsored subscribe tags toolbar widget".split()
-)
-GOOD_TOKENS = frozenset("article body content entry main page post prose story text".split())
+# Usual class names, by what such a block is; the grammar of layouts draws from them.
+CLASSES = {
+    "menu": "menu nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar".split(),
+    "advert": "ad ads advert advertisement adverts banner promo promoted sponsor sponsored popup".split(),
+    "aside": "side sidebar widget related recommend tags".split(),
+    "share": "share sharing social search".split(),
+    "notice": "cookie cookies consent gdpr notice notices newsletter overlay modal subscribe signup login form".split(),
+    "comment": "comment comments reply respond disqus feedback".split(),
+    "header": "header masthead".split(),
+    "footer": "footer copyright".split(),
+    "main": "article body content entry main page post prose story text".split(),
+}
+#: Slots of attribute tokens, and the count that is added to both kinds.
+SLOTS, PRIOR = 1 << 12, 4.0
 
 
 @dataclass
@@ -62,11 +75,15 @@ class Page:
     end: list[int]
     text: list[str | None]
     links: list[int]
-    bad: list[bool]
-    good: list[bool]
+    tokens: list[tuple[int, ...]]
+
+
+def slot(token: str) -> int:
+    return zlib.crc32(token.encode()) & (SLOTS - 1)
 
 
 def raw_end(source: str, at: int, tag: str) -> int:
+    """Behind the end tag; what has none goes on to the end. `source` ends with the last `>` of the page."""
     found = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
     return found.end() if found else len(source)
 
@@ -154,7 +171,12 @@ def hidden_ends(source: str) -> dict[int, int]:
 
 
 def parse(source: str) -> Page:
-    p = Page([], [], [], [], [], [], [])
+    p = Page([], [], [], [], [], [])
+    last = source.rfind(">") + 1  # no tag ends behind it, so no search need look there
+    cut = CUT.search(source, last)
+    tail = source[last : cut.start() if cut else None]
+    source = source[:last]
+    opened: dict[str, int] = {}
     stack: list[int] = []
     names: list[str] = []
     piece: list[str] = []
@@ -179,15 +201,18 @@ def parse(source: str) -> Page:
         p.end.append(0)
         p.text.append(text)
         p.links.append(0)
-        tokens = {t for m in ATTRIBUTE.finditer(attrs) for t in WORD.findall((m[1] or m[2] or m[3] or "").lower())} if attrs else ()
-        p.bad.append(bool(tokens) and not BAD_TOKENS.isdisjoint(tokens))
-        p.good.append(bool(tokens) and not GOOD_TOKENS.isdisjoint(tokens))
+        p.tokens.append(tuple({slot(t) for m in ATTRIBUTE.finditer(attrs) for t in WORD.findall((m[1] or m[2] or m[3] or "").lower())}) if attrs else ())
+
+    def ended_there(tag: str, m: re.Match) -> bool:
+        """Whether an element that reaches up to the last tag ends with it, or takes the text behind as well."""
+        closed = (m[3] or m[5] or "").endswith("/") and tag == "svg"
+        return closed or bool(re.search(rf"</{tag}(?=[\s/>])[^>]*>\Z", source[max(m.end(), len(source) - 1000) :], re.I))
 
     def close(depth: int) -> None:
         flush()
         while len(stack) > depth:
             p.end[stack.pop()] = len(p.tag)
-            names.pop()
+            opened[names.pop()] -= 1
 
     def close_to(wanted: frozenset | set) -> None:
         for k in range(len(names) - 1, -1, -1):
@@ -197,12 +222,12 @@ def parse(source: str) -> Page:
                 return None
         return None
 
-    at, n = 0, len(source)
-    while at < n:
-        m = TAG.search(source, at)
+    at, n, skipped = 0, len(source), False
+    while True:
+        m = TAG.search(source, at) if at < n else None
         stop = m.start() if m else n
-        if stop > at:
-            t = source[at:stop]
+        t = source[at:stop] + (tail if not m and not skipped else "")
+        if t:
             t = entities.unescape(t) if "&" in t else t
             piece.append(t)
             if in_link:
@@ -214,8 +239,11 @@ def parse(source: str) -> Page:
             ended = ended.lower()
             if ended == "a":
                 in_link = 0
-            elif ended not in INLINE and ended in names:
-                close(len(names) - 1 - names[::-1].index(ended))
+            elif ended not in INLINE and opened.get(ended):
+                k = len(names) - 1
+                while names[k] != ended:
+                    k -= 1
+                close(k)
             continue
         tag = m[2] or m[4]
         if not tag:
@@ -227,10 +255,12 @@ def parse(source: str) -> Page:
             continue
         if tag in RAW:
             at = raw_end(source, at, tag)
+            skipped = at == n and not ended_there(tag, m)
             continue
         if tag in HIDDEN:
             skips = hidden_ends(source) if skips is None else skips
             at = skips.get(at, at)
+            skipped = at == n and not ended_there(tag, m)
             continue
         if tag in VOID:
             if tag == "br":
@@ -247,14 +277,13 @@ def parse(source: str) -> Page:
         add(tag, m[3] or m[5] or "", None)
         stack.append(len(p.tag) - 1)
         names.append(tag)
+        opened[tag] = opened.get(tag, 0) + 1
     close(0)
     return p
 
 
-FEATURES = 20
-
-
-def features(p: Page) -> np.ndarray:
+def features(p: Page, told: np.ndarray) -> np.ndarray:
+    """told: for each slot, the log-odds for main text."""
     n = len(p.tag)
     ids = np.arange(n)
     parent, end = np.array(p.parent), np.array(p.end)
@@ -262,15 +291,19 @@ def features(p: Page) -> np.ndarray:
     links = np.array(p.links, float)
     stops = np.array([t.count(".") + t.count(",") if t else 0 for t in p.text], float)
     is_ = lambda s: np.array([t in s for t in p.tag], float)
-    chrome, main, bad, good = is_(CHROME), is_(MAIN), np.array(p.bad, float), np.array(p.good, float)
+    chrome, main = is_(CHROME), is_(MAIN)
+    least = np.array([min((told[t] for t in x), default=0.0) for x in p.tokens])
+    most = np.array([max((told[t] for t in x), default=0.0) for x in p.tokens])
     runs = is_({"#run"})
-    depth, above_bad, above_good = np.zeros(n), np.zeros(n), np.zeros(n)
+    depth, above_chrome, above_main, above_least, above_most = (np.zeros(n) for _ in range(5))
     for k in range(n):
         u = p.parent[k]
         if u >= 0:
             depth[k] = depth[u] + 1
-            above_bad[k] = max(above_bad[u], bad[u], chrome[u])
-            above_good[k] = max(above_good[u], good[u], main[u])
+            above_chrome[k] = max(above_chrome[u], chrome[u])
+            above_main[k] = max(above_main[u], main[u])
+            above_least[k] = min(above_least[u], least[u])
+            above_most[k] = max(above_most[u], most[u])
 
     def below(x: np.ndarray) -> np.ndarray:
         acc = np.concatenate([[0], np.cumsum(x)])
@@ -292,7 +325,7 @@ def features(p: Page) -> np.ndarray:
         same[k] = kinds[p.parent[k], p.tag[k]] / seen[p.parent[k]]
     safe = np.maximum(chars, 1)
     return np.stack([
-        chrome, main, is_(HEADINGS), is_(PROSE), is_({"li", "ul", "ol"}), runs, bad, good, above_bad, above_good, np.log1p(chars), np.log1p(own), link_chars / safe, chars / nodes, marks / safe,
+        chrome, main, is_(HEADINGS), is_(PROSE), is_({"li", "ul", "ol"}), runs, least, most, above_chrome, above_main, above_least, above_most, np.log1p(chars), np.log1p(own), link_chars / safe, chars / nodes, marks / safe,
         chars / total, depth, order / np.maximum(kin, 1), kin, same,
     ], 1)
 
@@ -356,6 +389,15 @@ def layout(rng: np.random.Generator) -> tuple[str, list[bool]]:
     """A page of the training grammar; the flag of each of its texts, in order, is whether it is main text."""
     flags: list[bool] = []
     pick = lambda *x: x[rng.integers(len(x))]
+    made_up = lambda: "".join(pick(*"bcdfghklmnprstvz") + pick(*"aeiou") for _ in range(int(rng.integers(1, 4))))
+
+    def named(kind: str | None = None) -> str:
+        """An attribute with a class name of that kind, alone or with made-up ones around it; without a kind, made up."""
+        if kind is None:
+            return f' {pick("class", "id")}="{made_up()}-{int(rng.integers(1, 13))}"' if rng.random() < 0.3 else ""
+        name = pick(*CLASSES[kind])
+        name = pick(name, name, f"{name}-{made_up()}", f"{made_up()}_{name}", f"{made_up()} {name}", f"{name}{int(rng.integers(1, 9))}")
+        return f' {pick("class", "class", "id")}="{name}"'
 
     def words(lo: int, hi: int) -> str:
         n = int(rng.integers(lo, hi + 1))
@@ -385,22 +427,23 @@ def layout(rng: np.random.Generator) -> tuple[str, list[bool]]:
     def chrome() -> str:
         kind = rng.integers(9)
         if kind == 0:
-            return f"<nav><ul>{links(int(rng.integers(2, 12)))}</ul></nav>"
+            return f"<nav{named()}><ul>{links(int(rng.integers(2, 12)))}</ul></nav>"
         if kind == 1:
-            return f'<div class="{pick("menu", "navbar", "nav-main", "breadcrumbs")}"><ul>{links(int(rng.integers(2, 12)))}</ul></div>'
+            return f"<div{named('menu')}><ul>{links(int(rng.integers(2, 12)))}</ul></div>"
         if kind == 2:
-            return f'<div class="{pick("ad", "ads", "advert-box", "sponsored", "promo")}">{text(2, 30, False)}</div>'
+            return f"<{(t := pick('div', 'section', 'p'))}{named('advert')}>{text(2, 30, False)}</{t}>"
         if kind == 3:
-            return f'<aside{pick("", " class=sidebar")}>{prose(2, False)}</aside>'
+            return f"<aside{named(pick(None, 'aside'))}>{prose(2, False)}</aside>"
         if kind == 4:
-            return f'<div id="{pick("sidebar", "related", "widget-1", "social-share")}">{prose(2, False)}</div>'
+            return f"<div{named(pick('aside', 'share'))}>{prose(2, False)}</div>"
         if kind == 5:
-            return f'<div class="{pick("cookie-notice", "notice", "consent", "newsletter")}"><p>{text(5, 40, False)}</p></div>'
+            return f"<div{named('notice')}><p>{text(5, 40, False)}</p></div>"
         if kind == 6:
-            return f"<form><p>{text(1, 12, False)}</p><input></form>"
+            return f"<form{named()}><p>{text(1, 12, False)}</p><input></form>"
         if kind == 7:
-            return f'<{(t := pick("section", "div", "ol"))} class="comments">' + "".join(f'<div class="comment"><p>{text(3, 80, False)}</p></div>' for _ in range(int(rng.integers(1, 6)))) + f"</{t}>"
-        return f'<header{pick("", " id=masthead")}><h1>{text(1, 6, False)}</h1><p>{text(1, 10, False)}</p></header>'
+            name = named("comment")
+            return f"<{(t := pick('section', 'div', 'ol'))}{name}>" + "".join(f"<div{pick(name, '')}><p>{text(3, 80, False)}</p></div>" for _ in range(int(rng.integers(1, 6)))) + f"</{t}>"
+        return f"<{(t := pick('header', 'header', 'div'))}{named('header') if t == 'div' else named(pick(None, 'header'))}><h1>{text(1, 6, False)}</h1><p>{text(1, 10, False)}</p></{t}>"
 
     def inner() -> str:
         parts = [f"<h1>{text(2, 14, True)}</h1>"] if rng.random() < 0.8 else []
@@ -411,19 +454,31 @@ def layout(rng: np.random.Generator) -> tuple[str, list[bool]]:
         return "".join(parts)
 
     out = [chrome() for _ in range(int(rng.integers(0, 4)))]
-    head, tail = pick(("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="main"><div class="entry">', "</div></div>"), ("<main><article>", "</article></main>"), ("<div><div>", "</div></div>"), ('<section class="post">', "</section>"))
+    head, tail = pick(
+        (f"<article{named()}>", "</article>"), ("<article>", "</article>"), (f"<main{named()}>", "</main>"), (f"<div{named('main')}>", "</div>"), (f"<div{named('main')}><div{named('main')}>", "</div></div>"),
+        ("<main><article>", "</article></main>"), (f"<div{named()}><div>", "</div></div>"), (f"<section{named('main')}>", "</section>"),
+    )
     out.append(head + inner() + tail)
     out += [chrome() for _ in range(int(rng.integers(0, 3)))]
     if rng.random() < 0.8:
         foot = f"&copy; {text(1, 15, False)}"
-        out.append(f"<footer>{foot}</footer>" if rng.random() < 0.7 else f'<div class="footer"><p>{foot}</p></div>')
+        out.append(f"<footer>{foot}</footer>" if rng.random() < 0.7 else f"<div{named('footer')}><p>{foot}</p></div>")
     return f"<html><body>{''.join(out)}</body></html>", flags
 
 
+@dataclass
+class Model:
+    told: np.ndarray
+    trees: Trees
+
+    def odds(self, pages: list[Page]) -> np.ndarray:
+        return self.trees.score(np.concatenate([features(p, self.told) for p in pages])) if pages else np.zeros(0)
+
+
 @functools.cache
-def model() -> Trees:
+def model() -> Model:
     rng = np.random.default_rng(11)
-    xs, ys = [], []
+    pages, ys = [], []
     for _ in range(LAYOUTS):
         source, flags = layout(rng)
         p = parse(source)
@@ -432,9 +487,15 @@ def model() -> Trees:
         for k in range(len(y) - 1, 0, -1):
             if p.parent[k] >= 0:
                 y[p.parent[k]] = max(y[p.parent[k]], y[k])
-        xs.append(features(p))
+        pages.append(p)
         ys.append(y)
-    return Trees(np.concatenate(xs), np.concatenate(ys))
+    seen = np.full((2, SLOTS), PRIOR)
+    for p, y in zip(pages, ys, strict=True):
+        for k, tokens in enumerate(p.tokens):
+            for t in tokens:
+                seen[int(y[k]), t] += 1
+    told = np.log(seen[1] / seen[0])
+    return Model(told, Trees(np.concatenate([features(p, told) for p in pages]), np.concatenate(ys)))
 
 
 def decode(p: Page, odds: np.ndarray) -> list[int]:
@@ -456,10 +517,10 @@ def decode(p: Page, odds: np.ndarray) -> list[int]:
     return out
 
 
-def extract_all(sources: list[str | None], trees: Trees) -> list[str]:
+def extract_all(sources: list[str | None], trees: Model) -> list[str]:
     pages = [parse(s or "") for s in sources]
     full = [p for p in pages if p.tag]
-    odds = trees.score(np.concatenate([features(p) for p in full])) if full else np.zeros(0)
+    odds = trees.odds(full)
     out, at = [], 0
     for p in pages:
         z = odds[at : at + len(p.tag)]
