@@ -7,7 +7,8 @@ and each file is folded in turn, recursively, in a folder that the task deletes
 
 Null text counts as empty. Of equal texts the row with the largest id stays; null ids are smaller than any other. Rows
 that repeat both text and id count as copies, of which one is kept. Long texts are compared whole. An empty table gives
-an empty result; other columns are not read.
+an empty result; other columns are carried by `keepers`, whatever their names, and not read. Spill files lie in the
+machine's own temporary folder: they are part of one task's work, and a task that is run again makes its own.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import free_names
+
 BUDGET = 64 << 20
 FANOUT_BITS = 4
 SCHEMA = pa.schema([("h", pa.int64()), ("text", pa.large_string()), ("keep_id", pa.int64()), ("n", pa.int64())])
@@ -179,11 +182,11 @@ def _parts(docs: DataFrame, doc_id: str, text: str, budget: int) -> tuple[DataFr
 def keepers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
     """The rows of docs that stay, whole."""
     found, _ = _parts(docs, doc_id, text, budget)
-    body = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn("_sha", F.unhex(F.sha2(body, 256))).withColumn("_i", F.coalesce(F.col(doc_id), F.lit(MISSING)).cast("long"))
-    found = found.select(F.col("sha").alias("_sha2"), F.col("best").alias("_best"))
-    d = d.join(found, (d["_sha"] == F.col("_sha2")) & (d["_i"] == F.col("_best")))
-    return d.dropDuplicates(["_sha2", "_best"]).select(*docs.columns)
+    sha, i, best_sha, best = free_names(docs, "sha", "i", "best_sha", "best")
+    d = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))).withColumn(i, F.coalesce(F.col(doc_id), F.lit(MISSING)).cast("long"))
+    found = found.select(F.col("sha").alias(best_sha), F.col("best").alias(best))
+    d = d.join(found, (F.col(sha) == F.col(best_sha)) & (F.col(i) == F.col(best)))
+    return d.dropDuplicates([best_sha, best]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

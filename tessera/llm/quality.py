@@ -4,7 +4,8 @@ Rolling hashes of several n-gram lengths give, for each text, the characters ins
 earlier ones. A text fails if the covered share is above the limit of any length, or of lines.
 
 Null and empty texts have no words and fail the base rule. Texts of any length are judged whole; one text is the unit of
-memory. Repeated rows are judged one by one, other columns stay, an empty table gives an empty result.
+memory. Repeated rows are judged one by one, other columns stay, whatever their names (the struct that `with_quality` adds takes
+the place of a column of its name). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _words as W
+from tessera.session import free_names
 
 # Limits on the share of word characters inside repeated n-grams, by words, and inside repeated lines.
 LIMITS = ((5, 0.30), (7, 0.25), (10, 0.20))
@@ -51,9 +53,7 @@ def repeated(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def cover(starts: np.ndarray, n: int, total: int) -> np.ndarray:
     """Which of the words are in a window of n words that begins at one of starts."""
-    d = np.zeros(total + 1, np.int32)
-    np.add.at(d, starts, 1)
-    np.add.at(d, starts + n, -1)
+    d = np.bincount(starts, minlength=total + 1) - np.bincount(starts + n, minlength=total + 1)
     return np.cumsum(d[:-1]) > 0
 
 
@@ -138,5 +138,5 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, unchanged."""
-    name = "_quality"
+    (name,) = free_names(docs, "quality")
     return with_quality(docs, column=name).where(F.col(f"{name}.kept")).drop(name)

@@ -8,7 +8,9 @@ input have; a URL's tokens fetch candidates and only those run their regular exp
 are candidates of every URL.
 
 Null or scheme-less URLs have empty host and path, so that only token-less rules can fit; the default verdict holds.
-Repeated rows are judged one by one, other columns are ignored, an empty table gives an empty result.
+URLs of any length are read whole. Of rules that fit equally long the last by name decides; of patterns the first is named. Repeated
+rows are judged one by one. Other columns stay, whatever their names, but such as have the name of a result make
+room for it. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import free_names
+
 # Host and path rules of the query's contract.
 PATH_RULES = (
     ("allow", "org", "/"),
@@ -124,11 +128,14 @@ def filter_urls(pages: DataFrame, url: str = "url", path_rules=PATH_RULES, patte
     mine = [host_rule(*r) for r in path_rules]
     rules = mine + [pattern_rule(p) for p in patterns]
     split = len(mine)
-    out = pages.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
-    counts = token_counts(out.select("host", "path"), {t for r in rules for t in r.literals})
+    h, p, judged = free_names(pages, "host", "path", "judged")
+    out = pages.withColumn(h, host(F.col(url))).withColumn(p, path(F.col(url)))
+    counts = token_counts(out.select(F.col(h).alias("host"), F.col(p).alias("path")), {t for r in rules for t in r.literals})
+    shared = pages.sparkSession.sparkContext.broadcast((rules, counts))  # a block list is large; a task's closure is not
 
     @F.pandas_udf("rule string, pattern string, verdict string")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        rules, counts = shared.value
         index = Index(rules, counts)
         for part in texts:
             rows = []
@@ -139,7 +146,9 @@ def filter_urls(pages: DataFrame, url: str = "url", path_rules=PATH_RULES, patte
                 rows.append((None if own is None else rules[own].name, other, rules[own].verdict if own is not None else "block" if other else default))
             yield pd.DataFrame(rows, columns=["rule", "pattern", "verdict"])
 
-    return out.withColumn("_judged", judge(F.concat("host", "path"))).select("*", "_judged.*").drop("_judged")
+    results = {"host", "path", "rule", "pattern", "verdict"}
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in results]
+    return out.withColumn(judged, judge(F.concat(h, p))).select(*kept, F.col(h).alias("host"), F.col(p).alias("path"), f"{judged}.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
