@@ -52,16 +52,18 @@ def checkpoint(df: DataFrame, by: str | None = None) -> DataFrame:
     finally:
         if own:
             spark.conf.unset(BATCH_KEY)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._table_path = path  # for discard()
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes the files of checkpoints that nothing reads any more."""
+    """Deletes the files of checkpoints that nothing reads any more; other tables are left alone."""
     for t in tables:
-        spark = t.sparkSession
-        for folder in {f.rsplit("/table-", 1)[0] + "/table-" + f.rsplit("/table-", 1)[1].split("/")[0] for f in t.inputFiles() if "/table-" in f}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if path := vars(t).get("_table_path"):
+            spark = t.sparkSession
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
