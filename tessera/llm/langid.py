@@ -3,12 +3,14 @@
 Features are n-grams of 1 to 3 characters of the lower-cased text, hashed to DIM slots; runs of characters that are no
 letters count as one space. A feature's value is its relative frequency times its inverse document frequency, which is counted
 over all training rows by Spark. Weights are trained by follow-the-regularised-leader with elastic-net penalties on a
-bounded sample, FIT rows of each language, chosen by a hash of the id; CALIBRATE more rows of each set the
-temperature. Prediction reads whole texts.
+bounded sample, FIT texts of each language, the first in order of a hash of id and text; CALIBRATE more of each set the
+temperature. Executors turn the sample into counts, DIM of a row at most, so that no text goes to the driver. Prediction reads
+whole texts.
 
 Text that is null or has no letter is `und` with score 0, as is every text if no row can be learned from. Rows without
 doc_id are not held out and not learned from. Ties go to the language that sorts first. Repeated rows are judged one by
-one, clashing column names don't matter as only text, lang and doc_id are read, an empty table gives an empty result.
+one and learned from once; a doc_id with several texts or languages counts with each. Only text, lang and doc_id are
+read; `identify` wants the names of its two results to be free. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint, free_names
+
 DIM = 1 << 15
 ORDERS = (1, 2, 3)
 #: Rows of a language that weights are fitted on, and that the temperature is fitted on, at most.
 FIT, CALIBRATE = 1500, 300
+#: Times the sample that a hash picks of each language, by its count, before rows are ranked; rows that are broadcast at most.
+OVER, BROADCAST_ROWS = 3, 100_000
 EPOCHS, BATCH = 3, 16
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 RUN = re.compile(r"[^\W\d_]+")
@@ -83,12 +89,8 @@ class Model:
     weights: np.ndarray
     temperature: float = 1.0
 
-    def logits(self, text: str) -> np.ndarray | None:
-        x = features(text)
-        if not len(x) or not self.langs:
-            return None
-        counts = np.bincount(x, minlength=DIM) * self.idf
-        return counts @ self.weights / len(x) * SCALE
+    def logits(self, slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (counts * self.idf[slots]) @ self.weights[slots] / counts.sum() * SCALE
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         table = (self.idf[:, None] * self.weights * SCALE).astype(np.float32)
@@ -114,31 +116,34 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], idf: np.ndarray) -> Model:
-    """Follow the regularised leader, proximal form, a learning rate for each coordinate."""
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def counted(text: str) -> Counts:
+    """The distinct slots of a text and how often it has each."""
+    return np.unique(features(text), return_counts=True)
+
+
+def train(rows: list[Counts], langs: list[str], idf: np.ndarray) -> Model:
+    """Follow the regularised leader, proximal form, a learning rate for each coordinate. Rows have at least one slot."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
-    sparse = []
-    for t in texts:
-        x, n = np.unique(features(t), return_counts=True)
-        sparse.append((x, n * idf[x] / max(1, n.sum()) * SCALE))
+    sparse = [(x, n * idf[x] / n.sum() * SCALE) for x, n in rows]
     z, s = np.zeros((DIM, len(names))), np.zeros((DIM, len(names)))
     weights = np.zeros((DIM, len(names)))
     rng = np.random.default_rng(7)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(rows))
         for lo in range(0, len(order), BATCH):
             part = order[lo : lo + BATCH]
             slots = np.unique(np.concatenate([sparse[k][0] for k in part]))
-            if not len(slots):
-                continue
             w = weights[slots]
             grad = np.zeros_like(w)
             for k in part:
                 at = np.searchsorted(slots, sparse[k][0])
-                p = softmax((sparse[k][1] @ w[at])[None])[0] if len(at) else np.zeros(len(names))
+                p = softmax((sparse[k][1] @ w[at])[None])[0]
                 p[y[k]] -= 1
-                np.add.at(grad, at, sparse[k][1][:, None] * p)
+                grad[at] += sparse[k][1][:, None] * p
             grad /= len(part)
             sigma = (np.sqrt(s[slots] + grad**2) - np.sqrt(s[slots])) / ALPHA
             z[slots] += grad - sigma * w
@@ -148,36 +153,56 @@ def train(texts: list[str], langs: list[str], idf: np.ndarray) -> Model:
     return Model(names, idf, weights)
 
 
-def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
+def calibrate(model: Model, rows: list[Counts], langs: list[str]) -> Model:
     """The temperature of least log loss on rows that the weights haven't seen."""
-    rows = [(model.logits(t), model.langs.index(x)) for t, x in zip(texts, langs, strict=True) if x in model.langs]
-    rows = [(a, b) for a, b in rows if a is not None]
-    if rows:
-        z, y = np.array([a for a, _ in rows]), np.array([b for _, b in rows])
+    known = [(model.logits(*r), model.langs.index(x)) for r, x in zip(rows, langs, strict=True) if x in model.langs]
+    if known:
+        z, y = np.array([a for a, _ in known]), np.array([b for _, b in known])
         grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
         loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
     return model
 
 
+def sample(known: DataFrame, rows: int) -> DataFrame:
+    """doc_id, text, lang -> lang, r, slots, counts of the first `rows` distinct rows of each language, in order of their hashes.
+    A hash keeps about OVER times as many of each language before they are ranked, so that no task ranks a whole one."""
+    keys = known.where(F.length("text") > 0).select("lang", "doc_id", F.xxhash64("text").alias("t")).distinct()
+    size = keys.groupBy(F.col("lang").alias("l")).agg(F.count(F.lit(1)).alias("k"))
+    h = F.xxhash64("doc_id", "t")
+    some = keys.join(size, F.col("lang") == F.col("l")).where(F.pmod(h, F.lit(1 << 40)) * F.col("k") < OVER * rows * float(1 << 40))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(h, F.lit(1 << 40)), h, "doc_id", "t"))
+    chosen = checkpoint(some.select("lang", "doc_id", "t", rank.alias("r")).where(F.col("r") <= rows))
+    chosen = chosen.toDF("cl", "ci", "ct", "r")
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    found = known.join(chosen, (F.col("lang") == F.col("cl")) & (F.col("doc_id") == F.col("ci")) & (F.xxhash64("text") == F.col("ct")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [counted(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype("<u4").tobytes() for x, _ in got], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in got], pa.binary())], ["lang", "r", "slots", "counts"])
+
+    return found.select("lang", "r", "text").mapInArrow(run, "lang string, r int, slots binary, counts binary").dropDuplicates(["lang", "r"]).where("length(slots) > 0")
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT, calibrate_rows: int = CALIBRATE) -> Model:
     """docs are the rows that may be learned from."""
     known = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     df, n = document_frequency(known)
     idf = np.log((1 + n) / (1 + df)) + 1
-    # ranks are found without the texts; a top-k by window keeps k rows of a task at most
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.where(F.length("text") > 0).select("lang", "doc_id").withColumn("r", rank).where(F.col("r") <= fit_rows + calibrate_rows).select(F.col("doc_id").alias("_i"), "r")
-    rows = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("_i")).select("text", "lang", "r", "doc_id").toPandas().sort_values(["r", "lang", "doc_id"])
-    sample, rest = rows[rows.r <= fit_rows], rows[rows.r > fit_rows]
-    if not len(sample):
+    rows = sorted(sample(known, fit_rows + calibrate_rows).collect(), key=lambda r: (r["r"], r["lang"]))
+    counts = lambda part: [(np.frombuffer(r["slots"], "<u4").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(np.int64)) for r in part]
+    first, rest = [r for r in rows if r["r"] <= fit_rows], [r for r in rows if r["r"] > fit_rows]
+    if not first:
         return Model([], idf, np.zeros((DIM, 0)))
-    model = train(sample.text.tolist(), sample.lang.tolist(), idf)
-    return calibrate(model, rest.text.tolist(), rest.lang.tolist())
+    model = train(counts(first), [r["lang"] for r in first], idf)
+    return calibrate(model, counts(rest), [r["lang"] for r in rest])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score."""
+    (both,) = free_names(docs, "both")
 
     @F.pandas_udf("lang_pred string, score double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -185,7 +210,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             langs, scores = model.predict(part.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return docs.withColumn("_lang", run(F.col(text))).select("*", "_lang.*").drop("_lang")
+    return docs.withColumn(both, run(F.col(text))).select(*(F.col(f"`{c}`") for c in docs.columns), f"{both}.*")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
