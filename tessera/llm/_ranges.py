@@ -60,11 +60,17 @@ def meet(rows: DataFrame, merge: Callable[[list[tuple]], Iterator[tuple]], schem
     return rows.repartition(shuffles(rows), "range").sortWithinPartitions("range").mapInArrow(run, schema)
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch; bytes are views of it."""
+    binary = lambda c: [memoryview(x.as_buffer()) if x.is_valid else None for x in c]
+    return zip(*(binary(c) if pa.types.is_binary(c.type) else c.to_pylist() for c in batch.columns), strict=True)
+
+
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows of sorted batches, by runs of one first column."""
     held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
+        for row in rows_of(batch):
             if held and held[0][0] != row[0]:
                 yield held
                 held = []

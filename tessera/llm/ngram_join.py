@@ -199,7 +199,7 @@ def set_rows(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for row in R.rows_of(batch):
                 s, n, keys = _unpacked(row)
                 at = np.append(0, np.cumsum(n)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64)))], ["s", "keys"])
@@ -212,7 +212,7 @@ def sketches(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for row in R.rows_of(batch):
                 s, n, keys = _unpacked(row)
                 bits = np.zeros(len(s) * CELLS, bool)
                 bits[np.repeat(np.arange(len(s)), n) * CELLS + (keys >> W.U(65 - CELLS.bit_length())).astype(np.int64)] = True
@@ -229,7 +229,7 @@ def entries(blocks: DataFrame, share: int = SHARE) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for block, keys in R.rows_of(batch):
                 own, n = np.unique(np.frombuffer(keys, np.uint64), return_counts=True)
                 rows = [(r, block, x, R.pack(n[lo:hi])) for r, lo, hi, x in R.cut(own, ranges)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["range", "block", "gaps", "n"])
