@@ -11,8 +11,11 @@ bounds the recursion. Repeated rows are encoded one by one, other columns are no
 
 from __future__ import annotations
 
+import atexit
 import base64
 import hashlib
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,28 +28,38 @@ from pyspark.sql import functions as F
 RANKS = "byte_bpe_50k.tiktoken"
 #: public_tokenizers.PATTERN in Java's notation: `\s` is any Unicode white space.
 SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Words whose ids a worker remembers at most, words in a recursive query, and ids that one query decodes.
-MEMO, WORDS, IDS = 1_000_000, 20_000, 400_000
+#: Memory of the words that a worker remembers at most, with ENTRY bytes for each beside its own; words and bytes of a
+#: recursive query, and ids that one query decodes.
+MEMO, ENTRY, WORDS, BYTES, IDS = 96 << 20, 240, 20_000, 1 << 19, 200_000
 
 ENCODE = """
-WITH RECURSIVE step(i, key, id, nxt) AS (
-    SELECT 0, key, id, key + 1 FROM symbols
+WITH RECURSIVE step(key, id, nxt) USING KEY (key) AS (
+    SELECT key, id, key + 1 FROM symbols
     UNION ALL
-    SELECT i + 1, key, CASE WHEN key = best THEN least_rank ELSE id END, CASE WHEN key = best THEN after ELSE nxt END
-    FROM (
-        WITH pair AS (
-            SELECT a.i, a.key, a.id, a.nxt, b.nxt AS after, m.rank
-            FROM step a LEFT JOIN step b ON a.nxt = b.key LEFT JOIN merges m ON m.pair = (a.id::BIGINT << 20) + b.id
-        ), least AS (
-            SELECT key >> 32 AS word, min(rank) AS least_rank, arg_min(key, (rank::HUGEINT << 64) + key) AS best, arg_min(nxt, (rank::HUGEINT << 64) + key) AS gone
-            FROM pair WHERE rank IS NOT NULL GROUP BY 1
+    (
+        WITH live AS (
+            SELECT s.key, s.id, s.nxt FROM recurring.step s SEMI JOIN (SELECT DISTINCT key >> 32 AS word FROM step) changed ON s.key >> 32 = changed.word WHERE s.id >= 0
+        ), pair AS (
+            SELECT a.key >> 32 AS word, a.key, a.nxt, b.nxt AS after, m.rank, m.early, m.twice
+            FROM live a JOIN live b ON a.nxt = b.key JOIN merges m ON m.pair = (a.id::BIGINT << 20) + b.id
+        ), hit AS (
+            SELECT *, row_number() OVER w AS nth, lag(nxt) OVER w IS DISTINCT FROM key AS head
+            FROM pair JOIN (SELECT word, min(rank) AS rank FROM pair GROUP BY word) least USING (word, rank) WINDOW w AS (PARTITION BY word ORDER BY key)
+        ), run AS (
+            SELECT *, nth - max(CASE WHEN head THEN nth END) OVER (PARTITION BY word ORDER BY key) AS inside FROM hit
+        ), even AS (
+            SELECT * FROM run WHERE inside % 2 = 0
+        ), lower AS (
+            SELECT e.word, e.nth FROM even e JOIN live l ON l.nxt = e.key JOIN merges m ON m.pair = (l.id::BIGINT << 20) + e.rank WHERE e.early AND m.rank < e.rank
+            UNION ALL
+            SELECT e.word, e.nth FROM even e JOIN live l ON l.key = e.after JOIN merges m ON m.pair = (e.rank::BIGINT << 20) + l.id WHERE e.early AND m.rank < e.rank
+        ), chosen AS (
+            SELECT even.* FROM even LEFT JOIN (SELECT word, min(nth) AS stop FROM lower GROUP BY word) USING (word) WHERE nth <= CASE WHEN twice THEN 1 ELSE coalesce(stop, nth) END
         )
-        SELECT * FROM pair JOIN least ON key >> 32 = word
-    ) WHERE key <> gone
+        SELECT key, rank, after FROM chosen UNION ALL SELECT nxt, -1, 0 FROM chosen
+    )
 )
-SELECT step.key >> 32 AS word, list(step.id ORDER BY step.key) AS ids
-FROM step JOIN (SELECT key >> 32 AS word, max(i) AS i FROM step GROUP BY 1) last ON last.word = step.key >> 32 AND last.i = step.i
-GROUP BY 1
+SELECT key >> 32 AS word, list(id ORDER BY key) AS ids FROM step WHERE id >= 0 GROUP BY 1
 """
 DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS bytes FROM ids JOIN vocabulary USING (id) GROUP BY doc"
 
@@ -72,9 +85,13 @@ class Codec:
         import duckdb
 
         self.ranks = ranks
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        rows = [(a << 20 | b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
-        merges = pa.table({"pair": pa.array([x for x, _ in rows], pa.int64()), "rank": pa.array([x for _, x in rows], pa.int32())})
+        folder = tempfile.mkdtemp(prefix="bpe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": folder})
+        rows = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
+        early = {x for a, b, r in rows for x in (a, b) if r < x}  # tokens that are part of one of lower rank
+        twice = {a for a, b, r in rows if a == b and r < a}
+        merges = pa.table({"pair": pa.array([a << 20 | b for a, b, _ in rows], pa.int64()), "rank": pa.array([r for *_, r in rows], pa.int32()), "early": pa.array([r in early for *_, r in rows]), "twice": pa.array([r in twice for *_, r in rows])})
         # a piece as text: each byte is the character of that number
         vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
         for name, t in (("merges", merges), ("vocabulary", vocabulary)):
@@ -83,11 +100,15 @@ class Codec:
             self.con.unregister("t")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def learn(self, todo: list[str]) -> None:
         """Puts the ids of new words, as little-endian 32-bit integers, into the memo."""
-        if len(self.memo) + len(todo) > MEMO:
+        new = sum(map(len, todo)) + ENTRY * len(todo)
+        self.held += new
+        if self.held > MEMO:
             self.memo.clear()
+            self.held = new
         hard = []
         for w in todo:
             r = self.ranks.get(w.encode())
@@ -95,14 +116,18 @@ class Codec:
                 hard.append(w)
             else:
                 self.memo[w] = r.to_bytes(4, "little")
-        for lo in range(0, len(hard), WORDS):
-            part = hard[lo : lo + WORDS]
+        lo = 0
+        ends = np.cumsum([len(w.encode()) for w in hard])
+        while lo < len(hard):
+            hi = max(lo + 1, min(lo + WORDS, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BYTES, "right"))))
+            part = hard[lo:hi]
+            lo = hi
             raw = [w.encode() for w in part]
             size = np.array([len(x) for x in raw])
             first = np.cumsum(size) - size
             key = (np.repeat(np.arange(len(raw)), size) << 32) + np.arange(size.sum()) - np.repeat(first, size)
             self.con.register("symbols", pa.table({"key": pa.array(key), "id": pa.array(self.byte[np.frombuffer(b"".join(raw), np.uint8)])}))
-            got = self.con.execute(ENCODE).to_arrow_table()
+            got = self.con.sql(ENCODE).to_arrow_table()
             lists = got["ids"].combine_chunks()
             flat, offs = lists.values.to_numpy().astype("<u4").tobytes(), lists.offsets.to_numpy() * 4
             for w, a, b in zip(got["word"].to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
