@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,10 @@ class Engine:
         none = F.when(F.size(F.concat("private", "shared", "workspace", "governed")) == 0, "no scopes")
         return requests.select("request_id", F.array_compact(F.array(empty, none)).alias("warnings"))
 
+    def find(self, text: str, scopes: list[str] = (), types: list[str] = (), k: int = 20, embedder: Callable[[str], list[float]] | None = None) -> DataFrame:
+        """The rows that are nearest to a text. Without an embedder the vector is zero, so every row scores 0 and ids decide."""
+        return self.search(embedder(text) if embedder else [0.0], scopes, types, k)
+
     def search(self, vec: list[float], scopes: list[str] = (), types: list[str] = (), k: int = 50) -> DataFrame:
         u = self.spark.createDataFrame([("q", vec, list(scopes), list(types), None)], "unit string, qvec array<double>, scopes array<string>, types array<string>, asked array<string>")
         return search.search(u, self.memory, k).drop("unit")

@@ -33,3 +33,10 @@ def embed(rows: DataFrame, text: str, dim: int = 64, column: str = "embedding",
 
     known = rows.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).distinct().withColumn(column, run("_text"))
     return rows.join(known, F.col(text) == F.col("_text"), "left").drop("_text")
+
+
+def fill(memory: DataFrame, text: str = "content", dim: int = 64, column: str = "embedding", batch: Callable[[list[str]], list] | None = None) -> DataFrame:
+    """Rows without a vector get that of their text; the others keep theirs, and their texts are not embedded."""
+    have, bare = memory.where(F.col(column).isNotNull()), memory.where(F.col(column).isNull()).drop(column)
+    made = embed(bare, text, dim, column, batch)
+    return have.unionByName(made.select(*(F.col(c).cast(t).alias(c) if c == column else F.col(c) for c, t in memory.dtypes)))

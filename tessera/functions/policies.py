@@ -13,6 +13,12 @@ DEFAULT_VISIBILITY, DEFAULT_CLEARANCE, DEFAULT_ZONES = ("team",), 3, ("quarantin
 WIRE_ZONES = ("quarantine",)
 
 
+def from_record(visibility: Column, clearance: Column, zones: Column, audit: Column) -> Column:
+    """A policy as it is read from a record: what is missing has the record's defaults, not those of a new policy."""
+    strings = lambda xs: F.array(*map(F.lit, xs))
+    return F.struct(F.coalesce(visibility, strings(DEFAULT_VISIBILITY)).alias("visibility"), F.coalesce(clearance, F.lit(DEFAULT_CLEARANCE)).alias("clearance"), F.coalesce(zones, strings(WIRE_ZONES)).alias("zones"), F.coalesce(audit, F.lit(False)).alias("audit"))
+
+
 def as_set(a: Column) -> Column:
     return F.sort_array(F.array_distinct(a))
 

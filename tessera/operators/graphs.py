@@ -105,13 +105,28 @@ def walks(edges: DataFrame, key: list[str]) -> tuple[list[tuple[int, DataFrame]]
     return found, cyclic.distinct()
 
 
-def closure_sql(table: str) -> str:
-    """The same by a recursive query over (episode, node, parent): one text for Spark and the oracle."""
-    return f"""WITH RECURSIVE up(episode, node, ancestor, distance) AS (
-        SELECT episode, node, parent, 1 FROM {table} WHERE parent IS NOT NULL
-        UNION ALL
-        SELECT u.episode, u.node, t.parent, u.distance + 1 FROM up u JOIN {table} t ON t.episode = u.episode AND t.node = u.ancestor
-        WHERE t.parent IS NOT NULL AND u.distance < 64)"""
+def wired(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """nodes with parents and children: those that a node names itself, then those that edges add; each once, in that order."""
+    empty = F.array().cast("array<string>")
+    side = lambda of, other, name: edges.groupBy(*key, F.col(of).alias("node")).agg(F.sort_array(F.collect_set(other)).alias(name))
+    rows = nodes.join(side("dst", "src", "_in"), [*key, "node"], "left").join(side("src", "dst", "_out"), [*key, "node"], "left")
+    own = lambda c: F.coalesce(F.col(c), empty) if c in nodes.columns else empty
+    return rows.withColumns({"parents": F.array_union(own("parents"), F.coalesce("_in", empty)), "children": F.array_union(own("children"), F.coalesce("_out", empty))}).drop("_in", "_out")
+
+
+def cached_rho(keys: DataFrame, path: str) -> DataFrame:
+    """graph_type, hops, rho of the keys, kept in a table at path: what it has is read, what it lacks is worked out and added."""
+    spark, template = keys.sparkSession, ["graph_type", "hops"]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    have = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    todo = keys.select(*template).distinct()
+    if have:
+        todo = todo.join(spark.read.parquet(path).select(*template), template, "left_anti")
+    todo = checkpoint(todo)
+    if not have or not todo.isEmpty():
+        nodes, edges = (checkpoint(t) for t in templates_of(todo))
+        rho_v3(nodes, edges, template).select(*template, F.col("rho").cast("double").alias("rho")).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(keys.select(*template).distinct(), template, "left_semi")
 
 
 def check(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:

@@ -6,7 +6,8 @@ without rerank and fallback; a5 routes by scope, types and policy and searches a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,19 @@ class Config:
     enable_fallback: bool = True
 
 
+    @classmethod
+    def read(cls, settings: dict | None = None, env: dict | None = None) -> Config:
+        """Settings by name, as a YAML file has them, overridden by TESSERA_<NAME> in the environment; unknown names are errors."""
+        kinds = {f.name: f.default for f in fields(cls)}
+        found = dict(settings or {})
+        found |= {k: v for k in kinds if (v := (os.environ if env is None else env).get(f"TESSERA_{k.upper()}")) is not None}
+        if unknown := set(found) - set(kinds):
+            raise ValueError(f"unknown settings {sorted(unknown)}")
+        flag = lambda v: v if isinstance(v, bool) else str(v).lower() in ("1", "true", "yes")
+        cast = lambda k, v: flag(v) if isinstance(kinds[k], bool) else float(v) if k == "min_score" else type(kinds[k])(v)
+        return cls(**{k: None if v is None else cast(k, v) for k, v in found.items()})
+
+
 PROFILE = ("memory_id", "content", "confidence", "created_at", "source", "parent_event", "prov_agent", "prov_at", "version")
 
 

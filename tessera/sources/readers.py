@@ -83,6 +83,16 @@ def shards(episodes: DataFrame) -> DataFrame:
     return episodes.where(ok).withColumn("shard", F.concat_ws("_", F.when(F.col("s4"), "s4").otherwise(F.lower("label")), F.lower("graph_type")))
 
 
+def misplaced(episodes: DataFrame) -> DataFrame:
+    """Episodes that no shard takes: policy-isolated ones outside the test split."""
+    return episodes.where(F.col("s4") & (F.col("split") != "test"))
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report as one JSON file: it has a row for each value that it tells of."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_episodes(episodes: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines by dataset, split and shard."""
     shards(episodes).write.mode("append" if append else "overwrite").partitionBy("dataset", "split", "shard").json(path)
