@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import templates as T
 from tessera.functions import texts
 from tessera.operators import episodes as E
 from tessera.operators import graphs, rules
@@ -171,16 +172,28 @@ def without(parts: Parts, bad: DataFrame) -> Parts:
 
 
 def artifacts(parts: Parts) -> DataFrame:
-    """What each node writes, three rows a node, in an order that a node's parents precede it in: its level, then its place in
-    the graph. Levels are those of the templates."""
-    keys = parts.nodes.select(*TEMPLATE, "node", "node_ord").distinct()
+    """What each node writes, three rows a node, with template texts: first the planner's, then the solvers' so that a node's
+    parents precede it, by level and place in the graph, then the verifier's, which has every conclusion as a parent. A
+    conclusion is gold if the item tells what its hop found. Levels are worked out once for each template."""
     known = parts.episodes.select(*TEMPLATE).distinct()
     t_nodes, t_edges = (checkpoint(t) for t in graphs.templates_of(known))
-    level = graphs.levels(t_nodes, t_edges, TEMPLATE).join(keys, [*TEMPLATE, "node"])
-    at = F.row_number().over(Window.partitionBy(*TEMPLATE).orderBy("level", "node_ord")) - 1
-    nodes = parts.nodes.join(level.select(*TEMPLATE, "node", at.alias("at")), [*TEMPLATE, "node"])
-    nodes = nodes.join(parts.episodes.select(*KEY, "dataset"), KEY).withColumn("text", F.lit(""))
-    return E.artifacts(nodes, parts.edges, KEY, F.col("at"), F.col("dataset"))
+    kind = F.when(F.col("node_type") == "PLANNER", 0).when(F.col("node_type") == "SOLVER", 1).otherwise(2)
+    level = graphs.levels(t_nodes, t_edges, TEMPLATE).join(t_nodes.select(*TEMPLATE, "node", "node_type", "node_ord"), [*TEMPLATE, "node"])
+    at = F.row_number().over(Window.partitionBy(*TEMPLATE).orderBy(kind, "level", "node_ord")) - 1
+    level = checkpoint(level.select(*TEMPLATE, "node", "node_type", at.alias("at")))
+    solvers = level.where("node_type = 'SOLVER'").groupBy(*TEMPLATE).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda x: x["node"]).alias("solvers"))
+    item = parts.episodes.select(*KEY, *TEMPLATE, "dataset", "question", "sub_questions", "task_shared_items", "supporting_paragraphs", "hop_count").join(solvers, TEMPLATE, "left")
+    nodes = parts.nodes.join(level.select(*TEMPLATE, "node", "at"), [*TEMPLATE, "node"]).join(parts.episodes.select(*KEY, "dataset"), KEY).withColumn("text", F.lit(""))
+    rows = E.artifacts(nodes, parts.edges, KEY, F.col("at"), F.col("dataset")).drop("text").join(parts.nodes.select(*KEY, "node", "hop"), [*KEY, "node"]).join(item, KEY)
+    found = T.gold(F.col("task_shared_items"), F.col("supporting_paragraphs"), F.col("hop"))
+    said = F.transform("solvers", lambda n: T.conclusion(T.gold(F.col("task_shared_items"), F.col("supporting_paragraphs"), F.regexp_extract(n, "([0-9]+)", 1).cast("int")), n, F.regexp_extract(n, "([0-9]+)", 1)))
+    asked = T.ask(F.col("sub_questions"), F.col("hop"), F.coalesce("question", F.lit("")))
+    slot = F.col("slot")
+    text = F.when(slot == "plan", T.plan(F.coalesce("question", F.lit("")), F.col("sub_questions"), F.col("hop_count"))).when(slot == "conclusion", T.conclusion(found, F.col("node"), F.col("hop"))).when(slot == "audit_report", T.audit(F.col("dataset"), said))
+    text = text.otherwise(T.artifact(F.col("node_type"), slot, F.coalesce("question", F.lit("")), F.col("node"), F.col("hop"), asked))
+    concluded = F.transform("solvers", lambda n: F.concat_ws(":", "episode_id", n, F.lit("conclusion")))
+    gold = (slot == "conclusion") & (F.coalesce(found, F.lit("")) != "")
+    return rows.withColumns({"text": text, "gold": gold, "confidence": F.when(gold, 1.0).otherwise(0.8), "parents": F.when(F.col("node_type") == "VERIFIER", concluded).otherwise(F.col("parents"))}).drop(*TEMPLATE, "question", "sub_questions", "task_shared_items", "supporting_paragraphs", "hop_count", "solvers")
 
 
 def nested(parts: Parts, made: DataFrame | None = None, created_at: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -194,7 +207,7 @@ def nested(parts: Parts, made: DataFrame | None = None, created_at: str = "1970-
         own = made.groupBy(*KEY, "node").agg(F.array_sort(F.collect_list(F.struct("topo_index", "slot", F.col("memory_id").alias("id")))).alias("made"))
         nodes = nodes.join(own, [*KEY, "node"], "left")
         produced = F.coalesce(F.transform("made", lambda x: F.struct(x["slot"].alias("slot"), x["id"].alias("id"))), produced)
-        more = made.select(*KEY, "memory_id", "scope_id", "memory_type", F.col("text").alias("content"), "visibility", F.lit(1.0).alias("confidence"), F.lit("rollout").alias("source"), F.concat_ws("_", "episode_id", "node").alias("writer"), F.array("slot").alias("tags"), "layer", F.col("required_clearance").alias("clearance"), F.lit(False).alias("gold"), F.col("node").alias("source_node"), none.cast("string").alias("paragraph"), none.cast("int").alias("hop"), "slot", "topo_index", "parents")
+        more = made.select(*KEY, "memory_id", "scope_id", "memory_type", F.col("text").alias("content"), "visibility", "confidence", F.lit("template:v1").alias("source"), F.concat_ws("_", "episode_id", "node").alias("writer"), F.array(F.lit("rollout"), F.col("slot"), F.col("dataset")).alias("tags"), "layer", F.col("required_clearance").alias("clearance"), "gold", F.col("node").alias("source_node"), none.cast("string").alias("paragraph"), "hop", "slot", "topo_index", "parents")
         memory = memory.select(*more.columns).unionByName(more)
     nodes = gather(nodes.withColumn("produced", produced), "node_ord", F.col("node").alias("node_id"), "node_type", F.col("hop").alias("hop_index"), "produced")
     # arrays of maps can't be sorted, so nodes get theirs afterwards

@@ -15,6 +15,8 @@ from tessera.session import checkpoint
 
 #: Scores are compared and ranked at this many places, so that the order doesn't depend on the order of additions.
 PLACES = 9
+#: Parts that the rows of a scope are dealt out to; units go to each.
+SALTS = 16
 
 
 def top_k(scored: DataFrame, by: list[str], k: int, order: list[Column], rank: str = "rank") -> DataFrame:
@@ -36,8 +38,9 @@ def candidates(units: DataFrame, memory: DataFrame) -> DataFrame:
     list (empty: all), visibilities overlapping."""
     ok = (F.size("types") == 0) | F.array_contains("types", F.col("memory_type"))
     ok = ok & policies.readable(F.col("visibility"), F.col("asked"))
-    some = units.where(F.size("scopes") > 0).withColumn("_scope", F.explode(F.array_distinct("scopes")))
-    found = some.join(memory, (F.col("_scope") == F.col("scope_id")) & ok).drop("_scope")
+    some = units.where(F.size("scopes") > 0).withColumn("_scope", F.explode(F.array_distinct("scopes"))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = memory.withColumn("_salt", F.pmod(F.xxhash64("memory_id"), F.lit(SALTS)))  # a scope may hold a third of all rows
+    found = some.join(dealt, (F.col("_scope") == F.col("scope_id")) & (F.col("_part") == F.col("_salt")) & ok).drop("_scope", "_part", "_salt")
     open_ = units.where(F.size("scopes") == 0)
     return found.unionByName(open_.join(memory, ok))
 
@@ -169,6 +172,55 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, similarity: str = "cosi
     return top_k(pairs.mapInArrow(score, "qid long, id long, score double"), ["qid"], k, [F.col("score").desc(), F.col("id")])
 
 
+#: Words of all items that a broadcast may hold, and cells of a block of texts by items.
+ITEM_WORDS, CELLS = 2_000_000, 4_000_000
+
+
+def best_overlaps(texts_: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
+    """texts_: id long, ws (distinct words); items: item_id long, ws -> item_id, id, hits, n (the item's words), rank: the k texts
+    of each item that share most words with it, lower ids first. Texts without a shared word are none.
+
+    An index of the items' words goes to every task, which counts whole texts and sends the first k of each item only.
+    Beyond ITEM_WORDS words the items are dealt out by hash, a part of the index at a time, so that no index outgrows it."""
+    items = checkpoint(items.select("item_id", "ws"))
+    total = items.agg(F.coalesce(F.sum(F.size("ws")), F.lit(0))).first()[0]
+    parts = -(-max(total, 1) // ITEM_WORDS)
+    sc = items.sparkSession.sparkContext
+    out = None
+    for part in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
+        index: dict[str, list[int]] = {}
+        for at, r in enumerate(rows):
+            for w in r["ws"]:
+                index.setdefault(w, []).append(at)
+        shared = sc.broadcast(({w: np.array(x, np.int32) for w, x in index.items()}, np.array([r["item_id"] for r in rows], np.int64), np.array([len(r["ws"]) for r in rows], np.int64)))
+
+        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, ids, sizes = shared.value
+            if not len(ids):
+                return
+            best_id, best = np.zeros((0, len(ids)), np.int64), np.zeros((0, len(ids)), np.int64)
+            step = max(1, CELLS // len(ids))
+            for batch in batches:
+                for lo in range(0, batch.num_rows, step):
+                    piece = batch.slice(lo, step)
+                    hits = np.zeros((piece.num_rows, len(ids)), np.int64)
+                    for row, ws in enumerate(piece.column(1).to_pylist()):
+                        found = [x for w in ws or () if (x := index.get(w)) is not None]
+                        if found:
+                            hits[row] = np.bincount(np.concatenate(found), minlength=len(ids))
+                    both = np.concatenate([best, hits])
+                    who = np.concatenate([best_id, np.broadcast_to(piece.column(0).to_numpy()[:, None], hits.shape)])
+                    order = np.lexsort((who, -both), axis=0)[:k]
+                    best, best_id = np.take_along_axis(both, order, 0), np.take_along_axis(who, order, 0)
+            at, item = np.nonzero(best > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[item]), pa.array(best_id[at, item]), pa.array(best[at, item]), pa.array(sizes[item])], ["item_id", "id", "hits", "n"])
+
+        one = texts_.select("id", "ws").mapInArrow(count, "item_id long, id long, hits long, n long")
+        out = one if out is None else out.unionByName(one)
+    return top_k(out, ["item_id"], k, [F.col("hits").desc(), F.col("id")])
+
+
 def numbered(rows: DataFrame, by: list[str], order: list, column: str = "at") -> DataFrame:
     """Adds the place of each row in its group, from 1, and `n`, the group's size, without bringing a group into one task: rows
     are sorted by ranges, and ranges are numbered behind those before them."""

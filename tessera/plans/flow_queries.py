@@ -219,3 +219,30 @@ def q89(spark, sf):
     back = assembly.read(spark, path, rows.schema)
     made = F.aggregate(F.transform("nodes", lambda x: F.size(x["produced_artifact_ids"])), F.lit(0), lambda s, x: s + x)
     return back.select("episode_id", F.size("nodes").cast("long").alias("n_nodes"), F.size("memory_entries").cast("long").alias("n_memory"), F.size("retrieval_requests").cast("long").alias("n_requests"), made.cast("long").alias("n_produced"), F.col("rho_subset").alias("label"))
+
+
+_NL = " || chr(10) || "
+_CONCLUDE = "CASE WHEN trim(split_part(coalesce(us[{h}], ''), '.', 1)) <> '' THEN trim(split_part(us[{h}], '.', 1)) ELSE '[conclusion] node=' || {n} || ' hop=' || {h} || ': (no gold oracle available)' END"
+ROLLOUT_SQL = f"""{FLOW_SQL}, qs AS (SELECT *, trim(coalesce(ts[1], '')) AS q FROM er WHERE NOT bare),
+    cs AS (SELECT episode_id, string_agg('  - ' || left({_CONCLUDE.format(h="hop", n="node")}, 120), chr(10) ORDER BY hop) AS bullets, count(*) AS k FROM qs JOIN tn USING (graph_type, hops) WHERE s4 AND node_type = 'SOLVER' GROUP BY 1),
+    pa AS (SELECT graph_type, hops, dst AS node, count(*) AS parents FROM te GROUP BY ALL),
+    ar AS (SELECT qs.*, tn.node, tn.node_type, tn.hop, unnest(CASE tn.node_type WHEN 'PLANNER' THEN ['query_intent', 'scratch', 'plan'] WHEN 'SOLVER' THEN ['query_intent', 'scratch', 'conclusion'] ELSE ['query_intent', 'scratch', 'audit_report'] END) AS slot FROM qs JOIN tn USING (graph_type, hops)),
+    tx AS (SELECT ar.episode_id, node, slot, node_type, hop, us, graph_type, hops, trim(coalesce(us[hop], q)) AS a, CASE
+      WHEN slot = 'query_intent' AND node_type = 'PLANNER' THEN '[query_intent] node=planner'{_NL}'I must decompose: ' || q{_NL}'I need to retrieve: high-level topical context to decide the hop structure.'
+      WHEN slot = 'scratch' AND node_type = 'PLANNER' THEN '[scratch] node=planner'{_NL}'Decomposing the question into sequential hops: ' || q
+      WHEN slot = 'plan' THEN 'Plan for question: ' || q || CASE WHEN u > 0 THEN list_aggregate(list_transform(us, lambda x, k: chr(10) || '  - hop ' || k || ': ' || trim(x)), 'string_agg', '') ELSE chr(10) || '  - decompose into ' || hops || ' sequential solver hops.' END
+      WHEN slot = 'query_intent' AND node_type = 'SOLVER' THEN '[query_intent] node=' || node || ' hop=' || hop{_NL}'I must answer: ' || trim(coalesce(us[hop], q)){_NL}'I need to retrieve: facts that resolve this sub-question, plus any upstream conclusions from my ancestors.'
+      WHEN slot = 'scratch' AND node_type = 'SOLVER' THEN '[scratch] node=' || node || ' hop=' || hop{_NL}'Considering sub-question: ' || trim(coalesce(us[hop], q)){_NL}'Drafting reasoning based on retrieved evidence and ancestor conclusions.'
+      WHEN slot = 'conclusion' THEN {_CONCLUDE.format(h="hop", n="node")}
+      WHEN slot = 'query_intent' THEN '[query_intent] node=verifier'{_NL}'I must check provenance and cross-conclusion consistency.'{_NL}'I need to retrieve: restricted audit traces and all task_shared conclusions.'
+      WHEN slot = 'scratch' THEN '[scratch] node=verifier'{_NL}'Inspecting each solver''s conclusion for source-alignment.'
+      ELSE '[audit_report] dataset=hotpotqa'{_NL}'Reviewed ' || k || ' solver conclusion(s):'{_NL}bullets{_NL}'Verdict: provenance checks applied, no inconsistencies flagged.' END AS text, k FROM ar LEFT JOIN cs USING (episode_id))"""
+
+
+@query("q90_rollout_texts", f"""{ROLLOUT_SQL} SELECT tx.episode_id || ':' || tx.node || ':' || slot AS memory_id, md5(text) AS text_md5, slot = 'conclusion' AND trim(split_part(coalesce(us[hop], ''), '.', 1)) <> '' AS gold,
+    coalesce(CASE WHEN node_type = 'VERIFIER' THEN k ELSE parents END, 0)::BIGINT AS n_parents FROM tx LEFT JOIN pa ON pa.graph_type = tx.graph_type AND pa.hops = tx.hops AND pa.node = tx.node""")
+def q90(spark, sf):
+    """O-107, O-109, O-110: every artifact of every episode with its template text."""
+    p = built(spark, sf)
+    p = assembly.without(p, checkpoint(assembly.check(p)[1]))
+    return assembly.artifacts(p).select("memory_id", F.md5("text").alias("text_md5"), "gold", F.size("parents").cast("long").alias("n_parents"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import texts
-from tessera.operators import episodes, graphs, rules
+from tessera.operators import episodes, graphs, rules, search
 from tessera.plans import views
 from tessera.plans.registry import query
 from tessera.session import table
@@ -223,12 +223,11 @@ W = "list_distinct(list_filter(string_split_regex(lower({0}), '[ \\t\\n\\x0B\\f\
 @query("q59_keyword_overlap", f"""WITH q AS (SELECT item_id, unnest({W.format('text')}) AS w, len({W.format('text')}) AS n FROM benchmark), d AS (SELECT doc_id, unnest({W.format('text')}) AS w FROM documents),
     j AS (SELECT item_id, n, doc_id, count(*) AS hits FROM q JOIN d USING (w) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rank FROM j) SELECT item_id, doc_id, rank, round(hits::DOUBLE / n, 6) AS overlap FROM r WHERE rank <= 5""")
 def q59(spark, sf):
-    """O-63 over all documents: benchmark items as queries, an equi-join on words, the best five."""
-    q = table(spark, sf, "benchmark").select("item_id", texts.words(F.col("text")).alias("ws")).select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    d = table(spark, sf, "documents").select("doc_id", F.explode(texts.words(F.col("text"))).alias("w"))
-    j = d.join(q, "w").groupBy("item_id", "n", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    r = j.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("hits").desc(), "doc_id"))).where("rank <= 5")
-    return r.select("item_id", "doc_id", "rank", F.round(F.col("hits") / F.col("n"), 6).alias("overlap"))
+    """O-63 over all documents: benchmark items as queries, the best five."""
+    q = table(spark, sf, "benchmark").select("item_id", texts.words(F.col("text")).alias("ws"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), texts.words(F.col("text")).alias("ws"))
+    r = search.best_overlaps(d, q)
+    return r.select("item_id", F.col("id").alias("doc_id"), "rank", F.round(F.col("hits") / F.col("n"), 6).alias("overlap"))
 
 
 @query("q64_consumer_index", f"{ARTIFACTS_SQL} SELECT parents AS memory_id, count(*) AS consumers, min(memory_id) AS first FROM ar WHERE parents <> '' GROUP BY 1")

@@ -128,6 +128,22 @@ def test_nearest_against_numpy(spark):
             assert [i for i, _ in got[q]] == want and np.allclose([v for _, v in got[q]], s[want], atol=2e-9)
 
 
+@pytest.mark.parametrize("words", [2_000_000, 40])
+def test_best_overlaps(spark, words, monkeypatch):
+    """Items in one index, and dealt out over several."""
+    monkeypatch.setattr(search, "ITEM_WORDS", words)
+    monkeypatch.setattr(search, "CELLS", 50)
+    rng = np.random.default_rng(8)
+    draw = lambda n: sorted({f"w{k}" for k in rng.integers(0, 60, n)})
+    docs, items = [(k, draw(20)) for k in range(80)] + [(99, None)], [(k, draw(9)) for k in range(12)] + [(50, ["none"])]
+    got = {}
+    for r in search.best_overlaps(spark.createDataFrame(docs, "id long, ws array<string>").repartition(3), spark.createDataFrame(items, "item_id long, ws array<string>"), 4).collect():
+        got.setdefault(r["item_id"], []).append((r["rank"], r["id"], r["hits"]))
+    for i, ws in items:
+        want = sorted(((-len(set(ws) & set(d or ())), k) for k, d in docs if set(ws) & set(d or ())))[:4]
+        assert sorted(got.get(i, [])) == [(n + 1, k, -h) for n, (h, k) in enumerate(want)]
+
+
 def test_numbered(spark):
     rows = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"), ((F.col("id") * 37) % 11).alias("v"))
     got = search.numbered(rows, ["g"], [F.col("v").desc(), "id"]).collect()
