@@ -252,4 +252,4 @@ def report(parts: Parts) -> DataFrame:
         F.struct(F.lit("hops").alias("grain"), F.col("hop_count").cast("string").alias("key")), F.struct(F.lit("s4").alias("grain"), F.col("s4").cast("string").alias("key")), F.struct(F.lit("gold").alias("grain"), F.coalesce("has", F.lit(False)).cast("string").alias("key")),
     )
     rows = e.select("rho", F.explode(keys).alias("g")).groupBy("g.grain", "g.key")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("rho"), 4).alias("mean"), F.bround(F.stddev_pop("rho"), 4).alias("std"), F.min("rho").alias("low"), F.max("rho").alias("high"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), rules.mean_of("rho").alias("mean"), F.bround(F.stddev_pop("rho"), 4).alias("std"), F.min("rho").alias("low"), F.max("rho").alias("high"))

@@ -110,9 +110,14 @@ def coverage(episodes: DataFrame, want=("S1", "S2", "S3")) -> DataFrame:
     return episodes.sparkSession.createDataFrame([(w,) for w in want], "label string").join(have, "label", "left_anti")
 
 
+def mean_of(rho: str) -> Column:
+    """The mean of values of four decimals, to four decimals, from whole numbers, so that ties don't depend on the order of additions."""
+    return F.bround(F.sum(F.round(F.col(rho) * 10000).cast("long")) / F.count(rho)) / 10000
+
+
 def statistics(episodes: DataFrame) -> DataFrame:
     """label, n and moments of rho; the deviation is that of the population."""
-    return episodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("rho"), 4).alias("mean"), F.bround(F.stddev_pop("rho"), 4).alias("std"), F.min("rho").alias("low"), F.max("rho").alias("high"))
+    return episodes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), mean_of("rho").alias("mean"), F.bround(F.stddev_pop("rho"), 4).alias("std"), F.min("rho").alias("low"), F.max("rho").alias("high"))
 
 
 def stratified(rows: DataFrame, by: str | None, ident: str, ratio: float, seed: str) -> DataFrame:

@@ -77,15 +77,15 @@ def q77(spark, sf):
     return built(spark, sf).gold.select("memory_id", F.size("required_by").cast("long").alias("n_required"), "hop")
 
 
-@query("q78_rho_by_graph_type", f"{RHO_SQL} SELECT graph_type, count(*) AS n, round_even(avg(rho), 4) AS mean, min(rho) AS low, max(rho) AS high FROM er GROUP BY 1")
+@query("q78_rho_by_graph_type", f"{RHO_SQL} SELECT graph_type, count(*) AS n, round_even(sum(round(rho * 10000)::BIGINT)::DOUBLE / count(*), 0) / 10000 AS mean, min(rho) AS low, max(rho) AS high FROM er GROUP BY 1")
 def q78(spark, sf):
     """O-92."""
-    return q46(spark, sf).groupBy("graph_type").agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg("rho"), 4).alias("mean"), F.min("rho").alias("low"), F.max("rho").alias("high"))
+    return q46(spark, sf).groupBy("graph_type").agg(F.count(F.lit(1)).alias("n"), rules.mean_of("rho").alias("mean"), F.min("rho").alias("low"), F.max("rho").alias("high"))
 
 
 @query("q79_dataset_report", f"""{FLOW_SQL}, gr AS (SELECT er.*, coalesce(shared, 0) > 0 OR (NOT bare AND u > 0) AS has FROM er LEFT JOIN sc USING (episode_id)),
     gk AS (SELECT rho, unnest(['all', 'subset', 'graph_type', 'hops', 's4', 'gold']) AS grain, unnest(['', label, graph_type, hops::VARCHAR, s4::VARCHAR, has::VARCHAR]) AS key FROM gr)
-    SELECT grain, key, count(*) AS n, round_even(avg(rho), 4) AS mean, round_even(stddev_pop(rho), 4) AS std, min(rho) AS low, max(rho) AS high FROM gk GROUP BY ALL""")
+    SELECT grain, key, count(*) AS n, round_even(sum(round(rho * 10000)::BIGINT)::DOUBLE / count(*), 0) / 10000 AS mean, round_even(stddev_pop(rho), 4) AS std, min(rho) AS low, max(rho) AS high FROM gk GROUP BY ALL""")
 def q79(spark, sf):
     """O-84."""
     return assembly.report(built(spark, sf))

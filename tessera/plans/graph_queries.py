@@ -99,7 +99,7 @@ def q47(spark, sf):
     return ep.join(graphs.rho_static(up.select(*TEMPLATE, "node", F.col("ancestor").alias("memory_id")), n, TEMPLATE), TEMPLATE).select("episode", "graph_type", "hops", "rho")
 
 
-@query("q48_subset_label_stats", f"{RHO_SQL} SELECT label, count(*) AS n, round_even(avg(rho), 4) AS mean, round_even(stddev_pop(rho), 4) AS std, min(rho) AS low, max(rho) AS high FROM er GROUP BY 1")
+@query("q48_subset_label_stats", f"{RHO_SQL} SELECT label, count(*) AS n, round_even(sum(round(rho * 10000)::BIGINT)::DOUBLE / count(*), 0) / 10000 AS mean, round_even(stddev_pop(rho), 4) AS std, min(rho) AS low, max(rho) AS high FROM er GROUP BY 1")
 def q48(spark, sf):
     return rules.statistics(q46(spark, sf).withColumn("label", graphs.label(F.col("rho"))))
 
