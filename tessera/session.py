@@ -36,22 +36,21 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python workers of BATCH bytes at most, unless the session says how large they are: two tasks' buffers of
+    Spark's usual size take a good part of a small executor's memory beside its heap. Operators that use Python ask for it."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH)
+
+
 def checkpoint(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cuts the lineage of df: a Parquet table in the shared folder, which survives executors, read again. With `by`, the
-    rows of each value of that column are files of their own, so that readers of one value skip the others. Unless the
-    session says how large batches for Python are, those of the plan that is run here have BATCH bytes at most."""
+    rows of each value of that column are files of their own, so that readers of one value skip the others."""
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch(spark, "table")
     out = df.write.option("compression", "zstd")
-    out = out.partitionBy(by) if by else out
-    own = spark.conf.get(BATCH_KEY, None) is None
-    if own:
-        spark.conf.set(BATCH_KEY, BATCH)
-    try:
-        out.parquet(path)
-    finally:
-        if own:
-            spark.conf.unset(BATCH_KEY)
+    (out.partitionBy(by) if by else out).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._table_path = path  # for discard()
     return table
