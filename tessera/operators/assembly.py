@@ -229,7 +229,7 @@ def write(rows: DataFrame, path: str, append: bool = False, s4_shard: bool = Tru
     the test split. Without s4_shard every episode goes to the shard of its label."""
     flat = rows.withColumns({"s4": F.col("s4_eligible") if s4_shard else F.lit(False), "label": F.col("rho_subset")})
     readers.write_episodes(flat, path, append)
-    return flat.where(F.col("s4") & (F.col("split") != "test")).select("episode_id", F.lit("s4_only_test").alias("rule"))
+    return readers.misplaced(flat).select("episode_id", F.lit("s4_only_test").alias("rule"))
 
 
 def read(spark: SparkSession, path: str, schema) -> DataFrame:
