@@ -384,3 +384,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     (gone_id,) = free_names(docs, "gone")
     gone = gone.withColumnRenamed("gone", gone_id)
     return docs.join(gone, F.coalesce(docs["doc_id"], F.lit(MISSING)) == gone[gone_id], "left_anti").select(*(docs[f"`{c}`"] for c in docs.columns))
+
+
+OP8_SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, md5(unnest(CASE WHEN len(ws) >= {WORDS} THEN list_transform(range(1, len(ws) - {WORDS - 2}), lambda i: array_to_string(ws[i : i + {WORDS - 1}], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {SHARE} * (x.n + y.n - i)),
+    t AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT t.a, l.b FROM t JOIN l ON l.a = t.b)
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.b AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS b FROM t GROUP BY 1) c ON c.a = w.doc_id"""

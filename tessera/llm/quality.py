@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _words as W
-from tessera.session import free_names
+from tessera.session import free_names, small_batches
 
 # Limits on the share of word characters inside repeated n-grams, by words, and inside repeated lines.
 LIMITS = ((5, 0.30), (7, 0.25), (10, 0.20))
@@ -122,6 +122,8 @@ def _struct(texts: pa.Array) -> pa.Array:
 def with_quality(docs: DataFrame, text: str = "text", column: str = "quality") -> DataFrame:
     """Adds a struct of the measures and verdicts; the text is the only column that goes to Python."""
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf(f"struct<{', '.join(f.replace(' ', ':', 1) for f in FIELDS.split(', '))}>")
     def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
@@ -140,3 +142,29 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, unchanged."""
     (name,) = free_names(docs, "quality")
     return with_quality(docs, column=name).where(F.col(f"{name}.kept")).drop(name)
+
+
+def op9_sql() -> str:
+    """Words, lines and n-grams as rows; a word is covered if one of the last n windows begins a repetition."""
+    gram = lambda n: f"CASE WHEN k + {n - 1} <= n_words THEN array_to_string(ws[k : k + {n - 1}], ' ') END"
+    later = ", ".join(f"CASE WHEN g{n} IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g{n} ORDER BY k) > 1 THEN 1 ELSE 0 END AS d{n}" for n, _ in LIMITS)
+    frame = lambda n: f"OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    covered = ", ".join(f"max(d{n}) {frame(n)} AS c{n}" for n, _ in LIMITS)
+    shares = ", ".join(f"coalesce(sum(CASE WHEN c{n} = 1 THEN length(word) END), 0)::DOUBLE / sum(length(word)) AS dup_{n}gram_chars" for n, _ in LIMITS)
+    zeros = ", ".join(f"coalesce(dup_{n}gram_chars, 0) AS dup_{n}gram_chars" for n, _ in LIMITS)
+    bad = " OR ".join(f"coalesce(dup_{n}gram_chars, 0) > {limit}" for n, limit in LIMITS)
+    word = "[^\\x20\\x09-\\x0D]+"
+    return f"""
+    WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws FROM documents),
+    e AS (SELECT doc_id, ws, len(ws) AS n_words, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+    g AS (SELECT doc_id, k, word, {gram(3)} AS g3, {", ".join(f"{gram(n)} AS g{n}" for n, _ in LIMITS)} FROM e),
+    d AS (SELECT *, CASE WHEN g3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g3) > 1 THEN 1 ELSE 0 END AS r3, {later} FROM g),
+    c AS (SELECT doc_id, word, max(r3) {frame(3)} AS again, {covered} FROM d),
+    s AS (SELECT doc_id, sum(length(word))::BIGINT AS word_chars, sum(again)::BIGINT AS n_repeat_words, {shares} FROM c GROUP BY 1),
+    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS k FROM w),
+    m AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS late FROM l WHERE regexp_matches(line, '{word}')),
+    n AS (SELECT doc_id, count(*) FILTER (late) AS n_dup_lines, coalesce(sum(length(array_to_string(regexp_extract_all(line, '{word}'), ''))) FILTER (late), 0) AS chars FROM m GROUP BY 1),
+    j AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+        coalesce(chars::DOUBLE / word_chars, 0) AS dup_line_chars, {zeros}, {bad} OR coalesce(chars::DOUBLE / word_chars, 0) > {LINE_LIMIT} AS bad FROM w LEFT JOIN s USING (doc_id) LEFT JOIN n USING (doc_id)),
+    b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
+    SELECT * EXCLUDE (bad), NOT base_failed AND NOT bad AS kept FROM b"""

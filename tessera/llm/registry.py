@@ -16,9 +16,13 @@ QUERIES = {
     "op9_quality_rules": quality.op9,
     "op10_mixing": mixing.op10,
 }
+#: Merge tables, trained models and their texts are not SQL; tests hold op2, op5, op7 and the pipeline against plain twins.
 SQL = {
     "op1_url_filter": url_filter.op1_sql(),
     "op3_warc": warc.op3_sql(),
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op8_ngram_join": ngram_join.OP8_SQL,
+    "op9_quality_rules": quality.op9_sql(),
     "op10_mixing": mixing.op10_sql(),
 }

@@ -456,3 +456,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup(docs).drop("kept_text")
+
+
+OP4_SQL = f"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+    g AS (SELECT doc_id, k, md5(array_to_string(ws[k : k + {WINDOW - 1}], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS k FROM w WHERE len(ws) >= {WINDOW})),
+    f AS (SELECT doc_id, k, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) > 1 AS late FROM g),
+    c AS (SELECT e.doc_id, e.k, e.word, max(CASE WHEN late THEN 1 ELSE 0 END) OVER (PARTITION BY e.doc_id ORDER BY e.k ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM e LEFT JOIN f USING (doc_id, k))
+    SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(sum(gone), 0)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY k) FILTER (gone = 0), '')) AS kept_sha256 FROM w LEFT JOIN c USING (doc_id) GROUP BY w.doc_id, len(ws)"""

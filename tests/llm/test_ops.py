@@ -502,6 +502,103 @@ def test_matches_sql(spark, name):
     assert rows_of(df.columns, map(tuple, df.collect())) == rows_of([d[0] for d in want.description], want.fetchall())
 
 
+def test_quality_method_rejects_alone(spark):
+    """A passage that stands four times passes the base rule, and fails by what its later copies cover."""
+    passage, own = " ".join(f"p{k}" for k in range(13)), [" ".join(f"o{j}x{k}" for k in range(18)) for j in range(3)]
+    text = f"{passage} {own[0]} {passage} {own[1]} {passage} {own[2]} {passage}"
+    got = quality.with_quality(spark.createDataFrame([(1, text), (2, " ".join(own))], "doc_id long, text string")).select("doc_id", "quality.base_failed", "quality.kept").collect()
+    assert sorted(map(tuple, got)) == [(1, False, False), (2, False, True)]
+
+
+def brute_pipeline(rows):
+    """(doc_id, text, source) -> sorted (doc_id, ids_sha256) of the mix, by plain Python all the way."""
+    import public_tokenizers as P
+    import tiktoken
+
+    def good(t):
+        w, lines = words(t), (t or "").split("\n")
+        if brute_quality(t)[5]:
+            return False
+        total = sum(map(len, w))
+        for n, limit in quality.LIMITS:
+            seen, hit = set(), set()
+            for j in range(len(w) - n + 1):
+                g = tuple(w[j : j + n])
+                hit |= set(range(j, j + n)) if g in seen else set()
+                seen.add(g)
+            if sum(len(w[j]) for j in hit) / total > limit:
+                return False
+        return sum(sum(map(len, words(x))) for k, x in enumerate(lines) if words(x) and x in lines[:k]) / total <= quality.LINE_LIMIT
+
+    rows = [r for r in rows if good(r[1])]
+    best = {}
+    for r in rows:
+        best[r[1]] = max(best.get(r[1], r), r, key=lambda x: (x[0] is not None, x[0] or 0))
+    rows = sorted(best.values(), key=lambda r: (r[0] is not None, r[0] or 0))
+    sets = []
+    for _, t, _ in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    group = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if group[x] != group[y] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]) > 0:
+                old, new = max(group[x], group[y]), min(group[x], group[y])
+                group = [new if g == old else g for g in group]
+    rows = [r for k, r in enumerate(rows) if group[k] == k]
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(words(t))
+    names = sorted(x for x in size if x is not None) + [None] * (None in size)
+    target, open_, budget = {}, set(names), sum(size.values())
+    weight = {x: 1 + k % 3 for k, x in enumerate(names)}
+    while open_:
+        level = (budget - sum(target.values())) / sum(weight[x] for x in open_)
+        above = {x for x in open_ if level * weight[x] > 3 * size[x]}
+        target |= {x: 3 * size[x] for x in above} if above else {x: level * weight[x] for x in open_}
+        open_ = open_ - above if above else set()
+    place, queue = {}, []
+    for i, t, s in sorted(rows, key=lambda r: hashlib.md5(f"mix-1:{'' if r[0] is None else r[0]}:{r[1]}".encode()).hexdigest()):
+        place[s] = place.get(s, 0) + len(words(t))
+        queue += [((k * size[s] + place[s]) / target[s], s is None, s or "", place[s], i, t) for k in range(3)]
+    ref = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(bpe.RANKS)), special_tokens={})
+    out, spent = [], 0
+    for *_, i, t in sorted(queue, key=lambda q: q[:4]):
+        spent += len(words(t))
+        if spent > budget:
+            break
+        ids = ref.encode_ordinary(t)
+        out.append((str(i), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()))
+    return sorted(out)
+
+
+def test_pipeline_against_plain_python(spark, docs, tmp_path):
+    """Nulls in every column, empty and long texts, copies, near copies, and columns whose names clash with inner ones."""
+    import corpus_pipeline
+
+    r = random.Random(6)
+    long = [(300 + k, " ".join(f"u{r.randrange(3000)}" for _ in range(r.randint(60, 300))), None if k % 5 == 0 else f"s{k % 3}") for k in range(40)]
+    long += [(400 + k, long[k][1], "s0") for k in range(8)] + [(None, long[20][1] + " and more", "s1"), (450, long[3][1] + " tail", None)]
+    extra = spark.createDataFrame([(i, t, "en", s, None) for i, t, s in long], "doc_id long, text string, lang string, source string, n_chars long")
+    every = docs.unionByName(extra)
+    names = ("h", "key", "quality", "gone", "best", "size", "k")
+    every.select("*", *(F.lit("mine").alias(n) for n in names)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(x["doc_id"]), x["ids_sha256"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    want = brute_pipeline([tuple(x) for x in every.select("doc_id", "text", "source").collect()])
+    assert got == want and len(want) > 40
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, "")
+        assert kept.columns == [*every.columns, *names] and kept.select(*names).distinct().count() == 1
+
+
+def test_pipeline_of_an_empty_table(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
