@@ -25,12 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import small_batches
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: public_tokenizers.PATTERN in Java's notation: `\s` is any Unicode white space.
 SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Memory of the words that a worker remembers at most, with ENTRY bytes for each beside its own; words and bytes of a
 #: recursive query, and ids that one query decodes.
-MEMO, ENTRY, WORDS, BYTES, IDS = 96 << 20, 240, 20_000, 1 << 19, 200_000
+MEMO, ENTRY, WORDS, BYTES, IDS = 48 << 20, 240, 20_000, 1 << 18, 100_000
 
 ENCODE = """
 WITH RECURSIVE step(key, id, nxt) USING KEY (key) AS (
@@ -192,6 +194,7 @@ def _slices(lists: pa.ListArray, most: int = 500_000) -> Iterator[pa.ListArray]:
 def encode(docs: DataFrame, text: str = "text", column: str = "ids", ranks: str | None = None) -> DataFrame:
     """Adds the ids of each text as an array."""
     path = ranks or public_tokenizers.path(RANKS)
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("array<int>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -207,6 +210,7 @@ def encode(docs: DataFrame, text: str = "text", column: str = "ids", ranks: str
 def decode(docs: DataFrame, ids: str = "ids", column: str = "decoded", ranks: str | None = None) -> DataFrame:
     """Adds the bytes that the ids stand for. They are valid UTF-8 if the ids are those of a text."""
     path = ranks or public_tokenizers.path(RANKS)
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("binary")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -220,6 +224,7 @@ def decode(docs: DataFrame, ids: str = "ids", column: str = "decoded", ranks: st
 def round_trip(docs: DataFrame, text: str = "text", column: str = "bpe", ranks: str | None = None) -> DataFrame:
     """Encodes and decodes in one pass; adds a struct of n_tokens, ids_sha256 and decoded_sha256."""
     path = ranks or public_tokenizers.path(RANKS)
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import free_names
+from tessera.session import free_names, small_batches
 
 BUDGET = 64 << 20
 FANOUT_BITS = 4
@@ -156,6 +156,7 @@ def groups(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
         for t in grace((as_records(b) for b in batches), budget):
             yield from t.to_batches(max_chunksize=2000)
 
+    small_batches(rows.sparkSession)
     shape = "h long, text string, keep_id long, n long"
     folded = rows.select("h", "text", "keep_id", "n").mapInArrow(fold_batch, shape).repartition("h")
     out = folded.mapInArrow(fold_all, shape)

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import small_batches
+
 LAYOUTS, TREES, DEPTH, RATE, BINS = 400, 40, 3, 0.25, 32
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 CUT = re.compile("<[a-zA-Z/!?]")
@@ -532,6 +534,7 @@ def extract_all(sources: list[str | None], trees: Model) -> list[str]:
 def extract(pages: DataFrame, html: str = "html", column: str = "main_text") -> DataFrame:
     """Adds the main text of each page."""
     trees = model()
+    small_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint, free_names
+from tessera.session import checkpoint, free_names, small_batches
 
 DIM = 1 << 15
 ORDERS = (1, 2, 3)
@@ -203,6 +203,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds lang_pred and score."""
     (both,) = free_names(docs, "both")
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

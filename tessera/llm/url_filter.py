@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import free_names
+from tessera.session import free_names, small_batches
 
 # Host and path rules of the query's contract.
 PATH_RULES = (
@@ -128,6 +128,7 @@ def filter_urls(pages: DataFrame, url: str = "url", path_rules=PATH_RULES, patte
     mine = [host_rule(*r) for r in path_rules]
     rules = mine + [pattern_rule(p) for p in patterns]
     split = len(mine)
+    small_batches(pages.sparkSession)
     h, p, judged = free_names(pages, "host", "path", "judged")
     out = pages.withColumn(h, host(F.col(url))).withColumn(p, path(F.col(url)))
     counts = token_counts(out.select(F.col(h).alias("host"), F.col(p).alias("path")), {t for r in rules for t in r.literals})

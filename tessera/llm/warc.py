@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import scratch
+from tessera.session import scratch, small_batches
 
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long, payload_bytes long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -80,6 +80,7 @@ def parse(member: bytes) -> dict:
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
     """Writes the archives to folder, a URI that driver and executors share, and returns the stored index."""
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html"), F.unhex(F.sha1(body)).alias("sha"))
     ids = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "sha")
