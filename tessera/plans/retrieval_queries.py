@@ -185,8 +185,9 @@ def q37(spark, sf):
 
 
 GOLD_SQL = "gold AS (SELECT request_id, memory_id FROM (SELECT r.request_id, m.memory_id, row_number() OVER (PARTITION BY r.request_id ORDER BY m.memory_id) AS g FROM v_requests r JOIN v_memory m ON m.label = r.label AND (m.scope_id = r.main_scope OR m.scope_id = r.private_scope)) WHERE g <= 5)"
-PER_SQL = f"""{variant_sql('a4')}, {GOLD_SQL}, tp AS (SELECT request_id, memory_id, min(rank) AS rank FROM res WHERE rank <= 10 GROUP BY ALL),
+PER_CTES = f"""{GOLD_SQL}, tp AS (SELECT request_id, memory_id, min(rank) AS rank FROM res WHERE rank <= 10 GROUP BY ALL),
     pe AS (SELECT request_id, count(*) AS n_gold, count(rank) AS hits, count(rank)::DOUBLE / count(*) AS recall, coalesce(1.0::DOUBLE / min(rank), 0) AS rr FROM gold LEFT JOIN tp USING (request_id, memory_id) GROUP BY 1)"""
+PER_SQL = f"{variant_sql('a4')}, {PER_CTES}"
 
 
 def gold(spark, sf):
@@ -229,6 +230,20 @@ def q62(spark, sf):
     return evaluation.compare({v: checkpoint(run(spark, sf, v)) for v in ("a1", "a3", "a4", "a5")}, g, c)
 
 
+def report_sql(variant: str) -> str:
+    return f"""SELECT * FROM ({variant_sql(variant)}, {PER_CTES}, p AS (SELECT request_id, first(bucket) AS bucket FROM res GROUP BY 1), cn AS (SELECT count(*) AS requests, count(DISTINCT bucket) + count(*) FILTER (bucket IS NULL) AS first_stage FROM p),
+    xc AS (SELECT count(*) AS conflicts, count(*) FILTER (bucket IS NOT NULL) AS merged FROM p WHERE request_id IN (SELECT request_id FROM v_requests WHERE audit)), mn AS (SELECT round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, count(*) AS evaluated FROM pe)
+    SELECT '{variant}' AS variant, recall, mrr, evaluated, requests, first_stage, round(greatest((requests - first_stage)::DOUBLE / requests, 0), 6) AS savings, conflicts, merged, round(merged::DOUBLE / conflicts, 6) AS rate FROM mn, cn, xc)"""
+
+
+@query("q91_variant_report", " UNION ALL ".join(report_sql(v) for v in ("a1", "a3", "a4")))
+def q91(spark, sf):
+    """O-80, O-81: the variants that SQL can express."""
+    g, c = gold(spark, sf), conflicts(spark, sf)
+    r = evaluation.compare({v: checkpoint(run(spark, sf, v)) for v in ("a1", "a3", "a4")}, g, c)
+    return r.select("variant", *(F.round(x, 6).alias(x) for x in ("recall", "mrr", "savings", "rate")), "evaluated", "requests", "first_stage", "conflicts", "merged")
+
+
 @query("q63_softmax_scores", """WITH s AS (SELECT part, q, row_number() OVER (PARTITION BY part ORDER BY q DESC, supp) AS r FROM (SELECT l_partkey AS part, l_suppkey AS supp, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)), t AS (SELECT * FROM s WHERE r <= 10)
     SELECT part, r AS rank, round(exp((q - max(q) OVER (PARTITION BY part)) / 10) / sum(exp((q - m) / 10)) OVER (PARTITION BY part), 6) AS p FROM (SELECT *, max(q) OVER (PARTITION BY part) AS m FROM t)""")
 def q63(spark, sf):
