@@ -14,6 +14,7 @@ TEXTS = {
     ("VERIFIER", "query_intent"): "[query_intent] node=verifier\nI must check provenance and cross-conclusion consistency.\nI need to retrieve: restricted audit traces and all task_shared conclusions.",
     ("VERIFIER", "scratch"): "[scratch] node=verifier\nInspecting each solver's conclusion for source-alignment.",
 }
+# Conclusions without a gold text, plans and audit reports.
 NO_GOLD = "[conclusion] node={node} hop={hop}: (no gold oracle available)"
 PLAN, PLAN_HOP, PLAN_BARE = "Plan for question: {question}", "\n  - hop {hop}: {ask}", "\n  - decompose into {hops} sequential solver hops."
 AUDIT, AUDIT_LINE, AUDIT_NONE, AUDIT_END = "[audit_report] dataset={dataset}\nReviewed {n} solver conclusion(s):\n", "  - ", "  - (no conclusions)", "\nVerdict: provenance checks applied, no inconsistencies flagged."

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ SPACE = r"[ \t\n\x0B\f\r]+"
 ROUTES = (("planner", ("plan", "constraint")), ("verifier", ("verify", "check")), ("critic", ("critic", "conflict")))
 # Prefixes of role-aware queries.
 ROLE_PREFIX = {"planner": "Planning task: ", "solver": "Solving task: ", "verifier": "Verification task: ", "critic": "Critique task: "}
+# Answers, numbers and formulas in worked solutions.
 ANSWER = r"####\s*([\-0-9\.,]+)"
 BOXED = r"\\boxed\{([^}]+)\}"
 NUMBER = r"\d+(?:\.\d+)?"
@@ -31,6 +35,42 @@ def normalise_query(query: Column, role: Column | None = None, task: Column | No
     return out
 
 
+def chained(query: Column, *steps: Callable[[Column], Column]) -> Column:
+    """One way of normalising after another."""
+    for step in steps:
+        query = step(query)
+    return query
+
+
+def templated(query: Column, role: Column, templates: dict[str, str], default: str = "{query}", **columns: Column) -> Column:
+    """The role's template, with names in braces filled by columns of those names; one that names something else leaves the
+    query as it is."""
+    from tessera.functions.templates import fill
+
+    known = {"query": query, "role": role, **columns}
+
+    def made(text: str) -> Column:
+        names = {n for _, n, _, _ in string.Formatter().parse(text) if n}
+        return fill(text, **known) if names <= set(known) else query
+
+    out = None
+    for name, text in templates.items():
+        out = F.when(role == name, made(text)) if out is None else out.when(role == name, made(text))
+    return made(default) if out is None else out.otherwise(made(default))
+
+
+def humanise(step: Column, prior: Column) -> Column:
+    """A step like `A >> R` as a question; `#n` stands for what step n concluded, if prior has so many."""
+    s = F.trim(F.coalesce(step, F.lit("")))
+    parts = F.regexp_extract_all(s, F.lit(r"#\d+|[^#]+|#"), F.lit(0))
+    known = F.transform(parts, lambda p: F.coalesce(F.when(p.rlike(r"^#\d+$"), F.concat(F.lit("("), F.get(prior, F.substring(p, 2, 9).cast("int") - 1), F.lit(")"))), p))
+    told = F.array_join(known, "")
+    left = F.substring_index(told, ">>", 1)
+    right = F.trim(F.substr(told, F.length(left) + 3))
+    question = F.when((F.trim(left) != "") & (right != ""), F.concat(F.lit("What is the "), right, F.lit(" of "), F.trim(left), F.lit("?"))).otherwise(told)
+    return F.when(F.contains(s, F.lit(">>")), question).otherwise(s)
+
+
 def words(text: Column) -> Column:
     """Distinct lower-case words."""
     return F.array_distinct(F.filter(F.split(F.lower(text), SPACE), lambda x: x != ""))

@@ -100,6 +100,18 @@ def delete(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids.select("memory_id").distinct(), "memory_id", "left_anti")
 
 
+def deleted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row: how many of the ids asked for are there, and so go, and how many are not."""
+    asked = ids.select("memory_id").distinct()
+    hit = asked.join(rows.select("memory_id").distinct().withColumn("there", F.lit(True)), "memory_id", "left")
+    return hit.agg(F.count_if(F.col("there").isNotNull()).alias("deleted"), F.count_if(F.col("there").isNull()).alias("missing"))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """One row: entries, scopes and types that have any."""
+    return rows.agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("scope_id").alias("scopes"), F.count_distinct("memory_type").alias("types"))
+
+
 def create(rows: DataFrame, as_of: Column) -> DataFrame:
     """Defaults of new entries: zero vectors are missing vectors; id by content and place."""
     zero = ~F.exists("embedding", lambda x: x != 0)

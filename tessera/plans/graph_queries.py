@@ -279,3 +279,21 @@ def q72(spark, sf):
     kind = F.when(F.col("role") == "user", "SOLVER").when(F.col("role") == "assistant", "VERIFIER").otherwise("PLANNER")
     t = table(spark, sf, "conversations")
     return t.select("conv_id", "turn", F.md5(templates.artifact(kind, F.lit("query_intent"), F.col("text"), F.col("turn"), F.col("turn"), F.trim("text"))).alias("text_md5"))
+
+
+@query("q92_triple_questions", "SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0 THEN 'What is the (' || text || ') and #9 of ' || role || '?' WHEN turn % 3 = 1 THEN '>> (' || text || ')' ELSE role || ' #1' END) AS question_md5 FROM conversations")
+def q92(spark, sf):
+    """Steps written as triples, as questions; every turn is what the step before concluded."""
+    t, r = table(spark, sf, "conversations"), F.col("turn") % 3
+    step = F.when(r == 0, F.concat("role", F.lit(" >> #1 and #9"))).when(r == 1, ">> #1").otherwise(F.concat("role", F.lit(" #1")))
+    return t.select("conv_id", "turn", F.md5(texts.humanise(step, F.array("text"))).alias("question_md5"))
+
+
+@query("q93_templated_queries", """WITH d AS (SELECT doc_id, (['planner', 'solver', 'verifier', 'critic', 'custom'])[doc_id % 5 + 1] AS role, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS q, coalesce(source, '') AS source FROM documents)
+    SELECT doc_id, md5(CASE role WHEN 'planner' THEN 'Plan ' || q || ' for ' || source WHEN 'solver' THEN q ELSE '[' || role || '] ' || q END) AS query_md5 FROM d""")
+def q93(spark, sf):
+    """O-128: white space, then a template by role; one that names an unknown field leaves the query."""
+    role = F.element_at(F.array(*map(F.lit, ("planner", "solver", "verifier", "critic", "custom"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    known = {"planner": "Plan {query} for {source}", "solver": "Solve {nothing}"}
+    made = texts.chained(F.col("text"), texts.collapse, lambda q: texts.templated(q, role, known, "[{role}] {query}", source=F.col("source")))
+    return table(spark, sf, "documents").select("doc_id", F.md5(made).alias("query_md5"))

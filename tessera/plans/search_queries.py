@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tessera.functions import policies, vectors
+from tessera.functions import policies
 from tessera.operators import memory as M
 from tessera.operators import routing, search
 from tessera.plans import views
@@ -182,3 +182,12 @@ def q15(spark, sf):
 def q61(spark, sf):
     """O-46: what a search without a vector lists: the first 100 of each type."""
     return search.top_k(views.events(spark, sf), ["memory_type"], 100, [F.col("created_at"), F.col("memory_id")], "place").select("memory_id", "place")
+
+
+@query("q94_delete_counts", f"""{views.with_views(views.EVENT_SQL)}, a AS (SELECT memory_id FROM v_event WHERE event_id % 9 = 0 UNION SELECT 'x' || memory_id FROM v_event WHERE event_id % 90 = 0)
+    SELECT (SELECT count(*) FROM a JOIN v_event USING (memory_id)) AS deleted, (SELECT count(*) FROM a ANTI JOIN v_event USING (memory_id)) AS missing, count(*) AS entries, count(DISTINCT scope_id) AS scopes, count(DISTINCT memory_type) AS types FROM v_event WHERE event_id % 9 <> 0""")
+def q94(spark, sf):
+    """O-74, O-122: what a delete takes and misses, and what is left."""
+    e = views.events(spark, sf)
+    ids = e.where("event_id % 9 = 0").select("memory_id").union(e.where("event_id % 90 = 0").select(F.concat(F.lit("x"), "memory_id")))
+    return M.deleted(e, ids).withColumn("one", F.lit(1)).join(M.totals(M.delete(e, ids)).withColumn("one", F.lit(1)), "one").drop("one")

@@ -7,6 +7,8 @@ task_shared_items (hop_index, text, source_paragraph_id), dataset, qa_type, math
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ def item(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select(*[(columns[c].cast(t) if c in columns else empty(t)).alias(c) for c, t in ITEM.items()])
 
 
+# The texts "Numeric value: ", "Find information about " and "Step-n rationale: " of the items below.
 def pid(k: Column, kind: str = "para_") -> Column:
     return F.concat(F.lit(kind), F.lpad(k.cast("string"), 3, "0"))
 
@@ -117,3 +120,12 @@ def math(rows: DataFrame, split: str = "train") -> DataFrame:
     shared = F.transform(F.slice("steps", 1, 9), lambda s, i: F.struct((i + 1).cast("int").alias("hop_index"), s.alias("text"), pid(i + 1, "step_").alias("source_paragraph_id")))
     ident = F.coalesce(*have("id"), F.concat(F.lit(f"math_{split}_"), F.lpad(F.col("ord").cast("string"), 6, "0")))
     return item(rows, original_id=ident, question=F.col("problem"), answer=texts.boxed_answer(F.coalesce("solution", F.lit(""))), hop_count=F.greatest(F.lit(2), F.least(F.size("steps"), F.lit(9))), solution_steps=F.col("steps"), supporting_paragraphs=made, task_shared_items=shared, dataset=F.lit("math"), math_category=category)
+
+
+def by_name(name: str, split: str = "train", pairs: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """The normaliser of a data set; those of titled paragraphs read the layout of columns, or that of pairs."""
+    from tessera.sources.readers import dataset
+
+    layout = pairs_layout if pairs else columns_layout
+    known = {"musique": musique, "hotpotqa": lambda r: hotpot(layout(r)), "2wikimhqa": lambda r: wiki(layout(r)), "gsm8k": lambda r: gsm8k(r, split), "math": lambda r: math(r, split)}
+    return known[dataset(name)]

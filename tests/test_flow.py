@@ -279,6 +279,24 @@ def test_small_operators(spark, tmp_path):
     assert "(no conclusions)" in one(spark, templates.audit(F.lit("d"), F.array().cast("array<string>")))
 
 
+def test_random_projection(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((50, 12))
+    for init in ("gauss", "xavier"):
+        basis = search.random_projection(x, 4, 9, keep=0.7, init=init, seed=3)
+        assert basis.shape == (4, 12) and np.allclose(basis @ basis.T, np.eye(4)) and np.allclose(basis, search.random_projection(x, 4, 9, keep=0.7, init=init, seed=3))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x[:5]], "embedding array<double>")
+    got = np.array([r["projected"] for r in search.project(rows, basis).collect()])
+    assert np.allclose(got, x[:5] @ basis.T)
+
+
+def test_normalisers_by_name(spark):
+    rows = spark.createDataFrame([(0, "2 and 3?", "step one is here\n#### 5")], "ord int, question string, answer string")
+    assert normalise.by_name("gsm8k", "test")(rows).first()["original_id"] == "gsm8k_test_000000"
+    with pytest.raises(ValueError, match="unknown dataset"):
+        normalise.by_name("nope")
+
+
 def test_wiki(spark):
     rows = spark.createDataFrame([("w", "q?", "a", "comparison", ["A", "B"], [["a0", "a1"], ["b0"]], ["A", "B", "C"], [1, 0, 0])], "id string, question string, answer string, type string, titles array<string>, sentences array<array<string>>, fact_titles array<string>, fact_sents array<int>")
     i = normalise.wiki(rows).first()
