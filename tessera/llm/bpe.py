@@ -32,9 +32,31 @@ RANKS = "byte_bpe_50k.tiktoken"
 SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Memory of the words that a worker remembers at most, with ENTRY bytes for each beside its own; words and bytes of a
 #: recursive query, and ids that one query decodes.
-MEMO, ENTRY, WORDS, BYTES, IDS = 48 << 20, 240, 20_000, 1 << 18, 100_000
+MEMO, ENTRY, SHORT, WORDS, BYTES, IDS = 64 << 20, 240, 48, 20_000, 1 << 19, 200_000
 
-ENCODE = """
+#: One pair a word and round; every round's rows are kept, which short words can afford.
+SHORT_WORDS = """
+WITH RECURSIVE step(i, key, id, nxt) AS (
+    SELECT 0, key, id, key + 1 FROM symbols
+    UNION ALL
+    SELECT i + 1, key, CASE WHEN key = best THEN least_rank ELSE id END, CASE WHEN key = best THEN after ELSE nxt END
+    FROM (
+        WITH pair AS (
+            SELECT a.i, a.key, a.id, a.nxt, b.nxt AS after, m.rank
+            FROM step a LEFT JOIN step b ON a.nxt = b.key LEFT JOIN merges m ON m.pair = (a.id::BIGINT << 20) + b.id
+        ), least AS (
+            SELECT key >> 32 AS word, min(rank) AS least_rank, arg_min(key, (rank::HUGEINT << 64) + key) AS best, arg_min(nxt, (rank::HUGEINT << 64) + key) AS gone
+            FROM pair WHERE rank IS NOT NULL GROUP BY 1
+        )
+        SELECT * FROM pair JOIN least ON key >> 32 = word
+    ) WHERE key <> gone
+)
+SELECT step.key >> 32 AS word, list(step.id ORDER BY step.key) AS ids
+FROM step JOIN (SELECT key >> 32 AS word, max(i) AS i FROM step GROUP BY 1) last ON last.word = step.key >> 32 AND last.i = step.i
+GROUP BY 1
+"""
+#: All pairs of a rank in one round, and one row a byte throughout.
+LONG_WORDS = """
 WITH RECURSIVE step(key, id, nxt) USING KEY (key) AS (
     SELECT key, id, key + 1 FROM symbols
     UNION ALL
@@ -102,34 +124,45 @@ class Codec:
             self.con.unregister("t")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
+    def recall(self, word: str) -> bytes | None:
+        """A word of the older memory moves to the newer one."""
+        ids = self.old.get(word)
+        if ids is not None:
+            self.memo[word] = ids
+            self.held += len(word) + ENTRY
+        return ids
+
     def learn(self, todo: list[str]) -> None:
         """Puts the ids of new words, as little-endian 32-bit integers, into the memo."""
         new = sum(map(len, todo)) + ENTRY * len(todo)
+        if self.held + new > MEMO // 2:  # what is not met again before the next such point is forgotten
+            self.old, self.memo, self.held = self.memo, {}, 0
         self.held += new
-        if self.held > MEMO:
-            self.memo.clear()
-            self.held = new
-        hard = []
+        short, long = [], []
         for w in todo:
-            r = self.ranks.get(w.encode())
+            raw = w.encode()
+            r = self.ranks.get(raw)
             if r is None:
-                hard.append(w)
+                (short if len(raw) <= SHORT else long).append((w, raw))
             else:
                 self.memo[w] = r.to_bytes(4, "little")
-        lo = 0
-        ends = np.cumsum([len(w.encode()) for w in hard])
-        while lo < len(hard):
+        self._contract(short, SHORT_WORDS)
+        self._contract(long, LONG_WORDS)
+
+    def _contract(self, words: list[tuple[str, bytes]], query: str) -> None:
+        ends, lo = np.cumsum([len(raw) for _, raw in words]), 0
+        while lo < len(words):
             hi = max(lo + 1, min(lo + WORDS, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BYTES, "right"))))
-            part = hard[lo:hi]
+            part, raw = zip(*words[lo:hi], strict=True)
             lo = hi
-            raw = [w.encode() for w in part]
             size = np.array([len(x) for x in raw])
             first = np.cumsum(size) - size
             key = (np.repeat(np.arange(len(raw)), size) << 32) + np.arange(size.sum()) - np.repeat(first, size)
             self.con.register("symbols", pa.table({"key": pa.array(key), "id": pa.array(self.byte[np.frombuffer(b"".join(raw), np.uint8)])}))
-            got = self.con.sql(ENCODE).to_arrow_table()
+            got = self.con.sql(query).to_arrow_table()
             lists = got["ids"].combine_chunks()
             flat, offs = lists.values.to_numpy().astype("<u4").tobytes(), lists.offsets.to_numpy() * 4
             for w, a, b in zip(got["word"].to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
@@ -142,11 +175,8 @@ class Codec:
         flat = flat.cast(pa.large_string()) if not pa.types.is_large_string(flat.type) else flat
         coded = flat.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        self.learn([w for w in names if w not in self.memo])
-        known = [self.memo.get(w) for w in names]
-        if None in known:  # the memo was cleared meanwhile
-            self.learn([w for w, x in zip(names, known, strict=True) if x is None])
-            known = [x or self.memo[w] for w, x in zip(names, known, strict=True)]
+        self.learn([w for w in names if w not in self.memo and self.recall(w) is None])
+        known = [self.memo[w] if w in self.memo else self.old[w] for w in names]
         take, index = known.__getitem__, coded.indices.to_numpy().tolist()
         size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         ends = np.cumsum(size).tolist()
