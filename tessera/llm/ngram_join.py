@@ -51,6 +51,8 @@ CELLS = 1024
 SKETCH = [f"w{k}" for k in range(CELLS // 64)]
 BLOCK = 1 << 20
 MISSING = -(2**63)
+#: Parts that the members of a component are dealt out to.
+SPREAD = 32
 #: Keys, of 40 bytes, that are broadcast to pick texts at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 NONE = np.uint32(0xFFFFFFFF)
@@ -365,8 +367,9 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     tied = members.join(tied.select(F.col("id").alias("ti"), "b"), F.col("id") == F.col("ti")).select(F.col("s").alias("a"), "b").where("a <> b").distinct()
     parts = components(edges.union(tied))
     named = parts.join(reps.select("s", "rep"), F.col("node") == F.col("s")).select("node", "root", "rep")
-    least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    named = named.join(least, "root").select("node", "least")
+    # a component may hold a third of all sets, so its name goes to its members in SPREAD parts
+    least = named.groupBy("root").agg(F.min("rep").alias("least")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    named = named.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(least, ["root", "part"]).select("node", "least")
     out = members.join(named, F.col("s") == F.col("node"), "left")
     back = lambda c: F.nullif(c, F.lit(MISSING))
     return out.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("least", "rep", "id")).alias("component_id"))
