@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, quality, substring_dedup, url_filter, warc
+from tessera.llm import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, pieces, quality, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8,
     "op9_quality_rules": quality.op9,
     "op10_mixing": mixing.op10,
+    "op12_sentencepiece": pieces.op12,
 }
-#: Merge tables, trained models and their texts are not SQL; tests hold op2, op5, op7 and the pipeline against plain twins.
+#: Merge tables, trained models and their texts are not SQL; tests hold op2, op5, op7, op12 and the pipeline against plain twins.
 SQL = {
     "op1_url_filter": url_filter.op1_sql(),
     "op3_warc": warc.op3_sql(),
