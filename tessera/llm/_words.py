@@ -92,7 +92,7 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs.astype(np.int64)
 
 
-def blocks(texts: pa.Array, lower: bool = False, most: int = PIECE) -> Iterator[Block]:
+def blocks(texts: pa.Array, lower: bool = False, most: int = PIECE, separators: np.ndarray = SEP) -> Iterator[Block]:
     """Cuts texts into runs of whole texts of about `most` bytes; a longer text is a run of its own."""
     data, offs = raw(texts)
     row, n = 0, len(offs) - 1
@@ -102,7 +102,7 @@ def blocks(texts: pa.Array, lower: bool = False, most: int = PIECE) -> Iterator[
         if lower:
             part = LOWER[part]
         at = offs[row : stop + 1] - offs[row]
-        inside = ~SEP[part]
+        inside = ~separators[part]
         edge = np.zeros(len(part) + 1, bool)
         edge[at] = True
         before = np.ones(len(part), bool)

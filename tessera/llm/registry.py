@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, exact_dedup, html_extract, langid, mixing, ngram_join, pieces, quality, substring_dedup, url_filter, warc
+from tessera.llm import bpe, collocations, exact_dedup, html_extract, langid, mixing, ngram_join, pieces, quality, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9,
     "op10_mixing": mixing.op10,
     "op12_sentencepiece": pieces.op12,
+    "op13_collocations": collocations.op13,
 }
 #: Merge tables, trained models and their texts are not SQL; tests hold op2, op5, op7, op12 and the pipeline against plain twins.
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op8_ngram_join": ngram_join.OP8_SQL,
     "op9_quality_rules": quality.op9_sql(),
     "op10_mixing": mixing.op10_sql(),
+    "op13_collocations": collocations.OP13_SQL,
 }
