@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, collocations, exact_dedup, html_extract, langid, mixing, ngram_join, pieces, quality, substring_dedup, url_filter, warc
+from tessera.llm import bpe, collocations, exact_dedup, html_extract, langid, mixing, ngram_join, pieces, quality, substring_dedup, url_filter, vector_codes, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8,
     "op9_quality_rules": quality.op9,
     "op10_mixing": mixing.op10,
+    "op11_vector_codes": vector_codes.op11,
     "op12_sentencepiece": pieces.op12,
     "op13_collocations": collocations.op13,
 }
@@ -27,5 +28,6 @@ SQL = {
     "op8_ngram_join": ngram_join.OP8_SQL,
     "op9_quality_rules": quality.op9_sql(),
     "op10_mixing": mixing.op10_sql(),
+    "op11_vector_codes": vector_codes.op11_sql(),
     "op13_collocations": collocations.OP13_SQL,
 }
