@@ -39,6 +39,8 @@ SHORTEST, LONGEST, LEAST, SHARE, TOP = 2, 3, 10, 50, 2000
 UNKNOWN = "und"
 #: Words of a run.
 RUN = 1 << 20
+#: Parts of a language that are ranked by themselves first.
+PARTS_OF_LANG = 8
 ENDS = np.zeros(256, bool)
 ENDS[[*b".,;:!?", *range(10, 14)]] = True
 BETWEEN = ENDS.copy()
@@ -306,8 +308,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", shorte
     grams = checkpoint(frequent(stored, longest, least))
     spoken = checkpoint(stored.select(F.explode(F.map_from_arrays("langs", "spoken")).alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n")))
     discard(stored)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = scored(grams, shortest, share).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # the first of each part of a language, then of these, so that no task sees more than PARTS_OF_LANG * top rows of one
+    first = scored(grams, shortest, share).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS_OF_LANG)))
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return first.join(spoken, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
