@@ -342,7 +342,8 @@ def link_sets(blocks: DataFrame, share: int = SHARE) -> DataFrame:
     pairs = pairs.groupBy("s", "so", "n", "no").agg(F.count(F.lit(1)).alias("common"), F.max("pos").alias("pos"), F.max("poso").alias("poso"))
     room = F.col("common") + F.least(F.col("n") - F.col("pos"), F.col("no") - F.col("poso")) - 1
     pairs = pairs.where(room >= F.ceil(share * (F.col("n").cast("long") + F.col("no")) / (100 + share)))
-    pairs = checkpoint(pairs.select(F.least("s", "so").alias("a"), F.greatest("s", "so").alias("b")))
+    pairs = pairs.select(F.least("s", "so").alias("a"), F.greatest("s", "so").alias("b"))
+    pairs = checkpoint(pairs.join(star, ["a", "b"], "left_anti"))  # what was verified against a leader isn't verified again
     more = verify(pairs, set_rows(blocks), share)
     # components are nodes now, named by their roots
     named = lambda x: F.coalesce(F.col(f"{x}r"), F.col(x))
