@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import embed
 from tessera.plans.registry import query
-from tessera.session import table
-from tessera.sources import normalise
+from tessera.session import scratch, table
+from tessera.sources import json_list, normalise, readers
 from tessera.streaming import cycles
 
 Q66 = """WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(split_part(text, '####', 1), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS steps, n_chars FROM documents)
@@ -53,3 +53,12 @@ def q69(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     e = embed.embed(d, "text", 16)
     return e.select("doc_id", F.size("embedding").alias("dim"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query("q95_json_list", "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations")
+def q95(spark, sf):
+    """O-01: conversations written as lists and read back in ranges of bytes."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    path = scratch(spark, "list")
+    json_list.write(t, path)
+    return readers.read_json(spark, path, t.schema).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))

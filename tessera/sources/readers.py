@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tessera.sources import json_list
+
 # Dataset names, with the second spelling of one of them.
 DATASETS = ("gsm8k", "hotpotqa", "math", "musique", "2wikimhqa")
 ALIASES = {"2wikimultihopqa": "2wikimhqa"}
@@ -20,12 +22,8 @@ def dataset(name: str) -> str:
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A file that is one list of rows, one row, or an object with the rows under `data`."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    wrapped = spark.read.schema(f"data array<{rows.schema.simpleString()}>").option("multiLine", True).json(path)
-    inner = wrapped.where("data IS NOT NULL").select(F.inline("data"))
-    bare = rows.where(" OR ".join(f"`{c}` IS NOT NULL" for c in rows.columns))
-    return bare.unionByName(inner)
+    """Files that are one list of rows, one row, or an object with the rows under `data`; a large file is read by many tasks."""
+    return json_list.read(spark, path, schema)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
