@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import features
-from tessera.operators import evaluation, fusion, retrieval, routing, search
+from tessera.operators import bm25, evaluation, fusion, retrieval, routing, search
 from tessera.plans import views
 from tessera.plans.registry import query
 from tessera.plans.search_queries import AS_OF_SQL, COS_SQL, as_of
@@ -253,3 +253,18 @@ def q63(spark, sf):
     w = Window.partitionBy("part")
     e = F.exp((F.col("q") - F.max("q").over(w)) / 10)
     return t.withColumn("e", e).select("part", "rank", F.round(F.col("e") / F.sum("e").over(w), 6).alias("p"))
+
+
+TOKENS_SQL = "list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+
+
+@query("q96_bm25", f"""WITH d AS (SELECT doc_id, {TOKENS_SQL} AS ws FROM documents), s AS (SELECT count(*) FILTER (len(ws) > 0) AS n, sum(len(ws))::DOUBLE / count(*) FILTER (len(ws) > 0) AS mean FROM d),
+    q AS (SELECT DISTINCT item_id, unnest({TOKENS_SQL}) AS w FROM benchmark), t AS (SELECT doc_id, len, w, count(*) AS tf FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS w FROM d) GROUP BY ALL), f AS (SELECT w, count(*) AS df FROM t GROUP BY 1),
+    j AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score FROM q JOIN f USING (w) JOIN t USING (w), s GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM j) SELECT item_id, doc_id, rank, round(score, 5) AS score FROM r WHERE rank <= 10""")
+def q96(spark, sf):
+    """The sparse baseline: benchmark items over all documents, the best ten."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), bm25.tokens(F.col("text")).alias("ws"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), bm25.tokens(F.col("text")).alias("ws"))
+    top, _ = bm25.search(bm25.index(d, q.select(F.explode("ws").alias("word"))), q, 10)
+    return top.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 5).alias("score"))
