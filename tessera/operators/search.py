@@ -34,15 +34,16 @@ def units(requests: DataFrame, scopes: Column, policy: Column | None = None) ->
 
 
 def candidates(units: DataFrame, memory: DataFrame) -> DataFrame:
-    """Memory rows that a unit may see: scope in its list (an equi-join on the exploded list; an empty list sees all), type in its
-    list (empty: all), visibilities overlapping."""
+    """Memory rows that a unit may see: scope in its list (an equi-join on the exploded list; an empty list sees all, part by
+    part), type in its list (empty: all), visibilities overlapping."""
     ok = (F.size("types") == 0) | F.array_contains("types", F.col("memory_type"))
     ok = ok & policies.readable(F.col("visibility"), F.col("asked"))
-    some = units.where(F.size("scopes") > 0).withColumn("_scope", F.explode(F.array_distinct("scopes"))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = memory.withColumn("_salt", F.pmod(F.xxhash64("memory_id"), F.lit(SALTS)))  # a scope may hold a third of all rows
-    found = some.join(dealt, (F.col("_scope") == F.col("scope_id")) & (F.col("_part") == F.col("_salt")) & ok).drop("_scope", "_part", "_salt")
-    open_ = units.where(F.size("scopes") == 0)
-    return found.unionByName(open_.join(memory, ok))
+    parts = units.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = F.col("_part") == F.col("_salt")
+    some = parts.where(F.size("scopes") > 0).withColumn("_scope", F.explode(F.array_distinct("scopes")))
+    found = some.join(dealt, (F.col("_scope") == F.col("scope_id")) & same & ok).drop("_scope")
+    return found.unionByName(parts.where(F.size("scopes") == 0).join(dealt, same & ok)).drop("_part", "_salt")
 
 
 def search(units: DataFrame, memory: DataFrame, k: int = 50, similarity: str = "cosine", rank: str = "rank", as_of: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import policies
 from tessera.operators import memory as M
-from tessera.operators import routing, search
+from tessera.operators import pruned, routing, search
 from tessera.plans import views
 from tessera.plans.registry import query
 from tessera.session import table
@@ -78,6 +78,14 @@ def q04(spark, sf):
     return scoped(spark, sf, True)
 
 
+@query("q97_pruned_search", scoped_sql(True))
+def q97(spark, sf):
+    """The rows of q04, by blocks whose bounds leave most of them out where vectors lie in clusters."""
+    r = routing.keyed(views.requests(spark, sf))
+    found, _ = pruned.search(search.units(r, F.col("all_scopes"), F.col("policy.visibility")), pruned.build(views.memory(spark, sf)), 20)
+    return found.select(F.col("unit").alias("request_id"), "memory_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("q05_scope_type_filter", scoped_sql(False))
 def q05(spark, sf):
     return scoped(spark, sf, False)
