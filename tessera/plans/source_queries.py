@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import embed
+from tessera.plans import views
 from tessera.plans.registry import query
 from tessera.session import scratch, table
 from tessera.sources import json_list, normalise, readers
-from tessera.streaming import cycles
+from tessera.streaming import cycles, expiry
 
 Q66 = """WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(split_part(text, '####', 1), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS steps, n_chars FROM documents)
     SELECT 'gsm8k_train_' || lpad(doc_id::VARCHAR, 6, '0') AS original_id, n_chars::VARCHAR AS answer, greatest(2, least(len(steps), 9))::INT AS hop_count, len(steps)::INT AS n_steps, (1 + least(len(steps), 9))::INT AS n_paragraphs,
@@ -62,3 +63,14 @@ def q95(spark, sf):
     path = scratch(spark, "list")
     json_list.write(t, path)
     return readers.read_json(spark, path, t.schema).select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+@query("q98_ttl_stream", f"""{views.with_views(views.MEMORY_SQL)}, m AS (SELECT max(created_at) AS now FROM v_memory)
+    SELECT memory_id, scope_id, epoch(created_at)::BIGINT + ttl AS expired_s FROM v_memory, m WHERE ttl IS NOT NULL AND (epoch_us(now) - epoch_us(created_at)) / 1e6 > ttl""")
+def q98(spark, sf):
+    """The memory table as a stream of entries: what has expired when its newest entry comes."""
+    path = scratch(spark, "entries")
+    m = views.memory(spark, sf).select("memory_id", "scope_id", "created_at", F.col("ttl").cast("long").alias("ttl"))
+    m.write.parquet(path)
+    gone = expiry.run(spark.readStream.schema(m.schema).parquet(path), delay="0 seconds")
+    return gone.select("memory_id", "scope_id", F.unix_seconds("expired_at").alias("expired_s"))
