@@ -43,8 +43,8 @@ class Filter:
             out &= F.contains(F.col("source"), F.lit(self.source))
         if self.agent_id:
             out &= F.col("agent_id") == self.agent_id
-        for k, v in self.metadata.items():
-            out &= F.get_json_object("metadata", f"$.{k}") == v
+        for k, v in self.metadata.items():  # keys are whole, dots and all
+            out &= F.try_element_at(F.from_json("metadata", "map<string,string>"), F.lit(k)) == v
         return out
 
 

@@ -243,21 +243,42 @@ def q65(spark, sf):
     return episodes.agents(nodes, ["episode"], F.lit("chat")).select("episode", "agent", F.array_join(F.sort_array("visibility"), ",").alias("visibility"), "clearance", "audit")
 
 
-POLICY_SQL = f"""{C}, ag AS (SELECT episode, role, role || '_' || node AS agent, CASE WHEN node % 4 = 3 THEN 3 WHEN role = 'verifier' THEN 2 ELSE 1 END AS clearance, role = 'verifier' AS v FROM v_chain),
-    ep AS (SELECT episode, CASE WHEN episode % 6 = 5 THEN 'POLICY_ISOLATED' ELSE 'LINEAR' END AS g, bool_or(v) AS hv, count(*) AS n FROM ag GROUP BY 1),
-    ws AS (SELECT episode, bool_or(role = 'planner') AS w FROM v_chain GROUP BY 1)
-    SELECT 'agent_clearance' AS rule, 'error' AS severity, agent AS key FROM ag WHERE clearance <> CASE WHEN v THEN 2 ELSE 1 END UNION ALL SELECT 'verifier_missing', 'error', episode::VARCHAR FROM ep WHERE g = 'POLICY_ISOLATED' AND NOT hv
-    UNION ALL SELECT 'verifier_unexpected', 'error', episode::VARCHAR FROM ep WHERE g <> 'POLICY_ISOLATED' AND hv UNION ALL SELECT 'workspace_empty', 'error', episode::VARCHAR FROM ws WHERE NOT w UNION ALL SELECT 'agent_count', 'error', episode::VARCHAR FROM ep WHERE n < 4"""
+POLICY_SQL = f"""{C}, ag AS (SELECT episode, node, text, role || '_' || node AS agent, role = 'verifier' AS v, CASE WHEN node % 4 = 3 THEN 3 WHEN role = 'verifier' THEN 2 ELSE 1 END AS clearance, episode % 7 = 1 AND node % 3 = 0 AS bare,
+        CASE WHEN role = 'verifier' THEN episode % 5 <> 2 ELSE episode % 5 = 3 AND node % 2 = 0 END AS sealed FROM v_chain),
+    ep AS (SELECT episode, episode % 6 = 5 AS isolated, episode % 8 = 0 AS s4, bool_or(v) AS hv, count(*) AS n, count(*) - 1 + CASE WHEN episode % 4 = 1 THEN 1 ELSE 0 END AS hops, CASE WHEN episode % 9 = 4 THEN 1.25 ELSE (episode % 9)::DOUBLE / 10 END AS rho,
+        CASE WHEN episode % 3 = 0 THEN trim(substr(arg_min(text, node), 1, 10)) ELSE '' END AS answer FROM ag GROUP BY episode),
+    ly AS (SELECT episode, node, text, unnest(CASE role WHEN 'planner' THEN ['workspace_semantic', 'agent_private'] WHEN 'solver' THEN ['task_shared_episodic', 'agent_private'] ELSE ['agent_private', 'restricted'] END) AS layer FROM v_chain),
+    me AS (SELECT *, CASE WHEN episode % 11 = 6 THEN episode || ':' || node ELSE episode || ':' || node || ':' || layer END AS mid FROM ly)
+    SELECT 'agent_clearance' AS rule, 'error' AS severity, agent AS key FROM ag WHERE clearance <> CASE WHEN v THEN 2 ELSE 1 END UNION ALL SELECT 'agent_scopes', 'error', agent FROM ag WHERE bare
+    UNION ALL SELECT 'verifier_scope', 'error', agent FROM ag WHERE v AND (bare OR NOT sealed) UNION ALL SELECT 'other_scope', 'error', agent FROM ag WHERE NOT v AND NOT bare AND sealed
+    UNION ALL SELECT 'verifier_missing', 'error', episode::VARCHAR FROM ep WHERE (isolated OR s4) AND NOT hv UNION ALL SELECT 'verifier_unexpected', 'error', episode::VARCHAR FROM ep WHERE NOT isolated AND hv
+    UNION ALL SELECT 'workspace_empty', 'error', episode::VARCHAR FROM ep WHERE episode NOT IN (SELECT episode FROM ly WHERE layer = 'workspace_semantic') UNION ALL SELECT 'agent_count', 'error', episode::VARCHAR FROM ep WHERE n < hops + 1
+    UNION ALL SELECT 'rho_range', 'error', episode::VARCHAR FROM ep WHERE NOT rho BETWEEN 0 AND 1 UNION ALL SELECT 'restricted_clearance', 'error', mid FROM me WHERE layer = 'restricted' AND episode % 3 = 1
+    UNION ALL SELECT 'unique_id', 'error', mid FROM me GROUP BY episode, mid HAVING count(*) > 1 UNION ALL SELECT 'embedding_null', 'error', mid FROM me WHERE layer = 'agent_private' AND node % 5 = 4
+    UNION ALL SELECT 'answer_leak', 'warning', mid FROM me JOIN ep USING (episode) WHERE layer IN ('workspace_semantic', 'task_shared_episodic') AND length(answer) >= 2 AND contains(text, answer)"""
 
 
 @query("q70_policy_rules", POLICY_SQL)
 def q70(spark, sf):
-    """O-106 over conversations as episodes of three hops; clearances are broken on purpose."""
+    """O-106 over conversations as episodes; each of the thirteen rules is broken on purpose somewhere."""
     nodes, _ = chain_graph(spark, sf)
+    at, turn = F.col("episode"), F.col("turn")
     a = episodes.agents(nodes, ["episode"], F.lit("chat")).join(nodes.select("episode", F.concat_ws("_", F.lower("node_type"), "node").alias("agent"), "turn"), ["episode", "agent"])
-    a = a.withColumn("clearance", F.when(F.col("turn") % 4 == 3, 3).otherwise(F.col("clearance"))).withColumn("restricted_scope", episodes.scope_id(F.lit("governed_restricted"), F.lit("chat"), F.col("episode").cast("string"), F.lit("")))
-    m = q49(spark, sf).select("episode", F.concat_ws(":", "episode", "node", "layer").alias("memory_id"), "layer", F.lit(0).alias("required_clearance"), F.lit("").alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
-    e = nodes.select("episode").distinct().select("episode", F.when(F.col("episode") % 6 == 5, "POLICY_ISOLATED").otherwise("LINEAR").alias("graph_type"), F.lit(False).alias("s4"), F.lit(3).alias("hops"), F.lit(0.5).alias("rho"), F.lit("").alias("answer"))
+    a = a.withColumn("restricted_scope", episodes.scope_id(F.lit("governed_restricted"), F.lit("chat"), at.cast("string"), F.lit("")))
+    wrong = (F.col("role") != "verifier") & (at % 5 == 3) & (turn % 2 == 0)
+    scopes = F.when(wrong, F.array_append("scopes", F.col("restricted_scope"))).when((F.col("role") == "verifier") & (at % 5 == 2), F.array_remove("scopes", F.col("restricted_scope"))).otherwise(F.col("scopes"))
+    a = a.withColumn("scopes", F.when((at % 7 == 1) & (turn % 3 == 0), F.array().cast("array<string>")).otherwise(scopes)).withColumn("clearance", F.when(turn % 4 == 3, 3).otherwise(F.col("clearance")))
+    m = q49(spark, sf).join(nodes.select("episode", F.col("turn").alias("node"), "text"), ["episode", "node"]).withColumn("layer", F.when(F.col("layer") == "governed_restricted", "restricted").otherwise(F.col("layer")))
+    short = F.concat_ws(":", "episode", "node")
+    m = m.select(
+        "episode", F.when(at % 11 == 6, short).otherwise(F.concat_ws(":", short, "layer")).alias("memory_id"), "layer", F.when(F.col("layer") != "restricted", 0).when(at % 3 == 1, 1).otherwise(2).alias("required_clearance"),
+        F.col("text").alias("content"), F.when((F.col("layer") == "agent_private") & (F.col("node") % 5 == 4), F.array(F.lit(1.0).cast("float"))).alias("embedding"),
+    )
+    e = nodes.groupBy("episode").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "turn").alias("text"))
+    e = e.select(
+        "episode", F.when(at % 6 == 5, "POLICY_ISOLATED").otherwise("LINEAR").alias("graph_type"), (at % 8 == 0).alias("s4"), (F.col("n") - 1 + F.when(at % 4 == 1, 1).otherwise(0)).alias("hops"),
+        F.when(at % 9 == 4, 1.25).otherwise((at % 9).cast("double") / 10).alias("rho"), F.when(at % 3 == 0, F.trim(F.substring("text", 1, 10))).otherwise("").alias("answer"),
+    )
     return rules.policy_rules(e, a, m, ["episode"])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import policies
 from tessera.operators import memory as M
-from tessera.operators import pruned, routing, search
+from tessera.operators import graphs, pruned, routing, search
 from tessera.plans import views
 from tessera.plans.registry import query
 from tessera.session import table
@@ -132,9 +132,14 @@ def q73(spark, sf):
     WHERE (a.role <> 'solver' OR e.layer <> 'task_shared_episodic' OR e.source_node <= a.node)
       AND e.need <= CASE a.role WHEN 'verifier' THEN 2 ELSE 1 END AND NOT list_contains(e.tags, 'quarantine')""")
 def q09(spark, sf):
-    """What an agent may read depends on its place and role alone, so each pair of these over all conversations is one agent."""
-    a = views.chain(spark, sf).select("node", "role").distinct()
-    a = a.select(F.struct("node", "role").alias("agent_id"), "role", F.array(F.lit("task/alpha/shared"), F.lit("session/current")).alias("scopes"), F.sequence(F.lit(0).cast("long"), "node").alias("ancestors"), F.when(F.col("role") == "verifier", 2).otherwise(1).alias("clearance"), F.array(F.lit("quarantine")).alias("zones"))
+    """What an agent may read depends on its place and role alone, so each pair of these over all conversations is one agent; its
+    ancestors are those of its place along the edges of all conversations, and itself."""
+    c = views.chain(spark, sf)
+    edges = c.where("parent IS NOT NULL").select(F.lit(0).alias("graph"), F.col("parent").alias("src"), F.col("node").alias("dst")).distinct()
+    above = graphs.ancestors(edges, ["graph"]).groupBy("node").agg(F.collect_set("ancestor").alias("above"))
+    a = c.select("node", "role").distinct().join(above, "node", "left")
+    ancestors = F.array_append(F.coalesce("above", F.array().cast("array<bigint>")), F.col("node"))
+    a = a.select(F.struct("node", "role").alias("agent_id"), "role", F.array(F.lit("task/alpha/shared"), F.lit("session/current")).alias("scopes"), ancestors.alias("ancestors"), F.when(F.col("role") == "verifier", 2).otherwise(1).alias("clearance"), F.array(F.lit("quarantine")).alias("zones"))
     e = views.memory(spark, sf).select("memory_id", "scope_id", F.when(F.col("scope_id") == "task/alpha/shared", "task_shared_episodic").otherwise("agent_private").alias("layer"), (F.col("vec_id") % 8).alias("source_node"), F.when(F.array_contains("visibility", "restricted"), 2).otherwise(1).alias("required_clearance"), "tags", F.lit(False).alias("quarantined"))
     return M.accessible(a, e).select("agent_id.node", "agent_id.role", "memory_id")
 

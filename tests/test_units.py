@@ -252,3 +252,13 @@ def test_streams(spark, tmp_path):
     q = cycles.entries(s).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r["memory_id"] for r in spark.table("seen").collect()) == ["a", "b"]
+
+
+def test_filter_takes_whole_metadata_keys(spark):
+    from tessera.operators.memory import Filter
+
+    rows = [("flat", '{"a.b": "1", "it\'s": "x"}'), ("nested", '{"a": {"b": "1"}}'), ("number", '{"a.b": 1}'), ("other", '{"a.b": "2"}'), ("broken", "{"), ("none", None)]
+    df = spark.createDataFrame(rows, "memory_id string, metadata string")
+    as_of = F.current_timestamp()
+    assert {r.memory_id for r in df.where(Filter(metadata={"a.b": "1"}).column(as_of)).collect()} == {"flat", "number"}
+    assert [r.memory_id for r in df.where(Filter(metadata={"a.b": "1", "it's": "x"}).column(as_of)).collect()] == ["flat"]
