@@ -141,16 +141,18 @@ def ground_truth(memory: DataFrame, nodes: DataFrame, reached: DataFrame) -> Dat
     return rows.select(*KEY, "memory_id", "layer", "hop", F.transform(who, lambda n: F.concat_ws("_", "episode_id", n)).alias("required_by"), F.lit("shared_required").alias("evidence_type"))
 
 
-def build(items: DataFrame, split: Column, kinds=graphs.GRAPH_TYPES, restricted: DataFrame | None = None) -> Parts:
-    """All parts of all episodes, unchecked."""
+def build(items: DataFrame, split: Column, kinds=graphs.GRAPH_TYPES, restricted: DataFrame | None = None, store: bool = False) -> Parts:
+    """All parts of all episodes, unchecked. With `store`, memory, agents and requests are made once, as tables; that is for those who
+    read them more than once. Episodes always are."""
+    keep = checkpoint if store else lambda rows: rows
     ep = targets(items, split, kinds)
     t_nodes, t_edges = (checkpoint(t) for t in graphs.templates_of(ep))
     reached = checkpoint(reach(t_nodes, t_edges))
     rho = checkpoint(graphs.rho_v3(t_nodes, t_edges, TEMPLATE))
-    ep = ep.join(rho, TEMPLATE).withColumn("label", graphs.label(F.col("rho")))
+    ep = checkpoint(ep.join(rho, TEMPLATE).withColumn("label", graphs.label(F.col("rho"))))
     nodes = ep.join(t_nodes, TEMPLATE).join(reached.select(*TEMPLATE, "node", "accessible"), [*TEMPLATE, "node"])
-    agents, requests = agents_of(nodes)
-    memory = memory_of(ep, nodes, restricted)
+    agents, requests = (keep(t) for t in agents_of(nodes))
+    memory = keep(memory_of(ep, nodes, restricted))
     edges = ep.select(*KEY, *TEMPLATE).join(t_edges, TEMPLATE).select(*KEY, "src", "dst", "edge_type")
     return Parts(ep, nodes.select(*KEY, *TEMPLATE, "node", "node_type", "hop", "node_ord", "accessible"), edges, memory, agents, requests, ground_truth(memory, t_nodes, reached))
 

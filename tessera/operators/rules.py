@@ -51,6 +51,7 @@ def audit_rules(artifacts: DataFrame, agents: DataFrame, key: list[str], mandato
 
 
 VISIBILITY = ("owner", "team", "session", "public", "restricted")
+#: Fixed values.
 ROLES = ("planner", "solver", "verifier", "custom")
 
 
@@ -157,8 +158,12 @@ def policy_rules(episodes: DataFrame, agents: DataFrame, memory: DataFrame, key:
     """Rules of episodes before they are written; with keyed, each issue carries its episode's key too. episodes: key, graph_type, s4, hops, rho, answer; agents: key, agent, role, scopes,
     clearance, restricted_scope; memory: key, memory_id, layer, required_clearance, content, embedding."""
     also = key if keyed else []
-    issue = lambda rows, rule, severity, ident: rows.select(*also, F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), ident.cast("string").alias("key"))
     k = F.concat_ws(":", *(F.col(x).cast("string") for x in key))
+
+    def broken(rows: DataFrame, ident: Column, *checks: tuple[str, Column], severity: str = "error") -> DataFrame:  # one pass over rows
+        found = F.array_compact(F.array(*[F.when(c, F.lit(rule)) for rule, c in checks]))
+        return rows.select(*also, ident.cast("string").alias("key"), F.explode(found).alias("rule")).select(*also, "rule", F.lit(severity).alias("severity"), "key")
+
     sealed = F.array_contains("scopes", F.col("restricted_scope"))
     verifier = F.col("role") == "verifier"
     per = agents.groupBy(*key).agg(F.bool_or(verifier).alias("has_verifier"), F.count(F.lit(1)).alias("agents"))
@@ -166,17 +171,18 @@ def policy_rules(episodes: DataFrame, agents: DataFrame, memory: DataFrame, key:
     ep = episodes.join(per, key, "left").join(layers, key, "left").withColumn("has_verifier", F.coalesce("has_verifier", F.lit(False)))
     isolated = F.col("graph_type") == "POLICY_ISOLATED"
     open_layers = F.startswith("layer", F.lit("workspace_semantic")) | (F.col("layer") == "task_shared_episodic")
-    leaks = memory.join(episodes.select(*key, "answer"), key).where(open_layers & (F.char_length(F.trim("answer")) >= 2) & F.contains("content", F.trim("answer")))
+    leaks = memory.where(open_layers).join(episodes.select(*key, F.trim("answer").alias("answer")).where(F.char_length("answer") >= 2), key)
     return union(
-        issue(ep.where(~F.coalesce("workspace", F.lit(False))), "workspace_empty", "error", k),
-        issue(agents.where(F.size("scopes") == 0), "agent_scopes", "error", F.col("agent")),
-        issue(agents.where(verifier & ~sealed), "verifier_scope", "error", F.col("agent")), issue(agents.where(~verifier & sealed), "other_scope", "error", F.col("agent")),
-        issue(agents.where(F.col("clearance") != F.when(verifier, 2).otherwise(1)), "agent_clearance", "error", F.col("agent")),
-        issue(ep.where((F.col("s4") | isolated) & ~F.col("has_verifier")), "verifier_missing", "error", k), issue(ep.where(F.col("has_verifier") & ~isolated), "verifier_unexpected", "error", k),
-        issue(memory.where("layer = 'restricted' AND required_clearance <> 2"), "restricted_clearance", "error", F.col("memory_id")),
-        issue(memory.groupBy(*key, "memory_id").count().where("count > 1"), "unique_id", "error", F.col("memory_id")),
-        issue(ep.where("NOT rho BETWEEN 0 AND 1"), "rho_range", "error", k), issue(ep.where("coalesce(agents, 0) < hops + 1"), "agent_count", "error", k),
-        issue(memory.where("embedding IS NOT NULL"), "embedding_null", "error", F.col("memory_id")), issue(leaks, "answer_leak", "warning", F.col("memory_id")),
+        broken(
+            ep, k, ("workspace_empty", ~F.coalesce("workspace", F.lit(False))), ("verifier_missing", (F.col("s4") | isolated) & ~F.col("has_verifier")), ("verifier_unexpected", F.col("has_verifier") & ~isolated),
+            ("rho_range", ~F.col("rho").between(0, 1)), ("agent_count", F.coalesce("agents", F.lit(0)) < F.col("hops") + 1),
+        ),
+        broken(
+            agents, F.col("agent"), ("agent_scopes", F.size("scopes") == 0), ("verifier_scope", verifier & ~sealed), ("other_scope", ~verifier & sealed), ("agent_clearance", F.col("clearance") != F.when(verifier, 2).otherwise(1)),
+        ),
+        broken(memory, F.col("memory_id"), ("restricted_clearance", (F.col("layer") == "restricted") & (F.col("required_clearance") != 2)), ("embedding_null", F.col("embedding").isNotNull())),
+        broken(memory.groupBy(*key, "memory_id").count(), F.col("memory_id"), ("unique_id", F.col("count") > 1)),
+        broken(leaks, F.col("memory_id"), ("answer_leak", F.contains("content", F.col("answer"))), severity="warning"),
     )
 
 

@@ -38,11 +38,11 @@ def items(spark, sf):
     )
 
 
-def built(spark, sf):
+def built(spark, sf, store=False):
     i = checkpoint(items(spark, sf))
     r = F.col("original_id").cast("long") % 10
     sealed = readers.restricted_entries(i, "qa").select("original_id", F.inline("entries")).select("original_id", "content", "confidence", "source", F.create_map(F.lit("entry_kind"), "kind").alias("metadata"))
-    return assembly.build(i, F.when(r < 7, "train").when(r < 8, "dev").otherwise("test"), restricted=sealed)
+    return assembly.build(i, F.when(r < 7, "train").when(r < 8, "dev").otherwise("test"), restricted=sealed, store=store)
 
 
 @query("q75_episode_build", f"""{FLOW_SQL} SELECT episode_id, er.hops, nodes AS n_nodes, edges AS n_edges, (CASE WHEN bare THEN 0 ELSE turns END + coalesce(shared, 0) + nodes + CASE WHEN s4 AND NOT bare THEN turns ELSE 0 END)::BIGINT AS n_memory, nodes AS n_agents,
@@ -50,7 +50,7 @@ def built(spark, sf):
     FROM er JOIN nc USING (graph_type, hops) JOIN ec USING (graph_type, hops) LEFT JOIN sc USING (episode_id)""")
 def q75(spark, sf):
     """O-105, O-115, O-150: every conversation under every graph type, assembled and checked; episodes that break a rule name it."""
-    p = built(spark, sf)
+    p = built(spark, sf, store=True)
     _, bad = assembly.check(p)
     n = lambda rows, name: rows.groupBy("episode_id").agg(F.count(F.lit(1)).alias(name))
     gold = p.gold.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_gold"), F.sum(F.size("required_by")).alias("n_required"))
@@ -194,7 +194,7 @@ def broken(rows):
 
 def written(spark, sf):
     """Assembled episodes with their artifacts, as they are written."""
-    p = built(spark, sf)
+    p = built(spark, sf, store=True)
     _, bad = assembly.check(p)
     p = assembly.without(p, checkpoint(bad))
     return assembly.nested(p, assembly.artifacts(p))
@@ -243,6 +243,6 @@ ROLLOUT_SQL = f"""{FLOW_SQL}, qs AS (SELECT *, trim(coalesce(ts[1], '')) AS q FR
     coalesce(CASE WHEN node_type = 'VERIFIER' THEN k ELSE parents END, 0)::BIGINT AS n_parents FROM tx LEFT JOIN pa ON pa.graph_type = tx.graph_type AND pa.hops = tx.hops AND pa.node = tx.node""")
 def q90(spark, sf):
     """O-107, O-109, O-110: every artifact of every episode with its template text."""
-    p = built(spark, sf)
+    p = built(spark, sf, store=True)
     p = assembly.without(p, checkpoint(assembly.check(p)[1]))
     return assembly.artifacts(p).select("memory_id", F.md5("text").alias("text_md5"), "gold", F.size("parents").cast("long").alias("n_parents"))

@@ -1,5 +1,7 @@
 """Whole episodes, scopes, self-tests, the facade, and operators whose queries can't show everything."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from tessera.plans import flow_queries, views
 from tessera.session import checkpoint
 from tessera.sources import normalise, readers
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def as_of():
@@ -311,3 +313,12 @@ def test_stream_order_rule_and_forced_merge(spark):
     got = [(r["rule"], r["key"]) for r in rules.trace_rules(a, nodes, spark.createDataFrame([(1, "LINEAR")], "e int, graph_type string"), ["e"]).collect()]
     assert got == [("stream_order", "m3")]
     assert {r["mode"] for r in routing.forced(views.requests(spark, DATA)).collect()} == {"shared"} and {r["mode"] for r in routing.forced(views.requests(spark, DATA).limit(1)).collect()} == {"independent"}
+
+
+def test_episode_tables_are_read_once(spark):
+    """Sources and layers are worked out once; what is read again are stored tables."""
+    for q, most in ((flow_queries.q75, 30), (flow_queries.q90, 40)):
+        df = q(spark, DATA)
+        plan, files = df._jdf.queryExecution().optimizedPlan(), df.inputFiles()
+        assert files and not any("conversations.parquet" in f for f in files)
+        assert plan.collectLeaves().size() <= most
