@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tessera.functions import texts
-from tessera.operators import assembly, episodes, evaluation, routing, rules, scopes
+from tessera.operators import assembly, episodes, evaluation, rollout, routing, rules, scopes
 from tessera.operators.graphs import GRAPH_TYPES
 from tessera.plans import views
-from tessera.plans.graph_queries import ARTIFACTS_SQL, RHO_CTES, RHO_SQL, chain_artifacts, q46
+from tessera.plans.graph_queries import ARTIFACTS_SQL, RHO_CTES, RHO_SQL, chain_artifacts, chain_graph, q46
 from tessera.plans.registry import query
 from tessera.plans.retrieval_queries import run, variant_sql
 from tessera.plans.routing_queries import SCOPE_TREE_SQL, SCOPES_SQL, TYPES_SQL, R, scope_tree
@@ -246,3 +248,22 @@ def q90(spark, sf):
     p = built(spark, sf, store=True)
     p = assembly.without(p, checkpoint(assembly.check(p)[1]))
     return assembly.artifacts(p).select("memory_id", F.md5("text").alias("text_md5"), "gold", F.size("parents").cast("long").alias("n_parents"))
+
+
+def digest(rows):
+    """A writer that tells its prompt and its parents' texts by a digest, and fails for every seventh place."""
+    if any(r["place"] % 7 == 3 for r in rows):
+        raise ValueError("no text")
+    return [hashlib.md5("\n".join([r["prompt"] or "", *r["parents"]]).encode()).hexdigest() for r in rows]
+
+
+@query("q99_rollout_levels", f"""{views.with_views(views.CHAIN_SQL).replace("WITH", "WITH RECURSIVE", 1)}, cn AS (SELECT episode, node, coalesce(text, '') AS text, row_number() OVER (PARTITION BY episode ORDER BY node) - 1 AS lev FROM v_chain),
+    ro AS (SELECT episode, node, lev, CASE WHEN node % 7 = 3 THEN 'template ' || node ELSE md5(text) END AS now, NULL::VARCHAR AS before FROM cn WHERE lev = 0
+        UNION ALL SELECT c.episode, c.node, c.lev, CASE WHEN c.node % 7 = 3 THEN 'template ' || c.node ELSE md5(concat_ws(chr(10), c.text, r.before, r.now)) END, r.now FROM ro r JOIN cn c ON c.episode = r.episode AND c.lev = r.lev + 1)
+    SELECT episode, node::VARCHAR AS node, lev::INT AS level, least(lev, 2)::INT AS parents, now AS text, CASE WHEN node % 7 = 3 THEN 'template' ELSE 'model' END AS made FROM ro""")
+def q99(spark, sf):
+    """O-107: conversations rolled out level by level; a turn reads the two turns before it."""
+    nodes, edges = chain_graph(spark, sf)
+    on = edges.toDF("episode", "mid", "dst").join(edges.toDF("episode", "src", "mid"), ["episode", "mid"]).select("episode", "src", "dst")
+    n = nodes.select("episode", "node", F.col("turn").alias("place"), F.col("text").alias("prompt"), F.concat(F.lit("template "), "node").alias("template"))
+    return rollout.rollout(n, edges.unionByName(on), ["episode"], digest)
