@@ -80,3 +80,19 @@ def matches_pattern(scope: Column, pattern: str) -> Column:
 def expired(created_at: Column, ttl: Column, as_of: Column) -> Column:
     """Older than its time to live, in seconds; equal age is not."""
     return ttl.isNotNull() & ((F.unix_micros(as_of) - F.unix_micros(created_at)) / 1e6 > ttl)
+
+
+# For how many seconds a row of a type is taken to be of use, and what becomes of it then.
+WINDOWS = {"episodic": 86400, "semantic": 604800, "artifact": 259200, "shared": 172800, "working": 3600}
+RETENTION = {"episodic": "adaptive", "semantic": "persistent", "artifact": "versioned", "shared": "collaborative", "working": "ephemeral"}
+
+
+def relevant(memory_type: Column, created_at: Column, as_of: Column) -> Column:
+    """Whether a row is within its type's window; types without one always are, rows without a time never."""
+    age = (F.unix_micros(as_of) - F.unix_micros(created_at)) / 1e6
+    window = F.try_element_at(F.create_map(*[F.lit(x) for kv in WINDOWS.items() for x in kv]), memory_type)
+    return F.coalesce(created_at.isNotNull() & (window.isNull() | (age <= window)), F.lit(False))
+
+
+def retention(memory_type: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RETENTION.items() for x in kv]), memory_type), F.lit("adaptive"))

@@ -131,6 +131,18 @@ def stratified(rows: DataFrame, by: str | None, ident: str, ratio: float, seed:
     return at.where(F.col("_at") <= F.greatest(F.lit(1), F.floor(F.col("n") * ratio))).drop("n", "_at", "_order")
 
 
+def exclusive_draw(rows: DataFrame, n: int, ident: str = "episode_id", stratum: str = "label", seed: int = 42) -> DataFrame:
+    """n rows, as many of each stratum as there are turns: each stratum is shuffled by a hash of seed and id, and strata take turns,
+    in their order; one that has no rows left is passed over, so the others make up for it. What is drawn belongs to no stratum any more:
+    `without` the drawn ids is an anti-join. Rows of a null stratum are one stratum; of equal ids all are rows."""
+    from tessera.operators.search import numbered
+
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")))
+    own = F.to_json(F.struct(F.col(stratum).alias("s")))  # a key that is never null
+    nth = numbered(rows.withColumn("_order", order).withColumn("_own", own), ["_own"], ["_order", ident], "_nth").drop("n", "_order")
+    return numbered(nth.withColumn("_all", F.lit(0)), ["_all"], ["_nth", "_own"], "_turn").where(F.col("_turn") <= n).drop("n", "_nth", "_own", "_all", "_turn")
+
+
 def registry(rows: DataFrame, dev: DataFrame, ident: str, rest: str = "train") -> DataFrame:
     """ident, split: dev for those that were drawn, else `rest`."""
     return rows.join(dev.select(F.col(ident).alias("_dev")).distinct(), F.col(ident) == F.col("_dev"), "left").select(ident, F.when(F.col("_dev").isNotNull(), "dev").otherwise(rest).alias("split"))

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from tessera.functions import texts
-from tessera.operators import assembly, episodes, evaluation, rollout, routing, rules, scopes
+from tessera.operators import assembly, episodes, evaluation, graphs, rollout, routing, rules, scopes
 from tessera.operators.graphs import GRAPH_TYPES
 from tessera.plans import views
 from tessera.plans.graph_queries import ARTIFACTS_SQL, RHO_CTES, RHO_SQL, chain_artifacts, chain_graph, q46
@@ -267,3 +267,11 @@ def q99(spark, sf):
     on = edges.toDF("episode", "mid", "dst").join(edges.toDF("episode", "src", "mid"), ["episode", "mid"]).select("episode", "src", "dst")
     n = nodes.select("episode", "node", F.col("turn").alias("place"), F.col("text").alias("prompt"), F.concat(F.lit("template "), "node").alias("template"))
     return rollout.rollout(n, edges.unionByName(on), ["episode"], digest)
+
+
+@query("q102_s4_draw", f"""{RHO_SQL}, o AS (SELECT episode, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || episode), episode) AS nth FROM er), t AS (SELECT *, row_number() OVER (ORDER BY nth, label) AS turn, count(*) OVER () AS n FROM o)
+    SELECT label, episode FROM t WHERE turn <= n // 2""")
+def q102(spark, sf):
+    """A draw of half of all episodes, a third from each subset as long as it has any."""
+    e = checkpoint(q46(spark, sf).select("episode", graphs.label(F.col("rho")).alias("label")))
+    return rules.exclusive_draw(e, e.count() // 2, "episode").select("label", "episode")

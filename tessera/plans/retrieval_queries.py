@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import features
-from tessera.operators import bm25, evaluation, fusion, retrieval, routing, search
+from tessera.operators import answers, bm25, evaluation, fusion, retrieval, routing, search
 from tessera.plans import views
-from tessera.plans.registry import query
+from tessera.plans.registry import SQL, query
 from tessera.plans.search_queries import AS_OF_SQL, COS_SQL, as_of
 from tessera.session import checkpoint, table
 
@@ -268,3 +268,24 @@ def q96(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), bm25.tokens(F.col("text")).alias("ws"))
     top, _ = bm25.search(bm25.index(d, q.select(F.explode("ws").alias("word"))), q, 10)
     return top.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 5).alias("score"))
+
+
+BAG_SQL = "list_filter(string_split_regex(regexp_replace(lower(coalesce({0}, '')), '[!-/:-@\\[-`{{-~]', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w NOT IN ('', 'a', 'an', 'the'))"
+
+
+@query("q100_answer_quality", f"""WITH top AS ({SQL["q96_bm25"]}), i AS (SELECT item_id, text AS gold, array_to_string(string_split(text, ' ')[1:4], ' ') AS short FROM benchmark),
+    a AS (SELECT i.item_id, {BAG_SQL.format("d.text")} AS p, {BAG_SQL.format("gold")} AS g, short FROM i LEFT JOIN top ON top.item_id = i.item_id AND rank = 1 LEFT JOIN documents d USING (doc_id)),
+    w AS (SELECT item_id, unnest(p) AS w, 1 AS p, 0 AS g FROM a UNION ALL SELECT item_id, unnest(g), 0, 1 FROM a), o AS (SELECT item_id, sum(least(p, g)) AS n FROM (SELECT item_id, w, sum(p) AS p, sum(g) AS g FROM w GROUP BY ALL) GROUP BY 1),
+    h AS (SELECT item_id, bool_or(doc_id % 5 = item_id % 5) AS hit, bool_or(contains(' ' || array_to_string({BAG_SQL.format("d.text")}, ' ') || ' ', ' ' || array_to_string({BAG_SQL.format("short")}, ' ') || ' ')) AS told FROM top JOIN documents d USING (doc_id) JOIN i USING (item_id) GROUP BY 1)
+    SELECT item_id, p = g AS em, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN (p = g)::INT ELSE 2.0 * coalesce(n, 0) / (len(p) + len(g)) END, 6)::DOUBLE AS f1, coalesce(hit, false) AS hit, coalesce(told, false) AND len({BAG_SQL.format("short")}) > 0 AS supported
+    FROM a LEFT JOIN o USING (item_id) LEFT JOIN h USING (item_id)""")
+def q100(spark, sf):
+    """EM, F1, evidence hit and answer support: items answered by the best document, their first words looked for in the first ten."""
+    top = checkpoint(q96(spark, sf).select(F.col("item_id").alias("id"), F.col("doc_id").alias("doc"), "rank"))
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("gold"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
+    best = items.join(top.where("rank = 1").join(docs, "doc").select("id", F.col("text").alias("predicted")), "id", "left")
+    gold = top.where(F.col("doc") % 5 == F.col("id") % 5).select("id", "doc").unionByName(items.select("id", F.lit(-1).cast("long").alias("doc")))
+    short = items.select("id", F.array_join(F.slice(F.split("gold", " "), 1, 4), " ").alias("gold"))
+    out = answers.matches(best).join(answers.evidence_hits(items, top, gold), "id").join(answers.supported(short, top, docs), "id")
+    return out.withColumnRenamed("id", "item_id")

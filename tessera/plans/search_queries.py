@@ -204,3 +204,13 @@ def q94(spark, sf):
     e = views.events(spark, sf)
     ids = e.where("event_id % 9 = 0").select("memory_id").union(e.where("event_id % 90 = 0").select(F.concat(F.lit("x"), "memory_id")))
     return M.deleted(e, ids).withColumn("one", F.lit(1)).join(M.totals(M.delete(e, ids)).withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@query("q101_relevance_windows", f"""{views.with_views(views.MEMORY_SQL)}, w AS (SELECT *, (epoch_us({AS_OF_SQL}) - epoch_us(created_at)) / 1e6 <= CASE memory_type WHEN 'episodic' THEN 86400 WHEN 'semantic' THEN 604800 WHEN 'artifact' THEN 259200 WHEN 'shared' THEN 172800 WHEN 'working' THEN 3600 END AS fresh,
+    CASE memory_type WHEN 'semantic' THEN 'persistent' WHEN 'artifact' THEN 'versioned' WHEN 'shared' THEN 'collaborative' WHEN 'working' THEN 'ephemeral' ELSE 'adaptive' END AS retention FROM v_memory)
+    SELECT memory_type, retention, count(*) AS n, count(*) FILTER (fresh) AS fresh, count(*) FILTER (NOT fresh AND retention = 'ephemeral') AS leaving FROM w GROUP BY ALL""")
+def q101(spark, sf):
+    """What is within its type's window, and what leaves with it."""
+    kept, fresh = policies.retention(F.col("memory_type")), policies.relevant(F.col("memory_type"), F.col("created_at"), as_of())
+    m = views.memory(spark, sf).select("memory_type", kept.alias("retention"), fresh.alias("f"))
+    return m.groupBy("memory_type", "retention").agg(F.count(F.lit(1)).alias("n"), F.count_if("f").alias("fresh"), F.count_if(~F.col("f") & (F.col("retention") == "ephemeral")).alias("leaving"))
