@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ GRAPH_TYPES = ("LINEAR", "FORK", "MERGE", "FORK_MERGE", "INDEPENDENT", "POLICY_I
 REASONING = {"GoT": None, "CoT": "LINEAR", "ToT": "FORK"}
 NODE, EDGE = ["node", "node_type", "hop"], ["src", "dst", "edge_type"]
 S1_ABOVE, S2_ABOVE = 0.6, 0.4
+#: Solvers of a block of overlaps.
+BLOCK = 1024
 
 
 def template(kind: str, hops: int) -> tuple[list[tuple], list[tuple]]:
@@ -151,18 +155,65 @@ def levels(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key, "node", F.when(F.col("cyclic").isNull(), F.coalesce("far", F.lit(0))).alias("level"))
 
 
+def _held(solvers: list[str], edges: list[tuple[str, str]]) -> np.ndarray:
+    """Of each solver, a row of bits: itself and the solvers it can be reached from, over nodes of any type; on cycles, its own
+    bit is set anyway."""
+    bit = {name: 1 << k for k, name in enumerate(solvers)}
+    parents: dict[str, set[str]] = {}
+    children: dict[str, list[str]] = {}
+    for src, dst in set(edges):
+        parents.setdefault(dst, set()).add(src)
+        children.setdefault(src, []).append(dst)
+    waits = {x: len(parents.get(x, ())) for x in {*bit, *parents, *children}}
+    have = dict.fromkeys(waits, 0)
+    gather = lambda x: reduce(lambda acc, p: acc | have[p] | bit.get(p, 0), parents.get(x, ()), 0)
+    ready, left = [x for x, n in waits.items() if not n], set(waits)
+    while ready:
+        x = ready.pop()
+        left.discard(x)
+        have[x] = gather(x)
+        for y in children.get(x, ()):
+            waits[y] -= 1
+            if not waits[y]:
+                ready.append(y)
+    while left and any(have[x] != (new := gather(x)) and have.update({x: new}) is None for x in left):  # cycles, and what hangs on them
+        pass
+    wide = -(-max(len(solvers), 1) // 64) * 8
+    rows = b"".join((have[x] | bit[x]).to_bytes(wide, "little") for x in solvers)
+    return np.frombuffer(rows, np.uint64).reshape(len(solvers), wide // 8)
+
+
+def overlaps(nodes: DataFrame, edges: DataFrame, key: list[str], block: int = BLOCK) -> DataFrame:
+    """key, total, pairs: the sum of the overlaps of all pairs of solvers, and their number, of graphs with two solvers at least.
+
+    Ancestors are bit sets, so a graph's closure never becomes rows. A task gets a graph's nodes and edges and a block of its solvers, whose
+    rows of bits it compares with those behind them, so that a long graph is shared by many tasks."""
+    solvers = nodes.where("node_type = 'SOLVER'").select(*key, F.col("node").alias("a"), F.lit(None).cast("string").alias("b")).distinct()
+    size = solvers.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    size = checkpoint(size.select(*key, F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block).cast("int"))).alias("_block")))
+    rows = solvers.unionByName(edges.select(*key, F.col("src").alias("a"), F.col("dst").alias("b"))).join(size, key)
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        alone = f["b"].isna()
+        names = sorted(f.loc[alone, "a"])
+        bits = _held(names, list(zip(f.loc[~alone, "a"], f.loc[~alone, "b"], strict=True)))
+        k = np.bitwise_count(bits).sum(1, dtype=np.int64)
+        total, pairs, lo = 0.0, 0, int(f["_block"].iloc[0]) * block
+        for i in range(lo, min(lo + block, len(names))):
+            both = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(1, dtype=np.int64)
+            total += float(((both + 1) / (k[i] + k[i + 1 :] - both + 1)).sum())  # the plan is shared by all
+            pairs += len(both)
+        return f.iloc[:1][key].assign(total=total, pairs=pairs)
+
+    kinds = dict(rows.dtypes)
+    parts = rows.groupBy(*key, "_block").applyInPandas(compare, ", ".join([*(f"`{c}` {kinds[c]}" for c in key), "total double", "pairs long"]))
+    return parts.groupBy(*key).agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+
+
 def rho_v3(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """key, rho: mean overlap, over solver pairs, of {plan} and the conclusions of the solver and its ancestors. One
     solver: 1; none: 0."""
-    solvers = nodes.where("node_type = 'SOLVER'").select(*key, "node")
-    up = ancestors(edges, key).select(*key, "node", F.col("ancestor").alias("item"))
-    held = solvers.join(up, [*key, "node"]).join(solvers.withColumnRenamed("node", "item"), [*key, "item"], "left_semi")
-    own = held.unionByName(solvers.withColumn("item", F.col("node"))).unionByName(solvers.withColumn("item", F.lit("#plan"))).distinct()
-    sets = own.groupBy(*key, "node").agg(F.collect_set("item").alias("items"))
-    a, b = sets.toDF(*key, "n1", "i1"), sets.toDF(*key, "n2", "i2")
-    pairs = a.join(b, key).where("n1 < n2").select(*key, F.size("i1").alias("k1"), F.size("i2").alias("k2"), F.size(F.array_intersect("i1", "i2")).alias("both"))
-    pairs = pairs.select(*key, (F.col("both") / (F.col("k1") + F.col("k2") - F.col("both"))).alias("iou"))
-    mean = pairs.groupBy(*key).agg(F.bround(F.avg("iou"), 4).alias("mean"))
+    mean = overlaps(nodes, edges, key).select(*key, F.bround(F.col("total") / F.col("pairs"), 4).alias("mean"))
     n = nodes.groupBy(*key).agg(F.count_if(F.col("node_type") == "SOLVER").alias("solvers"))
     return n.join(mean, key, "left").select(*key, F.when(F.col("solvers") == 0, 0.0).when(F.col("solvers") == 1, 1.0).otherwise(F.col("mean")).alias("rho"))
 
