@@ -32,7 +32,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Memory of the words that a worker remembers at most, with ENTRY bytes for each beside its own; words and bytes of a
 #: recursive query, and ids that one query decodes.
-MEMO, ENTRY, SHORT, WORDS, BYTES, IDS = 64 << 20, 240, 48, 20_000, 1 << 19, 200_000
+MEMO, ENTRY, SHORT, WORDS, BYTES, IDS = 128 << 20, 240, 48, 20_000, 1 << 19, 200_000
 
 #: One pair a word and round; every round's rows are kept, which short words can afford.
 SHORT_WORDS = """
