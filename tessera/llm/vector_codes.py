@@ -36,6 +36,8 @@ from tessera.session import checkpoint, discard
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Components at or beyond it: squares of differences, over 512 components, fit 63 bits.
 RANGE = 1 << 26
+#: Up to it, sums over 64 components of products stay below 2**53.
+SMALL = 1 << 22
 #: Labels whose sums are broadcast at most, at 16 bytes and more each; beyond it both sides are shuffled, the sums to SPREAD parts.
 LABELS, SPREAD = 100_000, 16
 #: Vectors that are worked on at once.
@@ -68,7 +70,12 @@ class Book:
 
     def nearest(self, x: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest entry of each row, of all entries, and its squared distance."""
-        d = ((x[:, None] - self.c[p][None]) ** 2).sum(2)
+        c = self.c[p]
+        if max(np.abs(x).max(initial=0), np.abs(c).max(initial=0)) <= SMALL and x.shape[1] <= 64:  # a product of matrices of doubles is exact
+            f, g = x.astype(float), c.astype(float)
+            d = ((f * f).sum(1)[:, None] - 2 * (f @ g.T) + (g * g).sum(1)).astype(np.int64)
+        else:
+            d = ((x[:, None] - c[None]) ** 2).sum(2)
         best = d.argmin(1)
         return best, d[np.arange(len(x)), best]
 
@@ -177,11 +184,15 @@ def codes(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding",
         raise ValueError("a code is a byte")
     kept = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), whole(F.col(vector)).alias("x")).where("x IS NOT NULL")
     order = [F.col("vec_id").asc_nulls_last(), F.col("x")]
-    first = kept.select("vec_id", "x").orderBy(*order).first()
-    width = len(first.x) if first else 0
+    head = kept.select("vec_id", "x").orderBy(*order)
+    seeds = head.limit(entries).collect()
+    width = len(seeds[0].x) if seeds else 0
     coded = fits(F.col("x"), width) if width and width % parts == 0 else F.lit(False)
     none = [F.lit(None).cast("binary").alias("code"), F.lit(None).cast("array<bigint>").alias("d")]
-    seeds = kept.where(coded).select("vec_id", "x").orderBy(*order).limit(entries).collect()
+    if any(len(s.x) != width or max(map(abs, s.x), default=RANGE) >= RANGE for s in seeds):  # some of the first can't be coded
+        seeds = head.where(coded).limit(entries).collect()
+    if width % parts:
+        seeds = []
     if not seeds:
         return kept.select("vec_id", "label", "x", *none), np.zeros((parts, 0, 0), np.int64)
     c = np.array([s.x for s in seeds], np.int64).reshape(len(seeds), parts, -1).transpose(1, 0, 2).copy()
