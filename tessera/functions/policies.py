@@ -5,6 +5,8 @@ A policy is a struct of visibility array<string>, clearance int, zones array<str
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,13 +70,44 @@ def overlap(a: Column, b: Column) -> Column:
     return F.struct(kind.alias("kind"), score.alias("score"), (kind.isin("identical", "subset") | ((kind == "intersecting") & (score > 0.5))).alias("can_share"))
 
 
+def glob_tokens(pattern: str) -> Iterator[tuple[str, str]]:
+    """Kind and text of each part of a glob: `*`, `?`, `[` with what a closed class holds, or a letter that stands for itself."""
+    at = 0
+    while at < len(pattern):
+        c, stop = pattern[at], -1
+        if c == "[":
+            stop = pattern.find("]", at + 2 + pattern.startswith("!", at + 1))
+        if stop > 0:
+            yield "[", pattern[at + 1 : stop]
+            at = stop
+        else:
+            yield (c, "") if c in "*?" else ("", c)
+        at += 1
+
+
+def glob_regex(pattern: str) -> str:
+    """A glob as an anchored regular expression of the JVM, whose classes have letters of their own meaning that Python's haven't."""
+    quoted = lambda c: c if c.isalnum() or ord(c) > 127 else f"\\{c}" if c.isprintable() else f"\\x{ord(c):02x}"
+    out = []
+    for kind, text in glob_tokens(pattern):
+        if kind == "[":
+            no, body, items, at = text.startswith("!"), text.removeprefix("!"), [], 0
+            while at < len(body):
+                if at + 2 < len(body) and body[at + 1] == "-":  # a range; one that is upside down holds nothing
+                    items += [f"{quoted(body[at])}-{quoted(body[at + 2])}"] if body[at] <= body[at + 2] else []
+                    at += 3
+                else:
+                    items.append(quoted(body[at]))
+                    at += 1
+            out.append(f"[{'^' if no else ''}{''.join(items)}]" if items else "." if no else "(?!)")
+        else:
+            out.append({"*": ".*", "?": "."}.get(kind) or quoted(text))
+    return r"(?s)\A" + "".join(out) + r"\z"
+
+
 def matches_pattern(scope: Column, pattern: str) -> Column:
     """`*` makes it a glob, in which `?` and `[...]` count too; without one it is equality."""
-    if "*" not in pattern:
-        return scope == pattern
-    import fnmatch
-
-    return scope.rlike(fnmatch.translate(pattern).replace(r"\Z", r"\z"))
+    return scope.rlike(glob_regex(pattern)) if "*" in pattern else scope == pattern
 
 
 def expired(created_at: Column, ttl: Column, as_of: Column) -> Column:

@@ -43,6 +43,7 @@ VERIFY = {
     "math_prealgebra": "Verify basic arithmetic and quantitative relationships.",
     "math_precalculus": "Verify applications of functions, limits and trigonometric identities.",
 }
+# Fixed value: what a planner asks before a problem of mathematics.
 PLAN_MATH = "Plan the solution steps for the problem: "
 
 
@@ -141,11 +142,14 @@ def ground_truth(memory: DataFrame, nodes: DataFrame, reached: DataFrame) -> Dat
     return rows.select(*KEY, "memory_id", "layer", "hop", F.transform(who, lambda n: F.concat_ws("_", "episode_id", n)).alias("required_by"), F.lit("shared_required").alias("evidence_type"))
 
 
-def build(items: DataFrame, split: Column, kinds=graphs.GRAPH_TYPES, restricted: DataFrame | None = None, store: bool = False) -> Parts:
-    """All parts of all episodes, unchecked. With `store`, memory, agents and requests are made once, as tables; that is for those who
+def build(items: DataFrame, split: Column, kinds=graphs.GRAPH_TYPES, restricted: DataFrame | None = None, store: bool = False, reasoning: str = "GoT") -> Parts:
+    """All parts of all episodes, unchecked. Paths of reasoning other than GoT have one kind of graph each. With `store`, memory, agents and requests are made once, as tables; that is for those who
     read them more than once. Episodes always are."""
     keep = checkpoint if store else lambda rows: rows
-    ep = targets(items, split, kinds)
+    if reasoning not in graphs.REASONING:
+        raise ValueError(f"unknown path of reasoning {reasoning!r}")
+    one = graphs.REASONING[reasoning]
+    ep = targets(items, split, kinds if one is None else (one,)).withColumn("reasoning", F.lit(reasoning))
     t_nodes, t_edges = (checkpoint(t) for t in graphs.templates_of(ep))
     reached = checkpoint(reach(t_nodes, t_edges))
     rho = checkpoint(graphs.rho_v3(t_nodes, t_edges, TEMPLATE))
@@ -220,10 +224,10 @@ def nested(parts: Parts, made: DataFrame | None = None, created_at: str = "1970-
     entries = gather(memory, "memory_id", "scope_id", "memory_type", "content", "visibility", "confidence", "source", "writer", "tags", F.col("layer").alias("scope_layer"), F.col("clearance").alias("required_clearance"), F.col("gold").alias("is_gold_evidence"), F.col("source_node").alias("source_node_id"), F.col("paragraph").alias("source_paragraph_id"), F.col("hop").alias("hop_index"), "slot", "topo_index", F.col("parents").alias("parent_artifact_ids"))
     requests = gather(parts.requests, "request_id", F.col("agent").alias("agent_id"), "role", "query", "private", "shared", "workspace", "governed", "types", "policy", "priority")
     gold = gather(parts.gold, "memory_id", F.col("layer").alias("scope_layer"), F.col("hop").alias("hop_index"), F.col("required_by").alias("required_by_agent_ids"), "evidence_type")
-    out = parts.episodes.select(*KEY, "dataset", "split", "original_id", "hop_count", "graph_type", F.lit("GoT").alias("reasoning_path_type"), "rho", F.col("label").alias("rho_subset"), F.col("s4").alias("policy_conflict"), F.col("s4").alias("s4_eligible"), "question", "answer")
+    out = parts.episodes.select(*KEY, "dataset", "split", "original_id", "hop_count", "graph_type", F.col("reasoning").alias("reasoning_path_type"), "rho", F.col("label").alias("rho_subset"), F.col("s4").alias("policy_conflict"), F.col("s4").alias("s4_eligible"), "question", "answer")
     for more, name in ((nodes, "nodes"), (edges, "edges"), (agents, "agents"), (entries, "memory_entries"), (requests, "retrieval_requests"), (gold, "ground_truth")):
         out = out.join(more.withColumnRenamed("xs", name), KEY, "left")
-    return out.withColumn("meta", F.struct(F.lit(VERSION).alias("schema_version"), F.lit(created_at).alias("created_at"), F.lit("GoT").alias("reasoning_path_type"), F.lit("template" if made is not None else None).cast("string").alias("rollout_llm")))
+    return out.withColumn("meta", F.struct(F.lit(VERSION).alias("schema_version"), F.lit(created_at).alias("created_at"), F.col("reasoning_path_type").alias("reasoning_path_type"), F.lit("template" if made is not None else None).cast("string").alias("rollout_llm")))
 
 
 def write(rows: DataFrame, path: str, append: bool = False, s4_shard: bool = True) -> DataFrame:

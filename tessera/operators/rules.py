@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Slots of artifacts.
 SLOTS = ("plan", "query_intent", "scratch", "conclusion", "audit_report")
 
 
@@ -50,8 +51,8 @@ def audit_rules(artifacts: DataFrame, agents: DataFrame, key: list[str], mandato
     return union(issues(twice, "unique_everywhere", "error", ident), issues(range_, "clearance_range", "error", ident), issues(sealed, "clearance_reachable", "warning", ident), *missing)
 
 
+# Visibilities and roles that an agent may have.
 VISIBILITY = ("owner", "team", "session", "public", "restricted")
-#: Fixed values.
 ROLES = ("planner", "solver", "verifier", "custom")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,51 @@ def matching(scopes: DataFrame, pattern: str) -> DataFrame:
     return scopes.where(policies.matches_pattern(F.col("scope_id"), pattern))
 
 
+#: Letters of a gram that patterns and scopes meet on.
+GRAM = 3
+
+
+def literals(pattern: str) -> list[str]:
+    """The runs of a glob that stand for themselves; every string that matches has them."""
+    runs = [""]
+    for kind, text in policies.glob_tokens(pattern):
+        if kind:
+            runs.append("")
+        else:
+            runs[-1] += text
+    return [r for r in runs if r]
+
+
+def find(scopes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """scope_id; pattern -> pattern, scope_id of all that match, as `matching` for each pattern.
+
+    Patterns without `*` are an equi-join. Of a glob's literal runs, the gram of GRAM letters that the fewest scopes have is its key (a
+    shorter run if there is no longer one, the empty text if there is none); scopes meet patterns on the grams they have, and only those
+    pairs run the glob. Nulls match nothing, repeated rows count once."""
+    ids = checkpoint(scopes.select("scope_id").where("scope_id IS NOT NULL").distinct())
+    asked = checkpoint(patterns.select("pattern").where("pattern IS NOT NULL").distinct())
+
+    @F.pandas_udf("struct<glob:string,grams:array<string>>")
+    def read(rows: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in rows:
+            runs = literals(p)
+            grams = {r[k : k + GRAM] for r in runs for k in range(len(r) - GRAM + 1)} or {r for r in runs if len(r) == max(map(len, runs))} or {""}
+            out.append((policies.glob_regex(p), sorted(grams)))
+        return pd.DataFrame(out, columns=["glob", "grams"])
+
+    globs = checkpoint(asked.where(F.contains("pattern", F.lit("*"))).select("pattern", read("pattern").alias("r")).select("pattern", "r.glob", F.explode("r.grams").alias("gram")))
+    n = F.char_length("scope_id")
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda at: F.substr(F.col("scope_id"), at, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(F.array(F.lit("")), *(of(k) for k in range(1, GRAM + 1))))
+    has = checkpoint(ids.select("scope_id", F.explode(every).alias("gram")).join(globs.select("gram").distinct(), "gram", "left_semi"))
+    counts = has.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
+    keys = globs.join(counts, "gram", "left").groupBy("pattern", "glob").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "gram")).alias("least")).where("least.k > 0")
+    met = keys.select("pattern", "glob", "least.gram").join(has, "gram").where(F.rlike("scope_id", F.col("glob"))).select("pattern", "scope_id")
+    same = asked.where(~F.contains("pattern", F.lit("*"))).join(ids, F.col("pattern") == F.col("scope_id")).select("pattern", "scope_id")
+    return met.unionByName(same)
+
+
 def descendants(scopes: DataFrame, roots: DataFrame) -> DataFrame:
     """scope_id, parent; scope_id of the roots -> root, scope_id, depth. A round finds the scopes one step below; a scope is
     met once under a root, so circles end."""

@@ -163,6 +163,17 @@ def q86(spark, sf):
     return scopes.matching(known, "*/1*").select("scope_id", "type").join(scopes.children(known), "scope_id")
 
 
+@query("q103_scope_patterns", f"""WITH {SCOPE_TREE_SQL}, p AS (SELECT '*/' || c_custkey || '?' AS pattern FROM customer WHERE c_custkey % 50 = 7 UNION ALL SELECT 'ord*' || c_custkey || '[0-4]*' FROM customer WHERE c_custkey % 90 = 11 UNION ALL SELECT 'task/' || c_custkey FROM customer WHERE c_custkey % 30 = 3 UNION ALL SELECT '*s*n/' || n_nationkey FROM nation)
+    SELECT pattern, scope AS scope_id FROM p JOIN sc ON CASE WHEN contains(pattern, '*') THEN scope GLOB pattern ELSE scope = pattern END""")
+def q103(spark, sf):
+    """O-15: a table of patterns against all scopes."""
+    key = F.col("c_custkey")
+    of = lambda rest, *text: table(spark, sf, "customer").where((key % rest[0]) == rest[1]).select(F.concat(*text).alias("pattern"))
+    p = of((50, 7), F.lit("*/"), key.cast("string"), F.lit("?")).unionByName(of((90, 11), F.lit("ord*"), key.cast("string"), F.lit("[0-4]*"))).unionByName(of((30, 3), F.lit("task/"), key.cast("string")))
+    p = p.unionByName(table(spark, sf, "nation").select(F.concat(F.lit("*s*n/"), F.col("n_nationkey").cast("string")).alias("pattern")))
+    return scopes.find(scope_tree(spark, sf).where("parent IS NOT NULL"), p)
+
+
 @query("q87_slice_index", f"""{views.with_views(views.MEMORY_SQL, views.REQUESTS_SQL)}, s AS (SELECT ord, coalesce(main_scope, private_scope) AS p, {TYPES_SQL} AS t, array_to_string(list_sort(visibility), ',') AS v, clearance, {SCOPES_SQL} AS scopes, types, visibility AS asked FROM v_requests),
     f AS (SELECT p, t, v, clearance, count(*) AS requests, arg_min(scopes, ord) AS scopes, arg_min(types, ord) AS types, arg_min(asked, ord) AS asked FROM s GROUP BY ALL), i AS (SELECT *, 'slice_' || substr(md5(concat_ws('|', p, t, v, clearance::VARCHAR)), 1, 8) AS slice_id FROM f)
     SELECT slice_id, requests, count(m.memory_id) AS rows FROM i LEFT JOIN v_memory m ON list_contains(i.scopes, m.scope_id) AND list_contains(i.types, m.memory_type) AND list_has_any(m.visibility, i.asked) GROUP BY ALL""")

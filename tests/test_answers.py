@@ -60,3 +60,19 @@ def test_windows(spark):
     now = F.lit("2024-01-01 02:00:00").cast("timestamp")
     got = [(r.t, r.ok, r.kept) for r in df.select("t", policies.relevant(F.col("t"), F.col("at"), now).alias("ok"), policies.retention(F.col("t")).alias("kept")).collect()]
     assert got == [("working", False, "ephemeral"), ("working", True, "ephemeral"), ("other", True, "adaptive"), ("semantic", True, "persistent"), ("episodic", False, "adaptive")]
+
+
+def test_find_scopes(spark):
+    import fnmatch
+
+    from tessera.operators import scopes
+
+    r = random.Random(1)
+    ids = ["".join(r.choice("ab/1.]") for _ in range(r.randint(0, 7))) for _ in range(150)] + ["task/alpha/shared", "x*y", "é/日本"]
+    patterns = ["".join(r.choice("ab/1**?.]") for _ in range(r.randint(1, 6))) for _ in range(80)] + ["*", "**", "*[ab]*", "[!a]*", "[*", "*[]a]*", "x*y", "x[*]y", "task/*/shared", "*/日本", "nowhere*", "a", "?"]
+    df, ps = spark.createDataFrame([(x,) for x in ids] + [(None,), ("a",), ("a",)], "scope_id string"), spark.createDataFrame([(p,) for p in patterns] + [(None,), ("*",)], "pattern string")
+    got = sorted((x.pattern, x.scope_id) for x in scopes.find(df, ps).collect())
+    want = sorted({(p, x) for p in patterns for x in {*ids, "a"} if (fnmatch.fnmatchcase(x, p) if "*" in p else x == p)})
+    assert got == want
+    for p in patterns[-13:]:
+        assert sorted({x.scope_id for x in scopes.matching(df, p).collect()}) == sorted({x for q, x in want if q == p})

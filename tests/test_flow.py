@@ -322,3 +322,15 @@ def test_episode_tables_are_read_once(spark):
         plan, files = df._jdf.queryExecution().optimizedPlan(), df.inputFiles()
         assert files and not any("conversations.parquet" in f for f in files)
         assert plan.collectLeaves().size() <= most
+
+
+@pytest.mark.parametrize(("path", "kinds"), [("CoT", {"LINEAR"}), ("ToT", {"FORK"}), ("GoT", set(graphs.GRAPH_TYPES))])
+def test_paths_of_reasoning(spark, path, kinds):
+    i = flow_queries.items(spark, DATA).limit(3)
+    rows = assembly.nested(assembly.build(i, F.lit("train"), reasoning=path)).select("graph_type", "reasoning_path_type", "meta.reasoning_path_type").toDF("g", "r", "m").collect()
+    assert {r.g for r in rows} == kinds and {(r.r, r.m) for r in rows} == {(path, path)}
+
+
+def test_unknown_path_of_reasoning(spark):
+    with pytest.raises(ValueError, match="unknown path"):
+        assembly.build(flow_queries.items(spark, DATA), F.lit("train"), reasoning="x")
