@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_owners: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
+    return path
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Scratch paths that are made within it, checkpoints among them, are deleted when it ends: for those who have written a plan's
+    result by then. Plans that were made within it can't be run behind it."""
+    mine: list[str] = []
+    _owners.append(mine)
+    try:
+        yield
+    finally:
+        _owners.remove(mine)
+        for path in mine:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -60,9 +87,7 @@ def discard(*tables: DataFrame) -> None:
     """Deletes the files of checkpoints that nothing reads any more; other tables are left alone."""
     for t in tables:
         if path := vars(t).get("_table_path"):
-            spark = t.sparkSession
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(t.sparkSession, path)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:

@@ -262,3 +262,21 @@ def test_filter_takes_whole_metadata_keys(spark):
     as_of = F.current_timestamp()
     assert {r.memory_id for r in df.where(Filter(metadata={"a.b": "1"}).column(as_of)).collect()} == {"flat", "number"}
     assert [r.memory_id for r in df.where(Filter(metadata={"a.b": "1", "it's": "x"}).column(as_of)).collect()] == ["flat"]
+
+
+def test_owned_tables_go(spark):
+    import glob
+
+    from tessera import session
+
+    root = session.shared_dir(spark).removeprefix("file://")
+    keep = session.scratch(spark, "kept")
+    before = set(glob.glob(f"{root}/*"))
+    with session.owned(spark):
+        t = session.checkpoint(spark.range(10))
+        with session.owned(spark):
+            session.checkpoint(t).count()
+        session.checkpoint(t.where("id > 3")).write.parquet(keep)
+        session.scratch(spark, "never written")
+    assert set(glob.glob(f"{root}/*")) - before == {keep.removeprefix("file://")}
+    assert spark.read.parquet(keep).count() == 6
