@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, exact_dedup, mixing, ngram_join, quality
-from tessera.session import scratch, ship
+from tessera.session import owned, scratch, ship
 
 STAGES = [
     ("quality_rules", quality.stage),
@@ -31,8 +31,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         path = scratch(spark, f"stage-{k}-{name}")
-        out.write.parquet(path)
+        with owned(spark):  # what a stage stores on its way goes when its result is written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
