@@ -16,6 +16,9 @@ ROLE_TYPES = {"planner": ("semantic", "episodic", "working"), "solver": ("semant
 
 @dataclass
 class Engine:
+    """Plans that send rows to Python, or store tables on their way, bound the session's Arrow batches (`session.small_batches`), unless
+    the session says how large they are."""
+
     spark: SparkSession
     memory: DataFrame
     config: retrieval.Config = retrieval.Config()
