@@ -9,6 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[ \t\n\x0B\f\r]+"
+#: Spaces at the ends of a step: the characters of Unicode's category Zs.
+BLANKS = "\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+SENTENCE = r"\.[ \t\n\f\r]+"
 # Words that route a task, in order of precedence.
 ROUTES = (("planner", ("plan", "constraint")), ("verifier", ("verify", "check")), ("critic", ("critic", "conflict")))
 # Prefixes of role-aware queries.
@@ -101,15 +104,21 @@ def final_answer(answer: Column) -> Column:
     return F.regexp_extract(answer, ANSWER, 1)
 
 
+def trimmed(parts: Column) -> Column:
+    """Each text of a list without spaces at its ends. F.trim itself can't be handed to F.transform, which would give it a text's
+    place in the list as the characters to cut."""
+    return F.transform(parts, lambda x: F.btrim(x, F.lit(BLANKS)))
+
+
 def steps(answer: Column) -> Column:
     """Lines that are not blank, before the final answer."""
-    return F.filter(F.transform(F.split(F.split_part(answer, F.lit("####"), F.lit(1)), "\n"), F.trim), lambda x: x != "")
+    return F.filter(trimmed(F.split(F.split_part(answer, F.lit("####"), F.lit(1)), "\n")), lambda x: x != "")
 
 
 def math_steps(solution: Column) -> Column:
     """Lines of ten characters or more if there are two such, else sentences."""
-    lines = F.filter(F.transform(F.split(solution, "\n"), F.trim), lambda x: F.char_length(x) >= 10)
-    sentences = F.filter(F.transform(F.split(solution, r"\.\s+"), F.trim), lambda x: x != "")
+    lines = F.filter(trimmed(F.split(solution, "\n")), lambda x: F.char_length(x) >= 10)
+    sentences = F.filter(trimmed(F.split(solution, SENTENCE)), lambda x: x != "")
     return F.when(F.size(lines) >= 2, lines).otherwise(sentences)
 
 
