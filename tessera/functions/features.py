@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,5 +65,20 @@ def with_features(rows, as_of: Column, query: str | None = "query"):
 
 
 def rerank_score(role: Column, fix_keyword: bool = False) -> Column:
-    names = FEATURES if fix_keyword else [f for f in FEATURES if f != "keyword"]
-    return sum((weight(role, f, fix_keyword) * F.col(f) for f in names), F.lit(0.0))
+    """Only what a role weighs is added up: recency is infinite for times far ahead, and no weight of 0 undoes that."""
+    out = None
+
+    def total(weights: dict[str, float]) -> Column:
+        return reduce(lambda a, b: a + b, [F.lit(weights[f]) * F.col(f) for f in FEATURES if f in weights and (fix_keyword or f != "keyword")])
+
+    for name, weights in ROLE_WEIGHTS.items():
+        if name != "default":
+            out = F.when(role == name, total(weights)) if out is None else out.when(role == name, total(weights))
+    return out.otherwise(total(ROLE_WEIGHTS["default"]))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """x at so many places, as scaling, rounding and scaling back give it, which is what SQL does: a value too large to have places
+    may change in its last digit, and one too large to be scaled stays."""
+    scaled = x * F.lit(10.0**places)
+    return F.when((F.abs(scaled) >= 2.0**52) & (F.abs(scaled) < float("inf")), scaled / F.lit(10.0**places)).otherwise(F.round(x, places))

@@ -58,9 +58,9 @@ def personalise(pool: DataFrame, requests: DataFrame, memory: DataFrame, as_of:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("score").desc(), "pool_rank"))).select("request_id", "memory_id", "score", "rank")
     wanted = PROFILE if config.fix_keyword else [c for c in PROFILE if c != "content"]  # texts are read for a weight above 0 only
     rows = pool.join(memory.select(*wanted), "memory_id").join(requests.select("request_id", "role", "query"), "request_id")
-    rows = features.with_features(rows, as_of, "query" if config.fix_keyword else None).withColumn("rerank", F.round(features.rerank_score(F.col("role"), config.fix_keyword), search.PLACES))
+    rows = features.with_features(rows, as_of, "query" if config.fix_keyword else None).withColumn("rerank", features.rounded(features.rerank_score(F.col("role"), config.fix_keyword), search.PLACES))
     rows = search.top_k(rows, ["request_id"], top, [F.col("rerank").desc(), F.col("pool_rank")], "rerank_rank")
-    rows = rows.withColumn("score", F.round(0.5 * F.col("score") + 0.5 * F.col("rerank"), search.PLACES))
+    rows = rows.withColumn("score", features.rounded(0.5 * F.col("score") + 0.5 * F.col("rerank"), search.PLACES))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("score").desc(), "rerank_rank")))
     return rows.select("request_id", "memory_id", "score", "rank")
 

@@ -63,15 +63,15 @@ def q27(spark, sf):
     r, m, pool = pooled(spark, sf)
     wanted = [c for c in retrieval.PROFILE if c != "content"]
     rows = features.with_features(pool.join(m.select(*wanted), "memory_id").join(r.select("request_id", "role"), "request_id"), as_of(), None)
-    rows = rows.withColumn("rerank", F.round(features.rerank_score(F.col("role")), 9))
+    rows = rows.withColumn("rerank", features.rounded(features.rerank_score(F.col("role")), 9))
     top = search.top_k(rows, ["request_id"], 20, [F.col("rerank").desc(), F.col("pool_rank")])
-    return top.select("request_id", "memory_id", "rank", F.round("rerank", 6).alias("score"))
+    return top.select("request_id", "memory_id", "rank", features.rounded(F.col("rerank"), 6).alias("score"))
 
 
 @query("q28_personalise_blend", f"{RERANKED}, b AS (SELECT request_id, memory_id, rr, round(0.5 * score + 0.5 * rerank, 9) AS s FROM k WHERE rr <= 20) SELECT request_id, memory_id, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, rr) AS rank, round(s, 6) AS score FROM b")
 def q28(spark, sf):
     r, m, pool = pooled(spark, sf)
-    return retrieval.personalise(pool, r, m, as_of()).select("request_id", "memory_id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.personalise(pool, r, m, as_of()).select("request_id", "memory_id", "rank", features.rounded(F.col("score"), 6).alias("score"))
 
 
 @query("q29_fallback_triggers", f"""{RERANKED}, b AS (SELECT request_id, round(0.5 * score + 0.5 * rerank, 9) AS s, rr FROM k WHERE rr <= 20), o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, rr) AS rank FROM b),
