@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import policies, vectors
-from tessera.session import checkpoint
+from tessera.session import checkpoint, small_batches
 
 #: Scores are compared and ranked at this many places, so that the order doesn't depend on the order of additions.
 PLACES = 9
@@ -47,11 +48,196 @@ def candidates(units: DataFrame, memory: DataFrame) -> DataFrame:
 
 
 def search(units: DataFrame, memory: DataFrame, k: int = 50, similarity: str = "cosine", rank: str = "rank", as_of: Column | None = None) -> DataFrame:
-    """unit, memory_id, score, rank. Rows without a vector score 0 and stay. Expired rows go only if as_of is given."""
+    """unit, memory_id, score, rank. Rows without a vector score 0 and stay. Expired rows go only if as_of is given.
+
+    What a unit may see is what `candidates` gives, but pairs are scored by matrix products: rows of a scope and units that ask for it are
+    packed to blocks, which meet by an equi-join on the scope and one of SALTS parts. A task keeps the first k rows of each unit of
+    the blocks at hand, and only these leave it."""
     rows = memory if as_of is None else memory.where(~policies.expired(F.col("created_at"), F.col("ttl"), as_of))
-    score = F.round(F.coalesce(vectors.SIMILARITIES[similarity](F.col("qvec"), F.col("embedding")), F.lit(0.0)), PLACES)
-    rows = candidates(units, rows.select("memory_id", "scope_id", "memory_type", "visibility", "embedding")).select("unit", "memory_id", score.alias("score"))
-    return ranked(rows, ["unit"], k, rank)
+    found = blocks_met(unit_blocks(units), row_blocks(rows), units.schema["unit"].dataType, memory.schema["memory_id"].dataType, k, similarity)
+    return ranked(found, ["unit"], k, rank)
+
+
+#: Units and rows of a block; blocks of units whose best rows a task holds at once.
+UNIT_ROWS, MEMORY_ROWS, HELD = 1024, 4096, 64
+
+
+def _packed(rows: DataFrame, ident: str, vector: str, kind: list[str], size: int) -> DataFrame:
+    """Rows of one scope, and of vectors of one length, as blocks: scope, ids, dim, x (the vectors), kinds (the distinct values of the
+    columns `kind`, as JSON) and which each row has. dim is -1 without a vector or with a null in it."""
+    dim = F.coalesce(F.when(F.exists(vector, lambda x: x.isNull()), -1).otherwise(F.size(vector)), F.lit(-1))
+    element = "<f4" if rows.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
+    ident_type = rows.schema[ident].dataType.simpleString()
+    flat = rows.select("scope", F.col(ident).alias("id"), dim.alias("dim"), F.col(vector).alias("v"), F.to_json(F.struct(*kind), {"ignoreNullFields": "false"}).alias("kind"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def block() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            d, kinds = last[1], t.column("kind").combine_chunks().dictionary_encode()
+            x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(element) if d > 0 else np.zeros(0, element)
+            one = lambda v, t: pa.array([v], t)
+            return pa.RecordBatch.from_arrays(
+                [one(last[0], pa.string()), one(t.column("id").to_pylist(), pa.list_(t.schema.field("id").type)), one(d, pa.int32()), one(x.tobytes(), pa.binary()), one(kinds.dictionary.to_pylist(), pa.list_(pa.string())), one(kinds.indices.to_numpy().astype("<i4").tobytes(), pa.binary())],
+                ["scope", "ids", "dim", "x", "kinds", "kind"])
+
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            lo = 0
+            while lo < len(keys):
+                count = sum(b.num_rows for b in held)
+                if held and (keys[lo] != last or count == size):
+                    yield block()
+                    held, count = [], 0
+                last, hi = keys[lo], lo
+                while hi < len(keys) and hi - lo < size - count and keys[hi] == last:
+                    hi += 1
+                held.append(batch.slice(lo, hi - lo))
+                lo = hi
+        if held:
+            yield block()
+
+    small_batches(rows.sparkSession)
+    return flat.sortWithinPartitions("scope", "dim", "id").mapInArrow(pack, f"scope string, ids array<{ident_type}>, dim int, x binary, kinds array<string>, kind binary")
+
+
+def unit_blocks(units: DataFrame) -> DataFrame:
+    """Blocks of the units that ask for a scope, numbered; those that ask for all have a null scope."""
+    each = units.withColumn("scope", F.explode_outer(F.array_distinct("scopes"))).where("scope IS NOT NULL OR size(scopes) = 0")
+    return checkpoint(_packed(each, "unit", "qvec", ["types", "asked"], UNIT_ROWS).withColumn("n", F.monotonically_increasing_id()))
+
+
+def row_blocks(memory: DataFrame) -> DataFrame:
+    """Blocks of the rows of a scope, dealt out over parts."""
+    rows = _packed(memory.withColumn("scope", F.col("scope_id")), "memory_id", "embedding", ["memory_type", "visibility"], MEMORY_ROWS)
+    return rows.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int")).repartition("scope", "part")
+
+
+def _passes(asked: str, row: str) -> bool:
+    """The filters of `candidates`, on a unit's and a row's kind."""
+    a, r = json.loads(asked), json.loads(row)
+    kind, seen, types, wanted = r.get("memory_type"), r.get("visibility"), a.get("types"), a.get("asked")
+    ok = types is not None and (not types or (kind is not None and kind in types))
+    return ok and (not wanted or (seen is not None and any(v is not None and v in wanted for v in seen)))
+
+
+def blocks_met(units: DataFrame, rows: DataFrame, unit_type, id_type, k: int, similarity: str) -> DataFrame:
+    """unit_blocks, row_blocks -> unit, memory_id, score: of each task the first k of each unit."""
+    if similarity not in vectors.SIMILARITIES:
+        raise ValueError(f"unknown similarity {similarity!r}")
+    parts = units.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sides = [F.col(f"q.{c}").alias(f"q_{c}") for c in ("n", "ids", "dim", "x", "kinds", "kind")] + [F.col(f"r.{c}").alias(f"r_{c}") for c in ("ids", "dim", "x", "kinds", "kind")]
+    met = rows.alias("r").join(parts.where("scope IS NOT NULL").alias("q"), ["scope", "part"]).select(*sides)
+    # every scope is asked for by units without one
+    met = met.unionByName(rows.alias("r").join(parts.where("scope IS NULL").alias("q"), F.col("r.part") == F.col("q.part")).select(*sides))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Best] = {}
+        for batch in batches:
+            kinds = [batch.schema.field(c).type.value_type for c in ("q_ids", "r_ids")]
+            for at in range(batch.num_rows):
+                q, r = ({c: batch.column(f"{side}_{c}")[at].as_py() for c in ("ids", "dim", "x", "kinds", "kind")} for side in "qr")
+                n = batch.column("q_n")[at].as_py()
+                if n not in held:
+                    if len(held) == HELD:
+                        yield from held.pop(next(iter(held))).told(kinds)
+                    held[n] = Best(q, k, similarity)
+                held[n].add(r)
+        for best in held.values():
+            yield from best.told(kinds)
+
+    return met.mapInArrow(meet, f"unit {unit_type.simpleString()}, memory_id {id_type.simpleString()}, score double")
+
+
+class Best:
+    """The first k rows of each unit of a block among the blocks of rows added."""
+
+    def __init__(self, block: dict, k: int, similarity: str):
+        self.k, self.similarity, self.units, self.kinds = k, similarity, block["ids"], block["kinds"]
+        self.kind, self.x, self.dim = np.frombuffer(block["kind"], "<i4"), self.matrix(block), block["dim"]
+        self.at, self.score, self.ids = np.zeros(0, int), np.zeros(0), np.zeros(0, object)
+        self.least = np.full(len(self.units), -np.inf)
+        self.squares = self.ordered(self.x, self.x)
+
+    @staticmethod
+    def matrix(block: dict) -> np.ndarray:
+        n, dim = len(block["ids"]), max(block["dim"], 0)
+        return np.frombuffer(block["x"], "<f8" if len(block["x"]) == 8 * n * dim else "<f4").astype(float).reshape(n, dim)
+
+    @staticmethod
+    def ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Dot products of rows, added up from left to right as columns' `vectors.dot` does."""
+        out = np.zeros(len(a))
+        for lo in range(0, len(a), 1 << 16):
+            p = a[lo : lo + (1 << 16)] * b[lo : lo + (1 << 16)]
+            for place in range(p.shape[1]):
+                out[lo : lo + len(p)] += p[:, place]
+        return out
+
+    def similar(self, dots: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Scores by dot products and squared lengths, as in `vectors`."""
+        if self.similarity == "dot":
+            return dots
+        if self.similarity == "euclid":
+            return -(a + b - 2 * dots) / 1.0
+        eps = 1e-8 if self.similarity == "cosine_eps" else 0.0
+        n = (np.sqrt(a) + eps) * (np.sqrt(b) + eps)
+        return np.where(n == 0, 0.0, dots / np.where(n == 0, 1.0, n))
+
+    def add(self, block: dict) -> None:
+        with np.errstate(all="ignore"):
+            self._add(block)
+
+    def _add(self, block: dict) -> None:
+        ok = np.array([[_passes(a, r) for r in block["kinds"]] for a in self.kinds])[self.kind][:, np.frombuffer(block["kind"], "<i4")]
+        n, blank = len(block["ids"]), self.dim < 0 or self.dim != block["dim"]
+        if blank:
+            s, margin = np.zeros(ok.shape), np.zeros((len(self.units), 1))
+        else:
+            rows = self.matrix(block)
+            squares = self.ordered(rows, rows)
+            s = self.similar(self.x @ rows.T, self.squares[:, None], squares[None, :])
+            size = np.ones((len(self.units), 1)) if self.similarity.startswith("cosine") else (np.sqrt(self.squares)[:, None] + np.sqrt(squares.max())) ** 2
+            margin = 2 * 10.0**-PLACES + 1e-12 * size  # what rounding and another order of additions can be off
+            s = np.where(np.isnan(s), np.inf, s)
+        s[~ok] = -np.inf
+        least = self.least
+        few = np.flatnonzero(np.isneginf(least))
+        if len(few) and n > self.k:
+            least = least.copy()
+            least[few] = np.partition(s[few], n - self.k, 1)[:, n - self.k]
+        bar = np.where(np.isfinite(margin), least[:, None] - margin, -np.inf)
+        at, row = np.nonzero(ok & (s >= bar))
+        if not len(at):
+            return
+        score = np.zeros(len(at))
+        if not blank:
+            for lo in range(0, len(at), 1 << 16):
+                i, j = at[lo : lo + (1 << 16)], row[lo : lo + (1 << 16)]
+                score[lo : lo + len(i)] = self.similar(self.ordered(self.x[i], rows[j]), self.squares[i], squares[j])
+            places = np.round(score, PLACES)
+            score = np.where(np.isfinite(places), places, score) + 0.0
+        ids = np.empty(n, object)
+        ids[:] = block["ids"]
+        self.keep(np.concatenate([self.at, at]), np.concatenate([self.score, score]), np.concatenate([self.ids, ids[row]]))
+
+    def keep(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """NaN is a score above all, and a null id comes first, as in Spark's order."""
+        place = {x: p for p, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, x)))}
+        order = np.lexsort((np.fromiter((place[x] for x in ids), int, len(ids)), -score, ~np.isnan(score), at))
+        at = at[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, np.arange(len(self.units)))[at]
+        first = nth < self.k
+        self.at, self.score, self.ids = at[first], score[order][first], ids[order][first]
+        last = nth[first] == self.k - 1
+        self.least[self.at[last]] = np.where(np.isnan(self.score[last]), np.inf, self.score[last])
+
+    def told(self, types: list) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(self.at), 1 << 15):
+            at = self.at[lo : lo + (1 << 15)]
+            yield pa.RecordBatch.from_arrays([pa.array([self.units[i] for i in at], types[0]), pa.array(self.ids[lo : lo + (1 << 15)].tolist(), types[1]), pa.array(self.score[lo : lo + (1 << 15)])], ["unit", "memory_id", "score"])
 
 
 def mean_vectors(members: DataFrame) -> DataFrame:
