@@ -192,7 +192,9 @@ PER_SQL = f"{variant_sql('a4')}, {PER_CTES}"
 
 def gold(spark, sf):
     r, m = routing.keyed(views.requests(spark, sf)), views.memory(spark, sf)
-    j = r.select("request_id", "label", F.explode("all_scopes").alias("scope_id")).join(m.select("memory_id", "label", "scope_id"), ["label", "scope_id"])
+    # the first five of a scope and label are enough for each request
+    m = search.top_k(m.select("memory_id", "label", "scope_id"), ["label", "scope_id"], 5, [F.col("memory_id")], "g").drop("g")
+    j = r.select("request_id", "label", F.explode("all_scopes").alias("scope_id")).join(m, ["label", "scope_id"])
     return search.top_k(j, ["request_id"], 5, [F.col("memory_id")], "g").select("request_id", "memory_id")
 
 
