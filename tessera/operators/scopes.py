@@ -56,8 +56,8 @@ def matching(scopes: DataFrame, pattern: str) -> DataFrame:
     return scopes.where(policies.matches_pattern(F.col("scope_id"), pattern))
 
 
-#: Letters of a gram that patterns and scopes meet on.
-GRAM = 3
+#: Letters of a gram that patterns and scopes meet on, at most.
+GRAM = 12
 
 
 def literals(pattern: str) -> list[str]:
@@ -74,9 +74,10 @@ def literals(pattern: str) -> list[str]:
 def find(scopes: DataFrame, patterns: DataFrame) -> DataFrame:
     """scope_id; pattern -> pattern, scope_id of all that match, as `matching` for each pattern.
 
-    Patterns without `*` are an equi-join. Of a glob's literal runs, the gram of GRAM letters that the fewest scopes have is its key (a
-    shorter run if there is no longer one, the empty text if there is none); scopes meet patterns on the grams they have, and only those
-    pairs run the glob. Nulls match nothing, repeated rows count once."""
+    Patterns without `*` are an equi-join. A glob's grams are its longest literal runs, cut to windows of GRAM letters where they are
+    longer (the empty text if there is none), and the one that the fewest scopes have is its key; scopes meet patterns on the grams of
+    theirs that are as long as some pattern's, and only those pairs run the glob. Grams grow with the names in patterns, so a
+    pattern that names one scope of many meets few, however many there are. Nulls match nothing, repeated rows count once."""
     ids = checkpoint(scopes.select("scope_id").where("scope_id IS NOT NULL").distinct())
     asked = checkpoint(patterns.select("pattern").where("pattern IS NOT NULL").distinct())
 
@@ -85,14 +86,16 @@ def find(scopes: DataFrame, patterns: DataFrame) -> DataFrame:
         out = []
         for p in rows:
             runs = literals(p)
-            grams = {r[k : k + GRAM] for r in runs for k in range(len(r) - GRAM + 1)} or {r for r in runs if len(r) == max(map(len, runs))} or {""}
+            size = min(GRAM, max(map(len, runs), default=0))
+            grams = {r[k : k + size] for r in runs for k in range(len(r) - size + 1)} if size else {""}
             out.append((policies.glob_regex(p), sorted(grams)))
         return pd.DataFrame(out, columns=["glob", "grams"])
 
     globs = checkpoint(asked.where(F.contains("pattern", F.lit("*"))).select("pattern", read("pattern").alias("r")).select("pattern", "r.glob", F.explode("r.grams").alias("gram")))
     n = F.char_length("scope_id")
     of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda at: F.substr(F.col("scope_id"), at, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    every = F.array_distinct(F.concat(F.array(F.lit("")), *(of(k) for k in range(1, GRAM + 1))))
+    used = [r["k"] for r in globs.select(F.char_length("gram").alias("k")).distinct().collect()]  # GRAM + 1 lengths at most
+    every = F.array_distinct(F.concat(F.array(F.lit("")), *(of(k) for k in used if k)))
     has = checkpoint(ids.select("scope_id", F.explode(every).alias("gram")).join(globs.select("gram").distinct(), "gram", "left_semi"))
     counts = has.groupBy("gram").agg(F.count(F.lit(1)).alias("k"))
     keys = globs.join(counts, "gram", "left").groupBy("pattern", "glob").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "gram")).alias("least")).where("least.k > 0")
