@@ -12,15 +12,17 @@ without a vector, and zero vectors, score 0; a block that has one has a bound of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import policies, vectors
-from tessera.operators.search import PLACES, SALTS, numbered, ranked, top_k
+from tessera.operators.search import PLACES, SALTS, UNIT_ROWS, Best, dim, numbered, ranked, top_k
 from tessera.session import checkpoint, small_batches
 
 #: Rows of a block, projections, and blocks of a unit that are scored first.
@@ -114,7 +116,44 @@ def search(units: DataFrame, blocks: Blocks, k: int = 50, first: int = FIRST) ->
     early = checkpoint(scored(begin))
     least = early.where(F.col("rank") == k).select("unit", F.col("score").alias("least"))
     later = every.join(begin, ["unit", "scope_id", "block"], "left_anti").join(least, "unit", "left")
-    later = checkpoint(later.where(F.col("least").isNull() | (F.col("bound") + 10.0**-PLACES >= F.col("least"))).select("unit", "scope_id", "block"))
+    later = checkpoint(later.where(F.col("least").isNull() | (F.col("bound") + 10.0**-PLACES >= F.col("least"))).select("unit", "scope_id", "block", "least"))
+    late = met_in_blocks(later, units, blocks, k)
     visited = begin.select("unit").union(later.select("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("visited"))
     report = every.groupBy("unit").agg(F.count(F.lit(1)).alias("blocks")).join(visited, "unit")
-    return ranked(early.drop("rank").unionByName(scored(later).drop("rank")), ["unit"], k), report
+    return ranked(early.drop("rank").unionByName(late), ["unit"], k), report
+
+
+def met_in_blocks(visits: DataFrame, units: DataFrame, blocks: Blocks, k: int) -> DataFrame:
+    """visits: unit, scope_id, block, least (the unit's k-th score so far, or null) -> unit, memory_id, score of the rows of the blocks
+    that may still be among the first k.
+
+    The units that visit a block come as lists of about UNIT_ROWS, which meet its rows in one matrix product; rows below `least`
+    don't leave it."""
+    lists = max(1, -(-units.count() // UNIT_ROWS))
+    asking = units.select("unit", "qvec", dim(F.col("qvec")).alias("dim"), F.to_json(F.struct("types", "asked"), {"ignoreNullFields": "false"}).alias("kind"))
+    who = visits.join(asking, "unit").withColumn("list", F.pmod(F.xxhash64("unit"), F.lit(lists)))
+    who = who.groupBy("scope_id", "block", "list", "dim").agg(F.collect_list(F.struct("unit", "qvec", "kind", "least")).alias("units"))
+    kept = F.transform("rows", lambda r: F.struct(r["memory_id"].alias("id"), r["embedding"].alias("v"), dim(r["embedding"]).alias("dim"), F.to_json(F.struct(r["memory_type"].alias("memory_type"), r["visibility"].alias("visibility")), {"ignoreNullFields": "false"}).alias("kind")))
+    met = who.join(blocks.rows.select("scope_id", "block", kept.alias("rows")), ["scope_id", "block"]).select("dim", "units", "rows")
+    similarity = blocks.similarity
+
+    def packed(rows: pa.StructArray, ident: str, vector: str, size: int) -> dict:
+        kinds = rows.field("kind").dictionary_encode()
+        x = rows.field(vector).flatten().to_numpy(zero_copy_only=False).astype("<f8") if size > 0 else np.zeros(0)
+        return {"ids": rows.field(ident).to_pylist(), "dim": size, "x": x.tobytes(), "kinds": kinds.dictionary.to_pylist(), "kind": kinds.indices.to_numpy().astype("<i4").tobytes()}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.schema.field(c).type.value_type.field(f).type for c, f in (("units", "unit"), ("rows", "id"))]
+            for at in range(batch.num_rows):
+                # take gives lists that begin at their own first value
+                asked, rows = (v.take(pa.array(range(len(v)))) for v in (batch.column(c)[at].values for c in ("units", "rows")))
+                best = Best(packed(asked, "unit", "qvec", batch.column("dim")[at].as_py()), k, similarity)
+                best.least = np.array([-np.inf if x is None else np.inf if np.isnan(x) else x for x in asked.field("least").to_pylist()])
+                dims = rows.field("dim").to_numpy(zero_copy_only=False)
+                for size in np.unique(dims):
+                    best.add(packed(rows.filter(pa.array(dims == size)), "id", "v", int(size)))
+                yield from best.told(types)
+
+    small_batches(units.sparkSession)
+    return met.mapInArrow(meet, f"unit {units.schema['unit'].dataType.simpleString()}, memory_id string, score double")

@@ -62,13 +62,17 @@ def search(units: DataFrame, memory: DataFrame, k: int = 50, similarity: str = "
 UNIT_ROWS, MEMORY_ROWS, HELD = 1024, 4096, 64
 
 
+def dim(vector: Column) -> Column:
+    """The length of a vector; -1 without one, or with a null in it."""
+    return F.coalesce(F.when(F.exists(vector, lambda x: x.isNull()), -1).otherwise(F.size(vector)), F.lit(-1))
+
+
 def _packed(rows: DataFrame, ident: str, vector: str, kind: list[str], size: int) -> DataFrame:
     """Rows of one scope, and of vectors of one length, as blocks: scope, ids, dim, x (the vectors), kinds (the distinct values of the
     columns `kind`, as JSON) and which each row has. dim is -1 without a vector or with a null in it."""
-    dim = F.coalesce(F.when(F.exists(vector, lambda x: x.isNull()), -1).otherwise(F.size(vector)), F.lit(-1))
     element = "<f4" if rows.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
     ident_type = rows.schema[ident].dataType.simpleString()
-    flat = rows.select("scope", F.col(ident).alias("id"), dim.alias("dim"), F.col(vector).alias("v"), F.to_json(F.struct(*kind), {"ignoreNullFields": "false"}).alias("kind"))
+    flat = rows.select("scope", F.col(ident).alias("id"), dim(F.col(vector)).alias("dim"), F.col(vector).alias("v"), F.to_json(F.struct(*kind), {"ignoreNullFields": "false"}).alias("kind"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

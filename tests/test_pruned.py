@@ -48,3 +48,16 @@ def test_open_units_meet_parts(spark):
     units, memory = world(spark, 50)
     plan = search.candidates(units, memory)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_late_visits_send_best_rows_only(spark):
+    """Of the blocks behind the first, a unit's rows below its threshold don't leave the step that scores them."""
+    from tessera.operators.pruned import met_in_blocks
+
+    memory = spark.range(3000).selectExpr("cast(id as string) memory_id", "'s' scope_id", "'t' memory_type", "array('v') visibility", "array(cast(id as float), 1f) embedding")
+    units = spark.createDataFrame([("u", [0.0, 1.0], ["s"], ["t"], ["v"]), ("w", [1.0, 0.0], ["s"], [], None)], "unit string, qvec array<double>, scopes array<string>, types array<string>, asked array<string>")
+    blocks = pruned.build(memory)
+    visits = units.select("unit").crossJoin(blocks.meta.select("scope_id", "block")).withColumn("least", F.when(F.col("unit") == "u", 0.5))
+    got = [tuple(r) for r in met_in_blocks(visits, units, blocks, 5).collect()]
+    assert sorted(m for u, m, _ in got if u == "u") == ["0", "1"]  # 1 / sqrt(1 + 1) is above 0.5, 1 / sqrt(4 + 1) is not
+    assert len([m for u, m, _ in got if u == "w"]) == 5 * blocks.meta.count()
