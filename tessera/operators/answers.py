@@ -9,9 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint
+
 # What is no word.
 ARTICLES = ("a", "an", "the")
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
+#: Documents whose ids are broadcast at most to pick their texts.
+FEW = 100_000
 
 
 def bag(text: Column) -> Column:
@@ -22,9 +26,10 @@ def bag(text: Column) -> Column:
 
 def matches(answers: DataFrame) -> DataFrame:
     """answers: id (one row each), predicted, gold -> id, em, f1. The overlap is that of bags: a word counts as often as both have it.
-    Words are counted on the map side, so a long text costs its distinct words."""
+    Words are counted on the map side, so a long text costs its distinct words. A plain explode would have Spark cut every text into words
+    below the joins that `answers` is made of, to see if there are any."""
     both = answers.select("id", bag(F.col("predicted")).alias("p"), bag(F.col("gold")).alias("g"))
-    words = both.select("id", F.explode("p").alias("w"), F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(both.select("id", F.explode("g").alias("w"), F.lit(0).alias("p"), F.lit(1).alias("g")))
+    words = both.select("id", F.explode_outer("p").alias("w"), F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(both.select("id", F.explode_outer("g").alias("w"), F.lit(0).alias("p"), F.lit(1).alias("g"))).where("w IS NOT NULL")
     shared = words.groupBy("id", "w").agg(F.sum("p").alias("p"), F.sum("g").alias("g")).groupBy("id").agg(F.sum(F.least("p", "g")).alias("both"))
     n, m, common = F.size("p"), F.size("g"), F.coalesce("both", F.lit(0))
     em = F.col("p") == F.col("g")
@@ -40,6 +45,13 @@ def evidence_hits(requests: DataFrame, results: DataFrame, gold: DataFrame, k: i
     return requests.select("id").join(asked, "id", "left").join(found, "id", "left").select("id", F.when(F.col("some"), F.coalesce("hit", F.lit(False))).alias("hit"))
 
 
+def retrieved(results: DataFrame, texts: DataFrame, at_most: int = FEW) -> DataFrame:
+    """results: doc; texts: doc, text -> the texts of documents that are among the results, as a table of their own. All others go in the
+    scan where the results have few documents, and by a shuffle of their ids and texts where they have many."""
+    met = checkpoint(results.select("doc").distinct())
+    return checkpoint(texts.select("doc", "text").join(F.broadcast(met) if met.count() <= at_most else met, "doc", "left_semi"))
+
+
 def supported(answers: DataFrame, results: DataFrame, texts: DataFrame, k: int = 10) -> DataFrame:
     """answers: id, gold; results: id, doc, rank; texts: doc, text -> id, supported: whether the answer's words stand in a row in one of
     the first k texts. An answer is looked for in what was retrieved for it only; answers without words are not supported."""

@@ -76,3 +76,13 @@ def test_find_scopes(spark):
     assert got == want
     for p in patterns[-13:]:
         assert sorted({x.scope_id for x in scopes.matching(df, p).collect()}) == sorted({x for q, x in want if q == p})
+
+
+def test_only_retrieved_texts_are_read_into_words(spark):
+    texts = spark.createDataFrame([(k, f"text {k}") for k in range(50)] + [(60, None)], "doc long, text string")
+    results = spark.createDataFrame([(1, 7, 1), (2, 7, 1), (2, 60, 2), (3, 99, 1)], "id long, doc long, rank int")
+    for at_most in (0, 10):
+        assert sorted((r.doc, r.text) for r in answers.retrieved(results, texts, at_most).collect()) == [(7, "text 7"), (60, None)]
+    both = results.join(texts, "doc").select("id", F.col("text").alias("predicted"), F.lit("text 7").alias("gold"))
+    plan = answers.matches(both.where("id < 2"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "size(" in x]  # no text is cut into words to be filtered below a join
