@@ -230,11 +230,12 @@ def nested(parts: Parts, made: DataFrame | None = None, created_at: str = "1970-
     return out.withColumn("meta", F.struct(F.lit(VERSION).alias("schema_version"), F.lit(created_at).alias("created_at"), F.col("reasoning_path_type").alias("reasoning_path_type"), F.lit("template" if made is not None else None).cast("string").alias("rollout_llm")))
 
 
-def write(rows: DataFrame, path: str, append: bool = False, s4_shard: bool = True) -> DataFrame:
+def write(rows: DataFrame, path: str, append: bool = False, s4_shard: bool = True, compression: str | None = None) -> DataFrame:
     """Nested episodes as JSON lines by dataset, split and shard; returns those that no shard takes: policy-isolated ones outside
-    the test split. Without s4_shard every episode goes to the shard of its label."""
+    the test split. Without s4_shard every episode goes to the shard of its label. An episode repeats its names in every part, so
+    gzip leaves little of it; a compressed file is read by one task, and no file is larger than what one task wrote."""
     flat = rows.withColumns({"s4": F.col("s4_eligible") if s4_shard else F.lit(False), "label": F.col("rho_subset")})
-    readers.write_episodes(flat, path, append)
+    readers.write_episodes(flat, path, append, compression)
     return readers.misplaced(flat).select("episode_id", F.lit("s4_only_test").alias("rule"))
 
 

@@ -91,9 +91,9 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_episodes(episodes: DataFrame, path: str, append: bool = False) -> None:
-    """JSON lines by dataset, split and shard."""
-    shards(episodes).write.mode("append" if append else "overwrite").partitionBy("dataset", "split", "shard").json(path)
+def write_episodes(episodes: DataFrame, path: str, append: bool = False, compression: str | None = None) -> None:
+    """JSON lines by dataset, split and shard, plain or by a codec of Spark's text files (gzip), which Spark tells by the files' names."""
+    shards(episodes).write.mode("append" if append else "overwrite").partitionBy("dataset", "split", "shard").json(path, compression=compression)
 
 
 def freeze_ids(ids: DataFrame, path: str, column: str = "original_id") -> None:

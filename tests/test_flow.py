@@ -334,3 +334,14 @@ def test_paths_of_reasoning(spark, path, kinds):
 def test_unknown_path_of_reasoning(spark):
     with pytest.raises(ValueError, match="unknown path"):
         assembly.build(flow_queries.items(spark, DATA), F.lit("train"), reasoning="x")
+
+
+def test_round_trip_by_compressed_files(spark, written, tmp_path, monkeypatch):
+    size = lambda path: sum(f.stat().st_size for f in path.rglob("part-*"))
+    assembly.write(written, str(tmp_path / "plain"))
+    monkeypatch.setattr(flow_queries, "scratch", lambda spark, what: str(tmp_path / what))
+    got = flow_queries.q89(spark, DATA)
+    files = list((tmp_path / "episodes").rglob("part-*"))
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert 4 * size(tmp_path / "episodes") < size(tmp_path / "plain")
+    assert got.count() == assembly.read(spark, str(tmp_path / "plain"), written.schema).count() > 0
