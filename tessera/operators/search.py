@@ -127,30 +127,32 @@ def _passes(asked: str, row: str) -> bool:
     return ok and (not wanted or (seen is not None and any(v is not None and v in wanted for v in seen)))
 
 
-def blocks_met(units: DataFrame, rows: DataFrame, unit_type, id_type, k: int, similarity: str) -> DataFrame:
-    """unit_blocks, row_blocks -> unit, memory_id, score: of each task the first k of each unit."""
+def blocks_met(units: DataFrame, rows: DataFrame, unit_type, id_type, k: int, similarity: str, best: type[Best] | None = None) -> DataFrame:
+    """unit_blocks, row_blocks -> unit, memory_id, score: of each task the first k of each unit. `best` scores a block of units, Best
+    unless it is given."""
     if similarity not in vectors.SIMILARITIES:
         raise ValueError(f"unknown similarity {similarity!r}")
+    best = best or Best
     parts = units.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    sides = [F.col(f"q.{c}").alias(f"q_{c}") for c in ("n", "ids", "dim", "x", "kinds", "kind")] + [F.col(f"r.{c}").alias(f"r_{c}") for c in ("ids", "dim", "x", "kinds", "kind")]
+    sides = [F.col(f"q.{c}").alias(f"q_{c}") for c in ("n", *best.COLUMNS)] + [F.col(f"r.{c}").alias(f"r_{c}") for c in Best.COLUMNS]
     met = rows.alias("r").join(parts.where("scope IS NOT NULL").alias("q"), ["scope", "part"]).select(*sides)
-    # every scope is asked for by units without one
-    met = met.unionByName(rows.alias("r").join(parts.where("scope IS NULL").alias("q"), F.col("r.part") == F.col("q.part")).select(*sides))
+    if best.OPEN:  # every scope is asked for by units without one
+        met = met.unionByName(rows.alias("r").join(parts.where("scope IS NULL").alias("q"), F.col("r.part") == F.col("q.part")).select(*sides))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, Best] = {}
         for batch in batches:
             kinds = [batch.schema.field(c).type.value_type for c in ("q_ids", "r_ids")]
             for at in range(batch.num_rows):
-                q, r = ({c: batch.column(f"{side}_{c}")[at].as_py() for c in ("ids", "dim", "x", "kinds", "kind")} for side in "qr")
+                read = lambda side, columns: {c: batch.column(f"{side}_{c}")[at].as_py() for c in columns}  # noqa: B023, E731
                 n = batch.column("q_n")[at].as_py()
                 if n not in held:
                     if len(held) == HELD:
                         yield from held.pop(next(iter(held))).told(kinds)
-                    held[n] = Best(q, k, similarity)
-                held[n].add(r)
-        for best in held.values():
-            yield from best.told(kinds)
+                    held[n] = best(read("q", best.COLUMNS), k, similarity)
+                held[n].add(read("r", Best.COLUMNS))
+        for one in held.values():
+            yield from one.told(kinds)
 
     return met.mapInArrow(meet, f"unit {unit_type.simpleString()}, memory_id {id_type.simpleString()}, score double")
 
@@ -158,6 +160,9 @@ def blocks_met(units: DataFrame, rows: DataFrame, unit_type, id_type, k: int, si
 class Best:
     """The first k rows of each unit of a block among the blocks of rows added."""
 
+    #: What is read of a block, and whether units may ask for all scopes.
+    COLUMNS, OPEN = ("ids", "dim", "x", "kinds", "kind"), True
+
     def __init__(self, block: dict, k: int, similarity: str):
         self.k, self.similarity, self.units, self.kinds = k, similarity, block["ids"], block["kinds"]
         self.kind, self.x, self.dim = np.frombuffer(block["kind"], "<i4"), self.matrix(block), block["dim"]
@@ -292,26 +297,111 @@ def pool(buckets: DataFrame, members: DataFrame, memory: DataFrame, as_of: Colum
     coordinates, three or more the projections on their common span. `parity` ranks by the first member; `balanced` takes
     each row's best member."""
     live = memory.where(~policies.expired(F.col("created_at"), F.col("ttl"), as_of)).select("memory_id", "scope_id", "memory_type", "visibility", "embedding")
+    # a null in a vector makes a score null and NaN makes it NaN, which both count as 0
+    number = live.schema["embedding"].dataType.elementType
+    live = live.withColumn("embedding", F.transform("embedding", lambda x: F.coalesce(x, F.lit(float("nan")).cast(number))))
     n = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    b = buckets.join(n, "bucket").select(F.col("bucket").alias("unit"), F.array("scope").alias("scopes"), "types", "asked", "n")
-    rows = candidates(b, live)
-    who = members if mode == "balanced" else members.where("member_ord = 0")
-    small = rows.where("n < 3").join(who.select(F.col("bucket").alias("unit"), "qvec"), "unit")
-    cut = lambda c: F.slice(c, 1, rank)
-    small = small.select("unit", "memory_id", vectors.cosine_eps(vectors.normalise(cut(F.col("qvec"))), cut(F.col("embedding"))).alias("score"))
+    b = buckets.join(n, "bucket").select(F.col("bucket").alias("unit"), "scope", "types", "asked", "n")
+    asks = F.to_json(F.struct("types", "asked"), {"ignoreNullFields": "false"})
+    b = b.select("unit", "scope", F.array("unit").alias("ids"), F.array(asks).alias("kinds"), F.lit(rank).alias("places"), "n")
+    who = (members if mode == "balanced" else members.where("member_ord = 0")).select(F.col("bucket").alias("unit"), "member_ord", "qvec")
     bases = bucket_bases(members.join(n.where("n >= 3"), "bucket"), rank).withColumnRenamed("bucket", "unit")
-    onto = lambda v: F.transform("basis", lambda x: vectors.dot(x, v))
-    large = rows.where("n >= 3").join(bases, "unit").withColumn("z", onto(F.col("embedding")))
+    # leads of a bucket, some at a time: unit, piece, leads
+    def pieces(leads: DataFrame) -> DataFrame:
+        return leads.groupBy("unit", F.floor(F.col("member_ord") / UNIT_ROWS).alias("piece")).agg(F.collect_list(F.struct("lead", "size")).alias("leads"))
+
+    own = vectors.normalise(F.slice("qvec", 1, rank))
+    small = pieces(who.join(b.where("n < 3").select("unit"), "unit").select("unit", "member_ord", own.alias("lead"), vectors.norm(own).alias("size")))
+    small = small.withColumn("basis", F.lit(None).cast("array<array<double>>"))
     if mode == "balanced":
-        known = bases.join(members.select(F.col("bucket").alias("unit"), "qvec"), "unit").select("unit", onto(vectors.normalise(F.col("qvec"))).alias("own"))
-        large = large.drop("lead", "size").join(known.select("unit", F.col("own").alias("lead"), vectors.norm(F.col("own")).alias("size")), "unit")
-    top = vectors.dot(F.col("lead"), F.col("z")) / ((F.col("size") + 1e-8) * (vectors.norm(F.col("z")) + 1e-8))
-    large = large.select("unit", "memory_id", top.alias("score"))
-    clean = lambda s: F.when(F.isnan(s) | s.isNull() | (F.abs(s) == float("inf")), 0.0).otherwise(F.round(s, PLACES))
-    scored = small.unionByName(large).groupBy("unit", "memory_id").agg(F.max("score").alias("score")).withColumn("score", clean(F.col("score")))
+        bases = checkpoint(bases.select("unit", "basis"))
+        onto = F.transform("basis", lambda x: vectors.dot(x, vectors.normalise(F.col("qvec"))))
+        known = bases.join(who, "unit").select("unit", "member_ord", onto.alias("lead"))
+        large = pieces(known.withColumn("size", vectors.norm(F.col("lead")))).join(bases, "unit")
+    else:
+        large = bases.select("unit", F.lit(0).cast("long").alias("piece"), F.array(F.struct("lead", "size")).alias("leads"), "basis")
+    units = small.unionByName(large).join(b.drop("n"), "unit").withColumn("n", F.to_json(F.struct("unit", "piece")))
+    found = blocks_met(units, row_blocks(live), units.schema["unit"].dataType, memory.schema["memory_id"].dataType, k, "cosine_eps", PoolBest)
+    scored = found.groupBy("unit", "memory_id").agg(F.max("score").alias("score"))
     return ranked(scored, ["unit"], k).withColumnRenamed("unit", "bucket")
 
 
+class PoolBest(Best):
+    """The first k memories of a bucket by the best of its leads, among the blocks of rows added. Rows are projected on the bucket's
+    basis, or cut to its first places without one."""
+
+    COLUMNS, OPEN = ("ids", "kinds", "basis", "leads", "places"), False
+
+    def __init__(self, block: dict, k: int, similarity: str):
+        self.k, self.similarity, self.units, self.kinds, self.places = k, similarity, block["ids"], block["kinds"], block["places"]
+        self.basis = None if block["basis"] is None else np.array(block["basis"], float)
+        whole = [x for x in block["leads"] if x["lead"] is not None and x["size"] is not None and None not in x["lead"]]
+        self.leads: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length
+        for width in {len(x["lead"]) for x in whole}:
+            same = [x for x in whole if len(x["lead"]) == width]
+            self.leads[width] = np.array([x["lead"] for x in same], float).reshape(len(same), width), np.array([x["size"] for x in same], float)
+        self.at, self.score, self.ids, self.least = np.zeros(0, int), np.zeros(0), np.zeros(0, object), -np.inf
+
+    def best(self, dots: np.ndarray, size: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Leads by rows -> the best lead's score of each row; NaN is above all, what is not finite counts 0."""
+        s = (dots / ((size[:, None] + 1e-8) * (z + 1e-8)[None, :])).max(0)
+        return np.where(np.isfinite(s), s, 0.0)
+
+    def exact(self, rows: np.ndarray, leads: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Scores, added up from left to right as columns' `vectors.dot` does."""
+        z = rows if self.basis is None else np.zeros((len(rows), len(self.basis)))
+        if self.basis is not None:
+            for place in range(rows.shape[1]):
+                z += rows[:, place, None] * self.basis[None, :, place]
+        dots = np.zeros((len(leads), len(rows)))
+        for place in range(z.shape[1]):
+            dots += leads[:, place, None] * z[None, :, place]
+        return np.round(self.best(dots, size, np.sqrt(self.ordered(z, z))), PLACES) + 0.0
+
+    def _add(self, block: dict) -> None:
+        ok = np.array([_passes(self.kinds[0], r) for r in block["kinds"]])[np.frombuffer(block["kind"], "<i4")]
+        at = np.flatnonzero(ok)
+        ids = np.empty(len(block["ids"]), object)
+        ids[:] = block["ids"]
+        rows = None if block["dim"] < 0 else self.matrix(block)
+        if rows is not None and self.basis is None:
+            rows = rows[:, : self.places]
+        fits = rows is not None and (self.basis is None or self.basis.shape[1] == rows.shape[1])
+        leads, size = self.leads.get(rows.shape[1] if self.basis is None else len(self.basis), (None, None)) if fits else (None, None)
+        if leads is None:
+            self.keep(at, np.zeros(len(at)), ids[at])
+            return
+        rows = rows[at]
+        z = rows if self.basis is None else rows @ self.basis.T
+        length = np.linalg.norm(z, axis=1)
+        s = self.best(leads @ z.T, size, length)
+        # what rounding and another order of additions can be off; of a row far from the span, little but that is left
+        margin = 2 * 10.0**-PLACES + 1e-12 * (1 + np.linalg.norm(rows, axis=1) / (length + 1e-8))
+        margin = np.where(np.isfinite(margin), margin, np.inf)
+        least = self.least
+        if np.isneginf(least) and len(at) > self.k and len(set(ids[at])) == len(at):
+            least = np.partition(s - margin, len(at) - self.k)[len(at) - self.k]
+        may = np.flatnonzero(s + margin >= least)
+        for lo in range(0, len(may), UNIT_ROWS):
+            i = may[lo : lo + UNIT_ROWS]
+            self.keep(at[i], self.exact(rows[i], leads, size), ids[at[i]])
+
+    def keep(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """A memory that is met twice has its better score."""
+        score, ids = np.concatenate([self.score, score]), np.concatenate([self.ids, ids])
+        place = {x: p for p, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, x)))}
+        order = np.lexsort((np.fromiter((place[x] for x in ids), int, len(ids)), -score))
+        first = {}
+        for o in order:
+            if len(first) == self.k:
+                break
+            first.setdefault(ids[o], o)
+        kept = np.fromiter(first.values(), int, len(first))
+        self.at, self.score, self.ids = np.zeros(len(kept), int), score[kept], ids[kept]
+        if len(kept) == self.k:
+            self.least = self.score[-1]
+
+
 #: Vectors of a block of queries, and of rows.
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 
