@@ -136,7 +136,7 @@ def blocks_met(units: DataFrame, rows: DataFrame, unit_type, id_type, k: int, si
     parts = units.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     sides = [F.col(f"q.{c}").alias(f"q_{c}") for c in ("n", *best.COLUMNS)] + [F.col(f"r.{c}").alias(f"r_{c}") for c in Best.COLUMNS]
     met = rows.alias("r").join(parts.where("scope IS NOT NULL").alias("q"), ["scope", "part"]).select(*sides)
-    if best.OPEN:  # every scope is asked for by units without one
+    if best.OPEN and not units.where("scope IS NULL").isEmpty():  # every scope is asked for by units without one
         met = met.unionByName(rows.alias("r").join(parts.where("scope IS NULL").alias("q"), F.col("r.part") == F.col("q.part")).select(*sides))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,9 @@ class Best:
         self.kind, self.x, self.dim = np.frombuffer(block["kind"], "<i4"), self.matrix(block), block["dim"]
         self.at, self.score, self.ids = np.zeros(0, int), np.zeros(0), np.zeros(0, object)
         self.least = np.full(len(self.units), -np.inf)
-        self.squares = self.ordered(self.x, self.x)
+        with np.errstate(all="ignore"):
+            self.squares = self.ordered(self.x, self.x)
+            self.unit, self.odd = self.scaled(self.x, self.squares)
 
     @staticmethod
     def matrix(block: dict) -> np.ndarray:
@@ -195,30 +197,51 @@ class Best:
         n = (np.sqrt(a) + eps) * (np.sqrt(b) + eps)
         return np.where(n == 0, 0.0, dots / np.where(n == 0, 1.0, n))
 
+    def scaled(self, x: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors over their lengths as the cosine takes them, and which of them are too long or short, or not finite, for that."""
+        length = np.sqrt(squares)
+        odd = ~((length == 0) | ((length > 1e-100) & (length < 1e100)))
+        n = length + (1e-8 if self.similarity == "cosine_eps" else 0.0)
+        return x / np.where(odd | (n == 0), 1.0, n)[:, None], odd
+
+    def near(self, rows: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        """Scores up to rounding, inf where they may be off by more: one product for the cosine."""
+        if not self.similarity.startswith("cosine"):
+            s = self.similar(self.x @ rows.T, self.squares[:, None], squares[None, :])
+            return np.where(np.isnan(s), np.inf, s)
+        unit, odd = self.scaled(rows, squares)
+        s = self.unit @ unit.T
+        s[self.odd], s[:, odd] = np.inf, np.inf
+        return s
+
     def add(self, block: dict) -> None:
         with np.errstate(all="ignore"):
             self._add(block)
 
     def _add(self, block: dict) -> None:
-        ok = np.array([[_passes(a, r) for r in block["kinds"]] for a in self.kinds])[self.kind][:, np.frombuffer(block["kind"], "<i4")]
+        ok, kind = np.array([[_passes(a, r) for r in block["kinds"]] for a in self.kinds]), np.frombuffer(block["kind"], "<i4")
         n, blank = len(block["ids"]), self.dim < 0 or self.dim != block["dim"]
         if blank:
-            s, margin = np.zeros(ok.shape), np.zeros((len(self.units), 1))
+            s, margin = np.zeros((len(self.units), n)), np.zeros((len(self.units), 1))
         else:
             rows = self.matrix(block)
             squares = self.ordered(rows, rows)
-            s = self.similar(self.x @ rows.T, self.squares[:, None], squares[None, :])
+            s = self.near(rows, squares)
             size = np.ones((len(self.units), 1)) if self.similarity.startswith("cosine") else (np.sqrt(self.squares)[:, None] + np.sqrt(squares.max())) ** 2
             margin = 2 * 10.0**-PLACES + 1e-12 * size  # what rounding and another order of additions can be off
-            s = np.where(np.isnan(s), np.inf, s)
-        s[~ok] = -np.inf
         least = self.least
         few = np.flatnonzero(np.isneginf(least))
         if len(few) and n > self.k:
             least = least.copy()
-            least[few] = np.partition(s[few], n - self.k, 1)[:, n - self.k]
+            known = ok[self.kind[few]][:, kind] & (s[few] < np.inf)
+            least[few] = np.partition(np.where(known, s[few], -np.inf), n - self.k, 1)[:, n - self.k]
         bar = np.where(np.isfinite(margin), least[:, None] - margin, -np.inf)
-        at, row = np.nonzero(ok & (s >= bar))
+        may = s >= bar
+        low = np.flatnonzero(np.isneginf(bar[:, 0]))
+        may[low] &= ok[self.kind[low]][:, kind]
+        at, row = np.nonzero(may)
+        fits = ok[self.kind[at], kind[row]]
+        at, row = at[fits], row[fits]
         if not len(at):
             return
         score = np.zeros(len(at))
@@ -234,8 +257,16 @@ class Best:
 
     def keep(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         """NaN is a score above all, and a null id comes first, as in Spark's order."""
-        place = {x: p for p, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, x)))}
-        order = np.lexsort((np.fromiter((place[x] for x in ids), int, len(ids)), -score, ~np.isnan(score), at))
+        keys = (-score, ~np.isnan(score), at)
+        order = np.lexsort(keys)
+        a, b = order[:-1], order[1:]
+        same = (at[a] == at[b]) & ((score[a] == score[b]) | (np.isnan(score[a]) & np.isnan(score[b])))
+        if same.any():  # ids are looked at where scores are equal
+            tied = order[np.append(same, False) | np.insert(same, 0, False)]
+            place = {x: p for p, x in enumerate(sorted(set(ids[tied]), key=lambda x: (x is not None, x)))}
+            nth = np.zeros(len(ids), int)
+            nth[tied] = [place[x] for x in ids[tied]]
+            order = np.lexsort((nth, *keys))
         at = at[order]
         nth = np.arange(len(at)) - np.searchsorted(at, np.arange(len(self.units)))[at]
         first = nth < self.k
