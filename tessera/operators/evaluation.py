@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import checkpoint
+
 
 def per_request(results: DataFrame, gold: DataFrame, k: int = 10) -> DataFrame:
     """request_id, n_gold, hits, recall, rr of requests that have gold rows. Repeated rows count once."""
@@ -57,7 +59,8 @@ def report(results: DataFrame, gold: DataFrame, conflicts: DataFrame, k: int = 1
 
 
 def compare(runs: dict[str, DataFrame], gold: DataFrame, conflicts: DataFrame, k: int = 10) -> DataFrame:
-    """A row for each variant."""
+    """A row for each variant. What all of them are held against is worked out once."""
+    gold, conflicts = checkpoint(gold), checkpoint(conflicts)
     out = None
     for name, results in runs.items():
         one = report(results, gold, conflicts, k).withColumn("variant", F.lit(name))
