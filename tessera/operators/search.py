@@ -418,7 +418,7 @@ class PoolBest(Best):
             self.keep(at[i], self.exact(rows[i], leads, size), ids[at[i]])
 
     def keep(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """A memory that is met twice has its better score."""
+        """A memory that is met twice has its better score; a row that can't be scored counts 0."""
         score, ids = np.concatenate([self.score, score]), np.concatenate([self.ids, ids])
         place = {x: p for p, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, x)))}
         order = np.lexsort((np.fromiter((place[x] for x in ids), int, len(ids)), -score))
