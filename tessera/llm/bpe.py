@@ -25,14 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import small_batches
+from tessera.llm import _words as W
+from tessera.session import give_back, small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: public_tokenizers.PATTERN in Java's notation: `\s` is any Unicode white space.
 SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Memory of the words that a worker remembers at most, with ENTRY bytes for each beside its own; words and bytes of a
-#: recursive query, and ids that one query decodes.
-MEMO, ENTRY, SHORT, WORDS, BYTES, IDS = 128 << 20, 240, 48, 20_000, 1 << 19, 200_000
+#: Words that a worker remembers at most, and bytes of these and their ids, with ENTRY bytes of offsets for each; longest short word;
+#: words and bytes of a recursive query, and ids that one query decodes.
+KNOWN, MEMO, ENTRY, SHORT, WORDS, BYTES, IDS = 1 << 18, 16 << 20, 16, 48, 20_000, 1 << 19, 200_000
 
 #: One pair a word and round; every round's rows are kept, which short words can afford.
 SHORT_WORDS = """
@@ -102,13 +103,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (n of them), for each pair one behind the other."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Codec:
-    """One DuckDB connection with merge table and vocabulary, and the ids of the words met so far."""
+    """One DuckDB connection with merge table and vocabulary, and two Arrow arrays of the words met last and their ids, as Python
+    objects would take several times their memory."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import duckdb
 
-        self.ranks = ranks
         folder = tempfile.mkdtemp(prefix="bpe-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": folder})
@@ -123,64 +129,65 @@ class Codec:
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM t")
             self.con.unregister("t")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
-
-    def recall(self, word: str) -> bytes | None:
-        """A word of the older memory moves to the newer one."""
-        ids = self.old.get(word)
-        if ids is not None:
-            self.memo[word] = ids
-            self.held += len(word) + ENTRY
+        self.tokens, self.token_ids = pa.array(list(ranks), pa.large_binary()), np.array(list(ranks.values()), np.int32)
+        self.known, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_list(pa.int32()))
+
+    def look_up(self, names: pa.Array) -> pa.Array:
+        """The ids of each of some distinct words. What was met longest ago is forgotten first."""
+        at = pc.index_in(names, value_set=self.known)
+        new = names.filter(pc.is_null(at))
+        at = at.to_numpy(zero_copy_only=False)
+        missing = np.isnan(at) if at.dtype.kind == "f" else np.zeros(len(at), bool)
+        where = np.where(missing, len(self.known) + np.cumsum(missing) - 1, at).astype(np.int64)
+        ids = pa.concat_arrays([self.ids, self._contract(new)]).take(pa.array(where))
+        others = np.ones(len(self.known), bool)
+        others[where[~missing]] = False
+        words, lists = pa.concat_arrays([names, self.known.filter(others)]), pa.concat_arrays([ids, self.ids.filter(others)])
+        held = np.cumsum(pc.binary_length(words).to_numpy() + 4 * pc.list_value_length(lists).to_numpy() + ENTRY)
+        most = min(KNOWN, int(np.searchsorted(held, MEMO, "right")))
+        first = pa.array(np.arange(most))  # a copy, as a slice keeps all
+        self.known, self.ids = words.take(first), lists.take(first)
         return ids
 
-    def learn(self, todo: list[str]) -> None:
-        """Puts the ids of new words, as little-endian 32-bit integers, into the memo."""
-        new = sum(map(len, todo)) + ENTRY * len(todo)
-        if self.held + new > MEMO // 2:  # what is not met again before the next such point is forgotten
-            self.old, self.memo, self.held = self.memo, {}, 0
-        self.held += new
-        short, long = [], []
-        for w in todo:
-            raw = w.encode()
-            r = self.ranks.get(raw)
-            if r is None:
-                (short if len(raw) <= SHORT else long).append((w, raw))
-            else:
-                self.memo[w] = r.to_bytes(4, "little")
-        self._contract(short, SHORT_WORDS)
-        self._contract(long, LONG_WORDS)
-
-    def _contract(self, words: list[tuple[str, bytes]], query: str) -> None:
-        ends, lo = np.cumsum([len(raw) for _, raw in words]), 0
-        while lo < len(words):
-            hi = max(lo + 1, min(lo + WORDS, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BYTES, "right"))))
-            part, raw = zip(*words[lo:hi], strict=True)
-            lo = hi
-            size = np.array([len(x) for x in raw])
-            first = np.cumsum(size) - size
-            key = (np.repeat(np.arange(len(raw)), size) << 32) + np.arange(size.sum()) - np.repeat(first, size)
-            self.con.register("symbols", pa.table({"key": pa.array(key), "id": pa.array(self.byte[np.frombuffer(b"".join(raw), np.uint8)])}))
-            got = self.con.sql(query).to_arrow_table()
-            lists = got["ids"].combine_chunks()
-            flat, offs = lists.values.to_numpy().astype("<u4").tobytes(), lists.offsets.to_numpy() * 4
-            for w, a, b in zip(got["word"].to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                self.memo[part[w]] = flat[a:b]
-            self.con.unregister("symbols")
+    def _contract(self, words: pa.Array) -> pa.Array:
+        """The ids of each word: its own if it is a token, else what is left of its bytes."""
+        data, offs = W.raw(words)
+        size, at = np.diff(offs), pc.fill_null(pc.index_in(words.cast(pa.large_binary()), value_set=self.tokens), -1).to_numpy()
+        whole, whole_ids = np.flatnonzero(at >= 0), self.token_ids[at[at >= 0]]
+        found = [(whole, np.ones(len(whole), np.int64), whole_ids)]
+        for rows, query in ((np.flatnonzero((at < 0) & (size <= SHORT)), SHORT_WORDS), (np.flatnonzero((at < 0) & (size > SHORT)), LONG_WORDS)):
+            ends, lo = np.cumsum(size[rows]), 0
+            while lo < len(rows):
+                hi = max(lo + 1, min(lo + WORDS, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BYTES, "right"))))
+                part = rows[lo:hi]
+                lo = hi
+                n = size[part]
+                symbols = self.byte[data[spans(offs[part], n)]]
+                key = (np.repeat(np.arange(len(part)), n) << 32) + spans(np.zeros(len(part), np.int64), n)
+                self.con.register("symbols", pa.table({"key": pa.array(key), "id": pa.array(symbols)}))
+                got = self.con.sql(query).to_arrow_table()
+                lists = got["ids"].combine_chunks()
+                found.append((part[got["word"].to_numpy()], pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy()))
+                self.con.unregister("symbols")
+        n = np.zeros(len(words) + 1, np.int64)
+        for rows, count, _ in found:
+            n[rows + 1] = count
+        begin = np.cumsum(n)
+        flat = np.empty(begin[-1], np.int32)
+        for rows, count, ids in found:
+            flat[spans(begin[rows], count)] = ids
+        return pa.LargeListArray.from_arrays(pa.array(begin), pa.array(flat))
 
     def encode(self, lists: pa.ListArray) -> list[bytes]:
-        """The ids of each list of words."""
+        """The ids of each list of words, as little-endian 32-bit integers."""
         flat = lists.flatten()
         flat = flat.cast(pa.large_string()) if not pa.types.is_large_string(flat.type) else flat
         coded = flat.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        self.learn([w for w in names if w not in self.memo and self.recall(w) is None])
-        known = [self.memo[w] if w in self.memo else self.old[w] for w in names]
-        take, index = known.__getitem__, coded.indices.to_numpy().tolist()
-        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-        ends = np.cumsum(size).tolist()
-        return [b"".join(map(take, index[e - n : e])) for e, n in zip(ends, size.tolist(), strict=True)]
+        ids = self.look_up(coded.dictionary).take(coded.indices)
+        ends = np.cumsum(np.append(0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy()))
+        at = (4 * np.cumsum(np.append(0, pc.list_value_length(ids).to_numpy()))[ends]).tolist()
+        raw = ids.flatten().to_numpy().astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
     def decode(self, docs: list[bytes]) -> list[bytes]:
         """The bytes of each document's ids."""
@@ -210,7 +217,7 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _slices(lists: pa.ListArray, most: int = 500_000) -> Iterator[pa.ListArray]:
+def _slices(lists: pa.ListArray, most: int = 250_000) -> Iterator[pa.ListArray]:
     """Runs of documents of about so many words."""
     ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
     lo = 0
@@ -231,6 +238,7 @@ def encode(docs: DataFrame, text: str = "text", column: str = "ids", ranks: str
         c = codec(path)
         for part in parts:
             got = [x for s in _slices(part) for x in c.encode(s)]
+            give_back()
             offs = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offs), pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32)))
 
@@ -246,6 +254,7 @@ def decode(docs: DataFrame, ids: str = "ids", column: str = "decoded", ranks: st
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path)
         for part in parts:
+            give_back()
             yield pa.array(c.decode([np.asarray(x or [], "<u4").tobytes() for x in part.to_pylist()]), pa.binary())
 
     return docs.withColumn(column, run(F.col(ids)))
@@ -264,9 +273,11 @@ def round_trip(docs: DataFrame, text: str = "text", column: str = "bpe", ranks:
             n, ids, back = [], [], []
             for s in _slices(part):
                 got = c.encode(s)
+                give_back()
                 n += [len(x) // 4 for x in got]
                 ids += map(sha, got)
                 back += map(sha, c.decode(got))
+                give_back()
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.withColumn(column, run(words(F.col(text))))

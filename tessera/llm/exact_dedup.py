@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import free_names, small_batches
+from tessera.session import free_names, give_back, small_batches
 
 BUDGET = 64 << 20
 FANOUT_BITS = 4
@@ -151,6 +151,7 @@ def groups(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
             table = Table()
             table.fold(as_records(b))
             yield from table.records().to_batches()
+            give_back()
 
     def fold_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grace((as_records(b) for b in batches), budget):

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _ranges as R
 from tessera.llm import _words as W
-from tessera.session import checkpoint, free_names
+from tessera.session import checkpoint, free_names, give_back
 
 WORDS = 5
 SHARE = 75
@@ -137,6 +137,7 @@ def measured(docs: DataFrame, words: int = WORDS, look: float = LOOK) -> tuple[D
                 if size > BLOCK:
                     yield from flush()
                     held, nth, size, block = [], 0, 0, numbers.next()
+            give_back()
         if size:
             yield from flush()
 
